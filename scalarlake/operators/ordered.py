@@ -33,9 +33,7 @@ def with_step_levels(df: DataFrame, keys: Sequence[str] = ("run_id", "tag"), ste
     common shuffles.
     """
     out = df.withColumns({"_sup": F.shiftright(step, 2 * BLOCK_BITS), "_blk": F.shiftright(step, BLOCK_BITS)})
-    for c in [*keys, "_sup", "_blk"]:
-        out = out.filter(F.col(c).isNotNull())
-    return out
+    return out.filter(" and ".join(f"{c} is not null" for c in [*keys, "_sup", "_blk"]))
 
 
 def running(

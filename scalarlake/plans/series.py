@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +30,14 @@ def check_max_points(max_points: int) -> None:
 
 @dataclass
 class SeriesResult:
-    """Long rows of downsampled points and of the breaks in the full series."""
+    """Long rows of downsampled points, and of the breaks in the full series."""
 
     points: DataFrame
-    gaps: DataFrame
+    full: DataFrame
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return gap_markers(self.full)
 
 
 def get_series(
@@ -46,8 +51,7 @@ def get_series(
     """Downsampled series of the runs x tags that exist.
 
     ``points``: run_id, tag, step, wall_time, value (null where not finite), count
-    (points before downsampling) and, with ``names``, display_name.  ``gaps`` is
-    evaluated only if used.
+    (points before downsampling) and, with ``names``, display_name.
     """
     check_max_points(max_points)
     chosen = restrict(scalars, runs, tags)
@@ -59,7 +63,7 @@ def get_series(
     )
     if names is not None:
         points = with_display_name(points, names)
-    return SeriesResult(points, gap_markers(rows))
+    return SeriesResult(points, rows)
 
 
 def nested(points: DataFrame) -> DataFrame:
@@ -93,12 +97,40 @@ def relative_minutes(points: DataFrame, out: str = "minutes") -> DataFrame:
 
 @dataclass
 class View:
-    """What a chart of some series shows."""
-
-    points: DataFrame
-    gaps: DataFrame
-    ranges: DataFrame | None
-    dots: DataFrame
+    """What a chart of some series shows; each part is planned when it is asked for."""
+
+    visible: DataFrame
+    series: SeriesResult
+    window: tuple[int, int] | None
+    x: str
+    smooth: float | None
+    clip: tuple[float, float] | None
+    logy: bool
+
+    @cached_property
+    def points(self) -> DataFrame:
+        out = self.visible if self.smooth is None else ema(self.visible, self.smooth)
+        return relative_minutes(out) if self.x == "wall_time" else out
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        """Markers inside the window; ``minutes`` counts from the first visible point."""
+        out = self.series.gaps
+        if self.window:
+            out = gaps_in_window(out, *self.window)
+        if self.x == "wall_time":
+            starts = self.visible.groupBy(*SERIES).agg(F.min_by("wall_time", "step").alias("_w0"))
+            minutes = (F.col("wall_time") - F.col("_w0")) / 60.0
+            out = out.join(starts, SERIES, "left").withColumn("minutes", minutes).drop("_w0")
+        return out
+
+    @cached_property
+    def ranges(self) -> DataFrame | None:
+        return outlier_range(self.visible, *self.clip, logy=self.logy) if self.clip else None
+
+    @cached_property
+    def dots(self) -> DataFrame:
+        return single_points(self.visible)
 
 
 def series_view(
@@ -113,7 +145,6 @@ def series_view(
     logy: bool = False,
     window_first: bool = False,
     names: DataFrame | None = None,
-    range_by: list[str] | None = None,
 ) -> View:
     """Series under view options, in the order dedup, gaps, downsampling, window, rest.
 
@@ -127,21 +158,8 @@ def series_view(
     if window and window_first:
         scalars = step_window(scalars, *window)
     result = get_series(scalars, runs, tags, max_points, names)
-    points, gaps = result.points, result.gaps
-    if window:
-        points, gaps = step_window(points, *window), gaps_in_window(gaps, *window)
-    visible = points
-    dots = single_points(visible)
-    ranges = outlier_range(visible, *clip, logy=logy, by=range_by) if clip else None
-    if smooth is not None:
-        points = ema(points, smooth)
-    if x == "wall_time":
-        points = relative_minutes(points)
-        starts = visible.groupBy(*SERIES).agg(F.min_by("wall_time", "step").alias("_w0"))
-        gaps = gaps.join(starts, SERIES, "left").withColumn(
-            "minutes", (F.col("wall_time") - F.col("_w0")) / 60.0
-        ).drop("_w0")
-    return View(points, gaps, ranges, dots)
+    visible = step_window(result.points, *window) if window else result.points
+    return View(visible, result, window, x, smooth, clip, logy)
 
 
 @dataclass
