@@ -147,3 +147,18 @@ def paired(collapsed: DataFrame, run_a: str, run_b: str) -> DataFrame:
             *cols, F.col("run_id").alias(f"run_{s}"), F.col("text").alias(f"text_{s}"))
 
     return side(run_a, "a").join(side(run_b, "b"), cols)
+
+
+def pair_texts(collapsed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Bodies for an explicit pair table (run_a, tag_a, i_a, run_b, tag_b, i_b).
+
+    Each side is an equi-join on a unique entry.  One entry may be compared with very
+    many others; such a key is split by adaptive skew joins.
+    """
+    out = pairs
+    for s in ("a", "b"):
+        side = collapsed.select(
+            F.col("run_id").alias(f"run_{s}"), F.col("tag").alias(f"tag_{s}"), F.col("i").alias(f"i_{s}"),
+            F.col("text").alias(f"text_{s}"))
+        out = out.join(side, [f"run_{s}", f"tag_{s}", f"i_{s}"])
+    return out

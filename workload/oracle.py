@@ -194,3 +194,126 @@ select distinct concat('Layers.', s_suppkey % 120, '/w') tag,
        cast(dense_rank() over (order by s_suppkey % 120) as integer) place from supplier"""
 ORACLE["clean_tags"] = with_views("sc_dirty") + f"""
 select distinct tag, {CLEAN} as clean from sc_dirty"""
+
+# --- texts ---
+
+COLLAPSED = """{v}_c as (
+  select *, row_number() over (partition by run_id, tag order by step, src, rec) - 1 i
+  from (select *, lag(text) over (partition by run_id, tag order by step, src, rec) prev from {v})
+  where text is distinct from prev)"""
+
+
+def collapsed(v: str) -> str:
+    return with_views(v) + ",\n" + COLLAPSED.format(v=v)
+
+
+ORACLE["text_collapse"] = collapsed("tx_labels") + """
+select run_id, tag, i, step, text, rec from tx_labels_c"""
+ORACLE["text_index"] = collapsed("tx_docs") + """
+select run_id, tag, i, step, wall_time, length(text) chars from tx_docs_c"""
+ORACLE["text_step_ordinal"] = collapsed("tx_labels") + """
+select run_id, tag, i, step, row_number() over (partition by run_id, tag, step order by i) as "ordinal"
+from tx_labels_c qualify count(*) over (partition by run_id, tag, step) > 1"""
+ORACLE["text_counts"] = collapsed("tx_docs") + """
+select run_id, count(*) entries, count(distinct tag) tags, sum(length(text))::bigint chars from tx_docs_c group by all"""
+ORACLE["text_lookup"] = collapsed("tx_conv") + """,
+  w as (select distinct run_id, tag, step i from tx_conv)
+select w.run_id, w.tag, w.i, coalesce(a.i, b.i) entry, coalesce(a.text, b.text) as text
+from w left join tx_conv_c a on a.run_id = w.run_id and a.tag = w.tag and a.i = w.i
+       left join (select run_id, tag, step, min(i) i, arg_min(text, i) as text from tx_conv_c group by all) b
+         on b.run_id = w.run_id and b.tag = w.tag and b.step = w.i"""
+ORACLE["text_retag"] = """with x as (
+  select concat('run_', source) run_id, 'config/2024' || lpad((doc_id % 7)::varchar, 4, '0') || '/lang' old_tag,
+         doc_id // 50 step, text, doc_id rec from documents),
+  c as (select *, row_number() over (partition by run_id, old_tag order by step, rec) - 1 old_i
+        from (select *, lag(text) over (partition by run_id, old_tag order by step, rec) prev from x)
+        where text is distinct from prev)
+select run_id, 'config/lang' tag, row_number() over (partition by run_id order by step, old_tag, old_i) - 1 i,
+       old_tag, old_i, step, rec from c"""
+PAIRS = """,
+  pairs as (
+    select a.run_id run_a, a.tag tag_a, a.i i_a, b.run_id run_b, b.tag tag_b, b.i i_b,
+           a.text text_a, b.text text_b
+    from tx_labels_c a join tx_labels_c b on a.run_id = b.run_id and a.tag = b.tag and a.i + 1 = b.i)"""
+ORACLE["text_pairs"] = collapsed("tx_labels") + PAIRS + """
+select * from pairs"""
+# These texts have two lines, of which none can equal a line in another place.
+DIFF = PAIRS + """,
+  l as (select run_a, tag_a, i_a, run_b, tag_b, i_b,
+               split_part(text_a, chr(10), 1) a1, split_part(text_a, chr(10), 2) a2,
+               split_part(text_b, chr(10), 1) b1, split_part(text_b, chr(10), 2) b2 from pairs),
+  ops as (select * exclude (a1, a2, b1, b2), case
+      when a1 = b1 and a2 = b2 then [(' ', a1), (' ', a2)]
+      when a1 = b1 then [(' ', a1), ('-', a2), ('+', b2)]
+      when a2 = b2 then [('-', a1), ('+', b1), (' ', a2)]
+      else [('-', a1), ('-', a2), ('+', b1), ('+', b2)] end ops from l)"""
+ORACLE["line_diff"] = collapsed("tx_labels") + DIFF + """
+select run_a, tag_a, i_a, run_b, tag_b, i_b, (n - 1)::bigint line_no, ops[n][1] op, ops[n][2] line
+from (select *, unnest(range(1, len(ops) + 1)) n from ops)"""
+ORACLE["line_diff_summary"] = collapsed("tx_labels") + DIFF + """
+select run_a, tag_a, i_a, run_b, tag_b, i_b, len([x for x in ops if x[1] = '+'])::bigint added,
+       len([x for x in ops if x[1] = '-'])::bigint removed, len([x for x in ops if x[1] <> ' ']) = 0 as identical
+from ops"""
+
+# --- tags ---
+
+TREE = with_views("sc_lineitem") + """,
+  t as (select distinct tag, l_returnflag f, l_linenumber n, l_suppkey % 6 e from (
+    select *, concat('train/', l_returnflag, '/layers.', l_linenumber, '.expert_idx_', l_suppkey % 6) tag from lineitem))"""
+ORACLE["tag_prefix_counts"] = TREE + """,
+  p as (select regexp_split_to_array(tag, '[/.]') k from t),
+  q as (select k, unnest(range(1, len(k) + 1)) d from p)
+select d::integer depth, array_to_string(k[1:d], '/') path, count(*) n_tags from q group by all"""
+ORACLE["numeric_collapse"] = TREE + """
+select concat('train/', f, '/layers/', n) parent, 'expert_idx_∗' as name, count(*) siblings, count(*) n_tags
+from t group by all having count(*) >= 4"""
+LEAF = "concat('train/', f, '/layers/', n, '/expert_idx_∗/expert_idx_', e)"
+ORACLE["tag_paths"] = TREE + f"""
+select tag, {LEAF} as path from t"""
+NODES = TREE + """,
+  lv as (
+    select tag, unnest([
+      {'d': 1, 'path': 'train', 'parent': '', 'name': 'train', 's': false},
+      {'d': 2, 'path': concat('train/', f, '/layers'), 'parent': 'train', 'name': concat(f, '/layers'), 's': false},
+      {'d': 3, 'path': concat('train/', f, '/layers/', n), 'parent': concat('train/', f, '/layers'), 'name': n::varchar, 's': false},
+      {'d': 4, 'path': concat('train/', f, '/layers/', n, '/expert_idx_∗'), 'parent': concat('train/', f, '/layers/', n), 'name': 'expert_idx_∗', 's': true},
+      {'d': 5, 'path': concat('train/', f, '/layers/', n, '/expert_idx_∗/expert_idx_', e), 'parent': concat('train/', f, '/layers/', n, '/expert_idx_∗'), 'name': concat('expert_idx_', e), 's': false}]) x
+    from t),
+  nodes as (select x.path as path, x.parent as parent, x.name as name, x.d::bigint depth, count(*) n_tags,
+                   max(case when x.d = 5 then tag end) tag, x.s synthetic, x.d < 5 is_group from lv group by all)"""
+NODES = NODES.replace("x.d < 5 is_group from lv group by all", "max(x.d) < 5 is_group from lv group by x.path, x.parent, x.name, x.d, x.s")
+ORACLE["tag_tree"] = NODES + """
+select path, parent, name, depth, n_tags, tag, synthetic, is_group from nodes"""
+ORACLE["tag_tree_sources"] = """with t as (
+  select distinct concat('net/', c_mktsegment, '.block.', c_nationkey, '/bias_', c_custkey % 3) tag,
+         c_mktsegment s, c_nationkey n, c_custkey % 3 b from customer)
+select tag, concat('net/', s, '.block/', n, '/bias_', b) as path from t"""
+ORACLE["child_limit"] = NODES + """
+select parent, name, row_number() over (partition by depth, parent order by name) place,
+       greatest(count(*) over (partition by depth, parent) - 3, 0) more
+from nodes qualify place <= 3"""
+ORACLE["selected_counts"] = NODES + """,
+  k as (select x.path as path, count(*) n_tags,
+               count(*) filter (tag like '%expert_idx_0' or tag like 'train/A/%') selected from lv group by all)
+select path, n_tags, selected,
+       case when selected = 0 then 'none' when selected = n_tags then 'all' else 'some' end state from k"""
+
+# --- whole store ---
+
+ORACLE["retag"] = with_views("sc_dirty") + f""",
+  x as (select * replace ({CLEAN} as tag) from sc_dirty),
+""" + LATEST.format(v="x") + """
+select run_id, tag, step, round(wall_time, 6) wall_time, round(value::double, 6) as value, rec from x_d"""
+ORACLE["retag_report"] = with_views("sc_dirty") + f"""
+select run_id, count(distinct tag) filter (tag <> {CLEAN}) tags_renamed,
+       count(distinct tag) - count(distinct {CLEAN}) tags_merged
+from sc_dirty group by all"""
+ORACLE["fan_out"] = latest("sc_events") + """
+select 'copy_' || lpad(i::varchar, 3, '0') run_id, tag, count(*) points, sum(step)::bigint steps
+from sc_events_d, range(40) r(i) where run_id = 'run_1' group by all"""
+ORACLE["fan_out_names"] = """
+select 'run_' || lpad(i::varchar, 3, '0') run_id, 'ASIA #' || lpad(i::varchar, 3, '0') display_name from range(12) r(i)"""
+ORACLE["config_values"] = with_views("cfg_lines") + """
+select run_id, trim(split_part(line, ':', 1)) as key,
+       arg_max(trim(trim(substr(line, instr(line, ':') + 1)), '"'), line_no) as value
+from cfg_lines where line not like ' %' and line not like '#%' group by all"""

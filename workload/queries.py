@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scalarlake.functions.scalar import clean_tag, finite_or_null, natural_key
-from scalarlake.operators import quantiles, select, smooth, stats
+from scalarlake.operators import quantiles, reshape, select, smooth, stats, tagtree, texts
 from scalarlake.operators.dedup import latest
+from scalarlake.plans import compare
 from scalarlake.plans import runs as run_plans
 from scalarlake.plans import series as series_plans
+from scalarlake.sources import config
 
 from . import views
 
@@ -275,3 +277,157 @@ def natural_sort(spark, sf):
 def clean_tags(spark, sf):
     d = views.sc_dirty(spark, sf).select("tag", clean_tag(F.col("tag")).alias("clean"))
     return d.distinct()
+
+
+# --- texts -------------------------------------------------------------------
+
+@query
+def text_collapse(spark, sf):
+    return texts.collapse(views.tx_labels(spark, sf)).select(*SERIES, "i", "step", "text", "rec")
+
+
+@query
+def text_index(spark, sf):
+    c = texts.collapse(views.tx_docs(spark, sf))
+    return texts.text_index(c).select(*SERIES, "i", "step", "wall_time", "chars")
+
+
+@query
+def text_step_ordinal(spark, sf):
+    c = texts.text_index(texts.collapse(views.tx_labels(spark, sf)))
+    return c.filter("at_step > 1").select(*SERIES, "i", "step", "ordinal")
+
+
+@query
+def text_counts(spark, sf):
+    return texts.text_counts(texts.collapse(views.tx_docs(spark, sf)))
+
+
+@query
+def text_lookup(spark, sf):
+    """Entry ids for even conversations' turns, some of them only steps."""
+    c = texts.collapse(views.tx_conv(spark, sf))
+    wanted = views.tx_conv(spark, sf).selectExpr("run_id", "tag", "step i")
+    return texts.lookup(c, wanted).select(*SERIES, "i", "entry", "text")
+
+
+@query
+def text_retag(spark, sf):
+    docs = views.tx_docs(spark, sf).withColumn(
+        "tag", F.concat(F.lit("config/2024"), F.lpad((F.col("rec") % 7).cast("string"), 4, "0"), F.lit("/lang")))
+    return texts.retag_texts(texts.collapse(docs)).select(*SERIES, "i", "old_tag", "old_i", "step", "rec")
+
+
+def _next_entries(index):
+    """Each entry beside the one after it in its tag."""
+    a = index.select(F.col("run_id").alias("run_a"), F.col("tag").alias("tag_a"), F.col("i").alias("i_a"))
+    b = index.select(F.col("run_id").alias("run_b"), F.col("tag").alias("tag_b"), F.col("i").alias("i_b"))
+    on = (F.col("run_a") == F.col("run_b")) & (F.col("tag_a") == F.col("tag_b")) & (F.col("i_a") + 1 == F.col("i_b"))
+    return a.join(b, on)
+
+
+@query
+def text_pairs(spark, sf):
+    lab = views.tx_labels(spark, sf)
+    c = texts.collapse(lab)
+    return texts.pair_texts(c, _next_entries(texts.text_index(c)))
+
+
+@query
+def line_diff(spark, sf):
+    """Every short text against the next one of its tag, line by line."""
+    lab = views.tx_labels(spark, sf)
+    return compare.compare_pairs(lab, _next_entries(texts.text_index(texts.collapse(lab))))[0]
+
+
+@query
+def line_diff_summary(spark, sf):
+    """The same as counts of added and removed lines."""
+    lab = views.tx_labels(spark, sf)
+    return compare.compare_pairs(lab, _next_entries(texts.text_index(texts.collapse(lab))))[1]
+
+
+@query
+def line_diff_long(spark, sf):
+    """Long texts against the next one of their tag: added and removed lines."""
+    docs = views.tx_docs(spark, sf)
+    return compare.compare_pairs(docs, _next_entries(texts.text_index(texts.collapse(docs))))[1]
+
+
+# --- tags --------------------------------------------------------------------
+
+def _tree_tags(spark, sf):
+    return views.sc_lineitem(spark, sf).select("tag").distinct()
+
+
+@query
+def tag_prefix_counts(spark, sf):
+    return tagtree.prefix_counts(_tree_tags(spark, sf))
+
+
+@query
+def numeric_collapse(spark, sf):
+    return tagtree.numeric_groups(_tree_tags(spark, sf)).select("parent", "name", "siblings", "n_tags")
+
+
+@query
+def tag_paths(spark, sf):
+    return tagtree.tag_paths(_tree_tags(spark, sf))
+
+
+@query
+def tag_tree(spark, sf):
+    return tagtree.tag_tree(_tree_tags(spark, sf)).select(
+        "path", "parent", "name", F.col("depth").cast("bigint").alias("depth"), "n_tags", "tag", "synthetic", "is_group")
+
+
+@query
+def tag_tree_sources(spark, sf):
+    """Chains of single children, integer levels and lone tags."""
+    tags = views.table(spark, sf, "customer").selectExpr(
+        "concat('net/', c_mktsegment, '.block.', c_nationkey, '/bias_', c_custkey % 3) tag")
+    return tagtree.tag_paths(tags)
+
+
+@query
+def child_limit(spark, sf):
+    tree = tagtree.tag_tree(_tree_tags(spark, sf))
+    return tagtree.listed_children(tree, 3).select("parent", "name", F.col("place").cast("bigint").alias("place"), "more")
+
+
+@query
+def selected_counts(spark, sf):
+    tags = _tree_tags(spark, sf)
+    sel = tags.filter("tag like '%expert_idx_0' or tag like 'train/A/%'")
+    return tagtree.selected_counts(tagtree.node_tags(tags), sel)
+
+
+# --- whole store -------------------------------------------------------------
+
+@query
+def retag(spark, sf):
+    d = reshape.retag(views.sc_dirty(spark, sf))
+    return d.select(*SERIES, "step", r6("wall_time"), r6("value"), "rec")
+
+
+@query
+def retag_report(spark, sf):
+    return reshape.retag_report(views.sc_dirty(spark, sf))
+
+
+@query
+def fan_out(spark, sf):
+    one = latest(views.sc_events(spark, sf).filter("run_id = 'run_1'"))
+    out = reshape.fan_out(one, 40, "copy_")
+    return out.groupBy("run_id", "tag").agg(F.count(F.lit(1)).alias("points"), F.sum("step").alias("steps"))
+
+
+@query
+def fan_out_names(spark, sf):
+    names = views.table(spark, sf, "region").selectExpr("r_name run_id", "if(r_regionkey = 1, '', r_name) display_name")
+    return reshape.fan_out_names(names.filter("run_id = 'ASIA'"), 12, "run_")
+
+
+@query
+def config_values(spark, sf):
+    return config.config_pairs(views.cfg_lines(spark, sf))
