@@ -209,8 +209,9 @@ class Ingest:
         """
         filesystem, base = eventfiles._filesystem(self.store.path("texts"))
         old = self.store.table("texts").filter(F.col("seg") != keep)
-        for r in old.join(runs, "run_id", "left_semi").select("seg", "run_id", F.col("_metadata.file_path").alias("f")).groupBy(
-                "seg", "run_id").agg(F.min("f").alias("f")).toLocalIterator():
+        old = old.select("seg", "run_id", F.col("_metadata.file_path").alias("f")).groupBy("seg", "run_id").agg(
+            F.min("f").alias("f"))
+        for r in old.join(runs, "run_id", "left_semi").toLocalIterator():
             folder = unquote(r.f.rsplit("/", 2)[1])
             filesystem.delete_dir(f"{base}/seg={r.seg}/{folder}")
 
