@@ -11,7 +11,8 @@ def latest(df: DataFrame) -> DataFrame:
 
     The greatest ``wall_time`` wins; ``(src, rec)`` decides equal times.  An
     aggregation, not a window: map-side reduction means that a step repeated any
-    number of times reaches the reducer once per map task.
+    number of times reaches the reducer once per map task.  ``step`` comes first
+    because sorting by a number is much cheaper than by a text.
     """
     pick = F.max(F.struct("wall_time", "src", "rec", "value")).alias("_w")
-    return df.groupBy(*SERIES, "step").agg(pick).select(*SERIES, "step", "_w.wall_time", "_w.value", "_w.src", "_w.rec")
+    return df.groupBy("step", *SERIES).agg(pick).select(*SERIES, "step", "_w.wall_time", "_w.value", "_w.src", "_w.rec")

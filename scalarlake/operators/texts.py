@@ -149,6 +149,14 @@ def paired(collapsed: DataFrame, run_a: str, run_b: str) -> DataFrame:
     return side(run_a, "a").join(side(run_b, "b"), cols)
 
 
+def successive(collapsed: DataFrame) -> DataFrame:
+    """Each entry (run_id, tag, i) with the text after it under the same tag."""
+    key = [*SERIES, "i"]
+    a = collapsed.select(*key, F.col("text").alias("text_a"))
+    b = collapsed.select(*SERIES, (F.col("i") - 1).alias("i"), F.col("text").alias("text_b"))
+    return a.join(b, key)
+
+
 def pair_texts(collapsed: DataFrame, pairs: DataFrame) -> DataFrame:
     """Bodies for an explicit pair table (run_a, tag_a, i_a, run_b, tag_b, i_b).
 

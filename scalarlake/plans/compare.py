@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.diff import diff_summary, line_diff
-from ..operators.texts import collapse, pair_texts, paired
+from ..operators.texts import collapse, pair_texts, paired, successive
 
 
 def compare_runs(texts: DataFrame, run_a: str, run_b: str) -> tuple[DataFrame, DataFrame]:
@@ -19,3 +19,9 @@ def compare_pairs(texts: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFr
     keys = ["run_a", "tag_a", "i_a", "run_b", "tag_b", "i_b"]
     diff = line_diff(pair_texts(collapse(texts), pairs), keys)
     return diff, diff_summary(diff, keys)
+
+
+def text_history(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What changes from each entry of a tag to the next one."""
+    diff = line_diff(successive(collapse(texts)), ["run_id", "tag", "i"])
+    return diff, diff_summary(diff, ["run_id", "tag", "i"])

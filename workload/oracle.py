@@ -239,7 +239,7 @@ ORACLE["text_pairs"] = collapsed("tx_labels") + PAIRS + """
 select * from pairs"""
 # These texts have two lines, of which none can equal a line in another place.
 DIFF = PAIRS + """,
-  l as (select run_a, tag_a, i_a, run_b, tag_b, i_b,
+  l as (select run_a run_id, tag_a tag, i_a i,
                split_part(text_a, chr(10), 1) a1, split_part(text_a, chr(10), 2) a2,
                split_part(text_b, chr(10), 1) b1, split_part(text_b, chr(10), 2) b2 from pairs),
   ops as (select * exclude (a1, a2, b1, b2), case
@@ -248,10 +248,10 @@ DIFF = PAIRS + """,
       when a2 = b2 then [('-', a1), ('+', b1), (' ', a2)]
       else [('-', a1), ('-', a2), ('+', b1), ('+', b2)] end ops from l)"""
 ORACLE["line_diff"] = collapsed("tx_labels") + DIFF + """
-select run_a, tag_a, i_a, run_b, tag_b, i_b, (n - 1)::bigint line_no, ops[n][1] op, ops[n][2] line
+select run_id, tag, i, (n - 1)::bigint line_no, ops[n][1] op, ops[n][2] line
 from (select *, unnest(range(1, len(ops) + 1)) n from ops)"""
 ORACLE["line_diff_summary"] = collapsed("tx_labels") + DIFF + """
-select run_a, tag_a, i_a, run_b, tag_b, i_b, len([x for x in ops if x[1] = '+'])::bigint added,
+select run_id, tag, i, len([x for x in ops if x[1] = '+'])::bigint added,
        len([x for x in ops if x[1] = '-'])::bigint removed, len([x for x in ops if x[1] <> ' ']) = 0 as identical
 from ops"""
 

@@ -336,22 +336,19 @@ def text_pairs(spark, sf):
 @query
 def line_diff(spark, sf):
     """Every short text against the next one of its tag, line by line."""
-    lab = views.tx_labels(spark, sf)
-    return compare.compare_pairs(lab, _next_entries(texts.text_index(texts.collapse(lab))))[0]
+    return compare.text_history(views.tx_labels(spark, sf))[0]
 
 
 @query
 def line_diff_summary(spark, sf):
     """The same as counts of added and removed lines."""
-    lab = views.tx_labels(spark, sf)
-    return compare.compare_pairs(lab, _next_entries(texts.text_index(texts.collapse(lab))))[1]
+    return compare.text_history(views.tx_labels(spark, sf))[1]
 
 
 @query
 def line_diff_long(spark, sf):
     """Long texts against the next one of their tag: added and removed lines."""
-    docs = views.tx_docs(spark, sf)
-    return compare.compare_pairs(docs, _next_entries(texts.text_index(texts.collapse(docs))))[1]
+    return compare.text_history(views.tx_docs(spark, sf))[1]
 
 
 # --- tags --------------------------------------------------------------------
