@@ -108,8 +108,8 @@ ORACLE["series_view"] = lttb("sc_lineitem", 20) + """,
   e as (select *, row_number() over (partition by run_id, tag order by step) k from lt
         where step between 10000 and 50000)
 select run_id, tag, step,
-       round(0.4 * pow(0.6, k) * sum(value::double * pow(0.6, -k)) over (partition by run_id, tag order by step)
-             / (1 - pow(0.6, k)), 3) smooth
+       round(log10(0.4 * pow(0.6, k) * sum(value::double * pow(0.6, -k)) over (partition by run_id, tag order by step)
+             / (1 - pow(0.6, k))), 7) log_smooth
 from e"""
 
 RANGE = """
@@ -317,3 +317,24 @@ ORACLE["config_values"] = with_views("cfg_lines") + """
 select run_id, trim(split_part(line, ':', 1)) as key,
        arg_max(trim(trim(substr(line, instr(line, ':') + 1)), '"'), line_no) as value
 from cfg_lines where line not like ' %' and line not like '#%' group by all"""
+
+# --- files, store and ingest ---
+
+ORACLE["event_file_scan"] = with_views("sc_events") + f"""
+select run_id, tag, 'scalar' kind, step, round(wall_time, 6) wall_time,
+       case when isfinite(value) then round(value::double, 6) end as value from sc_events"""
+ORACLE["ingest_series"] = latest("sc_events") + f"""
+select run_id, tag, step, round(wall_time, 6) wall_time, round({VAL}, 6) as value,
+       count(*) over (partition by run_id, tag) as count from sc_events_d"""
+ORACLE["ingest_runs"] = with_views("sc_events", "tx_labels") + """,
+  t as (select run_id, count(distinct tag) n from tx_labels group by all),
+  s as (select run_id, count(distinct tag) n, min(step) a, max(step) b from sc_events group by all),
+  r as (select run_id from t union select run_id from s)
+select r.run_id, r.run_id display_name, coalesce(s.n, 0)::bigint num_tags, coalesce(a, 0)::bigint step_min,
+       coalesce(b, 0)::bigint step_max, coalesce(t.n, 0)::bigint num_text_tags
+from r left join s using (run_id) left join t using (run_id)"""
+ORACLE["ingest_retag_compact"] = with_views("sc_dirty") + f""",
+  x as (select * replace ({CLEAN} as tag) from sc_dirty),
+""" + LATEST.format(v="x") + """
+select run_id, tag, count(*) as count, min(step) min_step, max(step) max_step,
+       round(arg_max(value, step)::double, 6) last_value from x_d group by all"""

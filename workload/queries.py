@@ -11,9 +11,11 @@ from scalarlake.operators.dedup import latest
 from scalarlake.plans import compare
 from scalarlake.plans import runs as run_plans
 from scalarlake.plans import series as series_plans
-from scalarlake.sources import config
+from scalarlake.sources import config, eventfiles
+from scalarlake.sources.store import Store, write_segment
+from scalarlake.streaming.ingest import Ingest
 
-from . import views
+from . import eventlog, views
 
 SERIES = ["run_id", "tag"]
 QUERIES: dict = {}
@@ -117,7 +119,7 @@ def relative_time(spark, sf):
 def series_view(spark, sf):
     """Downsampled, windowed and smoothed."""
     v = series_plans.series_view(views.sc_lineitem(spark, sf), max_points=20, window=(10000, 50000), smooth=0.6)
-    return v.points.select(*SERIES, "step", F.round("smooth", 3).alias("smooth"))
+    return v.points.select(*SERIES, "step", F.round(F.log10("smooth"), 7).alias("log_smooth"))
 
 
 @query
@@ -428,3 +430,56 @@ def fan_out_names(spark, sf):
 @query
 def config_values(spark, sf):
     return config.config_pairs(views.cfg_lines(spark, sf))
+
+
+# --- files, store and ingest -------------------------------------------------
+
+def _ingested(spark, sf):
+    """``sc_events`` and ``tx_labels`` written as event files in two steps, each taken in by one pass."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    job = Ingest(Store(spark, eventlog.fresh_folder(spark, "store")), folder)
+    ev = views.sc_events(spark, sf).withColumn("text", F.lit(None).cast("string"))
+    tx = views.tx_labels(spark, sf).withColumn("value", F.lit(None).cast("float"))
+    eventlog.write_event_files(ev.filter("rec % 3 > 0"), folder, "a")
+    job.write(eventfiles.list_event_files(spark, folder), 0)
+    eventlog.write_event_files(ev.filter("rec % 3 = 0").unionByName(tx, allowMissingColumns=True), folder, "b")
+    job.write(eventfiles.list_event_files(spark, folder), 2)
+    return job
+
+
+@query
+def event_file_scan(spark, sf):
+    """Event files decoded in small stretches, without a store."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    ev = views.sc_events(spark, sf).withColumn("text", F.lit(None).cast("string"))
+    eventlog.write_event_files(ev, folder, "a")
+    files = eventfiles.list_event_files(spark, folder)
+    rows = eventfiles.read_events(files, split_bytes=1 << 16)
+    return rows.select(*SERIES, "kind", "step", r6("wall_time"), finite_or_null(F.round("value", 6)).alias("value"))
+
+
+@query
+def ingest_series(spark, sf):
+    """Points of all runs after two incremental passes."""
+    p = _ingested(spark, sf).store.get_series(None, None, 0).points
+    return p.select(*SERIES, "step", r6("wall_time"), r6("value"), "count")
+
+
+@query
+def ingest_runs(spark, sf):
+    store = _ingested(spark, sf).store
+    return store.list_runs().select("run_id", "display_name", "num_tags", "step_min", "step_max", "num_text_tags")
+
+
+@query
+def ingest_retag_compact(spark, sf):
+    """Points of a store that was written in two segments, re-tagged and so merged into one."""
+    store = Store(spark, eventlog.fresh_folder(spark, "store"))
+    d = views.sc_dirty(spark, sf)
+    for seg in (0, 2):
+        part = latest(d.filter(F.col("rec") % 4 < 3) if seg else d.filter(F.col("rec") % 4 > 1))
+        write_segment(part, store.path("scalars", seg), "scalars")
+        write_segment(stats.tag_stats(part), store.path("tag_stats", seg), "tag_stats")
+    store.retag()
+    s = store.tag_stats()
+    return s.select(*SERIES, "count", "min_step", "max_step", r6("last_value"))
