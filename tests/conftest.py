@@ -15,5 +15,6 @@ def spark():
     from scalarlake.session import local_session
 
     session = local_session("8", "tests")
+    session.conf.set("spark.sql.shuffle.partitions", "3")  # tiny inputs
     yield session
     session.stop()

@@ -191,7 +191,8 @@ select distinct tag from t where run_id = (select min(run_id) from t)
   and tag not in (select tag from t where run_id = (select max(run_id) from t))"""
 ORACLE["natural_sort"] = """
 select distinct concat('Layers.', s_suppkey % 120, '/w') tag,
-       cast(dense_rank() over (order by s_suppkey % 120) as integer) place from supplier"""
+       concat('layers.', lpad(length((s_suppkey % 120)::varchar)::varchar, 10, '0'), s_suppkey % 120, '/w') sort_key
+from supplier"""
 ORACLE["clean_tags"] = with_views("sc_dirty") + f"""
 select distinct tag, {CLEAN} as clean from sc_dirty"""
 

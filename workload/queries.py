@@ -268,11 +268,9 @@ def missing_tags(spark, sf):
 
 @query
 def natural_sort(spark, sf):
-    """Place of each tag in natural order."""
+    """Sort key of each tag under natural order."""
     tags = views.table(spark, sf, "supplier").selectExpr("concat('Layers.', s_suppkey % 120, '/w') tag").distinct()
-    from pyspark.sql import Window
-    place = F.row_number().over(Window.partitionBy(F.split("tag", "\\.")[0]).orderBy(natural_key(F.col("tag")), "tag"))
-    return tags.withColumn("place", place)
+    return select.natural_order(tags).select("tag", natural_key(F.col("tag")).alias("sort_key"))
 
 
 @query
