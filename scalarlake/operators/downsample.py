@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def lttb(points: DataFrame, max_points: int) -> DataFrame:
         .select(*SERIES, "b", "step", "wall_time", "value", "n",
                 F.lit(1).cast("long").alias("cnt"), F.col("step").cast("double").alias("sum_x"),
                 F.coalesce(finite_or_null(F.col("value")), F.lit(0.0)).cast("double").alias("sum_y"))
-        .mapInPandas(_hull_corners, _CORNERS)
+        .mapInArrow(_hull_corners, _CORNERS)
     )
     return (
         corners.repartition(*SERIES)
@@ -96,39 +98,70 @@ def _segments(batch: pd.DataFrame, *columns: str) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _hull_corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hull_corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reduce sorted stretches to hull corners; sums move to a stretch's first row.
 
     The stretch that is open at the end of a batch is carried into the next one.
+    Names stay in Arrow, where comparing and selecting them is cheap.
     """
     open_rows = None
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
         if open_rows is not None:
-            batch = pd.concat([open_rows, batch], ignore_index=True)
-        reduced, seg = _reduce(batch)
-        open_rows = reduced[seg == seg[-1]]
-        done = reduced[seg != seg[-1]]
-        if len(done):
-            yield done
+            batch = pa.concat_batches([open_rows, batch])
+        seg = stretch_numbers(batch, "run_id", "tag", "b")
+        x, y, cnt, sum_x, sum_y = (
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("step", "value", "cnt", "sum_x", "sum_y"))
+        keep, sums = _thin(seg, x, y, cnt, sum_x, sum_y)
+        if len(keep) < batch.num_rows:
+            batch = batch.take(pa.array(keep))
+            for c, v in zip(("cnt", "sum_x", "sum_y"), sums):
+                i = batch.schema.get_field_index(c)
+                batch = batch.set_column(i, batch.schema.field(i), pa.array(v))
+        cut = int(np.searchsorted(seg[keep], seg[-1]))
+        open_rows = batch.slice(cut)
+        if cut:
+            yield batch.slice(0, cut)
     if open_rows is not None:
         yield open_rows
 
 
-def _reduce(batch: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-    seg = _segments(batch, "run_id", "tag", "b")
-    x, y = _xy(batch)
+def stretch_numbers(batch: pa.RecordBatch, *columns: str) -> np.ndarray:
+    """Number of the stretch of equal ``columns`` each row of an Arrow batch belongs to."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    for c in columns:
+        v = batch.column(c)
+        new[1:] |= pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def _thin(seg, x, y, cnt, sum_x, sum_y) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows to keep, and their counts and sums."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    y = np.where(np.isfinite(y), y, 0.0)
+    if seg[-1] + 1 == len(seg):
+        return np.arange(len(seg)), [cnt, sum_x, sum_y]
     keep = np.union1d(_chain(x, y, seg, 1.0), _chain(x, y, seg, -1.0))
-    if len(keep) == len(batch) == seg[-1] + 1:
-        return batch, seg
     starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-    out = batch.iloc[keep].reset_index(drop=True)
     first = np.searchsorted(keep, starts)  # the first row of a stretch is always kept
-    for c in ("cnt", "sum_x", "sum_y"):
-        total = np.add.reduceat(batch[c].to_numpy(), starts)
+    sums = []
+    for c in (cnt, sum_x, sum_y):
+        total = np.add.reduceat(c, starts)
         v = np.zeros(len(keep), dtype=total.dtype)
         v[first] = total
+        sums.append(v)
+    return keep, sums
+
+
+def _reduce(batch: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    seg = _segments(batch, "run_id", "tag", "b")
+    names = ("step", "value", "cnt", "sum_x", "sum_y")
+    keep, sums = _thin(seg, *(batch[c].to_numpy() for c in names))
+    if len(keep) == len(batch):
+        return batch, seg
+    out = batch.iloc[keep].reset_index(drop=True)
+    for c, v in zip(names[2:], sums):
         out[c] = v
     return out, seg[keep]
 

@@ -15,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import is_finite
 from ..schemas import SERIES
+from .downsample import stretch_numbers
 from .ordered import STEP_LEVELS, with_step_levels
 
 
@@ -49,7 +51,7 @@ def ema(points: DataFrame, weight: float, value: str = "value", out: str = "smoo
     return (
         joined.repartition(*block)
         .sortWithinPartitions(*block, "step")
-        .mapInPandas(_scanner(weight, value, out, names), schema)
+        .mapInArrow(_scanner(weight, value, out, names), schema)
     )
 
 
@@ -90,32 +92,31 @@ def _composer(weight: float, order: str):
 
 
 def _scanner(weight: float, value: str, out: str, names: list[str]):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = None
         state, seen = 0.0, 0
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cols = [pdf[c].to_numpy() for c in ("run_id", "tag", "_blk")]
-            new = np.ones(len(pdf), dtype=bool)
-            new[1:] = False
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            new[0] = (cols[0][0], cols[1][0], cols[2][0]) != last_key
-            last_key = (cols[0][-1], cols[1][-1], cols[2][-1])
-            v = pdf[value].to_numpy().astype(np.float64)
+            key = ("run_id", "tag", "_blk")
+            new = np.diff(stretch_numbers(batch, *key), prepend=0).astype(bool)
+            ends = [[batch.column(c)[i].as_py() for c in key] for i in (0, batch.num_rows - 1)]
+            new[0] = ends[0] != last_key
+            last_key = ends[1]
+            v = batch.column(value).to_numpy(zero_copy_only=False).astype(np.float64)
             good = np.isfinite(v)
-            res = np.full(len(pdf), np.nan)
-            for i, (x, ok, start, s0, m0) in enumerate(
-                zip(v.tolist(), good.tolist(), new.tolist(), pdf["_s"].tolist(), pdf["_m"].tolist())
-            ):
+            res = [0.0] * len(v)
+            starts = iter(zip(
+                batch.column("_s").to_numpy(zero_copy_only=False)[new].tolist(),
+                batch.column("_m").to_numpy(zero_copy_only=False)[new].tolist()))
+            for i, (x, ok, start) in enumerate(zip(v.tolist(), good.tolist(), new.tolist())):
                 if start:
-                    state, seen = s0, m0
+                    state, seen = next(starts)
                 if ok:
                     state = state * weight + (1 - weight) * x
                     seen += 1
                     res[i] = state / (1 - weight**seen)
-            smoothed = pd.Series(res, index=pdf.index).astype(object).where(good, None)
-            yield pdf[names].assign(**{out: smoothed})
+            smoothed = pa.array(np.array(res), mask=~good)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), smoothed], names=[*names, out])
 
     return scan

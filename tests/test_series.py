@@ -83,13 +83,15 @@ def test_bucket_edges(spark):
 def test_hull_of_a_long_stretch():
     """Thinning, also over many batches, keeps every point that can win."""
     import pandas as pd
+    import pyarrow as pa
 
     rng = np.random.default_rng(0)
     x = np.arange(3000)
     y = (np.abs(np.sin(x / 70)) * 5 + rng.normal(0, 0.01, len(x))).astype(np.float32)
     pdf = pd.DataFrame({"run_id": "r", "tag": "t", "b": 0, "step": x, "wall_time": 0.0, "value": y, "n": 3000,
                         "cnt": 1, "sum_x": x.astype(float), "sum_y": y.astype(float)})
-    out = pd.concat(list(downsample._hull_corners(iter([pdf[:100], pdf[100:101], pdf[101:2500], pdf[2500:]]))))
+    parts = [pa.RecordBatch.from_pandas(p, preserve_index=False) for p in (pdf[:100], pdf[100:101], pdf[101:2500], pdf[2500:])]
+    out = pa.Table.from_batches(list(downsample._hull_corners(iter(parts)))).to_pandas()
     assert len(out) < 100 and out["cnt"].sum() == 3000
     assert out["sum_y"].sum() == pytest.approx(y.astype(float).sum())
     kept = set(out["step"])
