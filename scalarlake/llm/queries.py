@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scalarlake.llm.decontaminate import match, report
 from scalarlake.llm.exact import exact_groups
+from scalarlake.llm.lines import dedup_report
 from scalarlake.llm.minhash import near_duplicates
 from scalarlake.llm.mixing import mix_sources
 
@@ -34,6 +35,10 @@ def op1_decontamination(spark, sf_dir):
     return report(match(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -49,6 +54,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
     "op8_mixing": op8_mixing,
     "op10_exact_dedup": op10_exact_dedup,
