@@ -24,15 +24,23 @@ def line_key(line: bytes) -> bytes:
 
 
 def fingerprints(lines: list[bytes]) -> np.ndarray:
-    """64-bit SimHash of each line: per bit, the majority over the hashes of its words; ties give 1."""
+    """64-bit SimHash of each line: per bit, the majority over the hashes of its distinct words; ties give 1.
+
+    Words count once, or a separator that stands between all cells of a table would make all tables alike.
+    """
     out = np.zeros(len(lines), np.uint64)
     for a, b in blocks(lines, 1 << 17):
         words = Words(lines[a:b])
-        bits = np.unpackbits(words.hashes.view(np.uint8).reshape(-1, 8), axis=1)
-        size = np.diff(words.bounds)
+        line = np.repeat(np.arange(b - a), np.diff(words.bounds))
+        order = np.lexsort((words.hashes, line))
+        line, hashes = line[order], words.hashes[order]
+        new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))[:len(line)]
+        line, hashes = line[new], hashes[new]
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+        size = np.bincount(line, minlength=b - a)
         full = np.flatnonzero(size)
         if len(full):
-            ones = np.add.reduceat(bits, words.bounds[full], axis=0, dtype=np.int32)
+            ones = np.add.reduceat(bits, np.cumsum(size)[full] - size[full], axis=0, dtype=np.int32)
             out[a + full] = np.packbits(2 * ones >= size[full, None], axis=1).view(np.uint64)[:, 0]
     return out
 
@@ -99,17 +107,29 @@ class _Union:
         self.up[self.find(j)] = self.find(i)
 
 
+def _letters(line: bytes) -> np.ndarray:
+    points = np.frombuffer(line.decode().encode("utf-32-le"), np.uint32)
+    return np.bincount(points & 127, minlength=128).astype(np.int32)
+
+
 def _verify(bits: int, percent: int):
     def link(payloads: list[bytes], sides: list[int]) -> list[tuple[int, int]]:
         prints = np.frombuffer(b"".join(p[:8] for p in payloads), np.uint64)
         lines = [p[8:] for p in payloads]
         side = np.array(sides)
+        letters = np.stack([_letters(x) for x in lines])
+        longest = letters.sum(axis=1)
         union, out = _Union(len(lines)), []
         for i in range(1, len(lines)):
             near = np.bitwise_count(prints[:i] ^ prints[i]) <= bits
             if side[i]:
                 near &= side[:i] != side[i]
-            for j in np.flatnonzero(near).tolist():
+            near = np.flatnonzero(near)
+            # Each edit takes at most one letter away and adds one, so letter counts bound the distance from below.
+            more = letters[near] - letters[i]
+            least = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+            near = near[least <= np.maximum(longest[near], longest[i]) * (100 - percent) // 100]
+            for j in near.tolist():
                 if union.find(i) != union.find(j) and similar(lines[i], lines[j], percent):
                     union.join(i, j)
                     out.append((i, j))
