@@ -10,6 +10,17 @@ select doc_id, min(doc_id) over w keep_id, count(*) over w group_size,
 from n window w as (partition by norm)
 """
 
+#: Operator 4: payloads, and the smallest page of equal ones of 100 bytes or more.
+OP4 = r"""
+with p as (select page_id, coalesce(html, '') html, octet_length(encode(coalesce(html, ''))) payload_bytes from pages),
+g as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by html) end first from p)
+select page_id, payload_bytes, sha256(html) payload_digest,
+       case when first is null or first = page_id then 'response' else 'revisit' end record_type,
+       case when first <> page_id then first end refers_to
+from g
+"""
+
 ORACLE = {
+    "op4_warc": OP4,
     "op10_exact_dedup": OP10,
 }

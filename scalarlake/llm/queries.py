@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from scalarlake.llm.decontaminate import match, report
 from scalarlake.llm.exact import exact_groups
+from scalarlake.llm.html import extract
 from scalarlake.llm.lines import dedup_report
 from scalarlake.llm.minhash import near_duplicates
 from scalarlake.llm.mixing import mix_sources
+from scalarlake.llm.quality import quality
+from scalarlake.llm.warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,19 @@ def op1_decontamination(spark, sf_dir):
     return report(match(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op2_html_extraction(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_warc(spark, sf_dir):
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return dedup_report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +70,9 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
     "op8_mixing": op8_mixing,
