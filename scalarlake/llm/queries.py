@@ -13,6 +13,7 @@ from scalarlake.llm.minhash import near_duplicates
 from scalarlake.llm.mixing import mix_sources
 from scalarlake.llm.quality import quality
 from scalarlake.llm.warc import archive_round_trip
+from scalarlake.llm.windows import repeated_windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,10 @@ def op8_mixing(spark, sf_dir):
     return weighted(spark, sf_dir, docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return repeated_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -76,5 +81,6 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
