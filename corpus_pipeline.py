@@ -1,4 +1,63 @@
-STAGES = []
+"""Documents to a training mix: five stages, each over all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scalarlake.llm.common import keep
+from scalarlake.llm.decontaminate import remove_spans
+from scalarlake.llm.lines import drop_lines
+from scalarlake.llm.minhash import near_duplicates
+from scalarlake.llm.quality import quality
+from scalarlake.llm.queries import table, weighted
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at 0.7 or more; others go."""
+    scored = quality(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines stay once; documents of which nothing is left go."""
+    return drop_lines(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    groups = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(groups.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; documents that are more than half such passages go."""
+    return remove_spans(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how often (epochs) and how many words (taken)."""
+    return weighted(spark, sf_dir, docs).where("epochs > 0")
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("source_mixing", mixing_stage),
+]
+
+#: SQL expresses neither the classifier nor SimHash and MinHash; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scalarlake.llm.bwt import repeated_bytes
 from scalarlake.llm.decontaminate import match, report
 from scalarlake.llm.exact import exact_groups
 from scalarlake.llm.html import extract
@@ -60,6 +61,10 @@ def op6_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return weighted(spark, sf_dir, docs).select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -80,6 +85,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
