@@ -22,9 +22,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where("predicted = 1").select(*docs.columns)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text that a stage has changed."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines stay once; documents of which nothing is left go."""
-    return drop_lines(docs)
+    return _counted(drop_lines(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut out; documents that are more than half such passages go."""
-    return remove_spans(docs, table(spark, sf_dir, "benchmark"))
+    return _counted(remove_spans(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
