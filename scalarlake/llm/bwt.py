@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import Prefix, binary, keep
+from scalarlake.llm.common import Prefix, binary, keep, pieces
 from scalarlake.llm.linking import _groups
 from scalarlake.llm.windows import leftmost_minima
 
@@ -95,7 +95,7 @@ def _spots(length: int):
     """Per document: version, size, digest, and its anchors: hash and place of the leftmost smallest per stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             version, size, digest, anchors, places = [], [], [], [], []
             for text in binary(batch.column(1)):
                 text = text or b""
@@ -129,7 +129,7 @@ def _contexts(length: int):
     """(anchor, context, version, place): context is a hash of the bytes around the anchor and of its place in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = ([], [], [], [])
             for version, text, spots in zip(batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2).to_pylist()):
                 sums = Prefix(np.frombuffer(text, np.uint8))
@@ -153,7 +153,7 @@ def _strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "context", "lead", "bytes"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for text, wanted in zip(binary(batch.column(0)), batch.column(1).to_pylist()):
                 for w in wanted:
@@ -166,11 +166,18 @@ def _strings(length: int):
 
 
 def _merge(length: int):
-    """(anchor, context, lead, starts) of sorted rows (anchor, context, lead, bytes): where, counted from the anchor,
-    strings of `length` bytes start that another context of the anchor has as well."""
+    """(anchor, context, starts, open, known) of rows (anchor, part, split, context, lead, bytes), sorted by anchor and part.
+
+    starts: where, counted from the anchor, strings of `length` bytes start that another context of the part has as well.
+    Only if the anchor is split into parts: open has the other strings of the context, known the hashes of strings found
+    in the part, each with one context.
+    """
     reach, width = length - ANCHOR, 2 * length - ANCHOR
+    schema = pa.schema([
+        ("anchor", pa.int64()), ("context", pa.int64()), ("starts", pa.list_(pa.int32())),
+        ("open", pa.list_(pa.struct([("start", pa.int32()), ("gram", pa.int64())]))), ("known", pa.list_(pa.int64()))])
 
-    def solve(anchor: list, context: list, lead: list, data: list) -> pa.RecordBatch:
+    def solve(anchor: list, part: list, split: list, context: list, lead: list, data: list) -> pa.RecordBatch:
         n = len(data)
         # One row per string, text as symbols 1 .. 256, nothing as 0 or 257 by side, so that it never looks like text.
         rows = np.zeros((n, width), np.uint16)
@@ -183,19 +190,29 @@ def _merge(length: int):
         _, group = np.unique(np.array(anchor, np.int64), return_inverse=True)
         shards = [shard_transform(rows[k:k + SHARD]) for k in range(0, n, SHARD)]
         found = merged_intervals(shards, group, low, high, length)
-        some = np.flatnonzero(found.any(axis=1))
-        starts = [(np.flatnonzero(found[i]) - reach).astype(np.int32) for i in some]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([anchor[i] for i in some], pa.int64()), pa.array([context[i] for i in some], pa.int64()),
-             pa.array(starts, pa.list_(pa.int32()))], names=["anchor", "context", "starts"])
+        out: list[dict] = []
+        told: set[int] = set()
+        for i in range(n):
+            at = np.flatnonzero(found[i])
+            row = {"anchor": anchor[i], "context": context[i], "starts": (at - reach).tolist(), "open": [], "known": []}
+            if split[i]:
+                first, last = int(low[i]), int(high[i]) - length + 1
+                grams = Prefix(np.frombuffer(data[i], np.uint8)).hash_run(max(0, last - first), length).view(np.int64)
+                known = set(grams[at - first].tolist()) - told
+                told |= known
+                row["known"] = list(known)
+                row["open"] = [{"start": int(c) - reach, "gram": int(grams[c - first])} for c in range(first, last) if not found[i, c]]
+            if len(at) or row["open"]:
+                out.append(row)
+        return pa.RecordBatch.from_pylist(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        for group in _groups(batches, 1):
+        held: list[list] = [[], [], [], [], [], []]
+        for group in _groups(batches, 2):
             if len(held[0]) + len(group[0]) > MOST and held[0]:
                 yield solve(*held)
-                held = [[], [], [], []]
-            if len(group[0]) > 1:
+                held = [[], [], [], [], [], []]
+            if len(group[0]) > 1 or group[2][0]:
                 held = [a + b for a, b in zip(held, group)]
         if held[0]:
             yield solve(*held)
@@ -203,29 +220,9 @@ def _merge(length: int):
     return run
 
 
-def _window_hashes(length: int):
-    """(gram, anchor, context, start) of all windows that hold the anchor, of rows (anchor, context, lead, bytes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, anchors, contexts, starts = [], [], [], []
-            for anchor, context, lead, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3).to_pylist()):
-                n = len(text) - length + 1
-                if n > 0:
-                    grams.append(Prefix(np.frombuffer(text, np.uint8)).hash_run(n, length).view(np.int64))
-                    anchors.append(np.full(n, anchor))
-                    contexts.append(np.full(n, context))
-                    starts.append(np.arange(n, dtype=np.int32) - np.int32(lead))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, anchors, contexts, starts)],
-                                                 names=["gram", "anchor", "context", "start"])
-
-    return run
-
-
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             removed, spans, digest, kept = [], [], [], []
             for text, starts in zip(binary(batch.column(1)), batch.column(2)):
                 at = np.unique(np.asarray(starts.values.to_numpy(zero_copy_only=False), np.int64))
@@ -258,7 +255,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
        by their digest.
     3. The contexts of each remaining anchor are aligned; their transforms are built in shards and merged,
        and the merge yields the common prefixes, hence the repeated intervals.
-    4. An anchor with more than MOST different contexts, which a task should not hold, has its windows counted by hash instead.
+    4. An anchor with more than MOST different contexts, which a task should not hold, is dealt into parts.  What a part
+       leaves open is looked up, by hash, among the strings of the anchor's other parts; so the work stays linear.
 
     Null and empty texts have no bytes.  Ids play no part: null and repeated ones pass through.  length must be more than ANCHOR.
     """
@@ -281,15 +279,18 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     chosen = classes.join(groups, "anchor").groupBy("at.version").agg(
         F.collect_list(F.struct("at.place", "anchor", "context")).alias("wanted"))
     strings = candidates.join(chosen, "version").dropDuplicates(["version"]).select("text", "wanted").mapInArrow(
-        _strings(length), "anchor long, context long, lead int, bytes binary")
-    strings = keep(strings.join(groups, "anchor"), "strings")
-    small = strings.where(f"m <= {MOST}").select("anchor", "context", "lead", "bytes").repartition("anchor").sortWithinPartitions("anchor", "context")
-    merged = small.mapInArrow(_merge(length), "anchor long, context long, starts array<int>")
-    windows = strings.where(f"m > {MOST}").select("anchor", "context", "lead", "bytes").mapInArrow(
-        _window_hashes(length), "gram long, anchor long, context long, start int")
-    twice = windows.groupBy("anchor", "gram").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "gram")
-    counted = windows.join(twice, ["anchor", "gram"]).groupBy("anchor", "context").agg(F.collect_set("start").alias("starts"))
-    partly = merged.union(counted).groupBy("anchor", "context").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        _strings(length), "anchor long, context long, lead int, bytes binary").join(groups, "anchor")
+    parts = F.ceil(F.col("m") / MOST)
+    strings = strings.select("anchor", F.pmod(F.xxhash64("context"), parts).alias("part"), (parts > 1).alias("split"), "context", "lead", "bytes")
+    solved = keep(strings.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(
+        _merge(length), "anchor long, context long, starts array<int>, open array<struct<start: int, gram: long>>, known array<long>"), "solved")
+    # Across the parts of an anchor: a string that its own part has once is repeated if any other part has it.
+    far = solved.select("anchor", "context", F.explode("open").alias("o")).select("anchor", "context", "o.start", "o.gram")
+    had = far.select("anchor", "gram", F.lit(1).alias("n")).union(solved.select("anchor", F.explode("known").alias("gram"), F.lit(2).alias("n")))
+    twice = had.groupBy("anchor", "gram").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "gram")
+    across = far.join(twice, ["anchor", "gram"]).groupBy("anchor", "context").agg(F.collect_set("start").alias("starts"))
+    partly = solved.where("size(starts) > 0").select("anchor", "context", "starts").union(across)
+    partly = partly.groupBy("anchor", "context").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     marks = keep(classes.join(partly, ["anchor", "context"], "left").where("n > 1 or starts is not null").select("anchor", "context", "n", "starts"), "marks")
     reach = length - ANCHOR
     hits = found.join(marks, ["anchor", "context"]).select(

@@ -61,6 +61,13 @@ def count_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def binary(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column."""
     return column.cast(pa.binary()).to_pylist()

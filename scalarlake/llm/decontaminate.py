@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import binary, keep
+from scalarlake.llm.common import binary, keep, pieces
 
 #: Every ASCII byte but digits and letters ends a word; A-Z become a-z; bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -174,7 +174,7 @@ def automata(items: DataFrame, window: int, id_col: str = "item_id", text_col: s
     step = PIECE_WORDS - window + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, starts, pieces = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), binary(batch.column(1))):
                 words = split_words(text)
@@ -236,7 +236,7 @@ def match(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "
 def _matcher(block, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = block.value
-        for batch in batches:
+        for batch in pieces(batches):
             counts, spans, items = [], [], []
             n = batch.num_columns
             earlier = zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist())
@@ -310,7 +310,7 @@ def clean_text(automaton: Automaton, text: bytes, most_coverage: float) -> bytes
 def _remover(block, at: int, most_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = block.value
-        for batch in batches:
+        for batch in pieces(batches):
             old = binary(batch.column(at))
             texts = [t if t is None else clean_text(automaton, t, most_coverage) for t in old]
             stay = pa.array([t is None or x is not None for t, x in zip(old, texts)], pa.bool_())

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scalarlake.llm.common import pieces
+
 #: Elements whose whole content is no text of the page.
 HIDDEN = frozenset("script style noscript template svg math head title iframe object audio video canvas select textarea".split())
 #: Elements that never belong to the article.
@@ -158,7 +160,7 @@ def main_text(page: str | None) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         texts = [main_text(x) for x in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

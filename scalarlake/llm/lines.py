@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import Words, binary, blocks, keep
+from scalarlake.llm.common import Words, binary, blocks, keep, pieces
 from scalarlake.llm.linking import connected, linked
 
 #: Fingerprints may differ in so many of their 64 bits.
@@ -140,7 +140,7 @@ def _verify(bits: int, percent: int):
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, version, place, line, fingerprint) of each line that is not blank."""
-    for batch in batches:
+    for batch in pieces(batches):
         ids, version, place, line, keys = [], [], [], [], []
         for i, text in zip(batch.column(0).to_pylist(), binary(batch.column(1))):
             if not text:
@@ -161,7 +161,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cand, node, payload) of rows (text, wanted: (place, line, cand, print))."""
-    for batch in batches:
+    for batch in pieces(batches):
         cands, nodes, payloads = [], [], []
         for text, wanted in zip(binary(batch.column(0)), batch.column(1).to_pylist()):
             parts = text.split(b"\n")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import LOWER, Words, binary, blocks, keep, mix, shingles
+from scalarlake.llm.common import LOWER, Words, binary, blocks, keep, mix, pieces, shingles
 from scalarlake.llm.linking import connected, forest, linked
 
 #: Bands and rows of a signature.  A pair at a similarity of 0.8 shares no band with probability 1.7e-4, at 0.85 with
@@ -64,7 +64,7 @@ def _node(features: np.ndarray) -> bytes:
 
 def _sketch(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             counts, nodes, keys = [], [], []
             for features in _sets(binary(batch.column(1)), size):
                 counts.append(len(features))
@@ -81,7 +81,7 @@ def _members(size: int):
     """(cand, node, payload) of rows (cand, node, text) whose text has the wanted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             cands, nodes, payloads = [], [], []
             for cand, node, features in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets(binary(batch.column(2)), size)):
                 if len(features) and _node(features) == node:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import binary
+from scalarlake.llm.common import binary, pieces
 
 #: Bound of the fitting sample: rows of each class, those with the smallest hash of their text.
 SAMPLE = 20_000
@@ -122,7 +122,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, cuts: tuple[float, ...] =
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         x = [measures(t) for t in binary(batch.column(0))]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], names=["x"])
 
@@ -153,7 +153,7 @@ def train(docs: DataFrame, positives: DataFrame, excluded=None, sample: int = SA
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = binary(batch.column(batch.num_columns - 1))
             x = np.array([measures(t) for t in texts], float).reshape(-1, MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fitted.score(x), pa.float64())],

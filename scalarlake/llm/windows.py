@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import Words, binary, blocks, drop, keep, mix
+from scalarlake.llm.common import Words, binary, blocks, drop, keep, mix, pieces
 
 
 def leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -55,7 +55,7 @@ def _joined(words: list[bytes]) -> str:
 
 def _first_level(start: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or b"" for t in binary(batch.column(1))]
             version, count, digest, grams, places = [], [], [], [], []
             for a, b in blocks(texts):
@@ -94,7 +94,7 @@ def _next_level(size: int):
     """(doc_id, version, gram, place) of the windows of `size` words at the wanted starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = binary(batch.column(2))
             ids, versions, spans = (batch.column(k).to_pylist() for k in (0, 1, 3))
             for a, b in blocks(texts):
@@ -118,7 +118,7 @@ def _cut(window: int):
     """(doc_id, version, n_removed, kept_sha256, text) of rows (doc_id, version, text, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             removed, digest, kept = [], [], []
             for text, starts in zip(binary(batch.column(2)), batch.column(3)):
                 words = text.split()
