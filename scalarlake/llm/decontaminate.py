@@ -175,23 +175,23 @@ def automata(items: DataFrame, window: int, id_col: str = "item_id", text_col: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            ids, starts, pieces = [], [], []
+            ids, starts, runs = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), binary(batch.column(1))):
                 words = split_words(text)
                 for start in range(0, max(1, len(words) - window + 1), step) if words else ():
                     ids.append(i)
                     starts.append(start)
-                    pieces.append(words[start:start + PIECE_WORDS])
+                    runs.append(words[start:start + PIECE_WORDS])
             yield pa.record_batch([pa.array(ids, pa.string()), pa.array(starts, pa.int64()),
-                                   pa.array(pieces, pa.list_(pa.binary()))], names=["id", "start", "words"])
+                                   pa.array(runs, pa.list_(pa.binary()))], names=["id", "start", "words"])
 
-    pieces = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    parts = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         cut, "id string, start long, words array<binary>").distinct()
-    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    total = parts.agg(F.sum(F.size("words"))).first()[0] or 0
     n = -(-total // block_words)
     out = []
     for k in range(n):
-        block = pieces.where(F.pmod(F.xxhash64("id", "start"), F.lit(n)) == k).orderBy("id", "start").collect()
+        block = parts.where(F.pmod(F.xxhash64("id", "start"), F.lit(n)) == k).orderBy("id", "start").collect()
         if block:
             built = Automaton([(r.id, [bytes(w) for w in r.words]) for r in block], window)
             out.append(spark.sparkContext.broadcast(built))
