@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import keep
+from scalarlake.llm.common import count_words, keep
 from scalarlake.llm.decontaminate import remove_spans
 from scalarlake.llm.lines import drop_lines
 from scalarlake.llm.minhash import near_duplicates
 from scalarlake.llm.quality import quality
-from scalarlake.llm.queries import table, weighted
+from scalarlake.llm.queries import mixed, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often (epochs) and how many words (taken)."""
-    return weighted(spark, sf_dir, docs).where("epochs > 0")
+    """The documents that the mix takes, with how often (epochs) and how many words (taken).
+
+    Rows that repeat id, source and size are taken alike.
+    """
+    mix = mixed(spark, sf_dir, docs).where("epochs > 0").dropDuplicates(["doc_id", "source", "size"])
+    mix = mix.withColumnsRenamed({"doc_id": "_id", "source": "_source"})
+    alike = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (count_words(F.col("text")) == F.col("size"))
+    return docs.drop("size", "source_size", "target", "epochs", "taken").join(mix, alike).drop("_id", "_source")
 
 
 STAGES = [

@@ -44,8 +44,9 @@ def sampling_key(id_col: Column, quality: Column, seed: int) -> Column:
     return -F.log(u) / quality
 
 
-def mix_sources(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
-                share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
+def mix_sources(docs: DataFrame, quality: Column | None = None, size: Column | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+                share: float = 1.5, most: float = 2.0,
+                seed: int = 1) -> DataFrame:
     """docs with size, source_size, target, epochs (how often the mix takes the row) and taken (words).
 
     Complete epochs come first: floor(target / source size) times every document.  What is left of the budget goes
@@ -55,7 +56,7 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, weights: tuple[f
     A source may hold any share of the rows: sizes are summed over buckets of the key, running sums are taken
     over at most BUCKETS rows per source, and only the bucket in which the budget ends is put in order.
 
-    quality: positive weight of a row; null, missing or not positive counts as the smallest, 1e-6.  Null texts
+    size: words of a row, those of its text by default.  quality: positive weight of a row; null, missing or not positive counts as the smallest, 1e-6.  Null texts
     have size 0; null ids and repeated rows share a key and are ordered by size; which of several with equal key and
     size comes last is open, the taken words are the same.  Extra columns pass through.  Empty input gives no rows.
     """
@@ -63,7 +64,7 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, weights: tuple[f
     q = F.greatest(F.coalesce(quality, F.lit(1e-6)), F.lit(1e-6)) if quality is not None else F.lit(1.0)
     rows = docs.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("source").alias("source"),
-        count_words(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), q, seed).alias("key"),
+        (count_words(F.col("text")) if size is None else size).alias("size"), sampling_key(F.col("doc_id"), q, seed).alias("key"),
     )
     # A fixed, monotone cut of the key: 1 - exp(-key) is even for quality 1.
     rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))

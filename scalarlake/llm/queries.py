@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scalarlake.llm.bwt import repeated_bytes
+from scalarlake.llm.common import count_words
 from scalarlake.llm.decontaminate import match, report
 from scalarlake.llm.exact import exact_groups
 from scalarlake.llm.html import extract
@@ -27,12 +28,16 @@ def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select(F.col("doc_id").alias("label_id"), F.when(F.col("q") == 1, 1.0).otherwise(0.25).alias("weight"))
 
 
-def weighted(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """docs mixed by source, documents weighted by their label; 0.5 without one."""
-    names = docs.columns
-    rows = docs.join(label_quality(spark, sf_dir), F.col("doc_id") == F.col("label_id"), "left")
-    rows = rows.select(*names, F.coalesce("weight", F.lit(0.5)).alias("_weight"))
-    return mix_sources(rows, F.col("_weight")).drop("_weight")
+def mixed(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs, taken) of docs, weighted by their label; 0.5 without one.
+
+    Words are counted where texts are read; texts go no further.
+    """
+    slim = docs.select("doc_id", "source", count_words(F.col("text")).alias("words"))
+    rows = slim.join(label_quality(spark, sf_dir), F.col("doc_id") == F.col("label_id"), "left")
+    rows = rows.select("doc_id", "source", "words", F.coalesce("weight", F.lit(0.5)).alias("weight"))
+    return mix_sources(rows, F.col("weight"), F.col("words")).select(
+        "doc_id", "source", "size", "source_size", "target", "epochs", "taken")
 
 
 def op1_decontamination(spark, sf_dir):
@@ -66,8 +71,7 @@ def op7_suffix_dedup(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return weighted(spark, sf_dir, docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixed(spark, sf_dir, table(spark, sf_dir, "documents")).drop("epochs")
 
 
 def op9_substring_dedup(spark, sf_dir):
