@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import Prefix, binary, keep, pieces
+from scalarlake.llm.common import Prefix, binary, keep, mix, pieces
 from scalarlake.llm.linking import _groups
 from scalarlake.llm.windows import leftmost_minima
 
@@ -197,7 +197,11 @@ def _merge(length: int):
             row = {"anchor": anchor[i], "context": context[i], "starts": (at - reach).tolist(), "open": [], "known": []}
             if split[i]:
                 first, last = int(low[i]), int(high[i]) - length + 1
-                grams = Prefix(np.frombuffer(data[i], np.uint8)).hash_run(max(0, last - first), length).view(np.int64)
+                count = max(0, last - first)
+                grams = Prefix(np.frombuffer(data[i], np.uint8)).hash_run(count, length)
+                # With the place: equal strings hold their anchor at the same place, and one string of a text may
+                # be in the contexts of several anchors, at several.
+                grams = mix(grams + np.arange(first, first + count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 known = set(grams[at - first].tolist()) - told
                 told |= known
                 row["known"] = list(known)
