@@ -30,8 +30,6 @@ from ..functions.scalar import finite_or_null
 from ..schemas import SERIES
 from .ordered import STEP_LEVELS, with_position, with_step_levels
 
-MAX_POINTS_LIMIT = 100_000
-
 _CORNERS = (
     "run_id string, tag string, b long, step long, wall_time double, value float, n long, "
     "cnt long, sum_x double, sum_y double"

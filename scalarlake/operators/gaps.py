@@ -7,15 +7,13 @@ from ..functions.scalar import is_finite, non_finite_kind
 from ..schemas import SERIES
 from .ordered import STEP_LEVELS, running, with_step_levels
 
-GAP_LIMIT = 2000  # fixed value: markers reported per series, earliest first
 
-
-def gap_markers(points: DataFrame, limit: int = GAP_LIMIT) -> DataFrame:
-    """One row per non-finite point of the full series, at most ``limit`` per series.
+def gap_markers(points: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per non-finite point of the full series; the earliest ``limit`` per series, if one is given.
 
     ``y`` anchors the marker to the previous finite value, else to the series'
-    first finite value, else to 0.  The limit is part of the result's definition;
-    positions come from block offsets, so no series is gathered to apply it.
+    first finite value, else to 0.  Positions come from block offsets, so no series is
+    gathered to apply a limit.
     """
     rows = with_step_levels(points.select(*SERIES, "step", "wall_time", F.col("value").cast("double")))
     rows = rows.withColumn("_f", F.when(is_finite(F.col("value")), F.col("value")))
@@ -29,13 +27,15 @@ def gap_markers(points: DataFrame, limit: int = GAP_LIMIT) -> DataFrame:
     )
     carry = running(blocks, SERIES, STEP_LEVELS, sums=["bad"], lasts=["fin"])
     # Only blocks with something to report are expanded again.
-    carry = carry.join(blocks.filter("bad > 0").select(*block), block, "left_semi").filter(F.col("bad_before") < limit)
+    carry = carry.join(blocks.filter("bad > 0").select(*block), block, "left_semi")
+    if limit is not None:
+        carry = carry.filter(F.col("bad_before") < limit)
     so_far = Window.partitionBy(*block).orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.join(carry, block)
         .withColumn("_prev", F.last("_f", ignorenulls=True).over(so_far))
         .withColumn("_nth", F.count_if(bad).over(so_far) + F.col("bad_before"))
-        .filter(bad & (F.col("_nth") <= limit))
+        .filter(bad if limit is None else bad & (F.col("_nth") <= limit))
         .select(
             *SERIES, "step", "wall_time",
             non_finite_kind(F.col("value")).alias("kind"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import contains_ignore_case, first_non_empty, natural_key, tag_matches
 
-COMBO_LIMIT = 50  # fixed value: entries a tag search box shows
 
 
 def restrict(df: DataFrame, runs: Sequence[str] | DataFrame | None = None,
@@ -43,14 +42,15 @@ def search_runs(runs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def suggest_tags(tags: DataFrame, text: str, limit: int = COMBO_LIMIT) -> DataFrame:
-    """First ``limit`` tags containing ``text``, each with the number of all matches."""
+def suggest_tags(tags: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Tags containing ``text`` in order, the first ``limit`` if one is given, each with the number of all matches."""
     needle = text.strip()
     found = tags.select("tag").distinct()
     if needle:
         found = found.filter(contains_ignore_case(F.col("tag"), needle))
     total = found.agg(F.count(F.lit(1)))
-    return found.orderBy("tag").limit(limit).withColumn("matches", total.scalar())
+    found = found.orderBy("tag") if limit is None else found.orderBy("tag").limit(limit)
+    return found.withColumn("matches", total.scalar())
 
 
 def tag_names(tags: DataFrame, runs: Sequence[str] | None = None) -> DataFrame:

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..functions.scalar import digit_mask, is_integer_name, natural_key
 
 COLLAPSE_MIN = 4  # fixed value: siblings needed for a common masked parent
-CHILD_LIMIT = 1200  # fixed value: children listed per node
 MASK = "∗"  # fixed value: stands for digits in a masked name
 
 _SLICES = 64
@@ -184,7 +183,7 @@ def prefix_counts(tags: DataFrame) -> DataFrame:
     return tokens(tags).groupBy("depth", "path").agg(F.count(F.lit(1)).alias("n_tags"))
 
 
-def listed_children(nodes: DataFrame, limit: int = CHILD_LIMIT) -> DataFrame:
+def listed_children(nodes: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` children per parent, groups first, then in natural order.
 
     ``place`` is the position in that order and ``more`` the number of children not

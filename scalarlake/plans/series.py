@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite_or_null, is_finite
 from ..operators.dedup import latest
-from ..operators.downsample import MAX_POINTS_LIMIT, lttb
+from ..operators.downsample import lttb
 from ..operators.gaps import gap_markers, gaps_in_window
 from ..operators.ordered import STEP_LEVELS, running, with_first, with_step_levels
 from ..operators.quantiles import outlier_range
@@ -20,12 +20,13 @@ from ..operators.smooth import ema
 from ..operators.stats import single_points
 from ..schemas import SERIES
 
-NESTED_PART = MAX_POINTS_LIMIT
+#: Points per part of a nested series: a row holds at most so many, longer series have several parts.
+NESTED_PART = 100_000
 
 
 def check_max_points(max_points: int) -> None:
-    if not 0 <= max_points <= MAX_POINTS_LIMIT:
-        raise ValueError(f"max_points must be between 0 and {MAX_POINTS_LIMIT}")
+    if max_points < 0:
+        raise ValueError("max_points must not be negative")
 
 
 @dataclass

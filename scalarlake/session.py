@@ -26,8 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only when the session names none (tests, local runs) is a local one set.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="scalarlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scalarlake-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")

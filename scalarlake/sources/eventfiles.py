@@ -32,7 +32,7 @@ NAME_START = "events.out.tfevents."  # fixed value: event files are named like t
 HEAD_RECORDS = HEAD_GAP = 512  # fixed values of the head-only text scan
 
 SPLIT_BYTES = 32 * 1024 * 1024
-REC_SCALE = 1024  # ``rec`` = record number * REC_SCALE + n-th value of a tag in the record
+REC_SCALE = 1 << 32  # ``rec`` = record number * REC_SCALE + n-th value of a tag in the record
 _CHUNK = 8 * 1024 * 1024
 _ROWS = 50_000
 _LEN = struct.Struct("<Q")
@@ -310,7 +310,7 @@ def _decode(r: dict, scalars: bool, texts: bool, skip_bad: bool, head: int, gap:
                 kind = "scalar" if text is None else "text"
                 got |= text is not None
                 rows.add(r["run_id"], kind, r["prefix"] + "/" + tag if r["prefix"] else tag, step, wall, value, text,
-                         r["relkey"], rec * REC_SCALE + min(nth, REC_SCALE - 1), None)
+                         r["relkey"], rec * REC_SCALE + nth, None)
             at, rec = nxt, rec + 1
             if got:
                 found, since = True, 0

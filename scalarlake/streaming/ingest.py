@@ -175,12 +175,12 @@ class Ingest:
             out.append((run, int(new or 0), error))
         return self.spark.createDataFrame(out, "run_id string, new_rows long, error string")
 
-    def backfill_texts(self, runs: list[str] | None = None, force: bool = False, full: bool = False) -> DataFrame:
+    def backfill_texts(self, runs: list[str] | None = None, force: bool = False, full: bool = True) -> DataFrame:
         """Read the text of ingested runs again, without touching scalars.
 
-        Only runs without text, unless ``force``; the head of each file, unless
-        ``full``.  The text found replaces all text of these runs.  Returns the number
-        of entries per run.
+        Only runs without text, unless ``force``.  Files are read as a whole and the text found
+        replaces all text of these runs; with ``full=False`` only the head of each file is read,
+        and nothing is replaced.  Returns the number of entries per run.
         """
         store = self.store
         files = eventfiles.list_event_files(self.spark, self.runs_dir, runs)
@@ -196,7 +196,7 @@ class Ingest:
         found.drop("kind").write.mode("overwrite").parquet(f"{work}/texts")
         found = self.spark.read.parquet(f"{work}/texts")
         write_segment(found, store.path("texts", seg), "texts")
-        if force:
+        if force and full:
             self._drop_texts(files.select("run_id").distinct(), seg)
         self._discard(work)
         new = store.table("texts").filter(F.col("seg") == seg).select("run_id").distinct()
