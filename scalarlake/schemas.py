@@ -2,6 +2,8 @@
 
 ``src`` is the relative path of the event file a row came from and ``rec`` its
 position in that file.  They make "logged order" and tie-breaks deterministic.
+``seq`` numbers the passes in the order in which they were planned: what was read later
+counts, whichever kind of pass read it.
 """
 
 from pyspark.sql import types as T
@@ -30,12 +32,14 @@ TEXTS = T.StructType([
     T.StructField("rec", T.LongType()),
     T.StructField("digest", T.StringType()),
     T.StructField("chars", T.IntegerType()),
+    T.StructField("seq", T.LongType()),
 ])
 
 CONFIGS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("key", T.StringType()),
     T.StructField("value", T.StringType()),
+    T.StructField("seq", T.LongType()),
 ])
 
 # How much of each event file has been ingested.
@@ -46,6 +50,7 @@ FILES = T.StructType([
     T.StructField("mtime", T.DoubleType()),
     T.StructField("consumed", T.LongType()),
     T.StructField("records", T.LongType()),
+    T.StructField("seq", T.LongType()),
 ])
 
 TAG_STATS = T.StructType([
@@ -55,11 +60,20 @@ TAG_STATS = T.StructType([
     T.StructField("min_step", T.LongType()),
     T.StructField("max_step", T.LongType()),
     T.StructField("last_value", T.FloatType()),
+    T.StructField("seq", T.LongType()),
 ])
 
 RUN_NAMES = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("display_name", T.StringType()),
+    T.StructField("seq", T.LongType()),
+])
+
+# Written last by a text backfill.  Where ``replaces``, older text of the run is void.
+BACKFILLS = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("replaces", T.BooleanType()),
+    T.StructField("seq", T.LongType()),
 ])
 
 

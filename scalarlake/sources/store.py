@@ -3,11 +3,14 @@
     <root>/generations/            one row per generation; the greatest one is read
     <root>/gen=<g>/scalars/seg=<s>/run_id=<r>/*.parquet   sorted by tag, step
     <root>/gen=<g>/texts/seg=<s>/run_id=<r>/*.parquet
-    <root>/gen=<g>/{tag_stats,files,configs,names}/seg=<s>/*.parquet
+    <root>/gen=<g>/{tag_stats,configs,names,backfills,files}/seg=<s>/*.parquet
+
+A pass writes ``files`` (a text backfill: ``backfills``) last, which makes its segment a finished one.
 
 Segments are only ever replaced whole, by a replay of the pass that wrote them.
 Reads merge segments (latest write wins).  Compaction and re-tagging write a new
-generation and then append its number, so readers switch in one step.
+generation and then append its number, so readers switch in one step.  They copy a fixed set of
+finished segments; segments that finish meanwhile are carried over as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from ..plans.runs import run_summary
 
 TABLES = {
     "scalars": S.SCALARS, "texts": S.TEXTS, "tag_stats": S.TAG_STATS,
-    "files": S.FILES, "configs": S.CONFIGS, "names": S.RUN_NAMES,
+    "configs": S.CONFIGS, "names": S.RUN_NAMES, "backfills": S.BACKFILLS, "files": S.FILES,
 }
 BY_RUN = ("scalars", "texts")
 ROW_GROUP_BYTES = 8 * 1024 * 1024  # about 256,000 scalar rows
@@ -42,6 +45,8 @@ def write_segment(df: DataFrame, path: str, table: str) -> None:
     a series of any length is spread over several files.
     """
     schema = TABLES[table]
+    if "seq" in schema.names and "seq" not in df.columns:
+        df = df.withColumn("seq", F.lit(None))
     df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     if table in BY_RUN:
         order = ["run_id", "tag", "step"]
@@ -53,12 +58,33 @@ def write_segment(df: DataFrame, path: str, table: str) -> None:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    """``generation`` and ``segments`` pin what is read; see snapshot()."""
+
+    def __init__(self, spark: SparkSession, root: str, generation: int | None = None, segments: Sequence[int] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self._generation, self._segments = generation, segments
 
     # -- layout ---------------------------------------------------------------
 
+    def snapshot(self, segments: Sequence[int] | None = None) -> Store:
+        """The store as of one generation, so that the tables of a read belong together; only some segments, if given."""
+        return Store(self.spark, self.root, self.generation(), self._segments if segments is None else segments)
+
+    def finished(self) -> list[int]:
+        """Segments whose pass has finished (one number per pass since the last compaction)."""
+        segs = self.table("files").select("seg").union(self.table("backfills").select("seg"))
+        return sorted(r.seg for r in segs.distinct().collect())
+
+    def next_seq(self, without: int | None = None) -> int:
+        """A number greater than those of all passes that have finished; a pass leaves itself out when it is replayed."""
+        seqs = self.table("files").select("seq", "seg").union(self.table("backfills").select("seq", "seg"))
+        if without is not None:
+            seqs = seqs.filter(F.col("seg") != without)
+        return (seqs.agg(F.max("seq")).first()[0] or 0) + 1
+
     def generation(self) -> int:
+        if self._generation is not None:
+            return self._generation
         rows = self._read(f"{self.root}/generations", T.StructType([T.StructField("generation", T.LongType())]))
         return rows.agg(F.max("generation")).first()[0] or 0
 
@@ -77,7 +103,17 @@ class Store:
             return self.spark.createDataFrame([], schema)
 
     def table(self, name: str) -> DataFrame:
-        return self._read(self.path(name), S.stored(TABLES[name]))
+        """Rows of all segments; of text, those that no later backfill has replaced."""
+        t = self._stored(name)
+        if name != "texts":
+            return t
+        void = self._stored("backfills").filter("replaces").groupBy("run_id").agg(F.max("seq").alias("_from"))
+        current = F.coalesce(F.col("seq"), F.lit(0)) >= F.coalesce(F.col("_from"), F.lit(0))
+        return t.join(void, "run_id", "left").filter(current).select(*t.columns)
+
+    def _stored(self, name: str) -> DataFrame:
+        t = self._read(self.path(name), S.stored(TABLES[name]))
+        return t if self._segments is None else t.filter(F.col("seg").isin(list(self._segments)))
 
     def _single_segment(self) -> bool:
         """Whether scalars have one segment (already deduplicated when written)."""
@@ -88,13 +124,13 @@ class Store:
     def names(self) -> DataFrame:
         """Display names; the first name a run got stays."""
         t = self.table("names")
-        return t.groupBy("run_id").agg(F.min_by("display_name", "seg").alias("display_name"))
+        return t.groupBy("run_id").agg(F.min_by("display_name", F.struct("seq", "seg")).alias("display_name"))
 
     def configs(self) -> DataFrame:
         """Each run's configuration as of the last pass that read it."""
         t = self.table("configs")
-        newest = t.groupBy("run_id").agg(F.max("seg").alias("seg"))
-        return t.join(newest, ["run_id", "seg"]).filter(F.col("key").isNotNull()).drop("seg")
+        newest = t.groupBy("run_id").agg(F.max(F.struct(F.coalesce("seq", F.lit(0)), "seg"))["seg"].alias("seg"))
+        return t.join(newest, ["run_id", "seg"]).filter(F.col("key").isNotNull()).select("run_id", "key", "value")
 
     def files(self, without: int | None = None) -> DataFrame:
         """How far each event file has been read."""
@@ -113,7 +149,7 @@ class Store:
         """
         if exact:
             return stats.tag_stats(latest(select.restrict(self.table("scalars"), runs)))
-        return stats.fold_stats(select.restrict(self.table("tag_stats"), runs), order=["seg"])
+        return stats.fold_stats(select.restrict(self.table("tag_stats"), runs), order=["seq", "seg"])
 
     # -- reads --------------------------------------------------------------------
 
@@ -124,8 +160,9 @@ class Store:
         return self.table("files").select("run_id").distinct().orderBy("run_id")
 
     def list_runs(self) -> DataFrame:
-        text_tags = self.table("texts").select("run_id", "tag")
-        return run_summary(self.tag_stats(), stats.files_per_run(self.files()), text_tags, self.configs(), self.names())
+        now = self.snapshot()
+        text_tags = now.table("texts").select("run_id", "tag")
+        return run_summary(now.tag_stats(), stats.files_per_run(now.files()), text_tags, now.configs(), now.names())
 
     def tag_names(self, runs: Sequence[str] | None = None) -> DataFrame:
         return select.tag_names(self.table("tag_stats"), runs)
@@ -134,11 +171,13 @@ class Store:
         return stats.step_extent(stats.run_totals(self.tag_stats(runs)))
 
     def get_series(self, runs, tags, max_points: int = 1500) -> series_plans.SeriesResult:
+        now = self.snapshot()
         return series_plans.get_series(
-            self.table("scalars"), runs, tags, max_points, self.names(), deduplicated=self._single_segment())
+            now.table("scalars"), runs, tags, max_points, now.names(), deduplicated=now._single_segment())
 
     def series_view(self, runs=None, tags=None, **options) -> series_plans.View:
-        return series_plans.series_view(self.table("scalars"), runs, tags, names=self.names(), **options)
+        now = self.snapshot()
+        return series_plans.series_view(now.table("scalars"), runs, tags, names=now.names(), **options)
 
     def texts(self, runs=None) -> DataFrame:
         return texts.collapse(select.restrict(self.table("texts"), runs))
@@ -147,7 +186,8 @@ class Store:
         return select.restrict(self.table("texts"), runs).select("run_id", "tag").distinct()
 
     def text_index(self, runs=None) -> DataFrame:
-        return texts.text_index(self.texts(runs), self.names())
+        now = self.snapshot()
+        return texts.text_index(now.texts(runs), now.names())
 
     def get_text(self, run_id: str, tag: str, i: int) -> str | None:
         wanted = self.spark.createDataFrame([(run_id, tag, i)], "run_id string, tag string, i long")
@@ -172,24 +212,49 @@ class Store:
         return self.spark.read.parquet(at)
 
     def _next_generation(self, change) -> int:
-        old = self.generation()
-        new = old + 1
+        old = self.snapshot()
+        fixed = old.finished()
+        merged = old.snapshot(fixed)
+        new = old.generation() + 1
         at = {n: self.path(n, COMPACTED, new) for n in TABLES}
-        write_segment(latest(change("scalars", self.table("scalars"))), at["scalars"], "scalars")
+        seq = merged.next_seq() - 1
+        write_segment(latest(change("scalars", merged.table("scalars"))), at["scalars"], "scalars")
         points = self._read(at["scalars"], S.SCALARS)
-        write_segment(stats.tag_stats(points), at["tag_stats"], "tag_stats")
-        once = change("texts", self.table("texts")).drop("seg").dropDuplicates(["run_id", "tag", "step", "src", "rec"])
+        write_segment(stats.tag_stats(points).withColumn("seq", F.lit(seq)), at["tag_stats"], "tag_stats")
+        # Text that a backfill replaced is left out, so its mark is no longer needed.
+        once = change("texts", merged.table("texts")).drop("seg").dropDuplicates(["run_id", "tag", "step", "src", "rec"])
         write_segment(once, at["texts"], "texts")
-        write_segment(self.files(), at["files"], "files")
-        write_segment(self.configs(), at["configs"], "configs")
-        write_segment(self.names(), at["names"], "names")
+        write_segment(merged.configs().withColumn("seq", F.lit(seq)), at["configs"], "configs")
+        write_segment(merged.names().withColumn("seq", F.lit(0)), at["names"], "names")
+        write_segment(merged.files().withColumn("seq", F.lit(seq)), at["files"], "files")
+        carried = self._carry(old, new, set(fixed), change)
         row = self.spark.createDataFrame([(new,)], "generation long")
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/generations")
+        # Passes that began before the switch write to the old generation.  One that finishes even later is not
+        # known to the new generation, whose next pass over these files reads their bytes again.
+        self._carry(old, new, carried, change)
         return new
 
+    def _carry(self, old: Store, new: int, known: set[int], change) -> set[int]:
+        """Copy finished segments that are not ``known`` to generation ``new``; returns all that are known then."""
+        later = [seg for seg in old.finished() if seg not in known]
+        for seg in later:
+            one = old.snapshot([seg])
+            for name in TABLES:
+                df = one._stored(name)
+                if name in BY_RUN:
+                    df = change(name, df)
+                    df = latest(df) if name == "scalars" else df
+                elif name == "tag_stats":
+                    points = self._read(self.path("scalars", seg, new), S.SCALARS)
+                    df = stats.tag_stats(points).withColumn("seq", F.lit(one.next_seq() - 1))
+                write_segment(df, self.path(name, seg, new), name)
+        return known | set(later)
+
     def clone_run(self, run_id: str, copies: int, prefix: str, seg: int) -> None:
         """Numbered copies of a run, as one new segment (for scale tests)."""
-        one = {n: self.table(n).filter(F.col("run_id") == run_id).drop("seg") for n in TABLES}
+        seq = self.next_seq()
+        one = {n: self.table(n).filter(F.col("run_id") == run_id).drop("seg") for n in TABLES if n != "backfills"}
         one["scalars"] = latest(one["scalars"])
         one["tag_stats"] = self.tag_stats([run_id])
         one["names"] = reshape.fan_out_names(self.names().filter(F.col("run_id") == run_id), copies, prefix)
@@ -197,6 +262,7 @@ class Store:
         one["configs"] = self.configs().filter(F.col("run_id") == run_id)
         for name, df in one.items():
             out = df if name == "names" else reshape.fan_out(df, copies, prefix)
+            out = out.withColumn("seq", F.lit(seq)) if "seq" in TABLES[name].names else out
             write_segment(out, self.path(name, seg), name)
 
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 import logging
 import time
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +69,7 @@ class Ingest:
         """Ingest what a listing adds, as segment ``seg``; False if there is nothing new."""
         store = self.store
         gen = store.generation()
+        seq = F.lit(store.next_seq(without=seg)).cast("long")
         at = {n: store.path(n, seg, gen) for n in ("scalars", "texts", "tag_stats", "files", "configs", "names")}
         work = f"{store.root}/work/seg={seg}"
 
@@ -88,22 +88,22 @@ class Ingest:
                       at["scalars"], "scalars")
         texts = rows.filter("kind = 'text'").withColumns(
             {"digest": text_digest(F.col("text")), "chars": F.char_length("text")})
-        write_segment(texts, at["texts"], "texts")
+        write_segment(texts.withColumn("seq", seq), at["texts"], "texts")
         points = store._read(at["scalars"], S.SCALARS)
-        write_segment(stats.tag_stats(points), at["tag_stats"], "tag_stats")
+        write_segment(stats.tag_stats(points).withColumn("seq", seq), at["tag_stats"], "tag_stats")
 
         touched = plan.select("run_id").distinct()
         flat = eventfiles.run_of_flat_folder(self.runs_dir) if self._is_flat() else None
         configs = read_configs(self.spark, self.runs_dir, flat)
         # A run without configuration gets one empty row: its older one is void.
-        write_segment(touched.join(configs, "run_id", "left"), at["configs"], "configs")
-        write_segment(self._new_names(touched, configs, seg), at["names"], "names")
+        write_segment(touched.join(configs, "run_id", "left").withColumn("seq", seq), at["configs"], "configs")
+        write_segment(self._new_names(touched, configs, seg).withColumn("seq", seq), at["names"], "names")
 
         ends = rows.filter("kind = 'end'").groupBy("run_id", F.col("src").alias("relkey")).agg(
             F.max("offset").alias("consumed"), F.max("rec").alias("records"))
         files = plan.join(ends, ["run_id", "relkey"], "left").withColumns({
             "consumed": F.coalesce("consumed", "start"), "records": F.coalesce("records", "first_rec")})
-        write_segment(files, at["files"], "files")
+        write_segment(files.withColumn("seq", seq), at["files"], "files")
         self._discard(work)
         return True
 
@@ -160,20 +160,26 @@ class Ingest:
     def refresh(self, runs: list[str]) -> DataFrame:
         """Bring the given runs up to date now, with text of runs that have none.
 
-        Every run is tried; the result has one row per run with its new points and
-        an error, if any.  Segments of refreshes are odd, those of the stream even.
+        One pass reads all of them; only if it fails, each run is tried by itself, so that one bad run
+        does not hold up the others.  The result has one row per run with its new points and an
+        error, if any.  Segments of refreshes are odd, those of the stream even.
         """
-        out = []
-        for run in runs:
-            seg, error = _odd_segment(), None
-            try:
-                wrote = self.write(eventfiles.list_event_files(self.spark, self.runs_dir, [run]), seg)
-                self.backfill_texts([run])
-                new = self.report(seg).agg(F.sum("new_rows")).first()[0] if wrote else 0
-            except Exception as ex:
-                new, error = 0, str(ex).split("\n")[0]
-            out.append((run, int(new or 0), error))
-        return self.spark.createDataFrame(out, "run_id string, new_rows long, error string")
+        schema = "run_id string, new_rows long, error string"
+        try:
+            seg = _odd_segment()
+            wrote = self.write(eventfiles.list_event_files(self.spark, self.runs_dir, runs), seg)
+            self.backfill_texts(runs)
+        except Exception as ex:
+            if len(runs) > 1:
+                out = self.refresh(runs[:1])
+                for run in runs[1:]:
+                    out = out.union(self.refresh([run]))
+                return out
+            return self.spark.createDataFrame([(r, 0, str(ex).split("\n")[0]) for r in runs], schema)
+        asked = self.spark.createDataFrame([(r,) for r in runs], "run_id string")
+        new = self.report(seg if wrote else -1).select("run_id", "new_rows")
+        return asked.join(new, "run_id", "left").select(
+            "run_id", F.coalesce("new_rows", F.lit(0)).alias("new_rows"), F.lit(None).cast("string").alias("error"))
 
     def backfill_texts(self, runs: list[str] | None = None, force: bool = False, full: bool = True) -> DataFrame:
         """Read the text of ingested runs again, without touching scalars.
@@ -182,39 +188,27 @@ class Ingest:
         replaces all text of these runs; with ``full=False`` only the head of each file is read,
         and nothing is replaced.  Returns the number of entries per run.
         """
-        store = self.store
+        store = self.store.snapshot()
         files = eventfiles.list_event_files(self.spark, self.runs_dir, runs)
         files = files.join(store.table("files").select("run_id").distinct(), "run_id", "left_semi")
         if not force:
             files = files.join(store.text_tags(), "run_id", "left_anti")
-        seg = _odd_segment()
+        seg, seq = _odd_segment(), F.lit(store.next_seq()).cast("long")
         work = f"{store.root}/work/seg={seg}"
         files.write.mode("overwrite").parquet(f"{work}/plan")
         files = self.spark.read.parquet(f"{work}/plan")
         found = eventfiles.read_events(files, "text") if full else eventfiles.read_head_texts(files)
-        found = found.withColumns({"digest": text_digest(F.col("text")), "chars": F.char_length("text")})
+        found = found.withColumns({"digest": text_digest(F.col("text")), "chars": F.char_length("text"), "seq": seq})
         found.drop("kind").write.mode("overwrite").parquet(f"{work}/texts")
         found = self.spark.read.parquet(f"{work}/texts")
         write_segment(found, store.path("texts", seg), "texts")
-        if force and full:
-            self._drop_texts(files.select("run_id").distinct(), seg)
+        # The mark comes last: from here on readers skip the older text, which compaction removes.
+        marks = files.select("run_id").distinct().withColumns({"replaces": F.lit(force and full), "seq": seq})
+        write_segment(marks, store.path("backfills", seg), "backfills")
         self._discard(work)
         new = store.table("texts").filter(F.col("seg") == seg).select("run_id").distinct()
         return store.texts().join(new, "run_id", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("entries"))
 
-    def _drop_texts(self, runs: DataFrame, keep: int) -> None:
-        """Delete the partitions of runs from the text segments other than ``keep``.
-
-        Metadata only: (segment, run) folders are found from partition columns.
-        """
-        filesystem, base = eventfiles._filesystem(self.store.path("texts"))
-        old = self.store.table("texts").filter(F.col("seg") != keep)
-        old = old.select("seg", "run_id", F.col("_metadata.file_path").alias("f")).groupBy("seg", "run_id").agg(
-            F.min("f").alias("f"))
-        for r in old.join(runs, "run_id", "left_semi").toLocalIterator():
-            folder = unquote(r.f.rsplit("/", 2)[1])
-            filesystem.delete_dir(f"{base}/seg={r.seg}/{folder}")
-
     # -- progress -------------------------------------------------------------------
 
     def report(self, seg: int) -> DataFrame:

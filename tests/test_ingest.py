@@ -213,3 +213,43 @@ def test_pruning(spark, ingest):
     index = ingest.store.text_index()._jdf.queryExecution().optimizedPlan().toString()
     scan = ingest.store.text_index()._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in scan and "text:string" not in scan and index
+
+
+def test_newest_pass_counts(spark, tmp_path):
+    """A pass after a refresh is newer than it, whatever the numbers of their segments."""
+    root = str(tmp_path / "runs")
+    job = Ingest(Store(spark, str(tmp_path / "s")), root)
+    for seed, how in ((1, "pass"), (2, "refresh"), (3, "pass")):
+        w.write(f"{root}/r/events.out.tfevents.1", ev(5, 10.0 * seed), append=seed > 1)
+        with open(f"{root}/r/config.yaml", "w") as f:
+            f.write(f"seed: {seed}\n")
+        if how == "refresh":
+            assert [(r.new_rows, r.error) for r in job.refresh(["r"]).collect()] == [(1, None)]
+        else:
+            assert job.write(ef.list_event_files(spark, root), 2 * seed)
+    assert [r.value for r in job.store.configs().collect()] == ["3"]
+    assert [r.last_value for r in job.store.tag_stats().collect()] == [30.0]
+
+
+def test_pass_during_compaction(spark, tmp_path, monkeypatch):
+    """What a pass writes between the copies of two tables is in the new generation, points and positions alike."""
+    from scalarlake.sources import store as module
+
+    root = str(tmp_path / "runs")
+    w.write(f"{root}/r/events.out.tfevents.1", ev(0, 1.0))
+    job = Ingest(Store(spark, str(tmp_path / "s")), root)
+    job.write(ef.list_event_files(spark, root), 0)
+    write, calls = module.write_segment, []
+
+    def interrupted(df, path, table):
+        write(df, path, table)
+        calls.append(table)
+        if calls == ["scalars"]:
+            w.write(f"{root}/r/events.out.tfevents.1", ev(1, 2.0), append=True)
+            assert job.write(ef.list_event_files(spark, root), 2)
+
+    monkeypatch.setattr(module, "write_segment", interrupted)
+    job.store.compact()
+    assert points(job.store) == [("r", "loss", 0, 1.0), ("r", "loss", 1, 2.0)]
+    assert not job.write(ef.list_event_files(spark, root), 4)
+    assert [r["count"] for r in job.store.tag_stats().collect()] == [2]
