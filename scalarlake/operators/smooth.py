@@ -91,6 +91,24 @@ def _composer(weight: float, order: str):
     return compose
 
 
+def _scan(v: np.ndarray, first: np.ndarray, weight: float, state: np.ndarray) -> np.ndarray:
+    """States after each finite value of stretches that start where ``first``, from one state per stretch.
+
+    Doubling: with d = 1, 2, 4, ... each entry takes in w^d times the entry d places before it, which by then
+    sums up d values; entries of other stretches do not count, and w^d soon is nothing.
+    """
+    a = (1 - weight) * v
+    starts = np.flatnonzero(first)
+    a[starts] += weight * state
+    place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    d, power = 1, weight
+    while d < len(a) and power > 1e-18:
+        more = np.where(place[d:] >= d, a[:-d], 0.0)
+        a[d:] += power * more
+        d, power = 2 * d, power * power
+    return a
+
+
 def _scanner(weight: float, value: str, out: str, names: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = None
@@ -99,24 +117,30 @@ def _scanner(weight: float, value: str, out: str, names: list[str]):
             if not batch.num_rows:
                 continue
             key = ("run_id", "tag", "_blk")
-            new = np.diff(stretch_numbers(batch, *key), prepend=0).astype(bool)
+            stretch = stretch_numbers(batch, *key)
             ends = [[batch.column(c)[i].as_py() for c in key] for i in (0, batch.num_rows - 1)]
-            new[0] = ends[0] != last_key
+            starts = np.flatnonzero(np.diff(stretch, prepend=-1))
+            states = batch.column("_s").to_numpy(zero_copy_only=False)[starts].astype(np.float64)
+            counts = batch.column("_m").to_numpy(zero_copy_only=False)[starts].astype(np.int64)
+            if ends[0] == last_key:  # goes on from the batch before
+                states[0], counts[0] = state, seen
             last_key = ends[1]
             v = batch.column(value).to_numpy(zero_copy_only=False).astype(np.float64)
             good = np.isfinite(v)
-            res = [0.0] * len(v)
-            starts = iter(zip(
-                batch.column("_s").to_numpy(zero_copy_only=False)[new].tolist(),
-                batch.column("_m").to_numpy(zero_copy_only=False)[new].tolist()))
-            for i, (x, ok, start) in enumerate(zip(v.tolist(), good.tolist(), new.tolist())):
-                if start:
-                    state, seen = next(starts)
-                if ok:
-                    state = state * weight + (1 - weight) * x
-                    seen += 1
-                    res[i] = state / (1 - weight**seen)
-            smoothed = pa.array(np.array(res), mask=~good)
+            res = np.zeros(len(v))
+            mine = stretch[good]
+            if len(mine):
+                first = np.diff(mine, prepend=-1) != 0
+                after = _scan(v[good], first, weight, states[mine[first]])
+                begin = np.flatnonzero(first)
+                place = np.arange(len(mine)) - np.repeat(begin, np.diff(np.append(begin, len(mine))))
+                nth = counts[mine] + place + 1
+                res[good] = after / (1 - weight ** nth.astype(np.float64))
+            if len(mine) and mine[-1] == stretch[-1]:
+                state, seen = after[-1], nth[-1]
+            else:
+                state, seen = states[-1], counts[-1]
+            smoothed = pa.array(res, mask=~good)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), smoothed], names=[*names, out])
 
     return scan

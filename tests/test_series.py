@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,26 @@ def test_plan_has_no_whole_series_window(spark):
     for line in text.splitlines():
         if "Window [row_number()" in line:
             assert "_blk" in line
+
+
+def test_ema_scan_over_batches():
+    """Stretches that go on over batches, with gaps and incoming states, as the recurrence has them."""
+    rng = np.random.default_rng(3)
+    n = 400
+    tag = np.sort(rng.integers(0, 6, n))
+    v = np.where(rng.random(n) < 0.15, np.nan, rng.normal(size=n) * 100)
+    s, m = tag * 1.5, tag * 2
+    table = pa.table({"run_id": ["r"] * n, "tag": [str(t) for t in tag], "_blk": np.zeros(n, np.int64), "value": v, "_s": s, "_m": m})
+    for weight in (0.0, 0.6, 0.99):
+        want, state, seen = [], 0.0, 0
+        for i in range(n):
+            if i == 0 or tag[i] != tag[i - 1]:
+                state, seen = s[i], m[i]
+            if np.isfinite(v[i]):
+                state, seen = state * weight + (1 - weight) * v[i], seen + 1
+            want.append(state / (1 - weight ** seen) if np.isfinite(v[i]) else None)
+        for size in (1, 7, n):
+            out = smooth._scanner(weight, "value", "smooth", ["run_id", "tag", "value"])(iter(table.to_batches(max_chunksize=size)))
+            got = [x for b in out for x in b.column(3).to_pylist()]
+            assert [x is None for x in got] == [x is None for x in want]
+            assert np.allclose([x for x in got if x is not None], [x for x in want if x is not None], rtol=1e-11)

@@ -478,6 +478,9 @@ def ingest_retag_compact(spark, sf):
         part = latest(d.filter(F.col("rec") % 4 < 3) if seg else d.filter(F.col("rec") % 4 > 1))
         write_segment(part, store.path("scalars", seg), "scalars")
         write_segment(stats.tag_stats(part), store.path("tag_stats", seg), "tag_stats")
+        read = part.select("run_id").distinct().withColumns({
+            "relkey": F.lit(f"part-{seg}"), "size": F.lit(0), "mtime": F.lit(0.0), "consumed": F.lit(0), "records": F.lit(0)})
+        write_segment(read, store.path("files", seg), "files")  # last: the segment is finished
     store.retag()
     s = store.tag_stats()
     return s.select(*SERIES, "count", "min_step", "max_step", r6("last_value"))
