@@ -20,7 +20,67 @@ select page_id, payload_bytes, sha256(html) payload_digest,
 from g
 """
 
+#: Operator 1: windows of item words by length, joined with the document windows of the same lengths.
+OP1 = r"""
+with d as (select row_number() over () row_id, doc_id, regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') words from documents),
+i as (select item_id, regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') words from benchmark),
+starts as (select item_id, words, least(10, len(words)) width, unnest(range(1, len(words) - least(10, len(words)) + 2)) pos
+        from i where len(words) > 0),
+wanted as (select distinct item_id, width, array_to_string(words[pos:pos + width - 1], ' ') passage from starts),
+places as (select row_id, words, width, unnest(range(1, len(words) - width + 2)) pos
+        from d, (select distinct width from wanted) where len(words) >= width),
+seen as (select row_id, width, pos, array_to_string(words[pos:pos + width - 1], ' ') passage from places),
+found as (select row_id, item_id, width, pos from seen join wanted using (width, passage)),
+hits as (select row_id, count(distinct place) n_hit
+        from (select row_id, unnest(range(pos, pos + width)) place from (select distinct row_id, pos, width from found)) group by row_id),
+items as (select row_id, count(*) n_items, string_agg(item, ',' order by item) list
+        from (select distinct row_id, item_id::varchar item from found where item_id is not null) group by row_id)
+select doc_id, coalesce(len(words), 0)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+       sha256(coalesce(list, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hits using (row_id) left join items using (row_id)
+"""
+
+#: Operator 6: shared shingles of every pair of different sets, and the smallest id reached over links.
+OP6 = r"""
+with recursive w as (select row_number() over () row_id, doc_id, regexp_extract_all(translate(text,
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') words from documents),
+s as (select row_id, doc_id, case when coalesce(len(words), 0) = 0 then []::varchar[] else list_sort(list_distinct(list_transform(
+        range(1, greatest(1, len(words) - 2) + 1), lambda k: array_to_string(words[k:least(k + 2, len(words))], ' ')))) end shingles from w),
+sets as materialized (select row_number() over () node, shingles, len(shingles) n, min(doc_id) first_id
+        from s where len(shingles) > 0 group by shingles),
+parts as materialized (select node, n, unnest(shingles) shingle from sets),
+links as materialized (select a.node u, b.node v from parts a join parts b
+        on a.shingle = b.shingle and a.node < b.node and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+        group by a.node, b.node, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+pairs as materialized (select u, v from links union all select v, u from links),
+reach(node, other) as (select node, node from sets union select reach.node, pairs.v from reach join pairs on reach.other = pairs.u),
+least_id as (select reach.node, min(first_id) component from reach join sets on reach.other = sets.node group by reach.node)
+select doc_id, len(s.shingles)::bigint n_shingles, coalesce(component, doc_id) component_id,
+       doc_id is not distinct from coalesce(component, doc_id) kept
+from s left join sets on s.shingles = sets.shingles left join least_id using (node)
+"""
+
+#: Operator 9: every window of 50 words by its text; those that start in a document of a smaller id cover their words.
+OP9 = r"""
+with d as (select row_number() over () row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) words from documents),
+starts as (select row_id, doc_id, words, unnest(range(1, len(words) - 48)) pos from d where len(words) >= 50),
+windows as materialized (select row_id, doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) passage from starts),
+firsts as (select passage, min(doc_id) first_id from windows group by passage),
+covered as (select distinct row_id, unnest(range(pos, pos + 50)) place
+        from windows join firsts using (passage) where first_id < doc_id),
+kept as (select row_id, string_agg(word, ' ' order by place) text, count(*) n
+        from (select row_id, unnest(words) word, unnest(range(1, len(words) + 1)) place from d)
+        anti join covered using (row_id, place) group by row_id)
+select doc_id, len(words)::bigint n_words, (len(words) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(kept.text, '')) kept_sha256
+from d left join kept using (row_id)
+"""
+
 ORACLE = {
+    "op1_decontamination": OP1,
     "op4_warc": OP4,
+    "op6_minhash": OP6,
+    "op9_substring_dedup": OP9,
     "op10_exact_dedup": OP10,
 }
