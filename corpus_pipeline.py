@@ -17,9 +17,12 @@ from scalarlake.llm.queries import mixed, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.7 or more; others go."""
-    scored = quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    """Documents that the classifier scores at 0.7 or more; others go.  Null and empty texts are scored like any."""
+    names = ["doc_id", "text"]
+    # The other columns travel as one, so that none is taken for a result of the classifier.
+    others = F.struct(*[F.col(f"`{n}`") for n in docs.columns if n not in names]).alias("others")
+    kept = quality(docs.select(*names, others), table(spark, sf_dir, "labels")).where("predicted = 1")
+    return kept.select(*[F.col(n) if n in names else F.col(f"others.`{n}`").alias(n) for n in docs.columns])
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -35,9 +38,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    groups = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(groups.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows that repeat the smallest id of a group all stay.  Texts without words are in no group and stay.
+    """
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct().alias("kept")
+    return docs.alias("docs").join(kept, F.col("docs.doc_id").eqNullSafe(F.col("kept.doc_id")), "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +54,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often (epochs) and how many words (taken).
 
-    Rows that repeat id, source and size are taken alike.
+    Rows that repeat id, source and size are taken alike.  Columns of docs named like those of the mix are replaced.
     """
-    mix = mixed(spark, sf_dir, docs).where("epochs > 0").dropDuplicates(["doc_id", "source", "size"])
-    mix = mix.withColumnsRenamed({"doc_id": "_id", "source": "_source"})
-    alike = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (count_words(F.col("text")) == F.col("size"))
-    return docs.drop("size", "source_size", "target", "epochs", "taken").join(mix, alike).drop("_id", "_source")
+    added = ["size", "source_size", "target", "epochs", "taken"]
+    mix = mixed(spark, sf_dir, docs).where("epochs > 0").dropDuplicates(["doc_id", "source", "size"]).alias("mix")
+    rows = docs.drop(*added).alias("docs")
+    alike = (F.col("docs.doc_id").eqNullSafe(F.col("mix.doc_id")) & F.col("docs.source").eqNullSafe(F.col("mix.source"))
+             & (count_words(F.col("docs.text")) == F.col("mix.size")))
+    return rows.join(mix, alike).select("docs.*", *[f"mix.{n}" for n in added])
 
 
 STAGES = [

@@ -56,6 +56,11 @@ def drop(kept: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns named by position: mapInArrow takes names with dots for fields of structs."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def count_words(text):
     """Number of words [^\\x20\\x09-\\x0D]+ of a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

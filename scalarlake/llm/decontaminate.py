@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import binary, keep, pieces
+from scalarlake.llm.common import binary, keep, numbered, pieces
 
 #: Every ASCII byte but digits and letters ends a word; A-Z become a-z; bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -221,16 +221,16 @@ def match(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "
     """
     blocks = automata(items, window, block_words=block_words)
     out = docs.drop("n_words", "spans", "items")
-    schema = out.schema
-    out = out.withColumns({"n_words": F.lit(0).cast("long"),
+    names = out.columns
+    out = numbered(out).withColumns({"n_words": F.lit(0).cast("long"),
                            "spans": F.lit(None).cast("array<struct<start: long, end: long>>"),
                            "items": F.lit(None).cast("array<string>")})
     if not blocks:
         blocks = [docs.sparkSession.sparkContext.broadcast(Automaton([], window))]
-    at = schema.fieldNames().index(text_col)
+    at = names.index(text_col)
     for k, block in enumerate(blocks):
         out = (keep(out, "match") if k else out).mapInArrow(_matcher(block, at), out.schema)
-    return out
+    return out.toDF(*names, "n_words", "spans", "items")
 
 
 def _matcher(block, at: int):
@@ -274,11 +274,11 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, most_cover
     none.  Texts without a match stay as they are, null and empty ones included; columns stay as they are.
     """
     blocks = automata(items, window, block_words=block_words)
-    names = docs.columns
+    names, docs = docs.columns, numbered(docs)
     for k, block in enumerate(blocks):
         docs = (keep(docs, "decontaminate") if k else docs).mapInArrow(
             _remover(block, names.index(text_col), most_coverage), docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import Words, binary, blocks, keep, pieces
+from scalarlake.llm.common import Words, binary, blocks, keep, numbered, pieces
 from scalarlake.llm.linking import connected, linked
 
 #: Fingerprints may differ in so many of their 64 bits.
@@ -291,12 +291,28 @@ def dedup_report(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
+def _without(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Rows without their last column, the positions of lines that go; text without these; rows of which only blanks are left go."""
+    for batch in pieces(batches):
+        texts, stay = [], []
+        for text, removed in zip(binary(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist()):
+            if removed:
+                gone = set(removed)
+                text = b"\n".join(x for k, x in enumerate(text.split(b"\n")) if k not in gone)
+            texts.append(text)
+            stay.append(not removed or bool(text.strip()))
+        columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+        fields = [pa.field(f.name, c.type) for f, c in zip(batch.schema, columns)]
+        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)).filter(pa.array(stay, pa.bool_()))
+
+
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs without repeated lines; a document that had lines and keeps none but blank ones goes.  Columns stay."""
-    names = docs.columns
-    lost = removed_lines(docs, **options).select(F.col("doc_id").alias("_i"), F.col("version").alias("_v"), F.col("removed").alias("_r"))
-    out = docs.join(lost, docs.doc_id.eqNullSafe(F.col("_i")) & (F.unhex(F.md5(docs.text)) == F.col("_v")), "left")
-    places = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_r", i))
-    text = F.when(F.col("_r").isNull(), F.col("text")).otherwise(F.array_join(places, "\n"))
-    out = out.withColumn("text", text).where(F.col("_r").isNull() | F.col("text").rlike(r"\S"))
-    return out.select(*names)
+    """docs without repeated lines; a document that loses lines and keeps none but blank ones goes.
+
+    Columns stay as they are, whatever their names; so do rows that lose nothing, null and empty texts included.
+    """
+    at = docs.columns.index("text")
+    lost, rows = removed_lines(docs, **options).alias("lost"), docs.alias("docs")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("lost.doc_id")) & (F.unhex(F.md5(F.col("docs.text"))) == F.col("lost.version"))
+    joined = numbered(rows.join(lost, same, "left").select("docs.*", "lost.removed"))
+    return joined.mapInArrow(lambda batches: _without(batches, at), numbered(docs).schema).toDF(*docs.columns)
