@@ -29,13 +29,21 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended "
     "related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Compounds of them that do; other compounds (no-sidebar, comments-open) say something about the element that has them.
+COMPOUNDS = frozenset(
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad breadcrumb-nav comment-list comment-respond comments-area "
+    "comments-section cookie-banner cookie-bar cookie-consent cookie-notice footer-nav main-menu main-nav nav-bar nav-menu newsletter-signup "
+    "page-footer page-sidebar popup-overlay related-articles related-links related-posts right-sidebar left-sidebar share-bar share-buttons "
+    "share-links sidebar-left sidebar-right site-footer site-header site-nav site-navigation skip-link social-links social-media "
+    "social-share sponsored-content top-bar top-nav widget-area".split())
+#: Marks that inside an article are part of it.
+HEADS = frozenset(("header", "masthead"))
 #: These never are what surrounds an article, whatever their class says.
 ARTICLE = frozenset(("article", "main", "body", "html"))
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_attribute = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_hidden = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_word = re.compile(r"[a-z]+")
+_attribute = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+_display = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]*)", re.I)
 _space = re.compile(r"\s+")
 
 #: Lines in a window, and the text a window must hold to be part of the article.
@@ -44,26 +52,48 @@ WINDOW, SURGE = 3, 80
 INSIDE = 1 << 20
 
 
-def _surrounds(name: str, attributes: str) -> bool:
+def _surrounds(name: str, attributes: str, inside: bool) -> bool:
     if name in ASIDE:
         return True
     if name in ARTICLE or not attributes:
         return False
-    if _hidden.search(attributes):
+    found: dict[str, str] = {}
+    for m in _attribute.finditer(attributes):  # of a repeated attribute the first counts
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").strip().lower())
+    if found.get("hidden", "until-found") != "until-found" or found.get("aria-hidden") == "true":
         return True
-    return any(w in MARKS for m in _attribute.finditer(attributes) for w in _word.findall((m[1] or m[2] or m[3] or "").lower()))
+    if (shown := _display.findall(found.get("style", ""))) and shown[-1].lower() == "none":
+        return True
+    tokens = {t for k in ("class", "id", "role") for t in found.get(k, "").split()}
+    marks = tokens & MARKS - HEADS if inside else tokens & MARKS
+    return bool(marks) or any(t.replace("_", "-") in COMPOUNDS for t in tokens)
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """Line blocks of a page after stripping markup: text, letters in links, and whether inside <article> or <main>.
 
-    Blocks that belong to the surroundings (menus, adverts, forms ...) are left out.
+    Blocks that belong to the surroundings (menus, adverts, forms ...) are left out.  What holds the only article is
+    none of these: if no line inside <article> or <main> is left, and one that is hidden has more text than all that is
+    left, the elements that hide it are read as plain ones.
+    """
+    out, wrapped = _scan(page, frozenset())
+    if wrapped and not any(inside for _, _, inside in out):
+        size, wrappers = max(wrapped, key=lambda x: x[0])
+        if size > sum(len(text) for text, _, _ in out):
+            out, _ = _scan(page, wrappers)
+    return out
+
+
+def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]], list[tuple[int, frozenset[int]]]]:
+    """Lines of lines_of(), and per hidden <article> or <main> the size of its text and the start tags that hide it.
+
+    plain: places of start tags that hide nothing.
     """
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, whether it hides what it holds
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, whether it hides what it holds, place of its tag
+    wrapped: dict[int, tuple[int, frozenset[int]]] = {}
     hidden = link = inside = linked = 0
-    tail = any_article = False
 
     def flush() -> None:
         nonlocal linked
@@ -81,6 +111,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             parts.append(text)
             if link:
                 linked += len(text.strip())
+        elif text and inside and (size := len(text.strip())):
+            for _, _, place in stack:
+                if place in wrapped:
+                    wrapped[place] = (wrapped[place][0] + size, wrapped[place][1])
         if not m:
             break
         at = m.end()
@@ -92,7 +126,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for closed, hides in stack[k:]:
+                    for closed, hides, _ in stack[k:]:
                         hidden -= hides
                         link -= closed == "a"
                         inside -= closed in ("article", "main")
@@ -117,13 +151,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     break
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        hides = name in HIDDEN or (name == "header" and not inside) or _surrounds(name, m[3])
-        stack.append((name, hides))
+        hides = name in HIDDEN or (name == "header" and not inside) or _surrounds(name, m[3], inside > 0)
+        hides = hides and m.start() not in plain
+        if hidden and name in ("article", "main"):
+            wrapped[m.start()] = (0, frozenset(place for _, hiding, place in stack if hiding))
+        stack.append((name, hides, m.start()))
         hidden += hides
         link += name == "a"
         inside += name in ("article", "main")
     flush()
-    return out
+    return out, list(wrapped.values())
 
 
 def main_text(page: str | None) -> str:

@@ -164,6 +164,28 @@ def test_html():
     assert main_text("<p>short") == "short"
 
 
+def test_html_marks():
+    """Attributes are read by name and marks are whole tokens; what holds the article is not hidden."""
+    body = f"<p>{'word ' * 30}end</p>"
+    for shown in ('style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', "class=no-sidebar", "class='page has-sidebar'",
+                  'class="comments-open"', "data-hidden=1", 'title="hidden display:none"', "style='display:none;display:block'"):
+        assert main_text(f"<div {shown}>{body}</div>").endswith("end"), shown
+        assert main_text(f"<article><div {shown}>{body}</div></article>").endswith("end"), shown
+        assert main_text(f"<div {shown}><article>{body}</article></div>").endswith("end"), shown
+    for gone in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "style='color:red; display : none !important'", "class='x sidebar'", "id=comments",
+                 "class=ad-banner", "class=site_footer", "role=navigation"):
+        assert main_text(f"<article><p>kept</p><div {gone}>{body}</div></article>") == "kept", gone
+    for head in ("<header class='entry-header'>", "<header class=header>", "<div class='article-header'>", "<div class=header>"):
+        assert main_text(f"<article>{head}<h1>Headline</h1></{head[1:].split()[0]}>{body}</article>").startswith("Headline"), head
+    for wrapper in ("div class=sidebar", "form", "div hidden", "section id=comments"):
+        name = wrapper.split()[0]
+        assert main_text(f"<{wrapper}><nav>menu</nav><article>{body}<div class=ad>Buy</div></article></{name}>") == "word " * 30 + "end"
+    cards = f"<article>{body}</article><aside><article>{body.replace('end', 'card')}{body}</article></aside>"
+    assert main_text(cards).count("end") == 1 and "card" not in main_text(cards)
+    thread = f"<div>{body}{body}</div><section id=comments><article>{'reader ' * 20}</article></section>"
+    assert "reader" not in main_text(thread)
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 2), (None, None, None, 3)], "page_id bigint, url string, html string, text int")
     assert sorted(extract(pages).collect(), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=repr)
