@@ -21,6 +21,25 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead "
     "title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Start tags that end an open <p>, and elements beyond which they do not look for it.
+ENDS_P = BLOCK - frozenset("body button caption dialog html legend option tbody td tfoot th thead title tr".split()) | frozenset(
+    "dialog dir listing plaintext pre search xmp".split())
+SCOPE = frozenset("applet button caption html marquee object table td template th".split())
+_sections = frozenset("caption colgroup tbody tfoot thead".split())
+#: Start tags that end the open elements of the first set, as far as the next open element of the second.
+IMPLIED = {
+    "li": (frozenset(("li",)), BLOCK - frozenset(("address", "div", "p", "li")) | SCOPE),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), BLOCK - frozenset(("address", "div", "p", "dt", "dd")) | SCOPE)),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th", "caption", "colgroup")), frozenset(("tr", "table")))),
+    "tr": (frozenset(("tr", "td", "th", "caption", "colgroup")), frozenset(("table",))),
+    **dict.fromkeys(_sections, (_sections | frozenset(("tr", "td", "th")), frozenset(("table",)))),
+    **dict.fromkeys(("rt", "rp"), (frozenset(("rt", "rp")), frozenset(("ruby",)))),
+}
+#: Start tags that leave <head> open; any other, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content of these is raw text up to the end tag.
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -103,10 +122,32 @@ def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]]
         parts.clear()
         linked = 0
 
+    def close(start: int, end: int | None = None) -> None:
+        """End open elements, from the last one on if no end is given; the only place where elements leave the stack."""
+        nonlocal hidden, link, inside
+        for closed, hides, _ in stack[start:end]:
+            hidden -= hides
+            link -= closed == "a"
+            inside -= closed in ("article", "main")
+        del stack[start:end]
+
+    def imply(names: frozenset[str], within: frozenset[str]) -> None:
+        """End the outermost open element of these names that is nearer than any of `within`, and all that it holds."""
+        found = None
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                found = k
+            elif stack[k][0] in within:
+                break
+        if found is not None:
+            close(found)
+
     at = 0
     while True:
         m = _token.search(page, at)
         text = page[at:m.start() if m else len(page)]
+        if stack and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not hidden:
             parts.append(text)
             if link:
@@ -126,17 +167,21 @@ def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]]
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for closed, hides, _ in stack[k:]:
-                        hidden -= hides
-                        link -= closed == "a"
-                        inside -= closed in ("article", "main")
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if name in BLOCK:
             flush()
         elif name == "br":
             parts.append(" ")
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
+        if name in IMPLIED:
+            imply(*IMPLIED[name])
+        if name in ENDS_P:
+            imply(frozenset(("p",)), SCOPE)
+        if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
+            close(len(stack) - 1)
         if name in VOID:
             continue
         if name in RAW and not m[3].rstrip().endswith("/"):
@@ -146,11 +191,8 @@ def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]]
         if name == "a" and link:  # links do not nest: an unclosed one ends here
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "a":
-                    del stack[k]
-                    link -= 1
+                    close(k, k + 1)
                     break
-        if name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
         hides = name in HIDDEN or (name == "header" and not inside) or _surrounds(name, m[3], inside > 0)
         hides = hides and m.start() not in plain
         if hidden and name in ("article", "main"):

@@ -186,6 +186,19 @@ def test_html_marks():
     assert "reader" not in main_text(thread)
 
 
+def test_html_implied_ends():
+    """Elements that an end tag is left out for hide nothing of what follows."""
+    for page in ("<p class=ad>Buy<p>one<p>two", "<p class=ad>Buy<div>one</div><p>two", "<p class=ad>Buy<h2>one</h2>two", "<p class=ad><b>Buy<ul><li>one<li>two</ul>",
+                 "<ul><li class=ad>Buy<li>one<li>two</ul>", "<ul><li class=ad><p>Buy<ul><li>Sell</ul><li>one<li>two</ul>", "<dl><dt class=ad>Buy<dd>one<dt>two</dl>",
+                 "<table><tr><td class=ad>Buy<td>one<tr class=ad><td>Buy<tr><td>two</table>", "<table><tr class=ad><td>Buy<tbody><tr><th>one<td>two</table>",
+                 "<h2 class=ad>Buy<h3>one</h3>two", "<a class=ad>Buy<a>one</a><p>two", "<p class=ad>Buy<hr>one<p>two", "<head><title>t</title><body>one<p>two",
+                 "<head><meta charset=x><p>one<p>two", "<head><title>t</title>one<p>two"):
+        assert main_text(f"<article>{page}</article>" if "<head>" not in page else page).split() == ["one", "two"], page
+    # An item stays open over lists, and a paragraph over tables' cells, that it holds.
+    assert main_text("<article><ul><li class=ad>Buy<ul><li>Sell</ul>Rent</ul>one<p>two</article>").split() == ["one", "two"]
+    assert main_text("<article><table><tr class=ad><td><table><tr><td>Buy</table>Sell</table><p>one").split() == ["one"]
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 2), (None, None, None, 3)], "page_id bigint, url string, html string, text int")
     assert sorted(extract(pages).collect(), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=repr)
