@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,29 +90,38 @@ def _surrounds(name: str, attributes: str, inside: bool) -> bool:
     return bool(marks) or any(t.replace("_", "-") in COMPOUNDS for t in tokens)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Line blocks of a page after stripping markup: text, letters in links, and whether inside <article> or <main>.
+#: A block element as (depth, place of its tag, the block element around it).
+Block = tuple[int, int, "Block | None"]
+Line = tuple[str, int, bool, Block]
+ROOT: Block = (0, -1, None)
+
+
+def lines_of(page: str) -> list[Line]:
+    """Line blocks of a page after stripping markup: text, letters in links, whether inside <article> or <main>, and the
+    block element around it.
 
     Blocks that belong to the surroundings (menus, adverts, forms ...) are left out.  What holds the only article is
     none of these: if no line inside <article> or <main> is left, and one that is hidden has more text than all that is
     left, the elements that hide it are read as plain ones.
     """
     out, wrapped = _scan(page, frozenset())
-    if wrapped and not any(inside for _, _, inside in out):
+    if wrapped and not any(x[2] for x in out):
         size, wrappers = max(wrapped, key=lambda x: x[0])
-        if size > sum(len(text) for text, _, _ in out):
+        if size > sum(len(x[0]) for x in out):
             out, _ = _scan(page, wrappers)
     return out
 
 
-def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]], list[tuple[int, frozenset[int]]]]:
+def _scan(page: str, plain: frozenset[int]) -> tuple[list[Line], list[tuple[int, frozenset[int]]]]:
     """Lines of lines_of(), and per hidden <article> or <main> the size of its text and the start tags that hide it.
 
     plain: places of start tags that hide nothing.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[Line] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: name, whether it hides what it holds, place of its tag
+    opened: Counter[str] = Counter()  # how many of them have a name
+    around: list[Block] = []  # the block elements among them
     wrapped: dict[int, tuple[int, frozenset[int]]] = {}
     hidden = link = inside = linked = 0
 
@@ -118,14 +129,17 @@ def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]]
         nonlocal linked
         text = _space.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append((text, linked, inside > 0))
+            out.append((text, linked, inside > 0, around[-1] if around else ROOT))
         parts.clear()
         linked = 0
 
     def close(start: int, end: int | None = None) -> None:
         """End open elements, from the last one on if no end is given; the only place where elements leave the stack."""
         nonlocal hidden, link, inside
-        for closed, hides, _ in stack[start:end]:
+        for closed, hides, place in reversed(stack[start:end]):
+            if around and around[-1][1] == place:
+                around.pop()
+            opened[closed] -= 1
             hidden -= hides
             link -= closed == "a"
             inside -= closed in ("article", "main")
@@ -133,6 +147,8 @@ def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]]
 
     def imply(names: frozenset[str], within: frozenset[str]) -> None:
         """End the outermost open element of these names that is nearer than any of `within`, and all that it holds."""
+        if not any(opened[x] for x in names):
+            return
         found = None
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
@@ -198,6 +214,9 @@ def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]]
         if hidden and name in ("article", "main"):
             wrapped[m.start()] = (0, frozenset(place for _, hiding, place in stack if hiding))
         stack.append((name, hides, m.start()))
+        opened[name] += 1
+        if name in BLOCK:
+            around.append((len(around) + 1, m.start(), around[-1] if around else ROOT))
         hidden += hides
         link += name == "a"
         inside += name in ("article", "main")
@@ -205,37 +224,79 @@ def _scan(page: str, plain: frozenset[int]) -> tuple[list[tuple[str, int, bool]]
     return out, list(wrapped.values())
 
 
+def _common(a: Block, b: Block) -> Block:
+    """The nearest block element around both."""
+    while a[1] != b[1]:
+        if a[0] >= b[0]:
+            a = a[2]
+        else:
+            b = b[2]
+    return a
+
+
+def _joined(lines: list[Line], own: list[int], stretches: list[tuple[int, int]], best: int) -> tuple[int, int]:
+    """The stretch `best` with what belongs to it on a page that does not mark its article, as a range of lines.
+
+    The next stretch belongs to it if all lines between have text of their own, or if one of its long lines has the same
+    parent element as one of this article.  Then come the lines with text of their own before and after, as
+    far as they lie in the element that holds the long lines: headings, lists, short last paragraphs.
+    """
+    long = [n >= SURGE // 2 for n in own]
+    bare = list(accumulate((not n for n in own), initial=0))  # lines without text of their own before each line
+    parents = lambda a, b: {(lines[i][3][2] or ROOT)[1] for i in range(a, b) if long[i]}
+    start, end = stretches[best]
+    known = parents(start, end)
+    for others in (stretches[best + 1:], stretches[best - 1::-1] if best else ()):
+        for a, b in others:
+            gap = bare[a] - bare[end] if a >= end else bare[start] - bare[b]
+            if not gap or parents(a, b) & known:
+                known |= parents(a, b)
+                start, end = min(start, a), max(end, b)
+    held = [lines[i][3] for i in range(start, end) if long[i]] or [x[3] for x in lines[start:end]]
+    top = held[0]
+    for x in held[1:]:
+        top = _common(top, x)
+    if all(x[1] == top[1] for x in held):  # one element holds all long lines: look into its parent
+        top = top[2] or ROOT
+    within = lambda i: own[i] and _common(lines[i][3], top)[1] == top[1]
+    while start and within(start - 1):
+        start -= 1
+    while end < len(lines) and within(end):
+        end += 1
+    return start, end
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, blocks joined by line breaks; empty if there is none.
 
     Each line block counts its letters outside links.  Sums over WINDOW lines rise to SURGE where an
     article begins and fall below it where it ends; of the stretches between surge and dive the one with most text
-    is kept, from its first to its last line with text of its own.  Lines inside <article> or <main> always reach
+    is kept, from its first to its last line with text of its own, with the stretches and short lines that belong to
+    it, see _joined().  Lines inside <article> or <main> always reach
     the surge, so short paragraphs there are kept; pages without these elements go by the distribution alone.
     A page too short for any surge keeps all its lines.
     """
     lines = lines_of(page) if page else []
     if not lines:
         return ""
-    own = [max(0, len(text) - link) + INSIDE * inside if 2 * link < len(text) or inside else 0 for text, link, inside in lines]
+    own = [max(0, len(text) - link) + INSIDE * inside if 2 * link < len(text) or inside else 0 for text, link, inside, _ in lines]
     sums = [sum(own[i:i + WINDOW]) for i in range(len(own))]
-    best, start = (0, 0, 0), None
+    stretches, start = [], None
     for i, s in enumerate([*sums, 0]):
         if start is None and s >= SURGE and own[i]:
             start = i
         elif start is not None and (s < SURGE and (i == len(sums) or own[i] < SURGE // 2)):
-            best = max(best, (sum(own[start:i]), -start, i))
+            stretches.append((start, i))
             start = None
-    weight, start, end = best
-    if not weight:
-        return "\n".join(text for (text, _, _), n in zip(lines, own) if n)
-    start = -start
+    if not stretches:
+        return "\n".join(x[0] for x, n in zip(lines, own) if n)
+    if any(x[2] for x in lines):
+        return "\n".join(x[0] for x in lines if x[2])
+    best = max(range(len(stretches)), key=lambda k: (sum(own[slice(*stretches[k])]), -k))
+    start, end = _joined(lines, own, stretches, best)
     while not own[end - 1]:
         end -= 1
-    kept = lines[start:end]
-    if any(inside for _, _, inside in kept):
-        kept = [x for x in lines if x[2]]
-    return "\n".join(text for text, _, _ in kept)
+    return "\n".join(x[0] for x in lines[start:end])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

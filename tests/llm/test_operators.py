@@ -199,6 +199,24 @@ def test_html_implied_ends():
     assert main_text("<article><table><tr class=ad><td><table><tr><td>Buy</table>Sell</table><p>one").split() == ["one"]
 
 
+def test_html_without_article():
+    """Lists, headings and short last paragraphs do not divide an article that no element marks."""
+    long = lambda k: f"long{k} " + "word " * 30 + "end"
+    short = [f"point {k} of twenty" for k in range(3)]
+    items = "".join(f"<li>{x}</li>" for x in short)
+    menu = "<ul>" + "".join(f"<li><a href=x>menu entry {k}</a></li>" for k in range(5)) + "</ul>"
+    for a, b in (("", ""), ("<div class=body>", "</div>"), ("<table><tr><td>", "</td></tr></table>")):
+        page = f"{menu}{a}<h1>Head</h1><p>{long(0)}</p><ul>{items}</ul><h2>Part</h2><p>{long(1)}</p><p>Last words.</p>{b}{menu}"
+        assert main_text(page).split("\n") == ["Head", long(0), *short, "Part", long(1), "Last words."], a
+        page = f"{menu}{a}<p>{long(0)}</p>{menu}<p>{long(1)}</p>{b}{menu}"
+        assert {long(0), long(1)} <= set(main_text(page).split("\n")) and not main_text(page).endswith("4"), a
+    parts = f"{menu}<div><div><p>{long(0)}</p></div><ul>{items}</ul><div><p>{long(1)}</p></div></div>{menu}"
+    assert main_text(parts).split("\n") == [long(0), *short, long(1)]
+    other = f"{menu}<div><p>{long(0)}</p><p>{long(1)}</p></div>{menu}<div><p>{long(2)}</p></div><div>Imprint</div>"
+    assert main_text(other).split("\n") == [long(0), long(1)]
+    assert main_text(f"<div><p>{long(0)}</p><p>Bye.</p></div><div>Imprint</div>").split("\n") == [long(0), "Bye."]
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 1), (1, "u", "<p>a</p>", 2), (None, None, None, 3)], "page_id bigint, url string, html string, text int")
     assert sorted(extract(pages).collect(), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=repr)
