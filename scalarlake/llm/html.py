@@ -266,8 +266,12 @@ def _joined(lines: list[Line], own: list[int], stretches: list[tuple[int, int]],
     return start, end
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page, blocks joined by line breaks; empty if there is none.
+#: What stands between two blocks in the text of the query.
+BREAK = "\n\n"
+
+
+def main_text(page: str | None, between: str = "\n") -> str:
+    """The article of a page, blocks joined by `between`; empty if there is none.
 
     Each line block counts its letters outside links.  Sums over WINDOW lines rise to SURGE where an
     article begins and fall below it where it ends; of the stretches between surge and dive the one with most text
@@ -289,26 +293,27 @@ def main_text(page: str | None) -> str:
             stretches.append((start, i))
             start = None
     if not stretches:
-        return "\n".join(x[0] for x, n in zip(lines, own) if n)
+        return between.join(x[0] for x, n in zip(lines, own) if n)
     if any(x[2] for x in lines):
-        return "\n".join(x[0] for x in lines if x[2])
+        return between.join(x[0] for x in lines if x[2])
     best = max(range(len(stretches)), key=lambda k: (sum(own[slice(*stretches[k])]), -k))
     start, end = _joined(lines, own, stretches, best)
     while not own[end - 1]:
         end -= 1
-    return "\n".join(x[0] for x in lines[start:end])
+    return between.join(x[0] for x in lines[start:end])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        texts = [main_text(x) for x in batch.column(2).to_pylist()]
+        texts = [main_text(x, BREAK) for x in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per row of pages: page_id, url, text (main text of the whole html), n_chars (its code points).
+    """One row per row of pages: page_id, url, text (main text of the whole html, two line
+    breaks between blocks), n_chars (its code points).
 
     A null or empty page, and one of markup alone, has an empty text.  Ids and urls pass through, nulls and repeated
     rows included; other columns are left.  Nothing is shuffled.

@@ -222,6 +222,14 @@ def test_extract_rows(spark):
     assert sorted(extract(pages).collect(), key=repr) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)], key=repr)
 
 
+def test_extract_breaks(spark):
+    """Two line breaks stand between blocks, with and without <article>, and are counted."""
+    pages = [(1, "<article><h1>a</h1><p>b<br>c</p></article>"), (2, "<p>a<p>b c"), (3, f"<p>a</p><p>{'x' * 90}</p>")]
+    got = extract(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id bigint, url string, html string")).collect()
+    want = {1: "a\n\nb c", 2: "a\n\nb c", 3: "a\n\n" + "x" * 90}
+    assert {r.page_id: (r.text, r.n_chars) for r in got} == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_quality(spark):
     import random
     rng = random.Random(3)
