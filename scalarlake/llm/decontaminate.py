@@ -222,15 +222,19 @@ def match(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "
     blocks = automata(items, window, block_words=block_words)
     out = docs.drop("n_words", "spans", "items")
     names = out.columns
-    out = numbered(out).withColumns({"n_words": F.lit(0).cast("long"),
-                           "spans": F.lit(None).cast("array<struct<start: long, end: long>>"),
-                           "items": F.lit(None).cast("array<string>")})
     if not blocks:
         blocks = [docs.sparkSession.sparkContext.broadcast(Automaton([], window))]
-    at = names.index(text_col)
+    return _matched(numbered(out), blocks, names.index(text_col)).toDF(*names, "n_words", "spans", "items")
+
+
+def _matched(rows: DataFrame, blocks: list, at: int) -> DataFrame:
+    """Rows with what all blocks find in column `at`, each of them on the same text."""
+    out = rows.withColumns({"n_words": F.lit(0).cast("long"),
+                            "spans": F.lit(None).cast("array<struct<start: long, end: long>>"),
+                            "items": F.lit(None).cast("array<string>")})
     for k, block in enumerate(blocks):
         out = (keep(out, "match") if k else out).mapInArrow(_matcher(block, at), out.schema)
-    return out.toDF(*names, "n_words", "spans", "items")
+    return out
 
 
 def _matcher(block, at: int):
@@ -272,13 +276,27 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, most_cover
 
     A cut span leaves one line break.  If the words around a cut form a new match, that goes too, until there is
     none.  Texts without a match stay as they are, null and empty ones included; columns stay as they are.
+
+    block_words has no influence on the rows: with several blocks, spans are collected over all of them before coverage
+    is judged and texts are cut, and texts that were cut meet all blocks again.
     """
     blocks = automata(items, window, block_words=block_words)
-    names, docs = docs.columns, numbered(docs)
-    for k, block in enumerate(blocks):
-        docs = (keep(docs, "decontaminate") if k else docs).mapInArrow(
-            _remover(block, names.index(text_col), most_coverage), docs.schema)
-    return docs.toDF(*names)
+    names, rows = docs.columns, numbered(docs)
+    at = names.index(text_col)
+    if len(blocks) < 2:
+        for block in blocks:
+            rows = rows.mapInArrow(_remover(block, at, most_coverage), rows.schema)
+        return rows.toDF(*names)
+    schema = rows.withColumn("again", F.lit(True)).schema
+    settled, most = None, most_coverage
+    while True:
+        cut = keep(_matched(rows, blocks, at).mapInArrow(_cutter(at, most), schema), "decontaminate")
+        rest = cut.where("not again").drop("again")
+        settled = rest if settled is None else settled.union(rest)
+        rows = cut.where("again").drop("again")
+        if rows.isEmpty():
+            return settled.toDF(*names)
+        most = 1.0  # coverage is that of the unchanged text
 
 
 def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -288,6 +306,16 @@ def _word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def cut_spans(text: bytes, spans: list[dict]) -> bytes:
+    start, end = _word_places(text)
+    parts, at = [], 0
+    for s in spans:
+        parts.append(text[at:start[s["start"]]].rstrip(b" "))
+        at = end[s["end"] - 1]
+    parts.append(text[at:].lstrip(b" "))
+    return b"\n".join(parts)
+
+
 def clean_text(automaton: Automaton, text: bytes, most_coverage: float) -> bytes | None:
     """The text without its matches, None if they cover too much of it."""
     first = True
@@ -298,13 +326,29 @@ def clean_text(automaton: Automaton, text: bytes, most_coverage: float) -> bytes
         if first and hit.mean() > most_coverage or hit.all():
             return None
         first = False
-        start, end = _word_places(text)
-        parts, at = [], 0
-        for s in spans_of(hit):
-            parts.append(text[at:start[s["start"]]].rstrip(b" "))
-            at = end[s["end"] - 1]
-        parts.append(text[at:].lstrip(b" "))
-        text = b"\n".join(parts)
+        text = cut_spans(text, spans_of(hit))
+
+
+def _cutter(at: int, most_coverage: float):
+    """Of rows of _matched(): the columns before its own, with the spans cut out, and whether there were any.
+
+    Rows go whose spans cover more than most_coverage of the words, or all of them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            n = batch.num_columns - 3
+            texts, again, stay = [], [], []
+            for text, words, spans in zip(binary(batch.column(at)), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+                hit = sum(s["end"] - s["start"] for s in spans)
+                again.append(hit > 0)
+                stay.append(not hit or hit < words and hit / words <= most_coverage)
+                texts.append(cut_spans(text, spans) if hit else text)
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else c for i, c in enumerate(batch.columns[:n])]
+            fields = [pa.field(f.name, c.type) for f, c in zip(batch.schema, columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(again, pa.bool_())], schema=pa.schema(
+                [*fields, pa.field("again", pa.bool_())])).filter(pa.array(stay, pa.bool_()))
+
+    return run
 
 
 def _remover(block, at: int, most_coverage: float):

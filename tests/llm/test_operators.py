@@ -144,6 +144,31 @@ def test_decontamination(spark, docs, texts, block_words):
             assert i not in rows or brute_windows(rows[i], items)[1] == 0
 
 
+def test_blocks_of_items_do_not_matter(spark):
+    """Coverage, cuts and matches around cuts are those of all items together, however the items are dealt into blocks."""
+    word = lambda k, n, a=0: [f"i{k}x{j}" for j in range(a, a + n)]
+    free = lambda k, n: [f"f{k}x{j}" for j in range(n)]
+    items = [word(k, 12) for k in range(8)]
+    items += [word(k, 10, 2) + ["y", "z"] for k in range(8)]  # words 2-11 stand in two items
+    items += [free(500 + k, 6) + free(600 + k, 6) for k in range(8)]  # these meet when what is between is cut
+    items += [["short", str(k)] for k in range(4)]
+    rows = []
+    for k in range(8):
+        rows.append((k, free(k, 8) + word(k, 10) + word((k + 1) % 8, 10)))  # 20 of 28 words, of two items
+        rows.append((10 + k, free(k, 40) + word(k, 12) + ["y", "z"] + free(k, 9)))
+        rows.append((20 + k, free(k, 40) + free(500 + k, 6) + word(k, 12) + free(600 + k, 6) + free(k, 9)))
+        rows.append((30 + k, free(k, 40) + free(500 + k, 6) + ["short", str(k % 4)] + free(600 + k, 6)))
+    rows += [(50, free(9, 30)), (51, []), (52, items[0])]
+    docs = spark.createDataFrame([(i, " ".join(w), 1) for i, w in rows] + [(60, None, 1), (None, "short 1 tail end", 1)], "doc_id bigint, text string, spans int")
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    one, many = (Counter(map(tuple, remove_spans(docs, frame, block_words=n).collect())) for n in (100_000, 80))
+    assert many == one
+    left = {r[0]: (r[1] or "").split() for r in many}
+    assert not {*range(8), 52} & set(left) and len(many) == len(rows) + 2 - 9
+    for k in range(8):
+        assert left[10 + k] == free(k, 40) + free(k, 9) == left[20 + k] and left[30 + k] == free(k, 40)
+
+
 def test_automaton_is_exact():
     items = [(k, w.split()) for k, w in enumerate(["a b a b a", "b a b c", "a a a a", "c", "a b c a b c a b"])]
     automaton = Automaton([(k, [x.encode() for x in w]) for k, w in items], 3)
