@@ -241,7 +241,9 @@ def line_groups(docs: DataFrame, bits: int = BITS, percent: int = 80, agree: int
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = keep(base.mapInArrow(_lines, "doc_id long, version binary, place int, line binary, print long"), "lines")
     at = F.struct("doc_id", "version", "place")
-    lines = keep(seen.groupBy("line").agg(F.min(at).alias("first"), F.first("print").alias("print"), F.count("*").alias("n")), "distinct")
+    # The text of a line is fetched from an occurrence with an id, if there is one.
+    held = F.min(F.struct(F.isnull("doc_id"), "doc_id", "version", "place"))
+    lines = keep(seen.groupBy("line").agg(F.min(at).alias("first"), held.alias("held"), F.first("print").alias("print"), F.count("*").alias("n")), "distinct")
     prints = keep(lines.groupBy("print").agg(F.count("*").alias("n")), "prints")
     if agree is None:
         need = max(1, prints.count()).bit_length() + 4
@@ -252,9 +254,10 @@ def line_groups(docs: DataFrame, bits: int = BITS, percent: int = 80, agree: int
     same = prints.where("n > 1").select(F.col("print").alias("a"), F.col("print").alias("b"))
     cands = connected(close.union(same))
     wanted = lines.join(cands, F.col("print") == F.col("node")).select(
-        "first.doc_id", "first.version", F.struct("first.place", "line", F.col("component").alias("cand"), "print").alias("w"))
-    wanted = wanted.where("doc_id is not null").groupBy("doc_id", "version").agg(F.collect_list("w").alias("wanted"))
-    texts = base.where("text is not null").join(wanted, "doc_id").where(F.unhex(F.md5("text")) == F.col("version"))
+        F.col("held.doc_id").alias("i"), F.col("held.version").alias("v"),
+        F.struct("held.place", "line", F.col("component").alias("cand"), "print").alias("w"))
+    wanted = wanted.groupBy("i", "v").agg(F.collect_list("w").alias("wanted"))
+    texts = base.where("text is not null").join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.unhex(F.md5("text")) == F.col("v")))
     members = texts.select("text", "wanted").mapInArrow(_texts, "cand long, node binary, payload binary").dropDuplicates(["node"])
     groups = connected(linked(members, _verify(bits, percent)))
     placed = lines.join(groups, lines.line == groups.node, "left").select(
@@ -270,7 +273,7 @@ def removed_lines(docs: DataFrame, **options) -> DataFrame:
     runs as one space.  Two lines are linked when their fingerprints differ in at most `bits` bits and their
     edit similarity is at least `percent` / 100; equal lines are.  Of a connected group the occurrence with the
     smallest (doc_id, MD5 of the text, position) stays.  Rows that repeat id and text share one fate; null texts have no
-    lines; lines of null ids are only compared exactly, as first among equals.
+    lines; null ids are the smallest.
     """
     seen, keepers = line_groups(docs, **options)
     lost = seen.join(keepers, "line").where(~F.struct("doc_id", "version", "place").eqNullSafe(F.col("keeper")))

@@ -65,14 +65,17 @@ def _node(features: np.ndarray) -> bytes:
 def _sketch(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            counts, nodes, keys = [], [], []
-            for features in _sets(binary(batch.column(1)), size):
+            counts, nodes, versions, keys = [], [], [], []
+            texts = binary(batch.column(1))
+            for text, features in zip(texts, _sets(texts, size)):
+                versions.append(hashlib.md5(text).digest() if len(features) else None)
                 counts.append(len(features))
                 nodes.append(_node(features) if len(features) else None)
                 keys.append(band_keys(signature(features, bands * rows), bands, rows) if len(features) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bands"])
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(versions, pa.binary()),
+                 pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "node", "version", "bands"])
 
     return run
 
@@ -139,15 +142,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     separate documents, all kept if theirs is the smallest.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = keep(base.mapInArrow(_sketch(size, bands, rows), "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>"), "sketch")
+    sketched = keep(base.mapInArrow(_sketch(size, bands, rows),
+                                    "doc_id bigint, n_shingles bigint, node binary, version binary, bands array<bigint>"), "sketch")
+    # The text of a set is fetched from a row with an id, if there is one.
+    held = F.min(F.struct(F.isnull("doc_id"), "doc_id", "version"))
     nodes = keep(sketched.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "nodes")
+        F.min("doc_id").alias("first_id"), held.alias("held"), F.first("bands").alias("bands")), "nodes")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     stars = keys.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     cands = connected(stars)
-    wanted = cands.join(nodes, "node").select("node", F.col("component").alias("cand"), "first_id")
-    texts = base.join(wanted, F.col("doc_id") == F.col("first_id")).select("cand", "node", "text")
+    wanted = cands.join(nodes, "node").select("node", F.col("component").alias("cand"), F.col("held.doc_id").alias("i"), F.col("held.version").alias("v"))
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.unhex(F.md5("text")) == F.col("v"))).select("cand", "node", "text")
     members = texts.mapInArrow(_members(size), "cand binary, node binary, payload binary").dropDuplicates(["node"])
     groups = connected(linked(members, _similar(percent)))
     node_ids = nodes.select("node", "first_id").join(groups, "node", "left").select(

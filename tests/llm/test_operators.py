@@ -380,6 +380,20 @@ def test_lines(spark, monkeypatch, chunk):
     assert kept[1] == "\n".join(x for k, x in enumerate(rows[1][1].split("\n")) if k not in want[1][2])
 
 
+def test_null_ids_are_compared(spark):
+    """Lines and sets that rows of null ids hold, alone or first, meet near copies like any other."""
+    line = lambda k, *new: " ".join([*(f"t{k}_{j}" for j in range(60)), *new])
+    for k in (1, 4):
+        assert (int(fingerprints([line_key(line(k).encode())])[0]) ^ int(fingerprints([line_key(line(k, "end").encode())])[0])).bit_count() <= 3
+    rows = [(1, line(1)), (None, line(1)), (2, line(1, "end")), (None, line(4)), (None, line(4, "end")), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lost = sum(r.n_removed for r in dedup_report(docs).collect())
+    assert lost == 3  # one of the three lines of group 1 stays, and one of the two of group 4
+    some = spark.createDataFrame([(5, line(3)), (None, line(3, "end")), (None, line(7)), (8, line(7, "end"))], "doc_id bigint, text string")
+    assert sorted((r.component_id, r.n_shingles, r.kept) for r in near_duplicates(some, size=3, percent=85).collect()) == [
+        (5, 58, True), (5, 59, False), (8, 58, False), (8, 59, True)]
+
+
 def test_edit_distance():
     import random
     rng = random.Random(5)
