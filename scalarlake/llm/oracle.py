@@ -77,10 +77,37 @@ select doc_id, len(words)::bigint n_words, (len(words) - coalesce(n, 0))::bigint
 from d left join kept using (row_id)
 """
 
+#: Operator 11: all products of queries and candidates, as whole numbers.
+OP11 = r"""
+with v as materialized (select row_number() over () row_id, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) e from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.row_id, q.vec_id query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint score
+        from v q join v c on q.vec_id % 20 = 0 and q.row_id <> c.row_id),
+r as (select *, row_number() over (partition by row_id order by score desc, vec_id nulls last) "rank" from s)
+select query_id, "rank"::int "rank", vec_id, score from r where "rank" <= 20
+"""
+
+#: Operator 12: all products of anchors and rows, then positives, then the window of each positive.
+OP12 = r"""
+with v as materialized (select row_number() over () row_id, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label::bigint end label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.row_id, a.vec_id anchor_id, a.label own, c.vec_id, c.label, list_dot_product(a.e, c.e)::bigint score
+        from v a join v c on a.vec_id % 100 = 0 and a.row_id <> c.row_id),
+p as (select *, row_number() over (partition by row_id order by score desc, vec_id nulls last) nth from s where label = own),
+n as (select p.row_id, p.anchor_id, p.vec_id positive_id, p.nth, p.score positive_score, s.vec_id negative_id, s.score negative_score,
+        row_number() over (partition by p.row_id, p.nth order by s.score desc, s.vec_id nulls last) "rank"
+        from p join s on s.row_id = p.row_id and s.label <> p.own and 80 * p.score <= 100 * s.score and s.score <= p.score
+        where p.nth <= 5)
+select anchor_id, positive_id, "rank"::int "rank", negative_id, positive_score, negative_score from n where "rank" <= 5
+"""
+
 ORACLE = {
     "op1_decontamination": OP1,
     "op4_warc": OP4,
     "op6_minhash": OP6,
     "op9_substring_dedup": OP9,
     "op10_exact_dedup": OP10,
+    "op11_top_inner_products": OP11,
+    "op12_hard_negatives": OP12,
 }

@@ -13,8 +13,11 @@ from scalarlake.llm.html import extract
 from scalarlake.llm.lines import dedup_report
 from scalarlake.llm.minhash import near_duplicates
 from scalarlake.llm.mixing import mix_sources
+from scalarlake.llm.negatives import hard_negatives
 from scalarlake.llm.quality import quality
+from scalarlake.llm.topk import top_inner_products
 from scalarlake.llm.warc import archive_round_trip
+from scalarlake.llm.whitening import whiten
 from scalarlake.llm.windows import repeated_windows
 
 
@@ -82,6 +85,20 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_top_inner_products(spark, sf_dir):
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, positives=5, negatives=5,
+                          low=80, high=100, scale=256, label=moved)
+
+
+def op13_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"), most=4, scale=256).drop("deviation_digits")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
@@ -93,4 +110,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_top_inner_products": op11_top_inner_products,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
