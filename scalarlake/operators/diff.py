@@ -1,30 +1,42 @@
 """Line differences of text pairs.
 
-The pairs are rows and are spread over tasks; the longest common subsequence of
-one pair is a small helper on its lines.
+The pairs are rows and are spread over tasks; the longest common subsequence of one pair is a small helper on its
+lines.  A pair of very long texts is first cut into boxes, which are rows as well: two tasks sweep it, one from either end,
+and leave the lengths of common subsequences at every so many lines; where both together reach the greatest length, the
+difference can pass, and the one way that diff_sequences() would take is followed from stretch to stretch.  Corners
+on that way make the boxes independent: inside a box the same choices are made as in the whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import isqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BATCH_LINES = 20_000
+#: Texts of more lines are cut; boxes have at most so many lines on either side.
+BOX_LINES = 16_384
+#: Columns that a sweep works on at a time, so that its bit sets stay small.
+_STRIPE = 16_384
 
 
 def diff_lines(a: str, b: str) -> Iterator[tuple[str, str]]:
-    """(op, line) rows, op one of ``' '``, ``'-'``, ``'+'``; deletions first on ties.
+    """(op, line) rows, op one of ``' '``, ``'-'``, ``'+'``; deletions first on ties."""
+    return diff_sequences(a.split("\n"), b.split("\n"))
 
-    Row i of the LCS table (over suffixes of ``a``) is kept as one integer whose bit
-    j says whether a common line is gained at line j of ``b``.  Only every c-th row
+
+def diff_sequences(x: Sequence[str], y: Sequence[str]) -> Iterator[tuple[str, str]]:
+    """The same for two lists of lines.
+
+    Row i of the LCS table (over suffixes of ``x``) is kept as one integer whose bit
+    j says whether a common line is gained at line j of ``y``.  Only every c-th row
     is stored, the others are computed again when the walk reaches them.
     """
-    x, y = a.split("\n"), b.split("\n")
     common = 0
     while common < len(x) and common < len(y) and x[common] == y[common]:
         yield " ", x[common]
@@ -32,7 +44,7 @@ def diff_lines(a: str, b: str) -> Iterator[tuple[str, str]]:
     x, y = x[common:], y[common:]
     n, m = len(x), len(y)
     full = (1 << m) - 1
-    # bit m-1-j stands for line j, so that carries run towards the front of ``b``
+    # bit m-1-j stands for line j, so that carries run towards the front of ``y``
     places: dict[str, int] = {}
     for j, line in enumerate(y):
         places[line] = places.get(line, 0) | (1 << (m - 1 - j))
@@ -84,22 +96,174 @@ def diff_lines(a: str, b: str) -> Iterator[tuple[str, str]]:
         yield "+", line
 
 
-def line_diff(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, line_no, op, line) for each pair's ``text_a`` and ``text_b``.
+# --- cutting a pair of long texts ----------------------------------------------
+
+def sweep(x: Sequence[str], y: Sequence[str], every: int, stripe: int = _STRIPE) -> dict[int, np.ndarray]:
+    """For i = every, 2 * every, ... below len(x): where in y common lines of x[i:] and y[j:] are gained (bit j), packed.
+
+    The length of a common subsequence of x[i:] and y[j:] is the number of bits from j on.  Columns are worked on
+    in stripes from the end; a stripe takes one carry for each line of x from the stripe behind it.
+    """
+    n, m = len(x), len(y)
+    carry = bytearray(n)
+    parts: dict[int, list[np.ndarray]] = {i: [] for i in range(every, n, every)}
+    for end in range(m, 0, -stripe):
+        begin = max(0, end - stripe)
+        width = end - begin
+        places: dict[str, int] = {}
+        for j in range(begin, end):
+            places[y[j]] = places.get(y[j], 0) | (1 << (end - 1 - j))
+        full = row = (1 << width) - 1
+        for i in range(n - 1, -1, -1):
+            hit = places.get(x[i], 0) & row
+            if hit or carry[i]:
+                total = row + hit + carry[i]
+                carry[i] = total >> width
+                row = (total | (row - hit)) & full
+            if i in parts:
+                bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-width // 8), "big"), np.uint8))
+                parts[i].append(1 - bits[-width:])
+    return {i: np.packbits(np.concatenate(p[::-1])) if p else np.zeros(0, np.uint8) for i, p in parts.items()}
+
+
+def _from_end(packed: np.ndarray, m: int) -> np.ndarray:
+    """Number of bits from each position on."""
+    out = np.zeros(m + 1, np.int64)
+    out[:m] = np.cumsum(np.unpackbits(packed, count=m)[::-1], dtype=np.int64)[::-1]
+    return out
+
+
+def _crossing(x: Sequence[str], y: Sequence[str], below: np.ndarray, swapped: bool) -> int:
+    """Where the way from the first cell of a stretch enters the row below it.
+
+    ``below`` are the lengths at that row for each place in y.  Rows of the table are computed from there upwards,
+    and every cell takes over the entry of the cell that the way goes to next.
+    """
+    codes = {line: k for k, line in enumerate(dict.fromkeys(y))}
+    column = np.array([codes[line] for line in y], np.int64)
+    at = np.arange(len(y) + 1)
+    lengths, entry = below, at
+    for line in reversed(x):
+        same = np.append(column == codes.get(line, -1), False)
+        gained = np.where(same[:-1], lengths[1:] + 1, 0)
+        here = np.maximum.accumulate(np.maximum(lengths, np.append(gained, 0))[::-1])[::-1]
+        if swapped:  # the other text's lines go first
+            along = ~same & (np.append(here[1:], -1) == here)
+        else:
+            along = ~same & (lengths != here)
+        source = np.where(same, np.append(entry[1:], 0), entry)
+        stop = np.minimum.accumulate(np.where(along, len(y), at)[::-1])[::-1]
+        lengths, entry = here, source[stop]
+    return int(entry[0])
+
+
+def corners(x: Sequence[str], y: Sequence[str], ahead: dict[int, np.ndarray], behind: dict[int, np.ndarray],
+            every: int, swapped: bool = False) -> Iterator[tuple[int, int, int]]:
+    """(i, j, common lines before) where the difference of x and y enters the rows i = 0, every, 2 * every, ...
+
+    ``behind`` is the sweep of both texts, ``ahead`` that of both texts read backwards, by the rows' places from the
+    end.  ``swapped`` says that x is the second text of the pair, so that on ties lines of y are taken first.
+    """
+    n, m = len(x), len(y)
+    j = common = 0
+    yield 0, 0, 0
+    for i in range(every, n, every):
+        after = _from_end(behind[i], m)
+        before = _from_end(ahead[i], m)[::-1]
+        passes = np.flatnonzero(before + after == (before + after).max())
+        passes = passes[passes >= j]
+        if len(passes) == 1:
+            j = int(passes[0])
+        else:
+            last = int(passes[-1])
+            stretch = x[i - every:i]
+            straight = after[j] + common == (before + after).max() and j < m and y[j] not in stretch
+            if swapped or not straight:
+                j += _crossing(stretch, y[j:last], after[j:last + 1], swapped)
+        common = int(before[j])
+        yield i, j, common
+
+
+def _cut(boxes: DataFrame, keys: list[str], every: int, swapped: bool) -> DataFrame:
+    """Boxes of more than ``every`` lines of the first (``swapped``: second) text, cut into such of at most as many.
+
+    One chain of stages: a task for each side of a box sweeps it, then both sides meet at the box.  Other boxes pass.
+    """
+    rows, columns = ("b", "a") if swapped else ("a", "b")
+    box, schema = [*keys, "at_a", "at_b"], boxes.schema
+    found = T.ArrayType(T.StructType([T.StructField("i", T.LongType()), T.StructField("bits", T.BinaryType())]))
+    swept = T.StructType([*schema.fields, T.StructField("side", T.IntegerType()), T.StructField("swept", found)])
+
+    def sweeps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for values in pdf.itertuples(index=False, name=None):
+                row = dict(zip(pdf.columns, values))
+                x, y = list(row[rows]), list(row[columns])
+                if row["side"] == 2:  # small enough
+                    bits = {}
+                elif row["side"]:  # from the front: both texts backwards, rows counted from the front again
+                    first = len(x) % every or every
+                    bits = {len(x) - i: v for i, v in _offset_sweep(x[::-1], y[::-1], first, every).items()}
+                    row["a"] = row["b"] = None
+                else:
+                    bits = sweep(x, y, every)
+                row["swept"] = [{"i": i, "bits": v.tobytes()} for i, v in bits.items()]
+                yield pd.DataFrame({c: pd.Series([row[c]], dtype=None if c in ints else object) for c in swept.names})
+
+    ints = {f.name for f in swept.fields if isinstance(f.dataType, (T.LongType, T.IntegerType)) and f.name not in keys}
+    side = F.explode(F.when(F.size(rows) > every, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))))
+    sides = boxes.withColumn("side", side).repartition(F.xxhash64(*box, "side")).mapInPandas(sweeps, swept)
+    whole = sides.groupBy(*box).agg(
+        F.max("line_no").alias("line_no"), F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"),
+        F.flatten(F.collect_list(F.transform("swept", lambda s: F.struct(F.col("side").alias("side"), s["i"].alias("i"), s["bits"].alias("bits"))))).alias("swept"))
+
+    def boxes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for values in pdf.itertuples(index=False, name=None):
+                row = dict(zip(pdf.columns, values))
+                x, y = list(row[rows]), list(row[columns])
+                behind, ahead = [{s["i"]: np.frombuffer(s["bits"], np.uint8) for s in row["swept"] if s["side"] == k} for k in (0, 1)]
+                met = [*corners(x, y, ahead, behind, every, swapped), (len(x), len(y), 0)]
+                out = []
+                for (i, j, common), (i2, j2, _) in zip(met, met[1:]):
+                    part = {rows: x[i:i2], columns: y[j:j2], f"at_{rows}": row[f"at_{rows}"] + i,
+                            f"at_{columns}": row[f"at_{columns}"] + j, "line_no": row["line_no"] + i + j - common}
+                    out.append(tuple({**row, **part}[c] for c in schema.names))
+                yield pd.DataFrame(out, columns=schema.names)
+
+    return whole.mapInPandas(boxes_of, schema)
+
+
+def _offset_sweep(x: Sequence[str], y: Sequence[str], first: int, every: int) -> dict[int, np.ndarray]:
+    """sweep() at i = first, first + every, ...: rows ``first`` lines later than multiples of ``every``."""
+    pad = every - first
+    return {i - pad: bits for i, bits in sweep([None] * pad + list(x), y, every).items() if i > pad}
+
 
-    Equal texts never leave the JVM.
+# --- DataFrames ------------------------------------------------------------------
+
+def line_diff(pairs: DataFrame, keys: list[str], box_lines: int = BOX_LINES) -> DataFrame:
+    """Rows (keys, line_no, op, line) for each pair's ``text_a`` and ``text_b``; ``keys`` name one pair.
+
+    Equal texts never leave the JVM.  Texts of more than ``box_lines`` lines are cut first; the rows are the same.
     """
     equal = F.col("text_a") == F.col("text_b")
     same = pairs.filter(equal).select(*keys, F.posexplode(F.split("text_a", "\n", -1)).alias("line_no", "line"))
     same = same.select(*keys, F.col("line_no").cast("long").alias("line_no"), F.lit(" ").alias("op"), "line")
-    fields = [f for f in pairs.schema.fields if f.name in keys]
-    fields = sorted(fields, key=lambda f: keys.index(f.name))
+    zero = F.lit(0).cast("long")
+    todo = lambda some: pairs.filter(~equal & some).select(
+        *keys, zero.alias("at_a"), zero.alias("at_b"), zero.alias("line_no"),
+        F.split("text_a", "\n", -1).alias("a"), F.split("text_b", "\n", -1).alias("b"))
+    lines = [F.regexp_count(c, F.lit("\n")) for c in ("text_a", "text_b")]
+    long = (lines[0] >= box_lines) | (lines[1] >= box_lines)
+    cut = _cut(_cut(todo(long), keys, box_lines, False), keys, box_lines, True)
+    # Spread the pairs: neighbours in the input are often long together.
+    boxes = todo(~long).unionByName(cut).repartition(F.xxhash64(*keys, "at_a", "at_b"))
+    fields = sorted((f for f in pairs.schema.fields if f.name in keys), key=lambda f: keys.index(f.name))
     schema = T.StructType(fields + [
         T.StructField("line_no", T.LongType()), T.StructField("op", T.StringType()), T.StructField("line", T.StringType()),
     ])
-    # Spread the pairs: neighbours in the input are often long together.
-    todo = pairs.filter(~equal).select(*keys, "text_a", "text_b").repartition(F.xxhash64(*keys))
-    return same.unionByName(todo.mapInPandas(_differ(keys), schema))
+    return same.unionByName(boxes.select(*keys, "line_no", "a", "b").mapInPandas(_differ(keys), schema))
 
 
 def _differ(keys: list[str]):
@@ -108,8 +272,8 @@ def _differ(keys: list[str]):
         out: list[tuple] = []
         for pdf in batches:
             for row in pdf.itertuples(index=False, name=None):
-                key, a, b = row[:-2], row[-2], row[-1]
-                for no, (op, line) in enumerate(diff_lines(a, b)):
+                key, first, a, b = row[:-3], row[-3], row[-2], row[-1]
+                for no, (op, line) in enumerate(diff_sequences(list(a), list(b)), first):
                     out.append((*key, no, op, line))
                     if len(out) >= _BATCH_LINES:
                         yield pd.DataFrame(out, columns=names)

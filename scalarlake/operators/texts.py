@@ -3,6 +3,9 @@
 The order inside a tag is (step, src, rec).  Many texts may share a step, so the
 blocks of ``ordered`` get two more levels: the step itself, and (file, stretch of
 records) within the step.  No window below holds more than one such level.
+
+Bodies are addressed by their digest.  Collapsing, indexing and pairing move digests only;
+``with_bodies`` fetches the texts at the very end, each different one once.
 """
 
 from __future__ import annotations
@@ -31,10 +34,13 @@ def collapse(texts: DataFrame) -> DataFrame:
     Adds ``i``, the entry's id (its position under its tag), and ``ordinal`` /
     ``at_step``: its number among, and the number of, entries of the same step.
 
-    Equality is decided on the digest, so bodies are not moved.  A block reports its
+    Equality is decided on the digest, so bodies are not moved: where the rows have them
+    (``text``), those of the remaining entries are fetched last.  A block reports its
     first and last digest and how many entries it keeps; whether its first text
     repeats the block before it is settled when blocks are combined.
     """
+    if "text" in texts.columns:
+        return with_bodies(collapse(texts.drop("text")), bodies(texts))
     rows = _levelled(texts)
     block = [*SERIES, *_LEVELS]
     here = Window.partitionBy(*block).orderBy("rec")
@@ -57,6 +63,24 @@ def collapse(texts: DataFrame) -> DataFrame:
     )
 
 
+def bodies(texts: DataFrame) -> DataFrame:
+    """(digest, text): each different text once."""
+    return texts.select("digest", "text").dropDuplicates(["digest"])
+
+
+def with_bodies(rows: DataFrame, bodies: DataFrame, digest: str = "digest", text: str = "text") -> DataFrame:
+    """rows with the texts of their digests.  Digests of very many rows are split by adaptive skew joins."""
+    found = bodies.select(F.col("digest").alias("_digest"), F.col("text").alias(text))
+    return rows.join(found, F.col(digest) == F.col("_digest"), "left").drop("_digest")
+
+
+def bodies_of_pairs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``text_a`` and ``text_b`` for ``digest_a`` and ``digest_b``."""
+    for s in ("a", "b"):
+        pairs = with_bodies(pairs, bodies, f"digest_{s}", f"text_{s}")
+    return pairs.drop("digest_a", "digest_b")
+
+
 def _combine(blocks: DataFrame, levels: Sequence[str]) -> DataFrame:
     """Per block: ``offset``, entries kept before it, and ``dup``, whether its first
     text repeats the last text before it."""
@@ -136,7 +160,7 @@ def retag_texts(collapsed: DataFrame) -> DataFrame:
 
 
 def paired(collapsed: DataFrame, run_a: str, run_b: str) -> DataFrame:
-    """Entries of two runs side by side: same tag, same entry id.
+    """Digests of the entries of two runs side by side: same tag, same entry id.
 
     At most one row per entry, so the number of pairs is that of the entries.
     """
@@ -144,21 +168,21 @@ def paired(collapsed: DataFrame, run_a: str, run_b: str) -> DataFrame:
 
     def side(run, s):
         return collapsed.filter(F.col("run_id") == run).select(
-            *cols, F.col("run_id").alias(f"run_{s}"), F.col("text").alias(f"text_{s}"))
+            *cols, F.col("run_id").alias(f"run_{s}"), F.col("digest").alias(f"digest_{s}"))
 
     return side(run_a, "a").join(side(run_b, "b"), cols)
 
 
 def successive(collapsed: DataFrame) -> DataFrame:
-    """Each entry (run_id, tag, i) with the text after it under the same tag."""
+    """Each entry (run_id, tag, i) with the digests of its text and of the text after it under the same tag."""
     key = [*SERIES, "i"]
-    a = collapsed.select(*key, F.col("text").alias("text_a"))
-    b = collapsed.select(*SERIES, (F.col("i") - 1).alias("i"), F.col("text").alias("text_b"))
+    a = collapsed.select(*key, F.col("digest").alias("digest_a"))
+    b = collapsed.select(*SERIES, (F.col("i") - 1).alias("i"), F.col("digest").alias("digest_b"))
     return a.join(b, key)
 
 
 def pair_texts(collapsed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Bodies for an explicit pair table (run_a, tag_a, i_a, run_b, tag_b, i_b).
+    """Digests for an explicit pair table (run_a, tag_a, i_a, run_b, tag_b, i_b).
 
     Each side is an equi-join on a unique entry.  One entry may be compared with very
     many others; such a key is split by adaptive skew joins.
@@ -167,6 +191,6 @@ def pair_texts(collapsed: DataFrame, pairs: DataFrame) -> DataFrame:
     for s in ("a", "b"):
         side = collapsed.select(
             F.col("run_id").alias(f"run_{s}"), F.col("tag").alias(f"tag_{s}"), F.col("i").alias(f"i_{s}"),
-            F.col("text").alias(f"text_{s}"))
+            F.col("digest").alias(f"digest_{s}"))
         out = out.join(side, [f"run_{s}", f"tag_{s}", f"i_{s}"])
     return out

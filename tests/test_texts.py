@@ -104,6 +104,78 @@ def test_diff_lines_brute_force():
     assert list(diff.diff_lines("", "x")) == [("-", ""), ("+", "x")]
 
 
+def cut_plain(x, y, every, swapped, stripe):
+    rows, columns = (y, x) if swapped else (x, y)
+    first = len(rows) % every or every
+    behind = diff.sweep(rows, columns, every, stripe)
+    ahead = {len(rows) - i: b for i, b in diff._offset_sweep(rows[::-1], columns[::-1], first, every).items()}
+    met = [*diff.corners(rows, columns, ahead, behind, every, swapped), (len(rows), len(columns), 0)]
+    for (i, j, common), (i2, j2, _) in zip(met, met[1:]):
+        part = columns[j:j2], rows[i:i2]
+        yield (*(part if swapped else part[::-1]), i + j - common)
+
+
+def test_boxes_brute_force():
+    """Cutting a pair never changes its difference: repeats, moves, long stretches without anything in common."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        letters = "abcdefghijklmnopqrstuvwxyz"[:rng.choice([1, 2, 3, 5, 26])]
+        x = [rng.choice(letters) for _ in range(rng.randint(0, 16))]
+        y = [rng.choice(letters) for _ in range(rng.randint(0, 16))]
+        if rng.random() < 0.4:
+            y = x[:]
+            for _ in range(3):
+                at = rng.randint(0, len(y))
+                y[at:at + rng.randint(0, 3)] = rng.choices(letters, k=rng.randint(0, 3))
+        want = list(diff.diff_sequences(x, y))
+        for swapped in (False, True):
+            got = []
+            for a, b, first in cut_plain(x, y, rng.choice([1, 2, 3, 5]), swapped, rng.choice([1, 2, 64])):
+                assert first == len(got)
+                got += diff.diff_sequences(a, b)
+            assert got == want
+
+
+def test_line_diff_in_boxes(spark):
+    rng = random.Random(6)
+    rows = [(i, f"k{i % 3}", "\n".join(rng.choice("abc") for _ in range(rng.choice([0, 3, 30, 60]))),
+             "\n".join(rng.choice("abcd") for _ in range(rng.choice([1, 30, 60])))) for i in range(12)]
+    rows += [(20, "k", "a\nb\n" * 30, "a\nb\n" * 30), (21, "k", "", "a\n" * 40), (22, "k", "a\n" * 40, "")]
+    pairs = spark.createDataFrame(rows, "i long, k string, text_a string, text_b string")
+    want = sorted((i, k, no, *row) for i, k, a, b in rows for no, row in enumerate(diff.diff_lines(a, b)))
+    for size in (7, 16_384):
+        assert sorted(map(tuple, diff.line_diff(pairs, ["i", "k"], box_lines=size).collect())) == want
+
+
+def test_one_long_pair(spark):
+    """20,000 lines each side: boxes of 2,000 lines, spread as rows."""
+    rng = random.Random(7)
+    x = [f"l{rng.randrange(5000)}" for _ in range(20_000)]
+    y = x[:]
+    for _ in range(100):
+        at = rng.randrange(len(y))
+        y[at:at + rng.randrange(100)] = [f"n{rng.randrange(50)}" for _ in range(rng.randrange(100))]
+    pairs = spark.createDataFrame([(1, "\n".join(x), "\n".join(y))], "i long, text_a string, text_b string")
+    got = diff.line_diff(pairs, ["i"], box_lines=2000).orderBy("line_no").collect()
+    assert [r.line_no for r in got] == list(range(len(got)))
+    assert [r.line for r in got if r.op != "+"] == x and [r.line for r in got if r.op != "-"] == y
+    longest = diff._from_end(diff.sweep(["?", *x], y, 1)[1], len(y))[0]
+    assert sum(r.op == " " for r in got) == longest
+
+
+def test_bodies_come_last(spark, tmp_path):
+    """Windows and their shuffles below the last join see no body: the one scan of bodies keeps each digest once."""
+    simple(spark, [(0, "A"), (1, "A"), (2, "B"), (3, "A")]).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for df in (texts.collapse(stored), compare.text_history(stored)[1]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scans = [line.split("ReadSchema:")[1] for line in plan.splitlines() if "FileScan" in line]
+        assert any("text:" in s for s in scans)
+        assert all(("text:" in s) != ("rec:" in s) for s in scans)  # windows need rec, bodies do not
+    got = texts.collapse(stored).orderBy("i").collect()
+    assert [(r.i, r.text) for r in got] == [(0, "A"), (1, "B"), (2, "A")]
+
+
 def test_compare(spark):
     both = simple(spark, [(0, "a\nb"), (1, "same\n")]).unionByName(simple(spark, [(0, "a\nc"), (9, "same\n")], "s"))
     rows, summary = compare.compare_runs(both, "r", "s")

@@ -256,6 +256,53 @@ select run_id, tag, i, len([x for x in ops if x[1] = '+'])::bigint added,
        len([x for x in ops if x[1] = '-'])::bigint removed, len([x for x in ops if x[1] <> ' ']) = 0 as identical
 from ops"""
 
+
+
+def lcs(pairs: str, keys: str) -> str:
+    """Lengths of common subsequences of all line suffixes of ``pairs`` (keys, text_a, text_b), row by row from the last line."""
+    return f""",
+  p as materialized (select row_number() over () id, {keys}, string_split(text_a, chr(10)) x, string_split(text_b, chr(10)) y,
+        text_a, text_b from {pairs}),
+  dp(id, i, row) as (
+    select id, len(x) + 1, list_transform(range(len(y) + 1), lambda j: 0::bigint) from p
+    union all
+    select id, i, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[j:])) from (
+      select p.id, dp.i - 1 i, list_append(list_transform(range(1, len(y) + 1), lambda j:
+          case when y[j] = x[dp.i - 1] then dp.row[j + 1] + 1 else dp.row[j] end), 0::bigint) cand
+      from dp join p using (id) where dp.i > 1))"""
+
+
+def walk(keys: str) -> str:
+    """The difference along these lengths: equal lines, else the first text's line as long as nothing is lost."""
+    return f""",
+  t as materialized (select * from dp),
+  w(id, ax, ay, line_no, op, line) as (
+    select id, 1::bigint, 1::bigint, -1::bigint, '', '' from p
+    union all
+    select id, case when o = '+' then ax else ax + 1 end, case when o = '-' then ay else ay + 1 end, line_no + 1, o,
+           case when o = '+' then y[ay] else x[ax] end
+    from (select w.id, w.ax, w.ay, w.line_no, p.x, p.y, case when w.ay > len(p.y) then '-' when w.ax > len(p.x) then '+'
+            when p.x[w.ax] = p.y[w.ay] then ' ' when b.row[w.ay] >= a.row[w.ay + 1] then '-' else '+' end o
+          from w join p using (id) left join t a on a.id = w.id and a.i = w.ax left join t b on b.id = w.id and b.i = w.ax + 1
+          where w.ax <= len(p.x) or w.ay <= len(p.y)))
+select {keys}, line_no, op, line from w join p using (id) where line_no >= 0"""
+
+
+NEXT = """,
+  pairs as (select a.run_id, a.tag, a.i, a.text text_a, b.text text_b
+    from tx_docs_c a join tx_docs_c b on a.run_id = b.run_id and a.tag = b.tag and a.i + 1 = b.i)"""
+ORACLE["line_diff_long"] = collapsed("tx_docs") + NEXT + lcs("pairs", "run_id, tag, i") + """
+select run_id, tag, i, len(y) - row[1] added, len(x) - row[1] removed, text_a = text_b as identical
+from p join (select id, row from dp where i = 1) using (id)"""
+ORACLE["line_diff_rows"] = collapsed("tx_docs") + NEXT + lcs("pairs", "run_id, tag, i") + walk("run_id, tag, i")
+ORACLE["line_diff_boxes"] = ORACLE["line_diff_rows"]
+CONV = """,
+  pairs as (select a.run_id run_a, a.tag tag_a, a.i i_a, b.run_id run_b, b.tag tag_b, b.i i_b, a.text text_a, b.text text_b
+    from tx_conv_c a join tx_conv_c b on a.tag = b.tag and a.i = b.i
+     and 'conv_' || (substr(a.run_id, 6)::bigint + 1) = b.run_id)"""
+KEYS = "run_a, tag_a, i_a, run_b, tag_b, i_b"
+ORACLE["line_diff_runs"] = collapsed("tx_conv") + CONV + lcs("pairs", KEYS) + walk(KEYS)
+
 # --- tags ---
 
 TREE = with_views("sc_lineitem") + """,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scalarlake.functions.scalar import clean_tag, finite_or_null, natural_key
-from scalarlake.operators import quantiles, reshape, select, smooth, stats, tagtree, texts
+from scalarlake.operators import diff, quantiles, reshape, select, smooth, stats, tagtree, texts
 from scalarlake.operators.dedup import latest
 from scalarlake.plans import compare
 from scalarlake.plans import runs as run_plans
@@ -288,19 +288,19 @@ def text_collapse(spark, sf):
 
 @query
 def text_index(spark, sf):
-    c = texts.collapse(views.tx_docs(spark, sf))
+    c = texts.collapse(views.tx_docs(spark, sf).drop("text"))
     return texts.text_index(c).select(*SERIES, "i", "step", "wall_time", "chars")
 
 
 @query
 def text_step_ordinal(spark, sf):
-    c = texts.text_index(texts.collapse(views.tx_labels(spark, sf)))
+    c = texts.text_index(texts.collapse(views.tx_labels(spark, sf).drop("text")))
     return c.filter("at_step > 1").select(*SERIES, "i", "step", "ordinal")
 
 
 @query
 def text_counts(spark, sf):
-    return texts.text_counts(texts.collapse(views.tx_docs(spark, sf)))
+    return texts.text_counts(texts.collapse(views.tx_docs(spark, sf).drop("text")))
 
 
 @query
@@ -329,8 +329,8 @@ def _next_entries(index):
 @query
 def text_pairs(spark, sf):
     lab = views.tx_labels(spark, sf)
-    c = texts.collapse(lab)
-    return texts.pair_texts(c, _next_entries(texts.text_index(c)))
+    c = texts.collapse(lab.drop("text"))
+    return texts.bodies_of_pairs(texts.pair_texts(c, _next_entries(texts.text_index(c))), texts.bodies(lab))
 
 
 @query
@@ -351,6 +351,31 @@ def line_diff_long(spark, sf):
     return compare.text_history(views.tx_docs(spark, sf))[1]
 
 
+@query
+def line_diff_rows(spark, sf):
+    """The same, line by line: texts of many lines that repeat and move."""
+    return compare.text_history(views.tx_docs(spark, sf))[0]
+
+
+@query
+def line_diff_boxes(spark, sf):
+    """The same, with every text of more than eight lines cut into boxes on both sides."""
+    docs = views.tx_docs(spark, sf)
+    pairs = texts.bodies_of_pairs(texts.successive(texts.collapse(docs.drop("text"))), texts.bodies(docs))
+    return diff.line_diff(pairs, [*SERIES, "i"], box_lines=8)
+
+
+@query
+def line_diff_runs(spark, sf):
+    """Every turn of a conversation against the same turn of its role in the next one."""
+    conv = views.tx_conv(spark, sf)
+    entries = texts.text_index(texts.collapse(conv.drop("text")))
+    after = F.concat(F.lit("conv_"), F.substring("run_id", 6, 20).cast("long") + 1)
+    pairs = entries.select(F.col("run_id").alias("run_a"), F.col("tag").alias("tag_a"), F.col("i").alias("i_a"),
+                           after.alias("run_b"), F.col("tag").alias("tag_b"), F.col("i").alias("i_b"))
+    return compare.compare_pairs(conv, pairs)[0]
+
+
 # --- tags --------------------------------------------------------------------
 
 def _tree_tags(spark, sf):
