@@ -91,6 +91,8 @@ def _searching(dims: int, k: int):
         best = search(queries, shelf, floor, k)
         own = [int(scores(v[None], v[None], wide(queries, queries))[0, 0]) for v in queries.x]
         query, score, place = best.found()
+        reached = np.array([not float(s) < floor[q] for q, s in zip(query, score)], bool)
+        query, score, place = query[reached], score[reached], place[reached]
         least = best.least()
         with np.errstate(divide="ignore", invalid="ignore"):
             need = np.where(least > 0, least / queries.length, 0.0)
