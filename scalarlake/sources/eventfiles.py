@@ -6,26 +6,31 @@ a DataFrame pipeline on top:
 
     listing -> stretches of whole records -> decoded rows
 
-Large files are first cut at record boundaries (only the length prefixes are read),
-then the stretches are shuffled evenly and decoded.  So neither a run with most of
-the files nor one huge file keeps a single task busy.
+Large files are cut into even stretches, each of which finds its own first record by the
+checksum of its length (``framing``); a prefix sum over a file's stretches numbers the
+records.  So neither a run with most of the files nor one huge file keeps a single task busy.
+
+The streaming source's offset is the change signature of every run: files, newest
+modification, bytes.  Runs whose signature has not changed are not planned.
 """
 
 from __future__ import annotations
 
 import os
 import posixpath
-import re
 import struct
-import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..functions.scalar import ID_DIGITS, ID_PART
+from ..functions.scalar import clean_path
+from . import framing
+from .files import filesystem as _filesystem
+from .files import prefix, qualified
 from .wire import Undecodable, parse_event
 
 NAME_START = "events.out.tfevents."  # fixed value: event files are named like this
@@ -34,10 +39,11 @@ HEAD_RECORDS = HEAD_GAP = 512  # fixed values of the head-only text scan
 SPLIT_BYTES = 32 * 1024 * 1024
 REC_SCALE = 1 << 32  # ``rec`` = record number * REC_SCALE + n-th value of a tag in the record
 _CHUNK = 8 * 1024 * 1024
+_HEADS_CHUNK = 1024 * 1024  # where only lengths are read
 _ROWS = 50_000
 _LEN = struct.Struct("<Q")
 
-LISTING = "run_id string, relkey string, prefix string, path string, size bigint, mtime double"
+LISTING = "run_id string, relkey string, path string, size bigint, mtime double"
 _STRETCH = "run_id string, relkey string, prefix string, path string, start bigint, stop bigint, first_rec bigint"
 DECODED = (
     "run_id string, kind string, tag string, step bigint, wall_time double, value double, text string, "
@@ -52,15 +58,6 @@ _DECODED_ARROW = pa.schema([
 
 # --- listing -------------------------------------------------------------------
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    local = path[5:] if path.startswith("file:") else path
-    return fs.LocalFileSystem(), os.path.abspath(local)
-
-
 def _children(filesystem, folder: str):
     from pyarrow import fs
 
@@ -90,12 +87,6 @@ def _event_files(filesystem, folder: str, top: str = "") -> Iterator[tuple[str,
                 yield name, info
 
 
-def _prefix(rel: str) -> str:
-    parts = posixpath.dirname(rel).split("/")
-    named = [p for p in parts if not (re.match(ID_PART, p) and len(p.replace("_", "")) >= ID_DIGITS)]
-    return "/".join(named)
-
-
 def run_of_flat_folder(root: str) -> str:
     return posixpath.basename(_filesystem(root)[1].rstrip("/")) or "run"
 
@@ -123,12 +114,12 @@ def _run_folders(root: str, wanted: set[str] | None) -> list[RunFolder]:
 
 def _list(part: RunFolder, root: str) -> Iterator[tuple]:
     filesystem, _ = _filesystem(root)
-    scheme = root[: root.index("://") + 3] if "://" in root else ""
+    scheme = prefix(root)
     for rel, info in _event_files(filesystem, part.folder):
         if part.flat and "/" in rel:
             continue
         mtime = info.mtime.timestamp() if info.mtime else 0.0
-        yield part.run_id, rel, _prefix(rel), scheme + info.path, info.size, mtime
+        yield part.run_id, rel, scheme + info.path, info.size, mtime
 
 
 class _Options:
@@ -147,18 +138,39 @@ class _Lister(_Options, DataSourceReader):
             yield from _list(partition, self.root)
 
 
+_POLL_THREADS = 16
+
+
+def signatures(root: str, wanted: set[str] | None = None) -> dict[str, list]:
+    """Per run: event files, newest modification time and bytes; runs without event files have none."""
+
+    def one(folder: RunFolder) -> list:
+        files, newest, size = 0, 0.0, 0
+        for _, _, _, bytes_, mtime in _list(folder, root):
+            files, newest, size = files + 1, max(newest, mtime), size + bytes_
+        return [files, newest, size]
+
+    folders = _run_folders(root, wanted)
+    with ThreadPoolExecutor(_POLL_THREADS) as pool:
+        found = zip([f.run_id for f in folders], pool.map(one, folders))
+    return {run: sig for run, sig in sorted(found) if sig[0]}
+
+
 class _Poller(_Options, DataSourceStreamReader):
-    """Every micro-batch lists all files; what has grown is decided by the consumer,
-    whose table of consumed bytes is the state (see ``streaming.ingest``)."""
+    """The offset says what every run looked like.  Without a change there is no batch; a batch lists the runs that
+    have changed.  What has grown in them is decided by the consumer, whose table of consumed bytes is the state
+    (see ``streaming.ingest``)."""
 
     def initialOffset(self):
-        return {"poll": 0}
+        return {"runs": {}}
 
     def latestOffset(self):
-        return {"poll": int(time.time() * 1000)}
+        return {"runs": signatures(self.root, self.runs)}
 
     def partitions(self, start, end):
-        return _run_folders(self.root, self.runs)
+        known, now = start.get("runs") or {}, end.get("runs")
+        folders = _run_folders(self.root, self.runs)
+        return folders if now is None else [f for f in folders if f.run_id in now and now[f.run_id] != known.get(f.run_id)]
 
     def read(self, partition):
         yield from _list(partition, self.root)
@@ -192,7 +204,12 @@ def list_event_files(spark: SparkSession, root: str, runs: list[str] | None = No
     reader = spark.read.format("eventfiles")
     if runs is not None:
         reader = reader.option("runs", "\n".join(runs))
-    return reader.load(root)
+    return with_prefix(reader.load(qualified(spark, root)))
+
+
+def with_prefix(listing: DataFrame) -> DataFrame:
+    """Adds what stands before the tags of a file: its folder without timestamp and id parts."""
+    return listing.withColumn("prefix", clean_path(F.regexp_extract("relkey", "^(.*)/[^/]*$", 1)))
 
 
 # --- records -----------------------------------------------------------------
@@ -200,8 +217,8 @@ def list_event_files(spark: SparkSession, root: str, runs: list[str] | None = No
 class _Window:
     """Forward reader over a file: keeps one chunk, seeks over what is not asked for."""
 
-    def __init__(self, handle, start: int, stop: int):
-        self.handle, self.stop = handle, stop
+    def __init__(self, handle, start: int, stop: int, chunk: int = _CHUNK):
+        self.handle, self.stop, self.chunk = handle, stop, chunk
         self.base, self.buf = start, b""
 
     def get(self, at: int, size: int) -> tuple[bytes, int]:
@@ -209,7 +226,7 @@ class _Window:
         off = at - self.base
         if off < 0 or off + size > len(self.buf):
             self.handle.seek(at)
-            self.buf = self.handle.read(min(max(size, _CHUNK), self.stop - at))
+            self.buf = self.handle.read(min(max(size, self.chunk), self.stop - at))
             self.base, off = at, 0
         return self.buf, off
 
@@ -219,48 +236,55 @@ def _open(path: str):
     return filesystem.open_input_file(local)
 
 
-def _boundaries(path: str, start: int, stop: int, first_rec: int, split: int) -> Iterator[tuple[int, int, int]]:
-    """Cut [start, stop) into stretches of whole records: (start, stop, number of the first record).
+_CUT = pa.schema([("run_id", pa.string()), ("relkey", pa.string()), ("prefix", pa.string()), ("path", pa.string()),
+                  ("start", pa.int64()), ("stop", pa.int64()), ("first_rec", pa.int64())])
 
-    Only a stretch that ends the file may end inside a record that is still being written.
-    """
-    if stop - start <= split:
-        yield start, stop, first_rec
-        return
-    with _open(path) as handle:
-        window = _Window(handle, start, stop)
-        at, begin, begin_rec, rec = start, start, first_rec, first_rec
-        while at + 12 <= stop:
-            buf, off = window.get(at, 12)
-            nxt = at + 16 + _LEN.unpack_from(buf, off)[0]
-            if nxt > stop:
-                break
-            at, rec = nxt, rec + 1
-            if at - begin >= split:
-                yield begin, at, begin_rec
-                begin, begin_rec = at, rec
-        if begin < stop:
-            yield begin, stop, begin_rec
 
+def _sync(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For even stretches [lo, hi) of files: the first record in each, the boundary behind it, and how many lie between."""
+    for batch in batches:
+        found = []
+        for r in batch.to_pylist():
+            with _open(r["path"]) as handle:
+                window = _Window(handle, r["lo"], r["size"], _HEADS_CHUNK)
+                begin = r["lo"] if r["lo"] == r["start"] else framing.first_record(window, r["lo"], r["hi"], r["size"])
+                found.append((begin, *(framing.walk(window, begin, r["hi"], r["size"]) if begin is not None else (0, 0))))
+        columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "begin", "after", "count"])
 
-def stretches(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Stretches of whole records for rows (listing columns, ``start``, ``first_rec``)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                cuts = list(_boundaries(r["path"], r["start"], r["size"], r["first_rec"], split_bytes))
-                same = {c: [r[c]] * len(cuts) for c in ("run_id", "relkey", "prefix", "path")}
-                starts, stops, recs = (list(x) for x in zip(*cuts)) if cuts else ([], [], [])
-                yield pa.RecordBatch.from_pydict(
-                    {**same, "start": starts, "stop": stops, "first_rec": recs},
-                    schema=pa.schema([("run_id", pa.string()), ("relkey", pa.string()), ("prefix", pa.string()),
-                                      ("path", pa.string()), ("start", pa.int64()), ("stop", pa.int64()),
-                                      ("first_rec", pa.int64())]))
+def _number(table: pa.Table) -> pa.Table:
+    """Stretches of whole records of one file."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["lo"])
+    first = rows[0]
+
+    def again(at: int, stop: int) -> tuple[int, int]:
+        with _open(first["path"]) as handle:
+            return framing.walk(_Window(handle, at, first["size"], _HEADS_CHUNK), at, stop, first["size"])
+
+    parts = [(r["hi"], r["begin"], r["after"], r["count"]) for r in rows]
+    cuts = list(framing.cut(parts, first["start"], first["size"], first["first_rec"], again))
+    same = {c: [first[c]] * len(cuts) for c in ("run_id", "relkey", "prefix", "path")}
+    starts, stops, recs = (list(x) for x in zip(*cuts))
+    return pa.Table.from_pydict({**same, "start": starts, "stop": stops, "first_rec": recs}, schema=_CUT)
+
 
+def stretches(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Stretches of whole records for rows (listing columns, ``start``, ``first_rec``).
+
+    A file of more than ``split_bytes`` is cut by as many tasks as it has stretches, each of which reads its own part.
+    """
     cols = ["run_id", "relkey", "prefix", "path", "size", "start", "first_rec"]
-    even = files.select(*cols).repartition(F.xxhash64("run_id", "relkey"))
-    return even.mapInArrow(run, _STRETCH).repartition(F.xxhash64("run_id", "relkey", "start"))
+    rows = files.select(*cols)
+    long = F.col("size") - F.col("start") > split_bytes
+    whole = rows.filter(~long & (F.col("start") < F.col("size"))).select(
+        "run_id", "relkey", "prefix", "path", "start", F.col("size").alias("stop"), "first_rec")
+    lo = F.explode(F.sequence(F.col("start"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    parts = rows.filter(long).withColumn("lo", lo).withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("size")))
+    even = parts.repartition(F.xxhash64("run_id", "relkey", "lo"))
+    seen = even.mapInArrow(_sync, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields) + ", begin bigint, after bigint, count bigint")
+    cut = seen.groupBy("run_id", "relkey").applyInArrow(_number, _STRETCH)
+    return whole.unionByName(cut).repartition(F.xxhash64("run_id", "relkey", "start"))
 
 
 class _Rows:

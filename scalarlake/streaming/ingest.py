@@ -29,6 +29,7 @@ from ..operators.dedup import latest
 from ..operators.select import display_name
 from ..sources import eventfiles
 from ..sources.config import read_configs
+from ..sources.files import filesystem, qualified
 from ..sources.store import Store, write_segment
 
 log = logging.getLogger(__name__)
@@ -48,6 +49,11 @@ class Ingest:
     def spark(self) -> SparkSession:
         return self.store.spark
 
+    @property
+    def root(self) -> str:
+        """``runs_dir`` with its file system."""
+        return qualified(self.spark, self.runs_dir)
+
     # -- planning -------------------------------------------------------------------
 
     def plan(self, listing: DataFrame, without: int | None = None) -> DataFrame:
@@ -93,8 +99,8 @@ class Ingest:
         write_segment(stats.tag_stats(points).withColumn("seq", seq), at["tag_stats"], "tag_stats")
 
         touched = plan.select("run_id").distinct()
-        flat = eventfiles.run_of_flat_folder(self.runs_dir) if self._is_flat() else None
-        configs = read_configs(self.spark, self.runs_dir, flat)
+        flat = eventfiles.run_of_flat_folder(self.root) if self._is_flat() else None
+        configs = read_configs(self.spark, self.root, flat)
         # A run without configuration gets one empty row: its older one is void.
         write_segment(touched.join(configs, "run_id", "left").withColumn("seq", seq), at["configs"], "configs")
         write_segment(self._new_names(touched, configs, seg).withColumn("seq", seq), at["names"], "names")
@@ -121,12 +127,12 @@ class Ingest:
         return out.select("run_id", display_name(F.col("_given"), none, F.col("_configured"), F.col("run_id")).alias("display_name"))
 
     def _is_flat(self) -> bool:
-        folders = eventfiles._run_folders(self.runs_dir, None)
+        folders = eventfiles._run_folders(self.root, None)
         return len(folders) == 1 and folders[0].flat
 
     def _discard(self, path: str) -> None:
-        filesystem, local = eventfiles._filesystem(path)
-        filesystem.delete_dir(local)
+        where, local = filesystem(qualified(self.spark, path))
+        where.delete_dir(local)
 
     # -- drivers --------------------------------------------------------------------
 
@@ -136,7 +142,7 @@ class Ingest:
         The checkpoint belongs to the store: batch numbers name its segments.
         """
         eventfiles.register(self.spark)
-        stream = self.spark.readStream.format("eventfiles").load(self.runs_dir)
+        stream = eventfiles.with_prefix(self.spark.readStream.format("eventfiles").load(self.root))
         writer = (
             stream.writeStream.foreachBatch(lambda batch, batch_id: self.write(batch, 2 * batch_id) and None)
             .option("checkpointLocation", checkpoint or f"{self.store.root}/checkpoint")
@@ -167,7 +173,7 @@ class Ingest:
         schema = "run_id string, new_rows long, error string"
         try:
             seg = _odd_segment()
-            wrote = self.write(eventfiles.list_event_files(self.spark, self.runs_dir, runs), seg)
+            wrote = self.write(eventfiles.list_event_files(self.spark, self.root, runs), seg)
             self.backfill_texts(runs)
         except Exception as ex:
             if len(runs) > 1:
@@ -189,7 +195,7 @@ class Ingest:
         and nothing is replaced.  Returns the number of entries per run.
         """
         store = self.store.snapshot()
-        files = eventfiles.list_event_files(self.spark, self.runs_dir, runs)
+        files = eventfiles.list_event_files(self.spark, self.root, runs)
         files = files.join(store.table("files").select("run_id").distinct(), "run_id", "left_semi")
         if not force:
             files = files.join(store.text_tags(), "run_id", "left_anti")

@@ -49,13 +49,17 @@ def event(step, wall, *values):
     return body + (_len(5, b"".join(values)) if values else _len(3, b"brain.Event:2"))
 
 
-def record(data):
+def record(data, checked=False):
+    if checked:
+        from scalarlake.sources.framing import framed
+
+        return framed(data)
     return struct.pack("<Q", len(data)) + b"\0" * 4 + data + b"\0" * 4
 
 
-def write(path, *events, append=False, raw=b""):
+def write(path, *events, append=False, raw=b"", checked=False):
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "ab" if append else "wb") as f:
         for e in events:
-            f.write(record(e))
+            f.write(record(e, checked))
         f.write(raw)

@@ -2,12 +2,14 @@
 
 import math
 import os
+import random
 import struct
 
 import eventwriter as w
 import pytest
 
 from scalarlake.sources import eventfiles as ef
+from scalarlake.sources import files, framing
 
 
 def rows(df):
@@ -110,6 +112,102 @@ def test_small_stretches_equal_one(spark, tmp_path):
         assert sorted(ef.read_events(files, split_bytes=size).collect(), key=repr) == whole
 
 
+def test_checksums():
+    assert framing.checksum(b"123456789") == framing.masked(0xE3069283)  # the published check value of CRC-32C
+    rng = random.Random(1)
+    data = bytes(rng.randrange(256) for _ in range(50))
+    block = b"??" + framing.framed(data) + framing.framed(b"") + b"rest of it"
+    assert framing.heads(block).tolist() == [2, 2 + 66]
+    assert framing.heads(b"short").tolist() == []
+
+
+class Bytes:
+    """A window over bytes that remembers what was read."""
+
+    def __init__(self, data):
+        self.data, self.read = data, []
+
+    def get(self, at, size):
+        assert at + size <= len(self.data)
+        self.read.append((at, at + size))
+        return self.data, at
+
+
+@pytest.mark.parametrize("checked", [True, False])
+def test_cut_brute_force(checked):
+    """Stretches of any size, around records of any size, inner records, cut tails: as if walked from the start."""
+    rng = random.Random(2)
+    for _ in range(300):
+        inner = w.record(b"x" * rng.randrange(30), checked=True)
+        bodies = [rng.choice([b"", bytes(rng.randrange(256) for _ in range(rng.choice([1, 9, 40, 200]))), inner * 3])
+                  for _ in range(rng.randrange(12))]
+        records = [w.record(b, checked) for b in bodies]
+        skipped = rng.randrange(len(records) + 1)
+        tail = rng.choice([b"", b"\0" * 5, w.record(b"y" * 50, checked)[:-1], w.record(b"y" * 50, checked)[:13]])
+        data = b"".join(records) + tail
+        start = sum(map(len, records[:skipped]))
+        places, at = [], start
+        for r in records[skipped:]:
+            places.append(at)
+            at += len(r)
+        for split in (1, 7, 64, 300):
+            parts = []
+            for lo in range(start, len(data), split):
+                hi = min(lo + split, len(data))
+                begin = lo if lo == start else framing.first_record(Bytes(data), lo, hi, len(data))
+                parts.append((hi, begin, *(framing.walk(Bytes(data), begin, hi, len(data)) if begin is not None else (0, 0))))
+            got = list(framing.cut(parts, start, len(data), skipped, lambda a, b: framing.walk(Bytes(data), a, b, len(data)))) if parts else []
+            if not parts:
+                continue
+            assert got[0][0] == start and got[-1][1] == len(data)
+            assert all(a[1] == b[0] for a, b in zip(got, got[1:]))
+            for a, _, rec in got:
+                assert rec == skipped + (places.index(a) if a in places else len(places))
+
+
+def test_stretch_reads_its_own_part():
+    """With checksums, no stretch is walked again and none reads much beyond its end."""
+    data = b"".join(w.record(bytes([i % 256]) * 90, checked=True) for i in range(2000))
+    parts, split = [], 10_000
+    for lo in range(0, len(data), split):
+        window, hi = Bytes(data), min(lo + split, len(data))
+        begin = framing.first_record(window, lo, hi, len(data)) if lo else 0
+        parts.append((hi, begin, *framing.walk(window, begin, hi, len(data))))
+        assert min(a for a, _ in window.read) >= lo and max(b for _, b in window.read) <= hi + 300
+    got = list(framing.cut(parts, 0, len(data), 0, None))  # nothing to walk again
+    assert len(got) == len(parts) and [r for _, _, r in got] == [a // 106 for a, _, _ in got]
+
+
+def test_one_file_of_many_stretches(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    ev = [w.event(i, float(i), w.simple("t", i / 7)) for i in range(3000)]
+    for name, checked in (("a", True), ("b", False)):
+        w.write(f"{root}/{name}/events.out.tfevents.1", *ev, checked=checked, raw=w.record(ev[0])[:20])
+    listed = ef.list_event_files(spark, root)
+    parts = ef.stretches(ef.whole_files(listed), 5000).orderBy("run_id", "start").collect()
+    per_run = {run: [p for p in parts if p.run_id == run] for run in "ab"}
+    assert [(p.start, p.stop, p.first_rec) for p in per_run["a"]] == [(p.start, p.stop, p.first_rec) for p in per_run["b"]]
+    assert len(per_run["a"]) > 20 and per_run["a"][0].start == 0
+    rows = ef.read_events(listed, split_bytes=5000).orderBy("run_id", "rec").collect()
+    assert [(r.run_id, r.step, r.rec // ef.REC_SCALE) for r in rows] == [(run, i, i) for run in "ab" for i in range(3000)]
+
+
+def test_paths(spark, tmp_path):
+    assert files.prefix("s3a://bucket/a/b/") == "s3a://" and files.prefix("hdfs://host:9000/a") == "hdfs://host:9000"
+    assert files.prefix("/a/b") == "" and files.prefix("file:///a") == ""
+    assert files.filesystem("file:///a/b")[1] == files.filesystem("file:/a/b")[1] == files.filesystem("/a/b/")[1] == "/a/b"
+    assert files.qualified(spark, "s3a://bucket/x") == "s3a://bucket/x"
+    assert files.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    try:
+        conf.set("fs.defaultFS", "viewfs://store/")
+        conf.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+        assert files.qualified(spark, "/in/runs") == "viewfs://store/in/runs"
+    finally:
+        conf.set("fs.defaultFS", before)
+
+
 def test_head_scan(spark, tmp_path):
     root = str(tmp_path / "runs")
     scalar = [w.event(i, 1.0, w.simple("t", 1.0)) for i in range(600)]

@@ -85,6 +85,41 @@ def test_two_passes(ingest):
     assert {r.display_name for r in store.names().filter("run_id like 'copy%'").collect()} == {f"run_b #00{i}" for i in range(3)}
 
 
+def batches(query):
+    return [(p.batchId, p.numInputRows) for p in query.recentProgress if p.numInputRows]
+
+
+def committed(store):
+    return sorted(int(n) for n in os.listdir(f"{store.root}/checkpoint/commits") if n.isdigit())
+
+
+def test_polls_without_change_start_no_batch(ingest):
+    """The offset is what the runs look like: no change, no batch; a change plans the changed run only."""
+    first = ingest.start(once=True)
+    first.awaitTermination()
+    assert batches(first) == [(0, 3)] and committed(ingest.store) == [0]
+    again = ingest.start(once=True)
+    again.awaitTermination()
+    assert batches(again) == [] and committed(ingest.store) == [0]
+    w.write(f"{ingest.runs_dir}/001/events.out.tfevents.1", ev(1, 4.0), append=True)
+    w.write(f"{ingest.runs_dir}/run_z/events.out.tfevents.1", ev(1, 5.0))
+    third = ingest.start(once=True)
+    third.awaitTermination()
+    assert batches(third) == [(1, 2)] and committed(ingest.store) == [0, 1]  # the files of 001 and run_z
+    assert points(ingest.store) == sorted([*BASE, ("001", "loss", 1, 4.0), ("run_z", "loss", 1, 5.0)])
+
+
+def test_signatures(ingest):
+    got = ef.signatures(ingest.runs_dir)
+    assert {run: (sig[0], sig[2] > 0, sig[1] > 0) for run, sig in got.items()} == {"001": (1, True, True), "run_a": (2, True, True)}
+    poller = ef._Poller({"path": ingest.runs_dir})
+    start, now = poller.initialOffset(), poller.latestOffset()
+    assert poller.latestOffset() == now
+    assert {f.run_id for f in poller.partitions(start, now)} == {"001", "run_a"} and poller.partitions(now, now) == []
+    old = {"poll": 1}  # an offset of an earlier version: everything is listed
+    assert len(poller.partitions(old, old)) == 2 and len(poller.partitions(old, now)) == 2
+
+
 def test_replay_rewrites_its_segment(ingest, spark):
     listing = ef.list_event_files(spark, ingest.runs_dir)
     assert ingest.write(listing, 0)

@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from scalarlake.session import shared_dir
+from scalarlake.sources.files import qualified
+from scalarlake.sources.framing import framed
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -39,7 +41,7 @@ def encode(tag: str, step: int, wall: float, value: float | None, text: str | No
         body = _bytes(8, _varint(1 << 3) + _varint(7) + _bytes(8, text.encode()))
     summary = _bytes(1, _bytes(1, tag.encode()) + body)
     event = _varint(1 << 3 | 1) + struct.pack("<d", wall) + _varint(2 << 3) + _varint(step) + _bytes(5, summary)
-    return struct.pack("<Q", len(event)) + bytes(4) + event + bytes(4)
+    return framed(event)
 
 
 def write_event_files(rows: DataFrame, folder: str, part: str) -> None:
@@ -49,9 +51,9 @@ def write_event_files(rows: DataFrame, folder: str, part: str) -> None:
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from scalarlake.sources.eventfiles import _filesystem
+        from scalarlake.sources.files import filesystem as of
 
-        filesystem, base = _filesystem(folder)
+        filesystem, base = of(folder)
         name = f"events.out.tfevents.{part}.{TaskContext.get().partitionId()}"
         run, out = None, None
         n = 0
@@ -69,5 +71,6 @@ def write_event_files(rows: DataFrame, folder: str, part: str) -> None:
             out.close()
         yield pd.DataFrame({"n": [n]})
 
+    folder = qualified(rows.sparkSession, folder)
     cols = rows.selectExpr("run_id", "tag", "step", "wall_time", "cast(value as double) value", "text")
     cols.sortWithinPartitions("run_id").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
