@@ -102,6 +102,21 @@ def with_position(
     )
 
 
+#: Characters of a sort key that cut a whole table into nested blocks.
+KEY_CUTS = ((1, 2), (3, 4), (7, 8))
+
+
+def with_place(df: DataFrame, key: str, order: Sequence[str | Column], out: str = "place") -> DataFrame:
+    """Add ``out``, the 0-based position of each row of the whole table under (string column ``key``, then ``order``).
+
+    The first characters of the key are the nested blocks, so the windows over blocks have as many rows as there are
+    beginnings of keys; only keys that agree in 14 characters are sorted together.
+    """
+    levels = [f"_p{n}" for n in range(len(KEY_CUTS))]
+    cut = df.withColumns({name: F.substring(key, *at) for name, at in zip(levels, KEY_CUTS)})
+    return with_position(cut, [], levels, [key, *order]).withColumnRenamed("k", out).drop("n", *levels)
+
+
 def with_first(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Add ``out``, the ``value`` at the smallest step of the row's group."""
     block = [*keys, *STEP_LEVELS]

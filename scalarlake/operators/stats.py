@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_tag, first_segment, is_finite, natural_key
 from ..schemas import SERIES
+from .ordered import with_place
 
 
 def tag_stats(points: DataFrame) -> DataFrame:
@@ -45,13 +46,41 @@ def run_totals(stats: DataFrame) -> DataFrame:
     return stats.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("num_tags"),
         F.sum("count").alias("num_rows"),
-        F.coalesce(F.min("min_step"), F.lit(0)).alias("step_min"),
-        F.coalesce(F.max("max_step"), F.lit(0)).alias("step_max"),
+        F.min("min_step").alias("step_min"),
+        F.max("max_step").alias("step_max"),
     )
 
 
+def pass_rows(files: DataFrame, stats: DataFrame, known: DataFrame, texts: DataFrame, bad: DataFrame) -> DataFrame:
+    """Per run, what a pass added.
+
+    ``files``: (run_id, size, mtime, start, consumed, first_rec, records, is_new) of the files it read, ``stats`` the
+    statistics of its series, ``known`` (run_id, tag) of series that were there before, ``texts`` (run_id) a row for each of
+    its texts, ``bad`` (run_id) one for each undecodable record.  Every table is aggregated before it is joined.
+    """
+    read = files.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if("is_new").alias("new_files"), F.sum(F.col("consumed") - F.col("start")).alias("bytes"),
+        F.sum(F.col("records") - F.col("first_rec")).alias("records"), F.max("mtime").alias("updated_at"))
+    totals = run_totals(stats).withColumnsRenamed({"num_rows": "new_rows"}).drop("num_tags")
+    fresh = stats.join(known.select(*SERIES).distinct(), SERIES, "left_anti").groupBy("run_id").agg(F.count(F.lit(1)).alias("new_tags"))
+    out = read.join(totals, "run_id", "left").join(fresh, "run_id", "left")
+    for rows, name in ((texts, "new_texts"), (bad, "bad_records")):
+        out = out.join(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name)), "run_id", "left")
+    counts = ("new_rows", "new_tags", "new_texts", "bad_records")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+
+def fold_passes(passes: DataFrame) -> DataFrame:
+    """Runs from what each pass added: sums, extents of the steps, newest modification."""
+    return passes.groupBy("run_id").agg(
+        F.sum("new_tags").alias("num_tags"), F.sum("new_rows").alias("num_rows"),
+        F.coalesce(F.min("step_min"), F.lit(0)).alias("step_min"), F.coalesce(F.max("step_max"), F.lit(0)).alias("step_max"),
+        F.sum("new_files").alias("num_event_files"), F.max("updated_at").alias("updated_at"),
+        F.sum("bad_records").alias("bad_records"))
+
+
 def files_per_run(files: DataFrame) -> DataFrame:
-    """Change signature: event files per run and newest modification time."""
+    """Event files per run and newest modification time."""
     return files.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("num_event_files"), F.max("mtime").alias("updated_at")
     )
@@ -66,16 +95,16 @@ def step_extent(runs: DataFrame) -> DataFrame:
 
 
 def group_counts(tags: DataFrame) -> DataFrame:
-    """Tags per top-level group, with the group's position in natural tag order.
+    """Tags per top-level group, with the group's position (from 0) in natural tag order.
 
-    The number of groups is small next to the number of tags; they are ordered by
-    the natural key of their first tag.
+    A group stands where the first of its tags does.  Tags are reduced to one row per group
+    before anything is ordered.
     """
     t = tags.select("tag").distinct()
-    first = F.min(F.struct(natural_key(F.col("tag")).alias("key"), F.col("tag")))
-    return t.groupBy(first_segment(F.col("tag")).alias("group")).agg(
-        F.count(F.lit(1)).alias("tags"), first["tag"].alias("first_tag")
-    )
+    first = F.min(F.struct(natural_key(F.col("tag")).alias("key"), F.col("tag").alias("tag")))
+    groups = t.groupBy(first_segment(F.col("tag")).alias("group")).agg(F.count(F.lit(1)).alias("tags"), first.alias("_first"))
+    groups = groups.select("group", "tags", F.col("_first.tag").alias("first_tag"), F.col("_first.key").alias("_key"))
+    return with_place(groups, "_key", ["first_tag"], "position").select("group", "tags", "first_tag", "position")
 
 
 def single_points(points: DataFrame, value: str = "value") -> DataFrame:

@@ -32,6 +32,12 @@ def run_summary(
     out = files.join(run_totals(stats), "run_id", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("num_tags", "num_rows", "step_min", "step_max")]
     out = out.select("run_id", "num_event_files", "updated_at", *zero)
+    return described(out, text_tags, configs, names)
+
+
+def described(out: DataFrame, text_tags: DataFrame | None = None, configs: DataFrame | None = None,
+              names: DataFrame | None = None) -> DataFrame:
+    """Runs with the number of their text tags, their configuration and their name."""
     if text_tags is not None:
         counted = text_tags.select("run_id", "tag").distinct().groupBy("run_id").agg(
             F.count(F.lit(1)).alias("num_text_tags")

@@ -69,6 +69,31 @@ RUN_NAMES = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+# What a pass added to a run: a row that adds up over passes, so that listing runs reads no other
+# big table, and counters of the pass.  ``new_tags``, ``new_files`` were not there before it.
+PASSES = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("files", T.LongType()),
+    T.StructField("new_files", T.LongType()),
+    T.StructField("bytes", T.LongType()),
+    T.StructField("records", T.LongType()),
+    T.StructField("bad_records", T.LongType()),
+    T.StructField("new_rows", T.LongType()),
+    T.StructField("new_tags", T.LongType()),
+    T.StructField("new_texts", T.LongType()),
+    T.StructField("step_min", T.LongType()),
+    T.StructField("step_max", T.LongType()),
+    T.StructField("updated_at", T.DoubleType()),
+    T.StructField("seq", T.LongType()),
+])
+
+# Tags that hold text, by pass; void where the text is.
+TEXT_TAGS = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("tag", T.StringType()),
+    T.StructField("seq", T.LongType()),
+])
+
 # Written last by a text backfill.  Where ``replaces``, older text of the run is void.
 BACKFILLS = T.StructType([
     T.StructField("run_id", T.StringType()),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_config_value
+from .files import exists
 
 # The keys kept as run metadata.
 CONFIG_KEYS = (
@@ -40,12 +41,9 @@ def read_configs(spark: SparkSession, runs_dir: str, flat_run_id: str | None = N
     """Configuration of every run below ``runs_dir`` (of the folder itself in a flat layout)."""
     root = runs_dir.rstrip("/")
     pattern = f"{root}/config.yaml" if flat_run_id else f"{root}/*/config.yaml"
-    try:
-        files = spark.read.option("wholetext", True).text(pattern)
-    except Exception as ex:  # no run has a configuration
-        if "PATH_NOT_FOUND" not in str(ex):
-            raise
+    if not exists(spark, pattern):  # no run has a configuration
         return spark.createDataFrame([], "run_id string, key string, value string")
+    files = spark.read.option("wholetext", True).text(pattern)
     run = F.lit(flat_run_id) if flat_run_id else F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -2)
     text = F.regexp_replace("value", "\r\n?", "\n")
     lines = files.select(run.alias("run_id"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))

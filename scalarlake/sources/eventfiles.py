@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -199,7 +199,7 @@ def register(spark: SparkSession) -> None:
 
 
 def list_event_files(spark: SparkSession, root: str, runs: list[str] | None = None) -> DataFrame:
-    """Event files of all (or the given) runs; order by ``relkey`` for a stable listing."""
+    """Event files of all (or the given) runs; see ``in_order`` for a stable listing."""
     register(spark)
     reader = spark.read.format("eventfiles")
     if runs is not None:
@@ -207,6 +207,12 @@ def list_event_files(spark: SparkSession, root: str, runs: list[str] | None = No
     return with_prefix(reader.load(qualified(spark, root)))
 
 
+def in_order(listing: DataFrame) -> DataFrame:
+    """Files with their ``place`` in the run, from 0, by relative key."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("relkey")) - 1
+    return listing.withColumn("place", place.cast("long"))
+
+
 def with_prefix(listing: DataFrame) -> DataFrame:
     """Adds what stands before the tags of a file: its folder without timestamp and id parts."""
     return listing.withColumn("prefix", clean_path(F.regexp_extract("relkey", "^(.*)/[^/]*$", 1)))

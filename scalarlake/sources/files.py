@@ -24,6 +24,13 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or pattern matches anything; asked of the driver's file system, without a failing query."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def filesystem(path: str):
     """(Arrow file system, path in it)."""
     from pyarrow import fs

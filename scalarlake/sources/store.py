@@ -3,7 +3,7 @@
     <root>/generations/            one row per generation; the greatest one is read
     <root>/gen=<g>/scalars/seg=<s>/run_id=<r>/*.parquet   sorted by tag, step
     <root>/gen=<g>/texts/seg=<s>/run_id=<r>/*.parquet
-    <root>/gen=<g>/{tag_stats,configs,names,backfills,files}/seg=<s>/*.parquet
+    <root>/gen=<g>/{tag_stats,configs,names,text_tags,passes,backfills,files}/seg=<s>/*.parquet
 
 A pass writes ``files`` (a text backfill: ``backfills``) last, which makes its segment a finished one.
 
@@ -26,11 +26,13 @@ from ..functions.scalar import clean_tag, text_digest
 from ..operators import reshape, select, stats, texts
 from ..operators.dedup import latest
 from ..plans import series as series_plans
-from ..plans.runs import run_summary
+from ..plans.runs import described, run_summary
+from .files import exists
 
 TABLES = {
     "scalars": S.SCALARS, "texts": S.TEXTS, "tag_stats": S.TAG_STATS,
-    "configs": S.CONFIGS, "names": S.RUN_NAMES, "backfills": S.BACKFILLS, "files": S.FILES,
+    "configs": S.CONFIGS, "names": S.RUN_NAMES, "text_tags": S.TEXT_TAGS, "passes": S.PASSES,
+    "backfills": S.BACKFILLS, "files": S.FILES,
 }
 BY_RUN = ("scalars", "texts")
 ROW_GROUP_BYTES = 8 * 1024 * 1024  # about 256,000 scalar rows
@@ -95,17 +97,14 @@ class Store:
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         """Always with an explicit schema: run ids such as ``001`` must stay text."""
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except Exception as ex:
-            if "PATH_NOT_FOUND" not in str(ex):
-                raise
+        if not exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
     def table(self, name: str) -> DataFrame:
         """Rows of all segments; of text, those that no later backfill has replaced."""
         t = self._stored(name)
-        if name != "texts":
+        if name not in ("texts", "text_tags"):
             return t
         void = self._stored("backfills").filter("replaces").groupBy("run_id").agg(F.max("seq").alias("_from"))
         current = F.coalesce(F.col("seq"), F.lit(0)) >= F.coalesce(F.col("_from"), F.lit(0))
@@ -160,9 +159,33 @@ class Store:
         return self.table("files").select("run_id").distinct().orderBy("run_id")
 
     def list_runs(self) -> DataFrame:
+        """Runs from the rows that passes left (``passes``): neither points nor texts nor statistics of tags are read.
+
+        Only runs whose rows do not add up are counted from the statistics of their tags: two of their passes ran
+        at the same time (both may have counted a tag as new), or a segment was written by hand.
+        """
         now = self.snapshot()
-        text_tags = now.table("texts").select("run_id", "tag")
-        return run_summary(now.tag_stats(), stats.files_per_run(now.files()), text_tags, now.configs(), now.names())
+        passes, written = now.table("passes"), now.table("files").select("run_id", "seg").distinct()
+        odd = passes.groupBy("run_id", "seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("run_id")
+        odd = odd.unionByName(written.join(passes, ["run_id", "seg"], "left_anti").select("run_id")).distinct()
+        kept = stats.fold_passes(passes).drop("bad_records")
+        if not odd.isEmpty():
+            counted = now.counted_runs(odd)
+            kept = kept.join(odd, "run_id", "left_anti").unionByName(counted.select(*kept.columns))
+        return described(kept, now.table("text_tags"), now.configs(), now.names())
+
+    def counted_runs(self, runs: DataFrame | None = None) -> DataFrame:
+        """The same totals counted from the statistics of all tags."""
+        some = lambda df: df if runs is None else df.join(runs, "run_id", "left_semi")
+        folded = stats.fold_stats(some(self.table("tag_stats")), order=["seq", "seg"])
+        return run_summary(folded, stats.files_per_run(some(self.files())))
+
+    def passes(self, seg: int | None = None) -> DataFrame:
+        """Counters of each pass: runs, files, bytes, records, undecodable records, rows, texts, tags that were new."""
+        rows = self.table("passes")
+        rows = rows if seg is None else rows.filter(F.col("seg") == seg)
+        sums = [F.sum(c).alias(c) for c in ("files", "new_files", "bytes", "records", "bad_records", "new_rows", "new_tags", "new_texts")]
+        return rows.groupBy("seg", "seq").agg(F.count(F.lit(1)).alias("runs"), *sums)
 
     def tag_names(self, runs: Sequence[str] | None = None) -> DataFrame:
         return select.tag_names(self.table("tag_stats"), runs)
@@ -183,11 +206,12 @@ class Store:
         return texts.collapse(select.restrict(self.table("texts"), runs))
 
     def text_tags(self, runs=None) -> DataFrame:
-        return select.restrict(self.table("texts"), runs).select("run_id", "tag").distinct()
+        return select.restrict(self.table("text_tags"), runs).select("run_id", "tag").distinct()
 
     def text_index(self, runs=None) -> DataFrame:
         now = self.snapshot()
-        return texts.text_index(now.texts(runs), now.names())
+        entries = texts.collapse(select.restrict(now.table("texts"), runs).drop("text"))
+        return texts.text_index(entries, now.names())
 
     def get_text(self, run_id: str, tag: str, i: int) -> str | None:
         wanted = self.spark.createDataFrame([(run_id, tag, i)], "run_id string, tag string, i long")
@@ -224,6 +248,9 @@ class Store:
         # Text that a backfill replaced is left out, so its mark is no longer needed.
         once = change("texts", merged.table("texts")).drop("seg").dropDuplicates(["run_id", "tag", "step", "src", "rec"])
         write_segment(once, at["texts"], "texts")
+        tagged = change("texts", merged.table("text_tags")).groupBy("run_id", "tag").agg(F.max("seq").alias("seq"))
+        write_segment(tagged, at["text_tags"], "text_tags")
+        write_segment(merged._folded_passes(self._read(at["tag_stats"], S.TAG_STATS), seq), at["passes"], "passes")
         write_segment(merged.configs().withColumn("seq", F.lit(seq)), at["configs"], "configs")
         write_segment(merged.names().withColumn("seq", F.lit(0)), at["names"], "names")
         write_segment(merged.files().withColumn("seq", F.lit(seq)), at["files"], "files")
@@ -248,9 +275,33 @@ class Store:
                 elif name == "tag_stats":
                     points = self._read(self.path("scalars", seg, new), S.SCALARS)
                     df = stats.tag_stats(points).withColumn("seq", F.lit(one.next_seq() - 1))
+                elif name == "text_tags":
+                    df = change("texts", df).distinct()
+                elif name == "passes":
+                    df = self._carried_passes(df, seg, new)
                 write_segment(df, self.path(name, seg, new), name)
         return known | set(later)
 
+    def _folded_passes(self, tag_stats: DataFrame, seq: int) -> DataFrame:
+        """One row per run for all its passes; tags and rows as they are after merging."""
+        p = self.table("passes")
+        past = p.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("bytes", "bad_records", "new_texts")])
+        seen = self.files()
+        read = seen.groupBy("run_id").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.max("mtime").alias("updated_at"))
+        totals = stats.run_totals(tag_stats).withColumnsRenamed({"num_tags": "new_tags", "num_rows": "new_rows"})
+        out = read.join(past, "run_id", "left").join(totals, "run_id", "left").withColumn("new_files", F.col("files"))
+        counts = ("bytes", "bad_records", "new_texts", "new_tags", "new_rows")
+        return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}).withColumn("seq", F.lit(seq))
+
+    def _carried_passes(self, rows: DataFrame, seg: int, new: int) -> DataFrame:
+        """A later pass on top of generation ``new``: rows and tags are counted again, under the names they have there."""
+        there = Store(self.spark, self.root, new)._stored("tag_stats")
+        mine, known = there.filter(F.col("seg") == seg), there.filter(F.col("seg") != seg)
+        totals = stats.run_totals(mine).withColumnsRenamed({"num_rows": "new_rows"}).drop("num_tags")
+        fresh = mine.join(known, S.SERIES, "left_anti").groupBy("run_id").agg(F.count(F.lit(1)).alias("new_tags"))
+        out = rows.drop("new_rows", "new_tags", "step_min", "step_max").join(totals, "run_id", "left").join(fresh, "run_id", "left")
+        return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("new_rows", "new_tags")})
+
     def clone_run(self, run_id: str, copies: int, prefix: str, seg: int) -> None:
         """Numbered copies of a run, as one new segment (for scale tests)."""
         seq = self.next_seq()
@@ -260,6 +311,7 @@ class Store:
         one["names"] = reshape.fan_out_names(self.names().filter(F.col("run_id") == run_id), copies, prefix)
         one["files"] = self.files().filter(F.col("run_id") == run_id)
         one["configs"] = self.configs().filter(F.col("run_id") == run_id)
+        one["passes"] = self.snapshot()._folded_passes(one["tag_stats"], seq).filter(F.col("run_id") == run_id)
         for name, df in one.items():
             out = df if name == "names" else reshape.fan_out(df, copies, prefix)
             out = out.withColumn("seq", F.lit(seq)) if "seq" in TABLES[name].names else out

@@ -18,9 +18,10 @@ import logging
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from .. import schemas as S
 from ..functions.scalar import text_digest
@@ -30,10 +31,11 @@ from ..operators.select import display_name
 from ..sources import eventfiles
 from ..sources.config import read_configs
 from ..sources.files import filesystem, qualified
-from ..sources.store import Store, write_segment
+from ..sources.store import TABLES, Store, write_segment
 
 log = logging.getLogger(__name__)
 
+COUNTERS = ("files", "new_files", "bytes", "records", "bad_records", "new_rows", "new_tags", "new_texts")
 POLL_SECONDS = 10  # fixed value: default pause between passes
 
 
@@ -44,6 +46,7 @@ class Ingest:
     on_corrupt: str = "stop"
     split_bytes: int = eventfiles.SPLIT_BYTES
     names: DataFrame | None = None  # (run_id, display_name) given by the user
+    last_pass: dict | None = None  # counters of the last pass that wrote something
 
     @property
     def spark(self) -> SparkSession:
@@ -62,7 +65,8 @@ class Ingest:
             "run_id", "relkey", F.col("size").alias("_size"), F.col("consumed").alias("_at"), F.col("records").alias("_rec"))
         todo = listing.join(known, ["run_id", "relkey"], "left")
         return todo.filter(F.col("_size").isNull() | (F.col("size") > F.col("_size"))).select(
-            *listing.columns, F.coalesce("_at", F.lit(0)).alias("start"), F.coalesce("_rec", F.lit(0)).alias("first_rec"))
+            *listing.columns, F.coalesce("_at", F.lit(0)).alias("start"), F.coalesce("_rec", F.lit(0)).alias("first_rec"),
+            F.col("_size").isNull().alias("is_new"))
 
     def shrunk(self, listing: DataFrame) -> DataFrame:
         """Files that are now smaller than what was read; they are not read again."""
@@ -76,7 +80,7 @@ class Ingest:
         store = self.store
         gen = store.generation()
         seq = F.lit(store.next_seq(without=seg)).cast("long")
-        at = {n: store.path(n, seg, gen) for n in ("scalars", "texts", "tag_stats", "files", "configs", "names")}
+        at = {n: store.path(n, seg, gen) for n in TABLES if n != "backfills"}
         work = f"{store.root}/work/seg={seg}"
 
         self.plan(listing, without=seg).write.mode("overwrite").parquet(f"{work}/plan")
@@ -97,6 +101,7 @@ class Ingest:
         write_segment(texts.withColumn("seq", seq), at["texts"], "texts")
         points = store._read(at["scalars"], S.SCALARS)
         write_segment(stats.tag_stats(points).withColumn("seq", seq), at["tag_stats"], "tag_stats")
+        write_segment(texts.select("run_id", "tag").distinct().withColumn("seq", seq), at["text_tags"], "text_tags")
 
         touched = plan.select("run_id").distinct()
         flat = eventfiles.run_of_flat_folder(self.root) if self._is_flat() else None
@@ -109,6 +114,14 @@ class Ingest:
             F.max("offset").alias("consumed"), F.max("rec").alias("records"))
         files = plan.join(ends, ["run_id", "relkey"], "left").withColumns({
             "consumed": F.coalesce("consumed", "start"), "records": F.coalesce("records", "first_rec")})
+        known = Store(self.spark, store.root, gen).table("tag_stats").filter(F.col("seg") != seg).join(touched, "run_id", "left_semi")
+        added = stats.pass_rows(files, store._read(at["tag_stats"], S.TAG_STATS), known, texts.select("run_id"),
+                                rows.filter("kind = 'bad'").select("run_id"))
+        # Counted while the rows are written, without a job of its own.
+        seen = Observation(f"pass {seg}")
+        added = added.observe(seen, F.count(F.lit(1)).alias("runs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
+        write_segment(added.withColumn("seq", seq), at["passes"], "passes")
+        self.last_pass = {"seg": seg, **seen.get}
         write_segment(files.withColumn("seq", seq), at["files"], "files")
         self._discard(work)
         return True
@@ -208,6 +221,7 @@ class Ingest:
         found.drop("kind").write.mode("overwrite").parquet(f"{work}/texts")
         found = self.spark.read.parquet(f"{work}/texts")
         write_segment(found, store.path("texts", seg), "texts")
+        write_segment(found.select("run_id", "tag").distinct().withColumn("seq", seq), store.path("text_tags", seg), "text_tags")
         # The mark comes last: from here on readers skip the older text, which compaction removes.
         marks = files.select("run_id").distinct().withColumns({"replaces": F.lit(force and full), "seq": seq})
         write_segment(marks, store.path("backfills", seg), "backfills")
@@ -218,18 +232,43 @@ class Ingest:
     # -- progress -------------------------------------------------------------------
 
     def report(self, seg: int) -> DataFrame:
-        """Per run: points and tags a pass added, and event files it read."""
-        s = self.store.table("tag_stats").filter(F.col("seg") == seg)
-        points = s.groupBy("run_id").agg(F.sum("count").alias("new_rows"), F.count(F.lit(1)).alias("tags"))
-        files = self.store.table("files").filter(F.col("seg") == seg).groupBy("run_id").agg(F.count(F.lit(1)).alias("files"))
-        zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("new_rows", "tags")]
-        return files.join(points, "run_id", "left").select("run_id", "files", *zero)
+        """Per run: points and tags a pass added, event files and records it read, and records that could not be decoded."""
+        rows = self.store.table("passes").filter(F.col("seg") == seg)
+        tags = self.store.table("tag_stats").filter(F.col("seg") == seg).groupBy("run_id").agg(F.count(F.lit(1)).alias("tags"))
+        return rows.join(tags, "run_id", "left").select(
+            "run_id", "files", "new_rows", F.coalesce("tags", F.lit(0)).alias("tags"), "records", "bad_records")
 
 
 def _odd_segment() -> int:
     return 2 * int(time.time() * 1000) + 1
 
 
-def status(query: StreamingQuery) -> dict:
-    """What a running query is doing, and its last pass."""
-    return {"status": query.status, "last": query.lastProgress, "error": str(query.exception() or "") or None}
+class PassLog(StreamingQueryListener):
+    """What ingest queries did, as Spark reports it: a row for each poll that found something, and how queries ended.
+
+    Attach with ``spark.streams.addListener(log)``.  Only the last ``keep`` rows are held.
+    """
+
+    def __init__(self, keep: int = 100):
+        self.keep, self.polls, self.ended = keep, [], []
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        if p.numInputRows:
+            self.polls = [*self.polls, {"query": str(p.id), "batch": p.batchId, "files": p.numInputRows,
+                                        "at": p.timestamp, "milliseconds": p.batchDuration}][-self.keep:]
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended = [*self.ended, {"query": str(event.id), "error": event.exception}][-self.keep:]
+
+
+def status(query: StreamingQuery, job: Ingest | None = None) -> dict:
+    """What a running query is doing, its last poll, and the counters of the job's last pass."""
+    return {"status": query.status, "last": query.lastProgress, "pass": job.last_pass if job else None,
+            "error": str(query.exception() or "") or None}

@@ -8,7 +8,7 @@ import pytest
 
 from scalarlake.sources import eventfiles as ef
 from scalarlake.sources.store import Store, import_nested_texts, nested_texts
-from scalarlake.streaming.ingest import Ingest, status
+from scalarlake.streaming.ingest import Ingest, PassLog, status
 
 
 def ev(step, value, wall=None, tag="loss"):
@@ -131,6 +131,56 @@ def test_replay_rewrites_its_segment(ingest, spark):
     assert report == {"run_a": (2, 3), "001": (1, 1)}
 
 
+def listed(store):
+    cols = ("run_id", "num_tags", "num_rows", "step_min", "step_max", "num_event_files", "updated_at")
+    counted = sorted(tuple(r[c] for c in cols) for r in store.counted_runs().collect())
+    assert sorted(tuple(r[c] for c in cols) for r in store.list_runs().collect()) == counted
+    return counted
+
+
+def test_run_rows_add_up(ingest, spark):
+    """Listing sums what passes left and equals a count of everything, also after maintenance and odd passes."""
+    store, root = ingest.store, ingest.runs_dir
+    ingest.write(ef.list_event_files(spark, root), 0)
+    first = listed(store)
+    w.write(f"{root}/run_a/events.out.tfevents.1", ev(7, 1.0), ev(7, 1.0, tag="new"), b"\x07\x07", ev(9, 1.0), append=True)
+    w.write(f"{root}/run_c/events.out.tfevents.1", w.event(0, 1.0, w.strings("note", ["only text"])))
+    ingest.write(ef.list_event_files(spark, root), 2)
+    assert ingest.last_pass == {"seg": 2, "runs": 2, "files": 2, "new_files": 1, "bytes": ingest.last_pass["bytes"], "records": 4,
+                                "bad_records": 1, "new_rows": 2, "new_tags": 1, "new_texts": 1}
+    got = {r.seg: (r.runs, r.files, r.records, r.bad_records, r.new_rows, r.new_tags, r.new_texts) for r in store.passes().collect()}
+    assert got == {0: (2, 3, 5, 0, 4, 3, 1), 2: (2, 2, 4, 1, 2, 1, 1)}
+    assert len(listed(store)) == 3 and len(first) == 2
+    plan = store.list_runs()._jdf.queryExecution().executedPlan().toString()
+    assert "text:string" not in plan and "/scalars" not in plan and "/texts" not in plan and "/tag_stats" not in plan
+    # a replay, which writes the same row again; two passes of one number; a segment without a row
+    ingest.write(ef.list_event_files(spark, root), 2)
+    listed(store)
+    part = store.table("passes").filter("seg = 2 and run_id = 'run_a'").drop("seg")
+    part.write.parquet(store.path("passes", 5))
+    assert [r.num_tags for r in store.list_runs().filter("run_id = 'run_a'").collect()] == [3]
+    store.compact()
+    ingest.write(ef.list_event_files(spark, root), 8)
+    assert len(listed(store)) == 3
+    store.clone_run("run_a", 2, "copy_", 1)
+    assert [r[:3] for r in listed(store) if r[0].startswith("copy")] == [("copy_000", 3, 5), ("copy_001", 3, 5)]
+
+
+def test_pass_log(ingest, spark):
+    log = PassLog()
+    spark.streams.addListener(log)
+    try:
+        ingest.scan_once()
+        for _ in range(50):
+            if log.ended:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    assert [(p["batch"], p["files"]) for p in log.polls] == [(0, 3)] and [e["error"] for e in log.ended] == [None]
+    assert ingest.last_pass["new_rows"] == 4 and ingest.last_pass["bad_records"] == 0
+
+
 def test_chunks_equal_at_once(spark, tmp_path):
     """Ingest in several passes gives the same series as in one."""
     root, events = str(tmp_path / "runs"), [ev(i % 40, i / 3, wall=i) for i in range(100)]
@@ -224,10 +274,10 @@ def test_status_and_polling(spark, ingest):
             if ingest.store.table("files").count() == 3:
                 break
             time.sleep(1)
-        state = status(q)
+        state = status(q, ingest)
     finally:
         q.stop()
-    assert state["error"] is None and "message" in state["status"]
+    assert state["error"] is None and "message" in state["status"] and state["pass"]["runs"] == 2
     assert points(ingest.store) == BASE
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scalarlake.session import shared_dir
 from scalarlake.sources.files import qualified
@@ -34,7 +35,9 @@ def _bytes(field: int, data: bytes) -> bytes:
 
 
 def encode(tag: str, step: int, wall: float, value: float | None, text: str | None) -> bytes:
-    """One framed record; field numbers are those of the public Event message."""
+    """One framed record; field numbers are those of the public Event message.  Without value and text it is not decodable."""
+    if text is None and value is None:
+        return framed(b"\x07\x07\x07")
     if text is None:
         body = _varint(2 << 3 | 5) + struct.pack("<f", value)
     else:
@@ -44,10 +47,10 @@ def encode(tag: str, step: int, wall: float, value: float | None, text: str | No
     return framed(event)
 
 
-def write_event_files(rows: DataFrame, folder: str, part: str) -> None:
-    """Write rows (run_id, tag, step, wall_time, value, text) below ``folder``.
+def write_event_files(rows: DataFrame, folder: str, part: str, below: str = "") -> None:
+    """Write rows (run_id, tag, step, wall_time, value, text, rec) below ``folder``, in a sub-folder ``below`` of each run.
 
-    Each task writes one file per run it sees; a retried task writes the same file again.
+    Each task writes one file per run it sees, by ``rec``; a retried task writes the same file again.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,14 +66,36 @@ def write_event_files(rows: DataFrame, folder: str, part: str) -> None:
                     if out is not None:
                         out.close()
                     run = r.run_id
-                    filesystem.create_dir(f"{base}/{run}", recursive=True)
-                    out = filesystem.open_output_stream(f"{base}/{run}/{name}")
-                out.write(encode(r.tag, r.step, r.wall_time, r.value, r.text))
+                    at = f"{base}/{run}/{below}".rstrip("/")
+                    filesystem.create_dir(at, recursive=True)
+                    out = filesystem.open_output_stream(f"{at}/{name}")
+                value = None if r.empty else r.value
+                out.write(encode(r.tag, r.step, r.wall_time, value, r.text))
                 n += 1
         if out is not None:
             out.close()
         yield pd.DataFrame({"n": [n]})
 
     folder = qualified(rows.sparkSession, folder)
-    cols = rows.selectExpr("run_id", "tag", "step", "wall_time", "cast(value as double) value", "text")
-    cols.sortWithinPartitions("run_id").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+    cols = rows.selectExpr("run_id", "tag", "step", "wall_time", "cast(value as double) value", "text", "rec",
+                           "value is null and text is null empty")
+    cols.sortWithinPartitions("run_id", "rec").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+
+
+def write_configs(lines: DataFrame, folder: str) -> None:
+    """Write rows (run_id, line_no, line) as ``config.yaml`` of each run."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from scalarlake.sources.files import filesystem as of
+
+        filesystem, base = of(folder)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                filesystem.create_dir(f"{base}/{r.run_id}", recursive=True)
+                with filesystem.open_output_stream(f"{base}/{r.run_id}/config.yaml") as out:
+                    out.write("\n".join(r.lines).encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    folder = qualified(lines.sparkSession, folder)
+    texts = lines.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
+    texts.mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()

@@ -159,8 +159,11 @@ where run_id in ('run_F', 'run_missing')"""
 ORACLE["files_per_run"] = with_views("sc_events") + """
 select run_id, count(distinct src) num_event_files, round(max(wall_time), 6) updated_at from sc_events group by all"""
 ORACLE["group_counts"] = with_views("sc_events", "sc_lineitem") + """,
-  t as (select tag from sc_events union select tag from sc_lineitem)
-select split_part(tag, '/', 1) "group", count(*) tags, min(tag) first_tag from t group by all"""
+  t as (select tag from sc_events union select tag from sc_lineitem union
+        select concat('Net', c_nationkey, '/', c_mktsegment) from customer),
+  g as (select split_part(tag, '/', 1) "group", count(*) tags, min(tag) first_tag from t group by all)
+select *, row_number() over (order by lower(regexp_replace("group", '[0-9]+', '')), coalesce(try_cast(regexp_extract("group", '[0-9]+') as int), -1)) - 1 as "position"
+from g"""
 
 ORACLE["tag_names"] = with_views("sc_events") + """
 select distinct tag from sc_events where run_id in ('run_0', 'run_1')"""
@@ -386,3 +389,44 @@ ORACLE["ingest_retag_compact"] = with_views("sc_dirty") + f""",
 """ + LATEST.format(v="x") + """
 select run_id, tag, count(*) as count, min(step) min_step, max(step) max_step,
        round(arg_max(value, step)::double, 6) last_value from x_d group by all"""
+
+ORACLE["event_file_cut"] = with_views("sc_events") + """
+select concat(run_id, '/', tag) tag, step, round(wall_time, 6) wall_time,
+       case when isfinite(value) then round(value::double, 6) end as value, row_number() over (order by rec) - 1 record from sc_events"""
+ORACLE["event_file_texts"] = with_views("tx_docs") + """
+select run_id, tag, step, round(wall_time, 6) wall_time, text from tx_docs"""
+NESTED = with_views("sc_events") + """,
+  n as (select *, ['', 'metrics/20260618_101116_148035/auto/', '1700000000/', 'eval_10/'][rec % 4 + 1] below,
+               ['', 'metrics/auto', '', 'eval_10'][rec % 4 + 1] prefix from sc_events)"""
+ORACLE["event_file_listing"] = NESTED + """,
+  f as (select distinct run_id, below || 'events.out.tfevents.a.0' relkey, prefix from n)
+select *, row_number() over (partition by run_id order by relkey) - 1 place from f"""
+ORACLE["event_file_nested"] = NESTED + """
+select run_id, case when prefix = '' then tag else prefix || '/' || tag end tag, count(*) points, sum(step)::bigint steps from n group by 1, 2"""
+COUNTED = with_views("sc_events", "tx_labels", "cfg_lines") + """,
+  s as (select run_id, tag, step, case when rec % 3 > 0 then 0 else 2 end seg from sc_events
+        union all select 'run_z', 'z', rec, 2 from sc_events where rec = 1),
+  r as (select seg, run_id, count(*) n, 1 files from s where run_id <> 'run_z' group by all
+        union all select 2, run_id, count(*), 0 from tx_labels group by run_id
+        union all select 2, 'run_z', 2, 1),
+  f as (select seg, run_id, sum(n) n, greatest(max(files), 1) files from r group by all),
+  t as (select run_id, tag, min(seg) seg from s group by all),
+  p as (select seg, count(distinct (run_id, tag, step)) n from s group by all)"""
+ORACLE["ingest_counters"] = COUNTED + """
+select seg::bigint seg, count(*) runs, sum(files)::bigint files, sum(files)::bigint new_files, sum(f.n)::bigint records,
+       (case when seg = 2 then 1 else 0 end)::bigint bad_records, any_value(p.n) new_rows,
+       coalesce(any_value(g.n), 0)::bigint new_tags, (case when seg = 2 then (select count(*) from tx_labels) else 0 end)::bigint new_texts
+from f join p using (seg) left join (select seg, count(*) n from t group by seg) g using (seg) group by seg"""
+ORACLE["ingest_run_summary"] = COUNTED + """,
+  kv as (select run_id, trim(split_part(line, ':', 1)) as key,
+                arg_max(trim(trim(substr(line, instr(line, ':') + 1)), '"'), line_no) as value
+         from cfg_lines where line not like ' %' and line not like '#%' group by all),
+  c as (select run_id, string_agg(concat(key, '=', value), ';' order by key) config from kv group by all),
+  g as (select run_id, count(distinct tag) num_tags, min(step) a, max(step) b from s group by all),
+  w as (select run_id, sum(n) num_rows from (select run_id, seg, count(distinct (tag, step)) n from s group by all) group by all),
+  e as (select run_id, sum(files) files from f group by all),
+  x as (select run_id, count(distinct tag) n from tx_labels group by all)
+select e.run_id, e.run_id display_name, coalesce(num_tags, 0)::bigint num_tags, coalesce(num_rows, 0)::bigint num_rows,
+       files::bigint num_event_files, coalesce(a, 0)::bigint step_min, coalesce(b, 0)::bigint step_max,
+       coalesce(x.n, 0)::bigint num_text_tags, coalesce(config, '') config
+from e left join g using (run_id) left join w using (run_id) left join x using (run_id) left join c using (run_id)"""

@@ -200,7 +200,8 @@ def files_per_run(spark, sf):
 @query
 def group_counts(spark, sf):
     both = views.sc_events(spark, sf).select("tag").unionByName(views.sc_lineitem(spark, sf).select("tag"))
-    return stats.group_counts(both)
+    nets = views.table(spark, sf, "customer").selectExpr("concat('Net', c_nationkey, '/', c_mktsegment) tag")
+    return stats.group_counts(both.unionByName(nets))
 
 
 # --- selection ---------------------------------------------------------------
@@ -481,6 +482,80 @@ def event_file_scan(spark, sf):
     return rows.select(*SERIES, "kind", "step", r6("wall_time"), finite_or_null(F.round("value", 6)).alias("value"))
 
 
+@query
+def event_file_cut(spark, sf):
+    """One file that holds everything, cut into stretches by many tasks: each record with its number."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    ev = views.sc_events(spark, sf).withColumns({"text": F.lit(None).cast("string"), "tag": F.concat("run_id", F.lit("/"), "tag"), "run_id": F.lit("all")})
+    eventlog.write_event_files(ev.coalesce(1), folder, "a")
+    rows = eventfiles.read_events(eventfiles.list_event_files(spark, folder), split_bytes=1 << 14)
+    return rows.select("tag", "step", r6("wall_time"), finite_or_null(F.round("value", 6)).alias("value"),
+                       F.floor(F.col("rec") / eventfiles.REC_SCALE).alias("record"))
+
+
+@query
+def event_file_texts(spark, sf):
+    """Bodies of text records."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    tx = views.tx_docs(spark, sf).withColumn("value", F.lit(None).cast("float"))
+    eventlog.write_event_files(tx, folder, "a")
+    rows = eventfiles.read_events(eventfiles.list_event_files(spark, folder), "text")
+    return rows.select(*SERIES, "step", r6("wall_time"), "text")
+
+
+def _nested_files(spark, sf):
+    """Files in the run and below folders of which some are time stamps or ids."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    ev = views.sc_events(spark, sf).withColumn("text", F.lit(None).cast("string"))
+    for k, below in enumerate(("", "metrics/20260618_101116_148035/auto", "1700000000", "eval_10")):
+        eventlog.write_event_files(ev.filter(F.col("rec") % 4 == k).coalesce(1), folder, "a", below)
+    return eventfiles.list_event_files(spark, folder)
+
+
+@query
+def event_file_listing(spark, sf):
+    return eventfiles.in_order(_nested_files(spark, sf)).select("run_id", "relkey", "prefix", "place")
+
+
+@query
+def event_file_nested(spark, sf):
+    rows = eventfiles.read_events(_nested_files(spark, sf))
+    return rows.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("points"), F.sum("step").alias("steps"))
+
+
+def _counted(spark, sf):
+    """As _ingested, with configuration files, one file per run and step, and a file with an undecodable record."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    job = Ingest(Store(spark, eventlog.fresh_folder(spark, "store")), folder)
+    eventlog.write_configs(views.cfg_lines(spark, sf), folder)
+    ev = views.sc_events(spark, sf).withColumn("text", F.lit(None).cast("string"))
+    tx = views.tx_labels(spark, sf).withColumn("value", F.lit(None).cast("float"))
+    eventlog.write_event_files(ev.filter("rec % 3 > 0").coalesce(1), folder, "a")
+    job.write(eventfiles.list_event_files(spark, folder), 0)
+    eventlog.write_event_files(ev.filter("rec % 3 = 0").unionByName(tx, allowMissingColumns=True).coalesce(1), folder, "b")
+    three = ev.filter("rec between 1 and 3").withColumns({
+        "run_id": F.lit("run_z"), "tag": F.lit("z"), "step": F.col("rec"), "value": F.when(F.col("rec") != 2, F.col("rec").cast("float"))})
+    eventlog.write_event_files(three.coalesce(1), folder, "z")
+    job.write(eventfiles.list_event_files(spark, folder), 2)
+    return job
+
+
+@query
+def ingest_counters(spark, sf):
+    """What each of two passes read and added; the second meets a record that cannot be decoded."""
+    return _counted(spark, sf).store.passes().select(
+        "seg", "runs", "files", "new_files", "records", "bad_records", "new_rows", "new_tags", "new_texts")
+
+
+@query
+def ingest_run_summary(spark, sf):
+    """Runs as listed from what passes left, with configuration."""
+    runs = _counted(spark, sf).store.list_runs()
+    pairs = F.array_sort(F.transform(F.map_entries("config"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return runs.select("run_id", "display_name", "num_tags", "num_rows", "num_event_files", "step_min", "step_max",
+                       "num_text_tags", F.array_join(pairs, ";").alias("config"))
+
+
 @query
 def ingest_series(spark, sf):
     """Points of all runs after two incremental passes."""
