@@ -57,12 +57,7 @@ def first_segment(tag: Column) -> Column:
     return F.split(tag, "/")[0]
 
 
-def natural_key(name: Column) -> Column:
-    """Sort key under which ``layers.2`` comes before ``layers.10``.
-
-    Digit runs are written as their length and then their digits (leading zeros
-    dropped), so numbers of any size compare as numbers.
-    """
+def _numbers_as_digits(name: Column, letters) -> Column:
     parts = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
 
     def key(p):
@@ -70,11 +65,33 @@ def natural_key(name: Column) -> Column:
         return F.when(
             p.rlike("^[0-9]+$"),
             F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits),
-        ).otherwise(F.lower(p))
+        ).otherwise(letters(p))
 
     return F.array_join(F.transform(parts, key), "")
 
 
+def natural_key(name: Column) -> Column:
+    """Sort key under which ``layers.2`` comes before ``layers.10``.
+
+    Digit runs are written as their length and then their digits (leading zeros
+    dropped), so numbers of any size compare as numbers.
+    """
+    return _numbers_as_digits(name, F.lower)
+
+
+#: Order of the Unicode root locale: letters by base letter, then accent, then case (lower first).
+LOCALE = "UNICODE"
+
+
+def by_locale(name: Column) -> Column:
+    return F.collate(name, LOCALE)
+
+
+def locale_key(name: Column) -> Column:
+    """The natural key in the order of a locale: accents and case only decide where all else is equal."""
+    return by_locale(_numbers_as_digits(name, lambda p: p))
+
+
 def digit_mask(token: Column) -> Column:
     return F.regexp_replace(token, "[0-9]+", "#")
 

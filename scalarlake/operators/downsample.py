@@ -59,15 +59,17 @@ def bucket_number(k: Column, n: Column, max_points: int) -> Column:
     return F.when(k == 0, -1).when(k == n - 1, max_points - 2).otherwise(inner)
 
 
-def lttb(points: DataFrame, max_points: int) -> DataFrame:
+def lttb(points: DataFrame, max_points: int, counted: DataFrame | None = None) -> DataFrame:
     """Series of at most ``max_points`` points, keeping each series' shape.
 
     ``points`` is deduplicated (one row per run, tag and step).  Adds ``n``, the
     number of points before downsampling.  Series that are short enough, and all
     series when ``max_points`` < 3, are returned whole.  Non-finite values count
-    as 0 in areas and are returned as they are.
+    as 0 in areas and are returned as they are.  ``counted``: see ``stats.positions``.
     """
-    rows = with_position(with_step_levels(points), SERIES, STEP_LEVELS, ["step"])
+    if counted is not None:
+        counted = counted.select(*SERIES, *STEP_LEVELS, F.col("points").alias("_c"))
+    rows = with_position(with_step_levels(points), SERIES, STEP_LEVELS, ["step"], counted)
     if max_points < 3:
         return rows.select(*SERIES, "step", "wall_time", "value", "n")
     k, n = F.col("k"), F.col("n")

@@ -8,19 +8,19 @@ from ..schemas import SERIES
 from .ordered import STEP_LEVELS, running, with_step_levels
 
 
-def gap_markers(points: DataFrame, limit: int | None = None) -> DataFrame:
+def gap_markers(points: DataFrame, limit: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """One row per non-finite point of the full series; the earliest ``limit`` per series, if one is given.
 
     ``y`` anchors the marker to the previous finite value, else to the series'
     first finite value, else to 0.  Positions come from block offsets, so no series is
-    gathered to apply a limit.
+    gathered to apply a limit.  ``counted``: see ``stats.positions``.
     """
     rows = with_step_levels(points.select(*SERIES, "step", "wall_time", F.col("value").cast("double")))
     rows = rows.withColumn("_f", F.when(is_finite(F.col("value")), F.col("value")))
     block = [*SERIES, *STEP_LEVELS]
     bad = F.col("_f").isNull()
     finite_step = F.when(~bad, F.col("step"))
-    blocks = rows.groupBy(*block).agg(
+    blocks = counted.select(*block, "bad", "fin", "fin_head") if counted is not None else rows.groupBy(*block).agg(
         F.count_if(bad).alias("bad"),
         F.max_by("_f", finite_step).alias("fin"),
         F.min_by("_f", finite_step).alias("fin_head"),

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 BLOCK_BITS = 22
 
 STEP_LEVELS = ["_sup", "_blk"]
@@ -83,16 +85,20 @@ def running(
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str | Column]
+    df: DataFrame, keys: Sequence[str], levels: Sequence[str], order: Sequence[str | Column],
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``k``, the 0-based position in the group, and ``n``, the group's size.
 
     ``levels`` are columns that cut the order into nested blocks; ``order`` sorts
-    rows inside the innermost block.
+    rows inside the innermost block.  ``counted`` (keys, levels, ``_c``) gives the rows of each
+    block where they are known already; the table is then read once.
     """
     keys, levels = list(keys), list(levels)
     block = keys + levels
-    carry = running(df.groupBy(*block).agg(F.count(F.lit(1)).alias("_c")), keys, levels, sums=["_c"])
+    if counted is None:
+        counted = df.groupBy(*block).agg(F.count(F.lit(1)).alias("_c"))
+    carry = running(counted, keys, levels, sums=["_c"])
     local = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
     return (
         df.withColumn("_r", local)
@@ -117,6 +123,22 @@ def with_place(df: DataFrame, key: str, order: Sequence[str | Column], out: str
     return with_position(cut, [], levels, [key, *order]).withColumnRenamed("k", out).drop("n", *levels)
 
 
+def with_sorted_place(df: DataFrame, order: Sequence[str | Column], out: str = "place") -> DataFrame:
+    """Add ``out``, the 0-based position of each row of the whole table in any order that Spark can sort by.
+
+    The rows are sorted in ranges and checkpointed, each with its range and its number there, so that both are fixed; a
+    range adds the number of rows before it.  One number for each range is what meets in one task.
+    """
+    shared_dir(df.sparkSession)
+    here = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    fixed = dealt.withColumns({"_range": F.spark_partition_id(), "_r": here}).checkpoint()
+    sizes = fixed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return fixed.join(before, "_range").withColumn(out, F.col("_before") + F.col("_r")).drop("_range", "_r", "_before")
+
+
 def with_first(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Add ``out``, the ``value`` at the smallest step of the row's group."""
     block = [*keys, *STEP_LEVELS]

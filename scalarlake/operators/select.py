@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import contains_ignore_case, first_non_empty, natural_key, tag_matches
-
+from ..functions.scalar import by_locale, contains_ignore_case, first_non_empty, locale_key, tag_matches
+from .ordered import with_sorted_place
 
 
 def restrict(df: DataFrame, runs: Sequence[str] | DataFrame | None = None,
@@ -95,14 +95,40 @@ def display_name(given: Column, stored: Column, configured: Column, run_id: Colu
 
 
 def natural_order(tags: DataFrame) -> DataFrame:
-    return tags.orderBy(natural_key(F.col("tag")), "tag")
+    """Tags by locale, numbers in them as numbers."""
+    return tags.orderBy(locale_key(F.col("tag")), "tag")
+
+
+def natural_places(tags: DataFrame) -> DataFrame:
+    """The same as a column: ``place``, from 0."""
+    return with_sorted_place(tags, [locale_key(F.col("tag")), "tag"])
+
+
+def _by_name() -> list[Column]:
+    return [by_locale(F.col("display_name")), F.col("display_name"), F.col("run_id")]
 
 
 def runs_by_name(runs: DataFrame) -> DataFrame:
-    return runs.orderBy(F.lower("display_name"), "display_name", "run_id")
+    """Runs by display name, as their locale sorts it."""
+    return runs.orderBy(*_by_name())
+
 
+def run_places(runs: DataFrame) -> DataFrame:
+    """The same as a column: ``place``, from 0."""
+    return with_sorted_place(runs, _by_name())
 
-def in_request_order(df: DataFrame, runs: Sequence[str]) -> DataFrame:
-    """Order series rows as the request lists its runs, then by tag and step."""
-    place = F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run_id"))
-    return df.orderBy(place, "tag", "step")
+
+def request_keys(spark: SparkSession, runs: Sequence[str]) -> DataFrame:
+    """(run_id, place) of the runs of a request; a run that is asked for twice has two places."""
+    return spark.createDataFrame([(r, n) for n, r in enumerate(runs)], "run_id string, place long")
+
+
+def in_request_order(df: DataFrame, runs: Sequence[str] | DataFrame) -> DataFrame:
+    """Series rows with the ``place`` of their run in the request, sorted by place, tag and step.
+
+    ``runs`` lists the runs, or is a table (run_id, place).  Rows are dealt in ranges of that order, so that a run
+    or a series of any length is sorted by several tasks.
+    """
+    keys = runs if isinstance(runs, DataFrame) else request_keys(df.sparkSession, runs)
+    order = ["place", "tag", "step"]
+    return df.join(keys.select("run_id", "place"), "run_id").repartitionByRange(*order).sortWithinPartitions(*order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_tag, first_segment, is_finite, natural_key
 from ..schemas import SERIES
-from .ordered import with_place
+from .ordered import STEP_LEVELS, with_place, with_step_levels
 
 
 def tag_stats(points: DataFrame) -> DataFrame:
@@ -20,6 +20,19 @@ def tag_stats(points: DataFrame) -> DataFrame:
     )
 
 
+def positions(points: DataFrame) -> DataFrame:
+    """Position index of deduplicated points: per series and block of steps the points, those that are not finite, and
+    the first and last finite value.
+
+    A few rows per series.  Running positions and values follow from it without a pass over the points.
+    """
+    value = F.col("value").cast("double")
+    finite = F.when(is_finite(value), F.col("step"))
+    return with_step_levels(points).groupBy(*SERIES, *STEP_LEVELS).agg(
+        F.count(F.lit(1)).alias("points"), F.count_if(~is_finite(value)).alias("bad"),
+        F.max_by(value, finite).alias("fin"), F.min_by(value, finite).alias("fin_head"))
+
+
 def fold_stats(stats: DataFrame, tag=None, order=None) -> DataFrame:
     """Combine statistics of several parts of a series, or of tags that become one.
 

@@ -15,7 +15,7 @@ from ..operators.downsample import lttb
 from ..operators.gaps import gap_markers, gaps_in_window
 from ..operators.ordered import STEP_LEVELS, running, with_first, with_step_levels
 from ..operators.quantiles import outlier_range
-from ..operators.select import restrict, with_display_name
+from ..operators.select import in_request_order, restrict, with_display_name
 from ..operators.smooth import ema
 from ..operators.stats import single_points
 from ..schemas import SERIES
@@ -29,16 +29,29 @@ def check_max_points(max_points: int) -> None:
         raise ValueError("max_points must not be negative")
 
 
+def _placed(runs):
+    if runs is None or isinstance(runs, DataFrame) and "place" not in runs.columns:
+        raise ValueError("order needs a list of runs, or a table (run_id, place)")
+    return runs
+
+
 @dataclass
 class SeriesResult:
     """Long rows of downsampled points, and of the breaks in the full series."""
 
     points: DataFrame
     full: DataFrame
+    runs: Sequence[str] | DataFrame | None = None
+    counted: DataFrame | None = None
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return gap_markers(self.full)
+        return gap_markers(self.full, counted=self.counted)
+
+    @cached_property
+    def in_order(self) -> DataFrame:
+        """Points with ``place``, the position of their run in the request, sorted by place, tag and step."""
+        return in_request_order(self.points, _placed(self.runs))
 
 
 def get_series(
@@ -48,23 +61,29 @@ def get_series(
     max_points: int = 1500,
     names: DataFrame | None = None,
     deduplicated: bool = False,
+    counted: DataFrame | None = None,
 ) -> SeriesResult:
     """Downsampled series of the runs x tags that exist.
 
     ``points``: run_id, tag, step, wall_time, value (null where not finite), count
     (points before downsampling) and, with ``names``, display_name.
+
+    ``counted`` is the position index of the same rows (``stats.positions``), which must be deduplicated:
+    the points are then read in one scan.
     """
     check_max_points(max_points)
     chosen = restrict(scalars, runs, tags)
     rows = chosen.select(*SERIES, "step", "wall_time", "value") if deduplicated else latest(chosen)
-    points = lttb(rows, max_points).select(
+    if counted is not None:
+        counted = restrict(counted, runs, tags)
+    points = lttb(rows, max_points, counted).select(
         *SERIES, "step", "wall_time",
         finite_or_null(F.col("value").cast("double")).alias("value"),
         F.col("n").alias("count"),
     )
     if names is not None:
         points = with_display_name(points, names)
-    return SeriesResult(points, rows)
+    return SeriesResult(points, rows, runs, counted)
 
 
 def nested(points: DataFrame) -> DataFrame:
@@ -113,6 +132,11 @@ class View:
         out = self.visible if self.smooth is None else ema(self.visible, self.smooth)
         return relative_minutes(out) if self.x == "wall_time" else out
 
+    @cached_property
+    def in_order(self) -> DataFrame:
+        """Points in the order of the request's runs, see SeriesResult."""
+        return in_request_order(self.points, _placed(self.series.runs))
+
     @cached_property
     def gaps(self) -> DataFrame:
         """Markers inside the window; ``minutes`` counts from the first visible point."""

@@ -69,6 +69,18 @@ RUN_NAMES = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+# Position index of a segment's points, see ``stats.positions``.
+POSITIONS = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("tag", T.StringType()),
+    T.StructField("_sup", T.LongType()),
+    T.StructField("_blk", T.LongType()),
+    T.StructField("points", T.LongType()),
+    T.StructField("bad", T.LongType()),
+    T.StructField("fin", T.DoubleType()),
+    T.StructField("fin_head", T.DoubleType()),
+])
+
 # What a pass added to a run: a row that adds up over passes, so that listing runs reads no other
 # big table, and counters of the pass.  ``new_tags``, ``new_files`` were not there before it.
 PASSES = T.StructType([

@@ -24,11 +24,15 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
-def exists(spark: SparkSession, pattern: str) -> bool:
-    """Whether a path or pattern matches anything; asked of the driver's file system, without a failing query."""
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, as the driver's file system lists them: no file is opened and no query fails."""
     at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
-    return found is not None and len(found) > 0
+    return [f.getPath().toString() for f in found] if found is not None else []
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    return bool(matching(spark, pattern))
 
 
 def filesystem(path: str):

@@ -3,7 +3,7 @@
     <root>/generations/            one row per generation; the greatest one is read
     <root>/gen=<g>/scalars/seg=<s>/run_id=<r>/*.parquet   sorted by tag, step
     <root>/gen=<g>/texts/seg=<s>/run_id=<r>/*.parquet
-    <root>/gen=<g>/{tag_stats,configs,names,text_tags,passes,backfills,files}/seg=<s>/*.parquet
+    <root>/gen=<g>/{positions,tag_stats,configs,names,text_tags,passes,backfills,files}/seg=<s>/*.parquet
 
 A pass writes ``files`` (a text backfill: ``backfills``) last, which makes its segment a finished one.
 
@@ -27,10 +27,10 @@ from ..operators import reshape, select, stats, texts
 from ..operators.dedup import latest
 from ..plans import series as series_plans
 from ..plans.runs import described, run_summary
-from .files import exists
+from .files import exists, matching
 
 TABLES = {
-    "scalars": S.SCALARS, "texts": S.TEXTS, "tag_stats": S.TAG_STATS,
+    "scalars": S.SCALARS, "positions": S.POSITIONS, "texts": S.TEXTS, "tag_stats": S.TAG_STATS,
     "configs": S.CONFIGS, "names": S.RUN_NAMES, "text_tags": S.TEXT_TAGS, "passes": S.PASSES,
     "backfills": S.BACKFILLS, "files": S.FILES,
 }
@@ -115,8 +115,16 @@ class Store:
         return t if self._segments is None else t.filter(F.col("seg").isin(list(self._segments)))
 
     def _single_segment(self) -> bool:
-        """Whether scalars have one segment (already deduplicated when written)."""
-        return len(self.table("scalars").select("seg").distinct().limit(2).collect()) <= 1
+        """Whether scalars have one segment (already deduplicated when written); folders are listed, no file is opened."""
+        segs = {int(p.rsplit("=", 1)[1]) for p in matching(self.spark, f"{self.path('scalars')}/seg=*")}
+        return len(segs if self._segments is None else segs & set(self._segments)) <= 1
+
+    def _positions(self) -> DataFrame | None:
+        """The position index, if it covers what is read: one segment, written with its index."""
+        segs = {p.rsplit("=", 1)[1] for p in matching(self.spark, f"{self.path('scalars')}/seg=*")}
+        if not self._single_segment() or not all(exists(self.spark, f"{self.path('positions')}/seg={s}") for s in segs):
+            return None
+        return self.table("positions").drop("seg")
 
     # -- small tables, folded over segments -------------------------------------
 
@@ -196,7 +204,8 @@ class Store:
     def get_series(self, runs, tags, max_points: int = 1500) -> series_plans.SeriesResult:
         now = self.snapshot()
         return series_plans.get_series(
-            now.table("scalars"), runs, tags, max_points, now.names(), deduplicated=now._single_segment())
+            now.table("scalars"), runs, tags, max_points, now.names(), deduplicated=now._single_segment(),
+            counted=now._positions())
 
     def series_view(self, runs=None, tags=None, **options) -> series_plans.View:
         now = self.snapshot()
@@ -245,6 +254,7 @@ class Store:
         write_segment(latest(change("scalars", merged.table("scalars"))), at["scalars"], "scalars")
         points = self._read(at["scalars"], S.SCALARS)
         write_segment(stats.tag_stats(points).withColumn("seq", F.lit(seq)), at["tag_stats"], "tag_stats")
+        write_segment(stats.positions(points), at["positions"], "positions")
         # Text that a backfill replaced is left out, so its mark is no longer needed.
         once = change("texts", merged.table("texts")).drop("seg").dropDuplicates(["run_id", "tag", "step", "src", "rec"])
         write_segment(once, at["texts"], "texts")
@@ -275,6 +285,8 @@ class Store:
                 elif name == "tag_stats":
                     points = self._read(self.path("scalars", seg, new), S.SCALARS)
                     df = stats.tag_stats(points).withColumn("seq", F.lit(one.next_seq() - 1))
+                elif name == "positions":
+                    df = stats.positions(self._read(self.path("scalars", seg, new), S.SCALARS))
                 elif name == "text_tags":
                     df = change("texts", df).distinct()
                 elif name == "passes":
@@ -308,6 +320,7 @@ class Store:
         one = {n: self.table(n).filter(F.col("run_id") == run_id).drop("seg") for n in TABLES if n != "backfills"}
         one["scalars"] = latest(one["scalars"])
         one["tag_stats"] = self.tag_stats([run_id])
+        one["positions"] = stats.positions(one["scalars"])
         one["names"] = reshape.fan_out_names(self.names().filter(F.col("run_id") == run_id), copies, prefix)
         one["files"] = self.files().filter(F.col("run_id") == run_id)
         one["configs"] = self.configs().filter(F.col("run_id") == run_id)

@@ -101,6 +101,7 @@ class Ingest:
         write_segment(texts.withColumn("seq", seq), at["texts"], "texts")
         points = store._read(at["scalars"], S.SCALARS)
         write_segment(stats.tag_stats(points).withColumn("seq", seq), at["tag_stats"], "tag_stats")
+        write_segment(stats.positions(points), at["positions"], "positions")
         write_segment(texts.select("run_id", "tag").distinct().withColumn("seq", seq), at["text_tags"], "text_tags")
 
         touched = plan.select("run_id").distinct()

@@ -8,9 +8,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scalarlake.operators import downsample, gaps, ordered, quantiles, smooth, stats
+from scalarlake.operators import downsample, gaps, ordered, quantiles, select, smooth, stats
 from scalarlake.operators.dedup import latest
 from scalarlake.plans import series
+from scalarlake.sources.store import Store, write_segment
 
 SCHEMA = "run_id string, tag string, step long, wall_time double, value float, src string, rec long"
 NAN, INF = math.nan, math.inf
@@ -220,12 +221,66 @@ def test_requests(spark):
     from scalarlake.operators.select import in_request_order
     p = series.get_series(df, ["b", "a", "zz"], ["t", "u"]).points
     assert [(r.run_id, r.tag) for r in in_request_order(p, ["b", "a", "zz"]).collect()] == [("b", "t"), ("a", "t"), ("a", "u")]
+    twice = series.get_series(df, ["b", "zz", "a", "b"], ["t", "u"], 0)
+    assert [(r.place, r.run_id, r.tag) for r in twice.in_order.collect()] == [(0, "b", "t"), (2, "a", "t"), (2, "a", "u"), (3, "b", "t")]
+    assert twice.points.count() == 3
+    with pytest.raises(ValueError):
+        series.get_series(df, None, ["t"]).in_order
+    keys = spark.createDataFrame([("a", 5), ("b", 1)], "run_id string, place long")
+    assert [r.run_id for r in series.get_series(df, keys, ["t"]).in_order.collect()] == ["b", "a"]
+    assert [r.place for r in series.series_view(df, ["b", "a"], ["t"]).in_order.collect()] == [0, 1]
     one = series.nested(series.get_series(df, ["a"], ["t"], 0).points).first()
     assert (one["part"], one["count"], [tuple(x) for x in one.points]) == (0, 1, [(1, 2.0, 0.0)])
     o = series.overlay(df, "t", "t", max_points=0)
     assert sorted((r.side, r.run_id) for r in o.points.collect()) == [("A", "a"), ("A", "b"), ("B", "a"), ("B", "b")]
 
 
+@pytest.mark.parametrize("bits", [2, 22])
+def test_position_index(spark, monkeypatch, bits):
+    """With the index of its blocks a series gives the same points and breaks, from one scan."""
+    monkeypatch.setattr(ordered, "BLOCK_BITS", bits)
+    rows = rows_of(random_series(8, [1, 7, 60, 200], 0.2))
+    df = latest(frame(spark, rows))
+    index = stats.positions(df)
+    for m in (0, 5, 30):
+        plain = series.get_series(df, None, None, m, deduplicated=True)
+        indexed = series.get_series(df, None, None, m, deduplicated=True, counted=index)
+        assert sorted(map(repr, indexed.points.collect())) == sorted(map(repr, plain.points.collect()))
+        assert sorted(map(repr, indexed.gaps.collect())) == sorted(map(repr, plain.gaps.collect()))
+
+
+def test_one_scan_with_index(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    df = latest(frame(spark, rows_of(random_series(9, [40, 50]))))
+    write_segment(df, store.path("scalars", 0), "scalars")
+
+
+    def scans():
+        plan = store.get_series(None, None, 10).points._jdf.queryExecution().executedPlan().toString()
+        return sum("step:bigint" in part.split("\n")[0] for part in plan.split("ReadSchema: ")[1:])
+
+    assert store._single_segment() and store._positions() is None
+    without = scans()
+    points = sorted(map(repr, store.get_series(None, None, 10).points.collect()))
+    write_segment(stats.positions(df), store.path("positions", 0), "positions")
+    assert without > 1 and scans() == 1
+    assert sorted(map(repr, store.get_series(None, None, 10).points.collect())) == points
+    write_segment(df, store.path("scalars", 2), "scalars")
+    assert not store._single_segment() and store._positions() is None
+
+
+def test_places_by_locale(spark):
+    names = ["b", "B", "a", "Á", "á", "A", "layer10", "layer2", "Layer 3", "_x", "ab"]
+    got = select.natural_places(spark.createDataFrame([(n,) for n in names], "tag string").repartition(4)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(len(names)))
+    assert [r.tag for r in got] == ["_x", "a", "A", "á", "Á", "ab", "b", "B", "Layer 3", "layer2", "layer10"]
+    runs = spark.createDataFrame([("r1", "zeta"), ("r2", "Alpha"), ("r3", "alpha"), ("r4", "alpha")], "run_id string, display_name string")
+    assert [r.run_id for r in select.run_places(runs).orderBy("place").collect()] == ["r3", "r4", "r2", "r1"]
+    groups = spark.createDataFrame([("g10/a",), ("g2/b",), ("G1/c",), ("g2/a",), ("x",)], "tag string")
+    got = {r.group: (r.position, r.tags, r.first_tag) for r in stats.group_counts(groups).collect()}
+    assert got == {"G1": (0, 1, "G1/c"), "g2": (1, 2, "g2/a"), "g10": (2, 1, "g10/a"), "x": (3, 1, "x")}
+
+
 def test_stats(spark):
     df = frame(spark, [("r", "t", 3, 0.0, 1.0), ("r", "t", 1, 9.0, 2.0), ("r", "u", 7, 0.0, 5.0)])
     s = stats.tag_stats(df)

@@ -23,7 +23,7 @@ ORACLE["dedup_latest"] = latest("sc_events") + f"""
 select run_id, tag, step, round(wall_time, 6) wall_time, {VAL} as value, rec from sc_events_d"""
 
 ORACLE["series_raw"] = latest("sc_events") + f"""
-select run_id, tag, step, round(wall_time, 6) wall_time, round({VAL}, 6) as value,
+select case run_id when 'run_3' then 0 else 2 end::bigint place, run_id, tag, step, round(wall_time, 6) wall_time, round({VAL}, 6) as value,
        count(*) over (partition by run_id, tag) as count
 from sc_events_d where run_id in ('run_1', 'run_3', 'run_missing') and tag in ('metrics/click', 'metrics/view')"""
 
@@ -196,6 +196,14 @@ ORACLE["natural_sort"] = """
 select distinct concat('Layers.', s_suppkey % 120, '/w') tag,
        concat('layers.', lpad(length((s_suppkey % 120)::varchar)::varchar, 10, '0'), s_suppkey % 120, '/w') sort_key
 from supplier"""
+ACCENTED = """with a as (select n_nationkey, replace(case when n_nationkey % 2 = 0 then n_name else lower(n_name) end,
+    case when n_nationkey % 3 = 0 then 'A' else 'a' end, case when n_nationkey % 3 = 0 then 'Ä' else 'á' end) name from nation)"""
+ORACLE["natural_sort_locale"] = ACCENTED + """
+select concat(name, '/layers.', k) tag, row_number() over (order by n_nationkey, k) - 1 place
+from (select distinct name, n_nationkey, c_custkey % 12 * 7 k from customer join a on c_nationkey = n_nationkey)"""
+ORACLE["run_sort"] = ACCENTED + """
+select concat('run_', n_nationkey) run_id, case when n_nationkey = 7 then 'run_7' else name end display_name,
+       row_number() over (order by strip_accents(lower(case when n_nationkey = 7 then 'run_7' else name end))) - 1 place from a"""
 ORACLE["clean_tags"] = with_views("sc_dirty") + f"""
 select distinct tag, {CLEAN} as clean from sc_dirty"""
 
@@ -430,3 +438,6 @@ select e.run_id, e.run_id display_name, coalesce(num_tags, 0)::bigint num_tags,
        files::bigint num_event_files, coalesce(a, 0)::bigint step_min, coalesce(b, 0)::bigint step_max,
        coalesce(x.n, 0)::bigint num_text_tags, coalesce(config, '') config
 from e left join g using (run_id) left join w using (run_id) left join x using (run_id) left join c using (run_id)"""
+
+ORACLE["ingest_compacted"] = ORACLE["series_lttb_gappy"]
+ORACLE["ingest_gaps"] = ORACLE["gaps"]

@@ -40,11 +40,11 @@ def dedup_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def series_raw(spark, sf):
-    """Everything the request's runs and tags hold, without downsampling."""
+    """Everything the request's runs and tags hold, without downsampling, in the order of the request."""
     p = series_plans.get_series(
-        views.sc_events(spark, sf), ["run_1", "run_3", "run_missing"], ["metrics/click", "metrics/view"], 0
-    ).points
-    return p.select(*SERIES, "step", r6("wall_time"), r6("value"), "count")
+        views.sc_events(spark, sf), ["run_3", "run_missing", "run_1"], ["metrics/click", "metrics/view"], 0
+    ).in_order
+    return p.select("place", *SERIES, "step", r6("wall_time"), r6("value"), "count")
 
 
 def _lttb(view, spark, sf, max_points):
@@ -274,6 +274,28 @@ def natural_sort(spark, sf):
     return select.natural_order(tags).select("tag", natural_key(F.col("tag")).alias("sort_key"))
 
 
+def _accented(spark, sf):
+    """Names in upper and lower case, some with accents."""
+    return views.table(spark, sf, "nation").selectExpr(
+        "n_nationkey", """replace(case when n_nationkey % 2 = 0 then n_name else lower(n_name) end,
+                               case when n_nationkey % 3 = 0 then 'A' else 'a' end, case when n_nationkey % 3 = 0 then 'Ä' else 'á' end) name""")
+
+
+@query
+def natural_sort_locale(spark, sf):
+    """Position of each tag by locale, numbers as numbers."""
+    numbers = views.table(spark, sf, "customer").selectExpr("c_nationkey n_nationkey", "c_custkey % 12 * 7 number")
+    tags = numbers.join(_accented(spark, sf), "n_nationkey").selectExpr("concat(name, '/layers.', number) tag").distinct()
+    return select.natural_places(tags).select("tag", "place")
+
+
+@query
+def run_sort(spark, sf):
+    """Position of each run by display name, its id where it has none."""
+    runs = _accented(spark, sf).selectExpr("concat('run_', n_nationkey) run_id", "if(n_nationkey = 7, '', name) display_name")
+    return select.run_places(select.with_display_name(runs.select("run_id"), runs)).select("run_id", "display_name", "place")
+
+
 @query
 def clean_tags(spark, sf):
     d = views.sc_dirty(spark, sf).select("tag", clean_tag(F.col("tag")).alias("clean"))
@@ -563,6 +585,24 @@ def ingest_series(spark, sf):
     return p.select(*SERIES, "step", r6("wall_time"), r6("value"), "count")
 
 
+@query
+def ingest_compacted(spark, sf):
+    """Downsampled series of a compacted store: points in one scan, positions from the index."""
+    store = _ingested(spark, sf).store
+    store.compact()
+    p = store.get_series(None, None, 30).points
+    return p.select(*SERIES, "step", r6("wall_time"), r6("value"), "count")
+
+
+@query
+def ingest_gaps(spark, sf):
+    """Breaks of the series of a compacted store, from the index."""
+    store = _ingested(spark, sf).store
+    store.compact()
+    g = store.get_series(None, None, 30).gaps
+    return g.select(*SERIES, "step", r6("wall_time"), "kind", r6("y"))
+
+
 @query
 def ingest_runs(spark, sf):
     store = _ingested(spark, sf).store
