@@ -131,13 +131,13 @@ def text_counts(collapsed: DataFrame) -> DataFrame:
     )
 
 
-def lookup(collapsed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts for rows (run_id, tag, i); an ``i`` that is no entry id is taken as a step.
+def lookup(collapsed: DataFrame, wanted: DataFrame, what: str = "text") -> DataFrame:
+    """Texts (or digests) for rows (run_id, tag, i); an ``i`` that is no entry id is taken as a step.
 
-    The result has a row for each wanted row; ``text`` is null where there is none.
+    The result has a row for each wanted row; ``what`` is null where there is none.
     """
     asked = wanted.select(*SERIES, "i").distinct()
-    entries = collapsed.select(*SERIES, F.col("i").alias("entry"), "step", "text", "ordinal")
+    entries = collapsed.select(*SERIES, F.col("i").alias("entry"), "step", what, "ordinal")
     by_id = asked.join(entries.drop("ordinal").withColumn("i", F.col("entry")), [*SERIES, "i"], "left")
     found = by_id.filter(F.col("entry").isNotNull())
     # The first entry of a step is unique, so this join has no heavy keys either.

@@ -20,14 +20,13 @@ SCALARS = T.StructType([
     T.StructField("rec", T.LongType()),
 ])
 
-# ``digest`` and ``chars`` are written next to the body so that listing and
-# collapsing text never reads the body column.
+# Text entries without their bodies, which are addressed by ``digest``: a text that is logged
+# at every step, or by every run, is stored once.
 TEXTS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("tag", T.StringType()),
     T.StructField("step", T.LongType()),
     T.StructField("wall_time", T.DoubleType()),
-    T.StructField("text", T.StringType()),
     T.StructField("src", T.StringType()),
     T.StructField("rec", T.LongType()),
     T.StructField("digest", T.StringType()),
@@ -35,6 +34,11 @@ TEXTS = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+BODIES = T.StructType([
+    T.StructField("digest", T.StringType()),
+    T.StructField("text", T.StringType()),
+])
+
 CONFIGS = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("key", T.StringType()),

@@ -251,10 +251,13 @@ def _sync(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for r in batch.to_pylist():
-            with _open(r["path"]) as handle:
-                window = _Window(handle, r["lo"], r["size"], _HEADS_CHUNK)
-                begin = r["lo"] if r["lo"] == r["start"] else framing.first_record(window, r["lo"], r["hi"], r["size"])
-                found.append((begin, *(framing.walk(window, begin, r["hi"], r["size"]) if begin is not None else (0, 0))))
+            try:
+                with _open(r["path"]) as handle:
+                    window = _Window(handle, r["lo"], r["size"], _HEADS_CHUNK)
+                    begin = r["lo"] if r["lo"] == r["start"] else framing.first_record(window, r["lo"], r["hi"], r["size"])
+                    found.append((begin, *(framing.walk(window, begin, r["hi"], r["size"]) if begin is not None else (0, 0))))
+            except OSError:  # left to decode(), which says so
+                found.append((None, 0, 0))
         columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "begin", "after", "count"])
 
@@ -265,8 +268,11 @@ def _number(table: pa.Table) -> pa.Table:
     first = rows[0]
 
     def again(at: int, stop: int) -> tuple[int, int]:
-        with _open(first["path"]) as handle:
-            return framing.walk(_Window(handle, at, first["size"], _HEADS_CHUNK), at, stop, first["size"])
+        try:
+            with _open(first["path"]) as handle:
+                return framing.walk(_Window(handle, at, first["size"], _HEADS_CHUNK), at, stop, first["size"])
+        except OSError:
+            return at, 0
 
     parts = [(r["hi"], r["begin"], r["after"], r["count"]) for r in rows]
     cuts = list(framing.cut(parts, first["start"], first["size"], first["first_rec"], again))
@@ -353,12 +359,14 @@ def _decode(r: dict, scalars: bool, texts: bool, skip_bad: bool, head: int, gap:
         rows.add(r["run_id"], "end", None, None, None, None, None, r["relkey"], rec, at)
 
 
-def decode(parts: DataFrame, kinds: str = "all", on_corrupt: str = "stop", head: int = 0, gap: int = 0) -> DataFrame:
+def decode(parts: DataFrame, kinds: str = "all", on_corrupt: str = "stop", head: int = 0, gap: int = 0,
+           on_error: str = "raise") -> DataFrame:
     """Rows of record stretches.
 
     ``kind`` is ``scalar`` or ``text`` for data, ``bad`` for an undecodable record
     and ``end`` for how far a stretch was read: for these two, ``rec`` is a record
-    number and ``offset`` the position after the record.
+    number and ``offset`` the position after the record.  A file that cannot be read fails the
+    query, or with ``on_error="report"`` gives a row of kind ``error`` with the message as text.
     """
     if kinds not in ("all", "scalar", "text") or on_corrupt not in ("stop", "skip"):
         raise ValueError("kinds is all, scalar or text; on_corrupt is stop or skip")
@@ -368,8 +376,13 @@ def decode(parts: DataFrame, kinds: str = "all", on_corrupt: str = "stop", head:
         rows = _Rows()
         for batch in batches:
             for r in batch.to_pylist():
-                for _ in _decode(r, scalars, texts, skip_bad, head, gap, rows):
-                    yield rows.batch()
+                try:
+                    for _ in _decode(r, scalars, texts, skip_bad, head, gap, rows):
+                        yield rows.batch()
+                except OSError as ex:
+                    if on_error == "raise":
+                        raise
+                    rows.add(r["run_id"], "error", None, None, None, None, str(ex), r["relkey"], r["first_rec"], r["start"])
         if len(rows):
             yield rows.batch()
 
@@ -385,7 +398,7 @@ def drop_after_bad(decoded: DataFrame) -> DataFrame:
     record = F.when(F.col("kind").isin("bad", "end"), F.col("rec")).otherwise(F.floor(F.col("rec") / REC_SCALE))
     rows = decoded.withColumn("_rec", record).join(bad, ["run_id", "src"], "left")
     data = F.col("kind").isin("scalar", "text")
-    keep = F.col("_bad").isNull() | (data & (F.col("_rec") < F.col("_bad.rec"))) | (F.col("kind") == "bad") & (
+    keep = F.col("_bad").isNull() | (F.col("kind") == "error") | (data & (F.col("_rec") < F.col("_bad.rec"))) | (F.col("kind") == "bad") & (
         F.col("_rec") == F.col("_bad.rec")) | ((F.col("kind") == "end") & (F.col("_rec") <= F.col("_bad.rec") + 1))
     return rows.filter(keep).drop("_rec", "_bad")
 
@@ -397,12 +410,15 @@ def whole_files(files: DataFrame) -> DataFrame:
 
 
 def read_events(files: DataFrame, kinds: str = "all", on_corrupt: str = "stop",
-                split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Scalars and texts of listed files: run_id, kind, tag, step, wall_time, value, text, src, rec."""
-    rows = decode(stretches(whole_files(files), split_bytes), kinds, on_corrupt)
+                split_bytes: int = SPLIT_BYTES, on_error: str = "raise") -> DataFrame:
+    """Scalars and texts of listed files: run_id, kind, tag, step, wall_time, value, text, src, rec.
+
+    With ``on_error="report"`` also a row of kind ``error`` for each stretch that cannot be read.
+    """
+    rows = decode(stretches(whole_files(files), split_bytes), kinds, on_corrupt, on_error=on_error)
     if on_corrupt == "stop":
         rows = drop_after_bad(rows)
-    return rows.filter("kind in ('scalar', 'text')").drop("offset")
+    return rows.filter("kind in ('scalar', 'text', 'error')").drop("offset")
 
 
 def read_head_texts(files: DataFrame, head: int = HEAD_RECORDS, gap: int = HEAD_GAP) -> DataFrame:

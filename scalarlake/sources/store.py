@@ -2,7 +2,8 @@
 
     <root>/generations/            one row per generation; the greatest one is read
     <root>/gen=<g>/scalars/seg=<s>/run_id=<r>/*.parquet   sorted by tag, step
-    <root>/gen=<g>/texts/seg=<s>/run_id=<r>/*.parquet
+    <root>/gen=<g>/texts/seg=<s>/run_id=<r>/*.parquet     entries with the digests of their bodies
+    <root>/gen=<g>/bodies/seg=<s>/*.parquet               sorted by digest, each text once
     <root>/gen=<g>/{positions,tag_stats,configs,names,text_tags,passes,backfills,files}/seg=<s>/*.parquet
 
 A pass writes ``files`` (a text backfill: ``backfills``) last, which makes its segment a finished one.
@@ -30,7 +31,7 @@ from ..plans.runs import described, run_summary
 from .files import exists, matching
 
 TABLES = {
-    "scalars": S.SCALARS, "positions": S.POSITIONS, "texts": S.TEXTS, "tag_stats": S.TAG_STATS,
+    "scalars": S.SCALARS, "positions": S.POSITIONS, "texts": S.TEXTS, "bodies": S.BODIES, "tag_stats": S.TAG_STATS,
     "configs": S.CONFIGS, "names": S.RUN_NAMES, "text_tags": S.TEXT_TAGS, "passes": S.PASSES,
     "backfills": S.BACKFILLS, "files": S.FILES,
 }
@@ -54,6 +55,8 @@ def write_segment(df: DataFrame, path: str, table: str) -> None:
         order = ["run_id", "tag", "step"]
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         writer = df.write.partitionBy("run_id").option("parquet.block.size", ROW_GROUP_BYTES)
+    elif table == "bodies":  # one digest is found in few row groups
+        writer = df.repartitionByRange("digest").sortWithinPartitions("digest").write.option("parquet.block.size", ROW_GROUP_BYTES)
     else:
         writer = df.write
     writer.mode("overwrite").parquet(path)
@@ -188,6 +191,11 @@ class Store:
         folded = stats.fold_stats(some(self.table("tag_stats")), order=["seq", "seg"])
         return run_summary(folded, stats.files_per_run(some(self.files())))
 
+    def new_bodies(self, rows: DataFrame, seg: int) -> DataFrame:
+        """(digest, text) of rows that no other segment holds."""
+        known = self._stored("bodies").filter(F.col("seg") != seg).select("digest")
+        return texts.bodies(rows).join(known, "digest", "left_anti")
+
     def passes(self, seg: int | None = None) -> DataFrame:
         """Counters of each pass: runs, files, bytes, records, undecodable records, rows, texts, tags that were new."""
         rows = self.table("passes")
@@ -212,20 +220,31 @@ class Store:
         return series_plans.series_view(now.table("scalars"), runs, tags, names=now.names(), **options)
 
     def texts(self, runs=None) -> DataFrame:
-        return texts.collapse(select.restrict(self.table("texts"), runs))
+        """Entries with their bodies, which are fetched last."""
+        now = self.snapshot()
+        entries = texts.collapse(select.restrict(now.table("texts"), runs))
+        return texts.with_bodies(entries, now.bodies())
+
+    def bodies(self) -> DataFrame:
+        """(digest, text), each digest once: two passes at the same time may both have stored a text."""
+        return texts.bodies(self.table("bodies"))
 
     def text_tags(self, runs=None) -> DataFrame:
         return select.restrict(self.table("text_tags"), runs).select("run_id", "tag").distinct()
 
     def text_index(self, runs=None) -> DataFrame:
         now = self.snapshot()
-        entries = texts.collapse(select.restrict(now.table("texts"), runs).drop("text"))
+        entries = texts.collapse(select.restrict(now.table("texts"), runs))
         return texts.text_index(entries, now.names())
 
     def get_text(self, run_id: str, tag: str, i: int) -> str | None:
         wanted = self.spark.createDataFrame([(run_id, tag, i)], "run_id string, tag string, i long")
-        entries = texts.collapse(select.restrict(self.table("texts"), [run_id], [tag]))
-        return texts.lookup(entries, wanted).first()["text"]
+        now = self.snapshot()
+        entries = texts.collapse(select.restrict(now.table("texts"), [run_id], [tag]))
+        digest = texts.lookup(entries, wanted, "digest").first()["digest"]
+        if digest is None:
+            return None
+        return now.table("bodies").filter(F.col("digest") == digest).first()["text"]
 
     # -- maintenance ----------------------------------------------------------------
 
@@ -258,6 +277,8 @@ class Store:
         # Text that a backfill replaced is left out, so its mark is no longer needed.
         once = change("texts", merged.table("texts")).drop("seg").dropDuplicates(["run_id", "tag", "step", "src", "rec"])
         write_segment(once, at["texts"], "texts")
+        used = self._read(at["texts"], S.TEXTS).select("digest").distinct()
+        write_segment(merged.bodies().join(used, "digest", "left_semi"), at["bodies"], "bodies")
         tagged = change("texts", merged.table("text_tags")).groupBy("run_id", "tag").agg(F.max("seq").alias("seq"))
         write_segment(tagged, at["text_tags"], "text_tags")
         write_segment(merged._folded_passes(self._read(at["tag_stats"], S.TAG_STATS), seq), at["passes"], "passes")
@@ -317,7 +338,7 @@ class Store:
     def clone_run(self, run_id: str, copies: int, prefix: str, seg: int) -> None:
         """Numbered copies of a run, as one new segment (for scale tests)."""
         seq = self.next_seq()
-        one = {n: self.table(n).filter(F.col("run_id") == run_id).drop("seg") for n in TABLES if n != "backfills"}
+        one = {n: self.table(n).filter(F.col("run_id") == run_id).drop("seg") for n in TABLES if n not in ("backfills", "bodies")}
         one["scalars"] = latest(one["scalars"])
         one["tag_stats"] = self.tag_stats([run_id])
         one["positions"] = stats.positions(one["scalars"])

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import logging
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +47,7 @@ class Ingest:
     split_bytes: int = eventfiles.SPLIT_BYTES
     names: DataFrame | None = None  # (run_id, display_name) given by the user
     last_pass: dict | None = None  # counters of the last pass that wrote something
+    failed: dict[str, str] = field(default_factory=dict)  # error by run, of the last refresh
 
     @property
     def spark(self) -> SparkSession:
@@ -75,8 +76,12 @@ class Ingest:
 
     # -- one pass -------------------------------------------------------------------
 
-    def write(self, listing: DataFrame, seg: int) -> bool:
-        """Ingest what a listing adds, as segment ``seg``; False if there is nothing new."""
+    def write(self, listing: DataFrame, seg: int, on_error: str = "raise") -> bool:
+        """Ingest what a listing adds, as segment ``seg``; False if there is nothing new.
+
+        A file that cannot be read fails the pass.  With ``on_error="report"`` it is left for a later pass, and
+        ``failed`` says so by run; all others are taken in.
+        """
         store = self.store
         gen = store.generation()
         seq = F.lit(store.next_seq(without=seg)).cast("long")
@@ -88,9 +93,15 @@ class Ingest:
         if plan.isEmpty():
             return False
 
-        decoded = eventfiles.decode(eventfiles.stretches(plan, self.split_bytes), on_corrupt=self.on_corrupt)
+        decoded = eventfiles.decode(eventfiles.stretches(plan, self.split_bytes), on_corrupt=self.on_corrupt, on_error=on_error)
         decoded.write.mode("overwrite").partitionBy("kind").parquet(f"{work}/rows")
         rows = self.spark.read.parquet(f"{work}/rows")
+        unread = rows.filter("kind = 'error'")
+        if on_error == "report" and not unread.isEmpty():
+            self.failed |= {r.run_id: r.error for r in unread.groupBy("run_id").agg(F.min("text").alias("error")).collect()}
+            lost = unread.select("run_id", F.col("src").alias("relkey")).distinct()
+            plan = plan.join(lost, ["run_id", "relkey"], "left_anti")
+            rows = rows.join(lost.withColumnRenamed("relkey", "src"), ["run_id", "src"], "left_anti")
         if self.on_corrupt == "stop" and not rows.filter("kind = 'bad'").isEmpty():
             rows = eventfiles.drop_after_bad(rows)
 
@@ -99,6 +110,7 @@ class Ingest:
         texts = rows.filter("kind = 'text'").withColumns(
             {"digest": text_digest(F.col("text")), "chars": F.char_length("text")})
         write_segment(texts.withColumn("seq", seq), at["texts"], "texts")
+        write_segment(Store(self.spark, store.root, gen).new_bodies(texts, seg), at["bodies"], "bodies")
         points = store._read(at["scalars"], S.SCALARS)
         write_segment(stats.tag_stats(points).withColumn("seq", seq), at["tag_stats"], "tag_stats")
         write_segment(stats.positions(points), at["positions"], "positions")
@@ -178,33 +190,36 @@ class Ingest:
                 time.sleep(seconds)
 
     def refresh(self, runs: list[str]) -> DataFrame:
-        """Bring the given runs up to date now, with text of runs that have none.
+        """Bring the given runs up to date now, with the text of those whose text no pass has read.
 
-        One pass reads all of them; only if it fails, each run is tried by itself, so that one bad run
-        does not hold up the others.  The result has one row per run with its new points and an
-        error, if any.  Segments of refreshes are odd, those of the stream even.
+        One pass reads all of them; a file that cannot be read does not hold up the others.  The result has
+        one row per run with its new points and an error, if any.
         """
-        schema = "run_id string, new_rows long, error string"
-        try:
-            seg = _odd_segment()
-            wrote = self.write(eventfiles.list_event_files(self.spark, self.root, runs), seg)
-            self.backfill_texts(runs)
-        except Exception as ex:
-            if len(runs) > 1:
-                out = self.refresh(runs[:1])
-                for run in runs[1:]:
-                    out = out.union(self.refresh([run]))
-                return out
-            return self.spark.createDataFrame([(r, 0, str(ex).split("\n")[0]) for r in runs], schema)
-        asked = self.spark.createDataFrame([(r,) for r in runs], "run_id string")
+        self.failed = {}
+        seg = _odd_segment()
+        wrote = self.write(eventfiles.list_event_files(self.spark, self.root, runs), seg, on_error="report")
+        self.backfill_texts(runs, on_error="report")
+        asked = self.spark.createDataFrame([(r, self.failed.get(r)) for r in runs], "run_id string, error string")
         new = self.report(seg if wrote else -1).select("run_id", "new_rows")
         return asked.join(new, "run_id", "left").select(
-            "run_id", F.coalesce("new_rows", F.lit(0)).alias("new_rows"), F.lit(None).cast("string").alias("error"))
+            "run_id", F.coalesce("new_rows", F.lit(0)).alias("new_rows"), "error")
 
-    def backfill_texts(self, runs: list[str] | None = None, force: bool = False, full: bool = True) -> DataFrame:
+    def without_text(self) -> DataFrame:
+        """Runs (run_id) that hold files whose text nobody has read: of segments written without a pass, and no backfill since.
+
+        A pass reads points and text together, so its runs are never read a second time for text.
+        """
+        now = self.store.snapshot()
+        by_hand = now.table("files").join(now.table("passes").select("run_id", "seg"), ["run_id", "seg"], "left_anti")
+        newest = by_hand.groupBy("run_id").agg(F.max(F.coalesce("seq", F.lit(0))).alias("_files"))
+        marks = now.table("backfills").groupBy("run_id").agg(F.max(F.coalesce("seq", F.lit(0))).alias("_mark"))
+        return newest.join(marks, "run_id", "left").filter("_mark is null or _mark < _files").select("run_id")
+
+    def backfill_texts(self, runs: list[str] | None = None, force: bool = False, full: bool = True,
+                       on_error: str = "raise") -> DataFrame:
         """Read the text of ingested runs again, without touching scalars.
 
-        Only runs without text, unless ``force``.  Files are read as a whole and the text found
+        Only runs whose text nobody has read (``without_text``), unless ``force``.  Files are read as a whole and the text found
         replaces all text of these runs; with ``full=False`` only the head of each file is read,
         and nothing is replaced.  Returns the number of entries per run.
         """
@@ -212,16 +227,24 @@ class Ingest:
         files = eventfiles.list_event_files(self.spark, self.root, runs)
         files = files.join(store.table("files").select("run_id").distinct(), "run_id", "left_semi")
         if not force:
-            files = files.join(store.text_tags(), "run_id", "left_anti")
+            files = files.join(self.without_text(), "run_id", "left_semi").join(store.text_tags(), "run_id", "left_anti")
         seg, seq = _odd_segment(), F.lit(store.next_seq()).cast("long")
         work = f"{store.root}/work/seg={seg}"
         files.write.mode("overwrite").parquet(f"{work}/plan")
         files = self.spark.read.parquet(f"{work}/plan")
-        found = eventfiles.read_events(files, "text") if full else eventfiles.read_head_texts(files)
+        if files.isEmpty():
+            self._discard(work)
+            return self.spark.createDataFrame([], "run_id string, entries long")
+        found = eventfiles.read_events(files, "text", on_error=on_error) if full else eventfiles.read_head_texts(files)
         found = found.withColumns({"digest": text_digest(F.col("text")), "chars": F.char_length("text"), "seq": seq})
-        found.drop("kind").write.mode("overwrite").parquet(f"{work}/texts")
+        found.write.mode("overwrite").parquet(f"{work}/texts")
         found = self.spark.read.parquet(f"{work}/texts")
+        unread = found.filter("kind = 'error'").groupBy("run_id").agg(F.min("text").alias("error"))
+        if errors := {r.run_id: r.error for r in unread.collect()}:
+            self.failed |= errors
+            found, files = (df.filter(~F.col("run_id").isin(*errors)) for df in (found, files))
         write_segment(found, store.path("texts", seg), "texts")
+        write_segment(store.new_bodies(found, seg), store.path("bodies", seg), "bodies")
         write_segment(found.select("run_id", "tag").distinct().withColumn("seq", seq), store.path("text_tags", seg), "text_tags")
         # The mark comes last: from here on readers skip the older text, which compaction removes.
         marks = files.select("run_id").distinct().withColumns({"replaces": F.lit(force and full), "seq": seq})

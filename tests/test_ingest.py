@@ -7,7 +7,7 @@ import eventwriter as w
 import pytest
 
 from scalarlake.sources import eventfiles as ef
-from scalarlake.sources.store import Store, import_nested_texts, nested_texts
+from scalarlake.sources.store import Store, import_nested_texts, nested_texts, write_segment
 from scalarlake.streaming.ingest import Ingest, PassLog, status
 
 
@@ -166,6 +166,38 @@ def test_run_rows_add_up(ingest, spark):
     assert [r[:3] for r in listed(store) if r[0].startswith("copy")] == [("copy_000", 3, 5), ("copy_001", 3, 5)]
 
 
+def test_bodies_are_stored_once(spark, tmp_path):
+    """A text that is logged at every step, by every run and in every pass has one body; entries carry its digest."""
+    root = str(tmp_path / "runs")
+    note = lambda step, text: w.event(step, float(step), w.strings("config", [text]))
+    for run in "ab":
+        w.write(f"{root}/{run}/events.out.tfevents.1", *[note(s, "same") for s in range(5)], note(5, run))
+    job = Ingest(Store(spark, str(tmp_path / "s")), root)
+    store = job.store
+    job.write(ef.list_event_files(spark, root), 0)
+    for run in "ab":
+        w.write(f"{root}/{run}/events.out.tfevents.1", note(6, "same"), note(7, "late"), append=True)
+    job.write(ef.list_event_files(spark, root), 2)
+    entries = lambda: sorted((r.run_id, r.i, r.step, r.text) for r in store.texts().collect())
+    want = [(run, i, s, t) for run in "ab" for i, (s, t) in enumerate([(0, "same"), (5, run), (6, "same"), (7, "late")])]
+    held = lambda: sorted(r.text for r in store.table("bodies").collect())
+    assert entries() == want and held() == ["a", "b", "late", "same"] and store.table("texts").count() == 16
+    assert store.get_text("b", "config", 1) == "b" and store.get_text("b", "config", 9) is None
+    assert "text:string" not in store.text_index()._jdf.queryExecution().executedPlan().toString()
+    write_segment(store.table("bodies").filter("text = 'late'").drop("seg"), store.path("bodies", 4), "bodies")  # a pass at the same time
+    assert entries() == want and held().count("late") == 2
+    store.clone_run("a", 2, "copy_", 1)
+    assert [r.text for r in store.texts(["copy_001"]).orderBy("i").collect()] == ["same", "a", "same", "late"]
+    assert held().count("a") == 1
+    with open(f"{root}/b/events.out.tfevents.1", "wb"):
+        pass
+    w.write(f"{root}/b/events.out.tfevents.1", note(0, "new"))
+    job.backfill_texts(["b"], force=True)
+    store.compact()  # bodies that nothing refers to any more go
+    assert held() == ["a", "late", "new", "same"]
+    assert [r.text for r in store.texts(["b"]).collect()] == ["new"]
+
+
 def test_pass_log(ingest, spark):
     log = PassLog()
     spark.streams.addListener(log)
@@ -267,6 +299,39 @@ def test_refresh(spark, ingest):
     assert points(ingest.store) == BASE
 
 
+def test_refresh_goes_on_without_what_it_cannot_read(spark, ingest, monkeypatch):
+    """A file that cannot be read is reported with its run and read by a later pass; other files are taken in."""
+    listing = ef.list_event_files(spark, ingest.runs_dir).collect()
+    gone = [r.asDict() | {"path": r.path + ".gone"} if r.run_id == "001" else r.asDict() for r in listing]
+    schema = ef.list_event_files(spark, ingest.runs_dir).schema
+    with monkeypatch.context() as m:
+        m.setattr(ef, "list_event_files", lambda *_: spark.createDataFrame(gone, schema))
+        got = {r.run_id: (r.new_rows, bool(r.error)) for r in ingest.refresh(["001", "run_a"]).collect()}
+    assert got == {"001": (0, True), "run_a": (3, False)} and "001" in ingest.failed
+    assert points(ingest.store) == [p for p in BASE if p[0] == "run_a"]
+    assert {r.run_id: (r.new_rows, r.error) for r in ingest.refresh(["001", "run_a"]).collect()} == {"001": (1, None), "run_a": (0, None)}
+    assert points(ingest.store) == BASE and ingest.failed == {}
+
+
+def test_refresh_reads_nothing_twice(spark, ingest, monkeypatch):
+    """Runs without text are not read again to see that they have none; those of other segments are, once."""
+    ingest.refresh(["001", "run_a"])
+    read = []
+    monkeypatch.setattr(ef, "read_events", lambda files, *a, f=ef.read_events, **k: read.append(files.count()) or f(files, *a, **k))
+    decoded = []
+    monkeypatch.setattr(ef, "decode", lambda parts, *a, f=ef.decode, **k: decoded.append(parts.count()) or f(parts, *a, **k))
+    assert {r.new_rows for r in ingest.refresh(["001", "run_a"]).collect()} == {0}
+    assert read == [] and decoded == []
+    # points of run_a written by hand into another store: its text is still to be read
+    other = Ingest(Store(spark, ingest.store.root + "_2"), ingest.runs_dir)
+    for table in ("scalars", "tag_stats", "files"):
+        write_segment(ingest.store.table(table).drop("seg"), other.store.path(table, 0), table)
+    assert sorted(r.run_id for r in other.without_text().collect()) == ["001", "run_a"]
+    assert [(r.run_id, r.entries) for r in other.backfill_texts().collect()] == [("run_a", 1)] and read == [3]
+    assert other.without_text().count() == 0 and other.backfill_texts().count() == 0 and read == [3]
+    listed(other.store)
+
+
 def test_status_and_polling(spark, ingest):
     q = ingest.start(seconds=1)
     try:

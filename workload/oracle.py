@@ -441,3 +441,26 @@ from e left join g using (run_id) left join w using (run_id) left join x using (
 
 ORACLE["ingest_compacted"] = ORACLE["series_lttb_gappy"]
 ORACLE["ingest_gaps"] = ORACLE["gaps"]
+ORACLE["ingest_refresh"] = with_views("sc_events") + """
+select r.run_id, count(distinct (e.tag, e.step)) new_rows, null::varchar as error
+from (values ('run_1'), ('run_4'), ('run_none')) r(run_id)
+left join sc_events e on e.run_id = r.run_id and e.rec % 3 = 0 group by r.run_id"""
+ORACLE["ingest_backfill"] = collapsed("tx_labels") + """
+select run_id, count(*) entries from tx_labels_c group by run_id"""
+ORACLE["ingest_texts"] = collapsed("tx_conv") + """
+select run_id, tag, i, step, text from tx_conv_c"""
+ORACLE["ingest_bodies"] = with_views("tx_labels") + """
+select distinct text, 1::bigint times from tx_labels"""
+ORACLE["text_import"] = collapsed("tx_conv") + """
+select run_id, tag, i, step, text from tx_conv_c"""
+# Blocks of 500 records: every other one begins with 60 records of text, then 20 pass without.
+ORACLE["text_head_scan"] = with_views("sc_events") + """
+select concat('block_', rec // 500) run_id, tag, step, concat('note ', rec) as text from sc_events where rec % 1000 < 60"""
+ORACLE["suggest_tags_limit"] = with_views("sc_lineitem") + """,
+  t as (select distinct tag from sc_lineitem where contains(tag, 'layers.2'))
+select tag, (select count(*) from t) matches from t order by tag limit 5"""
+ORACLE["gaps_limit"] = latest("sc_events") + GAPS + """
+select run_id, tag, step, kind, round(y, 6) y from gm qualify row_number() over (partition by run_id, tag order by step) <= 2"""
+ORACLE["tag_paths_single"] = """
+select concat('net', chr(65 + n_nationkey::int), '/only.', n_nationkey, '/deep/leaf') tag,
+       concat('net', chr(65 + n_nationkey::int), '/only.', n_nationkey, '/deep/leaf') as path from nation"""

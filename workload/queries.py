@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from scalarlake.functions.scalar import clean_tag, finite_or_null, natural_key
 from scalarlake.operators import diff, quantiles, reshape, select, smooth, stats, tagtree, texts
 from scalarlake.operators.dedup import latest
+from scalarlake.operators.gaps import gap_markers
 from scalarlake.plans import compare
 from scalarlake.plans import runs as run_plans
 from scalarlake.plans import series as series_plans
 from scalarlake.sources import config, eventfiles
-from scalarlake.sources.store import Store, write_segment
+from scalarlake.sources.store import Store, import_nested_texts, write_segment
 from scalarlake.streaming.ingest import Ingest
 
 from . import eventlog, views
@@ -585,6 +586,91 @@ def ingest_series(spark, sf):
     return p.select(*SERIES, "step", r6("wall_time"), r6("value"), "count")
 
 
+@query
+def ingest_texts(spark, sf):
+    """Entries with their bodies after two passes: text of the first pass and text of the second, collapsed together."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    job = Ingest(Store(spark, eventlog.fresh_folder(spark, "store")), folder)
+    tx = views.tx_conv(spark, sf).withColumn("value", F.lit(None).cast("float"))
+    for seg, even in ((0, 0), (2, 1)):
+        eventlog.write_event_files(tx.filter(F.col("rec") % 2 == even).coalesce(1), folder, "ab"[even])
+        job.write(eventfiles.list_event_files(spark, folder), seg)
+    return job.store.texts().select(*SERIES, "i", "step", "text")
+
+
+@query
+def ingest_bodies(spark, sf):
+    """What is stored of the bodies: each different text once, whatever runs, tags and passes logged it."""
+    bodies = _ingested(spark, sf).store.table("bodies")
+    return bodies.groupBy("text").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query
+def text_import(spark, sf):
+    """Nested texts as an older store holds them, as entries."""
+    entry = F.struct(F.col("step"), F.col("wall_time"), F.col("text"))
+    conv = views.tx_conv(spark, sf).groupBy("run_id", "tag").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    nested = conv.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "e"))).alias("texts"))
+    return texts.collapse(import_nested_texts(nested)).select(*SERIES, "i", "step", "text")
+
+
+@query
+def text_head_scan(spark, sf):
+    """Text near the beginning of each file: left after 20 records without text, or 20 after the last text."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    ev = views.sc_events(spark, sf).withColumn("text", F.when(F.expr("rec % 1000 < 60 or rec % 1000 between 300 and 310"), F.concat(F.lit("note "), F.col("rec"))))
+    ev = ev.withColumns({"value": F.when(F.col("text").isNull(), F.lit(1.0).cast("float")), "run_id": F.concat(F.lit("block_"), F.floor(F.col("rec") / 500))})
+    eventlog.write_event_files(ev.repartition(1), folder, "a")
+    rows = eventfiles.read_head_texts(eventfiles.list_event_files(spark, folder), head=20, gap=20)
+    return rows.select(*SERIES, "step", "text")
+
+
+@query
+def suggest_tags_limit(spark, sf):
+    """The first five matches and the number of all."""
+    return select.suggest_tags(_tags(spark, sf), "layers.2", limit=5)
+
+
+@query
+def gaps_limit(spark, sf):
+    """The earliest two breaks of each series."""
+    return gap_markers(latest(views.sc_events(spark, sf)), limit=2).select(*SERIES, "step", "kind", r6("y"))
+
+
+@query
+def tag_paths_single(spark, sf):
+    """A top level with one tag is one leaf, however deep the tag."""
+    tags = views.table(spark, sf, "nation").selectExpr("concat('net', char(65 + n_nationkey), '/only.', n_nationkey, '/deep/leaf') tag")
+    return tagtree.tag_paths(tags)
+
+
+@query
+def ingest_refresh(spark, sf):
+    """What a refresh of some runs adds after a first pass."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    job = Ingest(Store(spark, eventlog.fresh_folder(spark, "store")), folder)
+    ev = views.sc_events(spark, sf).withColumn("text", F.lit(None).cast("string"))
+    eventlog.write_event_files(ev.filter("rec % 3 > 0"), folder, "a")
+    job.write(eventfiles.list_event_files(spark, folder), 0)
+    eventlog.write_event_files(ev.filter("rec % 3 = 0"), folder, "b")
+    return job.refresh(["run_1", "run_4", "run_none"])
+
+
+@query
+def ingest_backfill(spark, sf):
+    """Text of runs whose points were stored without it, read afterwards: entries per run."""
+    folder = eventlog.fresh_folder(spark, "runs")
+    job = Ingest(Store(spark, eventlog.fresh_folder(spark, "store")), folder)
+    tx = views.tx_labels(spark, sf).withColumn("value", F.lit(None).cast("float"))
+    eventlog.write_event_files(tx, folder, "a")
+    points = latest(views.tx_labels(spark, sf).withColumn("value", F.col("rec").cast("float")))
+    write_segment(points, job.store.path("scalars", 0), "scalars")
+    write_segment(stats.tag_stats(points), job.store.path("tag_stats", 0), "tag_stats")
+    listing = eventfiles.list_event_files(spark, folder)
+    write_segment(listing.withColumns({"consumed": F.col("size"), "records": F.lit(0)}), job.store.path("files", 0), "files")
+    return job.backfill_texts()
+
+
 @query
 def ingest_compacted(spark, sf):
     """Downsampled series of a compacted store: points in one scan, positions from the index."""
