@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,49 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
+def keep(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    Inside a scope() the table goes with the scope, unless it `stays`: then it belongs to the one around, if any.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._llm_path = path
+    if len(_scopes) > stays:
+        _scopes[-1 - stays].append(kept)
     return kept
 
 
+_scopes: list[list[DataFrame]] = []
+#: Setting of Spark: shuffle files go when the query that wrote them has ended, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in this block leave no shuffle files; what they found is in the tables that they wrote."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are kept in this block are dropped at its end, when their last reader is done."""
+    _scopes.append([])
+    try:
+        with cleaned(spark):
+            yield
+    finally:
+        for table in _scopes.pop():
+            drop(table)
+
+
 def drop(kept: DataFrame) -> None:
     """Remove a table that keep() wrote and nothing reads any more."""
     spark = kept.sparkSession

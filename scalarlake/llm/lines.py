@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import Words, binary, blocks, keep, numbered, pieces
+from scalarlake.llm.common import Words, binary, blocks, keep, numbered, pieces, scope
 from scalarlake.llm.linking import connected, linked
 
 #: Fingerprints may differ in so many of their 64 bits.
@@ -275,9 +275,11 @@ def removed_lines(docs: DataFrame, **options) -> DataFrame:
     smallest (doc_id, MD5 of the text, position) stays.  Rows that repeat id and text share one fate; null texts have no
     lines; null ids are the smallest.
     """
-    seen, keepers = line_groups(docs, **options)
-    lost = seen.join(keepers, "line").where(~F.struct("doc_id", "version", "place").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("place")).alias("removed"))
+    with scope(docs.sparkSession):
+        seen, keepers = line_groups(docs, **options)
+        lost = seen.join(keepers, "line").where(~F.struct("doc_id", "version", "place").eqNullSafe(F.col("keeper")))
+        lost = lost.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("place")).alias("removed"))
+        return keep(lost, "removed", stays=True)
 
 
 def dedup_report(docs: DataFrame, **options) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import LOWER, Words, binary, blocks, keep, mix, pieces, shingles
+from scalarlake.llm.common import LOWER, Words, binary, blocks, keep, mix, pieces, scope, shingles
 from scalarlake.llm.linking import connected, forest, linked
 
 #: Bands and rows of a signature.  A pair at a similarity of 0.8 shares no band with probability 1.7e-4, at 0.85 with
@@ -141,25 +141,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     a null component unless others of its component have an id, and is kept if it is null.  Rows that repeat an id are
     separate documents, all kept if theirs is the smallest.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = keep(base.mapInArrow(_sketch(size, bands, rows),
-                                    "doc_id bigint, n_shingles bigint, node binary, version binary, bands array<bigint>"), "sketch")
-    # The text of a set is fetched from a row with an id, if there is one.
-    held = F.min(F.struct(F.isnull("doc_id"), "doc_id", "version"))
-    nodes = keep(sketched.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), held.alias("held"), F.first("bands").alias("bands")), "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    stars = keys.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    cands = connected(stars)
-    wanted = cands.join(nodes, "node").select("node", F.col("component").alias("cand"), F.col("held.doc_id").alias("i"), F.col("held.version").alias("v"))
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.unhex(F.md5("text")) == F.col("v"))).select("cand", "node", "text")
-    members = texts.mapInArrow(_members(size), "cand binary, node binary, payload binary").dropDuplicates(["node"])
-    groups = connected(linked(members, _similar(percent)))
-    node_ids = nodes.select("node", "first_id").join(groups, "node", "left").select(
-        "node", "first_id", F.coalesce("component", "node").alias("component"))
-    least = node_ids.groupBy("component").agg(F.min("first_id").alias("least"))
-    placed = node_ids.join(least, "component").select("node", "least")
-    out = sketched.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with scope(docs.sparkSession):
+        base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        sketched = keep(base.mapInArrow(_sketch(size, bands, rows),
+                                        "doc_id bigint, n_shingles bigint, node binary, version binary, bands array<bigint>"), "sketch")
+        # The text of a set is fetched from a row with an id, if there is one.
+        held = F.min(F.struct(F.isnull("doc_id"), "doc_id", "version"))
+        nodes = keep(sketched.where("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("first_id"), held.alias("held"), F.first("bands").alias("bands")), "nodes")
+        keys = nodes.select("node", F.explode("bands").alias("key"))
+        hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+        stars = keys.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        cands = connected(stars)
+        wanted = cands.join(nodes, "node").select("node", F.col("component").alias("cand"), F.col("held.doc_id").alias("i"), F.col("held.version").alias("v"))
+        texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.unhex(F.md5("text")) == F.col("v"))).select("cand", "node", "text")
+        members = texts.mapInArrow(_members(size), "cand binary, node binary, payload binary").dropDuplicates(["node"])
+        groups = connected(linked(members, _similar(percent)))
+        node_ids = nodes.select("node", "first_id").join(groups, "node", "left").select(
+            "node", "first_id", F.coalesce("component", "node").alias("component"))
+        least = node_ids.groupBy("component").agg(F.min("first_id").alias("least"))
+        placed = node_ids.join(least, "component").select("node", "least")
+        out = sketched.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
+        component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+        found = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        return keep(found, "near", stays=True)
