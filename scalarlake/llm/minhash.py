@@ -124,6 +124,31 @@ def _similar(percent: int):
     return link
 
 
+def _components(docs: DataFrame, size: int, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, version, n_shingles, component, least) of every row: the MD5 of its text, its group and the group's smallest
+    id; null for rows without words but for doc_id and n_shingles."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sketched = keep(base.mapInArrow(_sketch(size, bands, rows),
+                                    "doc_id bigint, n_shingles bigint, node binary, version binary, bands array<bigint>"), "sketch")
+    # The text of a set is fetched from a row with an id, if there is one.
+    held = F.min(F.struct(F.isnull("doc_id"), "doc_id", "version"))
+    nodes = keep(sketched.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), held.alias("held"), F.first("bands").alias("bands")), "nodes")
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    stars = keys.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    cands = connected(stars)
+    wanted = cands.join(nodes, "node").select("node", F.col("component").alias("cand"), F.col("held.doc_id").alias("i"), F.col("held.version").alias("v"))
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.unhex(F.md5("text")) == F.col("v"))).select("cand", "node", "text")
+    members = texts.mapInArrow(_members(size), "cand binary, node binary, payload binary").dropDuplicates(["node"])
+    groups = connected(linked(members, _similar(percent)))
+    node_ids = nodes.select("node", "first_id").join(groups, "node", "left").select(
+        "node", "first_id", F.coalesce("component", "node").alias("component"))
+    least = node_ids.groupBy("component").agg(F.min("first_id").alias("least"))
+    placed = node_ids.join(least, "component").select("node", "component", "least")
+    return sketched.select("doc_id", "version", "n_shingles", "node").join(placed, "node", "left").drop("node")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
@@ -142,26 +167,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     separate documents, all kept if theirs is the smallest.
     """
     with scope(docs.sparkSession):
-        base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        sketched = keep(base.mapInArrow(_sketch(size, bands, rows),
-                                        "doc_id bigint, n_shingles bigint, node binary, version binary, bands array<bigint>"), "sketch")
-        # The text of a set is fetched from a row with an id, if there is one.
-        held = F.min(F.struct(F.isnull("doc_id"), "doc_id", "version"))
-        nodes = keep(sketched.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("first_id"), held.alias("held"), F.first("bands").alias("bands")), "nodes")
-        keys = nodes.select("node", F.explode("bands").alias("key"))
-        hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        stars = keys.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        cands = connected(stars)
-        wanted = cands.join(nodes, "node").select("node", F.col("component").alias("cand"), F.col("held.doc_id").alias("i"), F.col("held.version").alias("v"))
-        texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.unhex(F.md5("text")) == F.col("v"))).select("cand", "node", "text")
-        members = texts.mapInArrow(_members(size), "cand binary, node binary, payload binary").dropDuplicates(["node"])
-        groups = connected(linked(members, _similar(percent)))
-        node_ids = nodes.select("node", "first_id").join(groups, "node", "left").select(
-            "node", "first_id", F.coalesce("component", "node").alias("component"))
-        least = node_ids.groupBy("component").agg(F.min("first_id").alias("least"))
-        placed = node_ids.join(least, "component").select("node", "least")
-        out = sketched.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
-        component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-        found = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        found = _components(docs, size, percent, bands, rows, id_col, text_col)
+        component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+        found = found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
         return keep(found, "near", stays=True)
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs (doc_id, text, any others) with exactly one row of each group of near duplicates, see near_duplicates().
+
+    That of the smallest (doc_id, MD5 of the text) stays, ids before null ones; of rows that repeat both, the one whose other
+    columns have the smallest hash.  Null texts and texts without words are in no group and stay, every one.
+    """
+    with scope(docs.sparkSession):
+        found = _components(docs.select("doc_id", "text"), size, percent, bands, rows, "doc_id", "text").where("component is not null")
+        copies = found.groupBy("component", "doc_id", "version").agg(F.count("*").alias("copies"))
+        first = F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "version", "copies"))
+        kept = copies.groupBy("component").agg(first.alias("f")).select(F.col("f.doc_id").alias("i"), F.col("f.version").alias("v"), "f.copies")
+        kept = keep(kept, "kept", stays=True)
+    words = F.regexp_like("docs.text", F.lit(r"[^\x20\x09-\x0D]"))
+    own = F.col("docs.doc_id").eqNullSafe(F.col("kept.i")) & (F.unhex(F.md5(F.col("docs.text"))) == F.col("kept.v"))
+    out = docs.alias("docs").join(kept.alias("kept"), own, "left")
+    out = out.where(F.col("kept.v").isNotNull() | F.coalesce(~words, F.lit(True)))
+    if kept.where("copies > 1").isEmpty():
+        return out.select("docs.*")
+    whole = F.struct("docs.*")
+    several = out.where("kept.copies > 1").select("kept.i", "kept.v", whole.alias("row"), F.xxhash64(F.to_json(whole)).alias("h"))
+    several = several.groupBy("i", "v").agg(F.min_by("row", "h").alias("row")).select("row.*")
+    return out.where("kept.copies is null or kept.copies = 1").select("docs.*").unionByName(several)

@@ -97,19 +97,39 @@ def test_near_duplicate_stage(spark, docs, sf, rows):
         w = (t or "").lower().split()
         return frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
-    some = sorted((i, shingles(t)) for i, t in rows if i is not None)
-    group = {i: i for i, _ in some}
-    for k, (i, a) in enumerate(some):
-        for j, b in some[k + 1:]:
-            common = len(a & b)
-            if common and 100 * common >= 80 * (len(a) + len(b) - common):
-                x, y = group[i], group[j]
-                group = {n: min(x, y) if g in (x, y) else g for n, g in group.items()}
+    def groups(rows):
+        some = [(k, shingles(t)) for k, (_, t) in enumerate(rows)]
+        group = {k: k for k, _ in some}
+        for k, a in some:
+            for j, b in some[k + 1:]:
+                common = len(a & b)
+                if common and 100 * common >= 80 * (len(a) + len(b) - common):
+                    x, y = group[k], group[j]
+                    group = {n: min(x, y) if g in (x, y) else g for n, g in group.items()}
+        return group
+
+    def want(rows):
+        """Of each group the smallest id; ids that are null come last."""
+        group = groups(rows)
+        best = {}
+        for k, g in group.items():
+            i = rows[k][0]
+            best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+        return Counter(None if unknown else i for unknown, i in best.values())
+
     got = stage(spark, docs, sf, "minhash_near_dedup")
     untouched(got, rows)
-    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(i for i, g in group.items() if i == g)
-    assert not {2000, 2001, 2002} & {r["doc_id"] for r in got}
-    assert sum(r["doc_id"] is None for r in got) == 2
+    assert Counter(r["doc_id"] for r in got) == want(rows)
+    assert not {2000, 2001, 2002} & {r["doc_id"] for r in got} and sum(r["doc_id"] is None for r in got) == 1
+    # Rows that repeat the smallest id, or all have none: one of each group stays.
+    again = [(5, prose(2)), (5, prose(3)), (6, None), (None, None), (7, ""), (7, "")]
+    again += [again[0], again[0], (9, again[0][1] + " x"), (None, again[1][1]), (None, prose(2))]
+    again += [again[-1], (None, again[-1][1] + " y")]
+    odd = spark.createDataFrame([(i, t, f"l{k}") for k, (i, t) in enumerate(again)], "doc_id bigint, text string, lang string").repartition(3)
+    out = cp.near_duplicate_stage(spark, odd, sf).collect()
+    assert Counter(r["doc_id"] for r in out) == want(again)
+    assert Counter(r["doc_id"] for r in out) == {5: 2, 6: 1, None: 2, 7: 2}
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, cp.near_duplicate_stage(spark, odd, sf).collect()), key=repr)
 
 
 def test_decontamination_stage(spark, docs, sf, rows):
