@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scalarlake.llm.common import count_words, keep
 from scalarlake.llm.decontaminate import remove_spans
 from scalarlake.llm.lines import drop_lines
-from scalarlake.llm.minhash import near_duplicates
+from scalarlake.llm.minhash import one_of_each
 from scalarlake.llm.quality import quality
 from scalarlake.llm.queries import mixed, table
 
@@ -40,10 +40,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Rows that repeat the smallest id of a group all stay.  Texts without words are in no group and stay.
+    Exactly one row of a group stays, also where rows repeat an id or have none.  Texts without words are in no group
+    and stay.
     """
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct().alias("kept")
-    return docs.alias("docs").join(kept, F.col("docs.doc_id").eqNullSafe(F.col("kept.doc_id")), "left_semi")
+    return one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that repeat id, source and size are taken alike.  Columns of docs named like those of the mix are replaced.
     """
     added = ["size", "source_size", "target", "epochs", "taken"]
-    mix = mixed(spark, sf_dir, docs).where("epochs > 0").dropDuplicates(["doc_id", "source", "size"]).alias("mix")
+    mix = mixed(spark, sf_dir, docs).groupBy("doc_id", "source", "size").agg(
+        F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("epochs").alias("epochs"),
+        F.max("taken").alias("taken")).where("epochs > 0").alias("mix")
     rows = docs.drop(*added).alias("docs")
     alike = (F.col("docs.doc_id").eqNullSafe(F.col("mix.doc_id")) & F.col("docs.source").eqNullSafe(F.col("mix.source"))
              & (count_words(F.col("docs.text")) == F.col("mix.size")))
