@@ -442,7 +442,7 @@ from e left join g using (run_id) left join w using (run_id) left join x using (
 ORACLE["ingest_compacted"] = ORACLE["series_lttb_gappy"]
 ORACLE["ingest_gaps"] = ORACLE["gaps"]
 ORACLE["ingest_refresh"] = with_views("sc_events") + """
-select r.run_id, count(distinct (e.tag, e.step)) new_rows, null::varchar as error
+select r.run_id, count(distinct (e.tag, e.step)) filter (e.tag is not null) new_rows, null::varchar as error
 from (values ('run_1'), ('run_4'), ('run_none')) r(run_id)
 left join sc_events e on e.run_id = r.run_id and e.rec % 3 = 0 group by r.run_id"""
 ORACLE["ingest_backfill"] = collapsed("tx_labels") + """
