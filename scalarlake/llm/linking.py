@@ -15,34 +15,76 @@ from scalarlake.llm.common import drop, keep
 CHUNK = 512
 
 
+#: Links that a task contracts at a time.
+LINKS = 1 << 18
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (hi, lo) of a task as stars: each node with the smallest one that these links connect it to."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= LINKS:
+            yield _stars(held)
+            held = []
+    if held:
+        yield _stars(held)
+
+
+def _stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    kind = held[0].schema.field(0).type
+    ends = [np.array([v for b in held for v in b.column(k).to_pylist()], object if pa.types.is_binary(kind) else np.int64) for k in (0, 1)]
+    nodes, code = np.unique(np.concatenate(ends), return_inverse=True)
+    hi, lo = code[:len(ends[0])], code[len(ends[0]):]
+    label = np.arange(len(nodes))
+    while True:  # codes are in the order of the nodes, so the least code is the least node
+        least = label.copy()
+        np.minimum.at(least, label[hi], label[lo])
+        np.minimum.at(least, label[lo], label[hi])
+        least = least[least[least]]
+        least = np.minimum(least, least[label])
+        if np.array_equal(least, label):
+            break
+        label = least
+    return pa.RecordBatch.from_arrays([pa.array(nodes.tolist(), kind), pa.array(nodes[label].tolist(), kind)], names=["hi", "lo"])
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node that can be reached.
 
     Alternating star contraction: each node hands its larger neighbours to its smallest one, then its smaller
-    neighbours; the rounds grow with the logarithm of the longest path.  A node with very many neighbours only takes
-    part in a minimum, which is aggregated before the shuffle, and in a join, whose skew Spark splits.  Nulls are
-    no nodes, loops only make their node known, repeated edges count once.  No edges, no rows.
+    neighbours; before that, tasks contract the links that they hold.  The rounds grow with the logarithm of the longest
+    path and end when only stars are left.  A node with very many neighbours only takes part in a minimum, which is
+    aggregated before the shuffle, and in a join, whose skew Spark splits.  Nulls are no nodes, loops only make their
+    node known, repeated edges count once.  No edges, no rows.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null")
+    kind = edges.schema["a"].dataType.simpleString()
+    schema = f"hi {kind}, lo {kind}"
     # A loop stays as (node, node), so that a node without other links is in the result.
-    pairs = keep(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    seen = None
+    pairs = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    pairs = keep(pairs.mapInArrow(_contract, schema).distinct(), "edges")
+
+    def both_ways(rows: DataFrame, *ways: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.col(x).alias(names[0]), F.col(y).alias(names[1])) for x, y in ways])).alias("e")
+        return rows.select(each).select("e.*")
+
     for _ in range(most_rounds):
-        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
-            pairs.where("hi != lo").select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.where("v >= u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(
-            least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
+        ends = both_ways(pairs.where("hi != lo"), ("hi", "lo"), ("lo", "hi"), names=("node", "other"))
+        # Only stars are left when no node has two smaller neighbours, or a smaller and a larger one.
+        mixed = ends.groupBy("node").agg(F.count_if(F.col("other") < F.col("node")).alias("up"), F.count("*").alias("n"))
+        if mixed.where("up > 0 and n > 1").isEmpty():
+            break
+        # Every node meets itself as well, so that its own smallest neighbour is among its rows.
+        stars = pairs.mapInArrow(_contract, schema)
+        both = both_ways(stars, ("hi", "lo"), ("lo", "hi"), ("hi", "hi"), ("lo", "lo"), names=("u", "v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v >= u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.greatest("lo", "m").alias("hi"), F.col("m").alias("lo")).union(
-            low.select("hi", F.col("m").alias("lo"))).distinct()
+        small = both_ways(large.join(low, "hi"), ("lo", "m"), ("hi", "m"), names=("hi", "lo")).distinct()
         after = keep(small, "edges")
         drop(pairs)
         pairs = after
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
