@@ -75,11 +75,11 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         mixed = ends.groupBy("node").agg(F.count_if(F.col("other") < F.col("node")).alias("up"), F.count("*").alias("n"))
         if mixed.where("up > 0 and n > 1").isEmpty():
             break
-        # Every node meets itself as well, so that its own smallest neighbour is among its rows.
         stars = pairs.mapInArrow(_contract, schema)
-        both = both_ways(stars, ("hi", "lo"), ("lo", "hi"), ("hi", "hi"), ("lo", "lo"), names=("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v >= u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        both = both_ways(stars, ("hi", "lo"), ("lo", "hi"), names=("u", "v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(
+            least.select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = both_ways(large.join(low, "hi"), ("lo", "m"), ("hi", "m"), names=("hi", "lo")).distinct()
         after = keep(small, "edges")
