@@ -49,14 +49,15 @@ def _stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes.tolist(), kind), pa.array(nodes[label].tolist(), kind)], names=["hi", "lo"])
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, most_rounds: int = 60, links: int = LINKS) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node that can be reached.
 
     Alternating star contraction: each node hands its larger neighbours to its smallest one, then its smaller
     neighbours; before that, tasks contract the links that they hold.  The rounds grow with the logarithm of the longest
     path and end when only stars are left.  A node with very many neighbours only takes part in a minimum, which is
-    aggregated before the shuffle, and in a join, whose skew Spark splits.  Nulls are no nodes, loops only make their
-    node known, repeated edges count once.  No edges, no rows.
+    aggregated before the shuffle, and in a join, whose skew Spark splits.  As soon as the links that are left are no more
+    than a task contracts at a time (``links``, at most LINKS), one such contraction ends it.  Nulls are no nodes, loops only
+    make their node known, repeated edges count once.  No edges, no rows.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null")
     kind = edges.schema["a"].dataType.simpleString()
@@ -70,6 +71,10 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return rows.select(each).select("e.*")
 
     for _ in range(most_rounds):
+        if pairs.count() <= links:
+            after = keep(pairs.coalesce(1).mapInArrow(_contract, schema), "edges")
+            drop(pairs)
+            return after.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
         ends = both_ways(pairs.where("hi != lo"), ("hi", "lo"), ("lo", "hi"), names=("node", "other"))
         # Only stars are left when no node has two smaller neighbours, or a smaller and a larger one.
         mixed = ends.groupBy("node").agg(F.count_if(F.col("other") < F.col("node")).alias("up"), F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scalarlake.llm import bwt, linking
 from scalarlake.llm.bwt import repeated_bytes
+from scalarlake.llm.common import keep
 from scalarlake.llm.decontaminate import Automaton, match, remove_spans, report, split_words
 from scalarlake.llm.exact import exact_groups
 from scalarlake.llm.html import extract, main_text
@@ -327,6 +328,21 @@ def test_connected(spark):
     assert got == want
 
 
+def test_connected_in_rounds_and_at_once(spark, monkeypatch):
+    """Few links are contracted by one task; more go through rounds until they are few.  Both give the same."""
+    kept = []
+    monkeypatch.setattr(linking, "keep", lambda df, label: kept.append(label) or keep(df, label))
+    links = [(k, k + 7) for k in range(0, 400)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000)]
+    edges = spark.createDataFrame(links, "a long, b long").repartition(7)
+    found = []
+    for most in (0, 500, linking.LINKS):
+        kept.clear()
+        found.append({(r.node, r.component) for r in connected(edges, links=most).collect()})
+    assert found[0] == found[1] == found[2]
+    assert (5000, 5000) in found[0] and {c for _, c in found[0]} == {*range(7), 1000, 5000}
+    assert len(kept) == 2  # the links and the stars: no round of shuffles
+
+
 @pytest.mark.parametrize("chunk", [512, 4])
 def test_near_duplicates(spark, monkeypatch, chunk):
     monkeypatch.setattr(linking.linked, "__defaults__", (chunk,))
