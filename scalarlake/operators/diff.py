@@ -13,16 +13,19 @@ from collections.abc import Iterator, Sequence
 from math import isqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BATCH_LINES = 20_000
+#: Pairs that a worker has as Python objects at a time.
+_PAIRS = 64
 #: Texts of more lines are cut; boxes have at most so many lines on either side.
 BOX_LINES = 16_384
 #: Columns that a sweep works on at a time, so that its bit sets stay small.
 _STRIPE = 16_384
+_SWEPT = pa.list_(pa.struct([("i", pa.int64()), ("bits", pa.binary())]))
 
 
 def diff_lines(a: str, b: str) -> Iterator[tuple[str, str]]:
@@ -194,44 +197,54 @@ def _cut(boxes: DataFrame, keys: list[str], every: int, swapped: bool) -> DataFr
     found = T.ArrayType(T.StructType([T.StructField("i", T.LongType()), T.StructField("bits", T.BinaryType())]))
     swept = T.StructType([*schema.fields, T.StructField("side", T.IntegerType()), T.StructField("swept", found)])
 
-    def sweeps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for values in pdf.itertuples(index=False, name=None):
-                row = dict(zip(pdf.columns, values))
-                x, y = list(row[rows]), list(row[columns])
-                if row["side"] == 2:  # small enough
-                    bits = {}
-                elif row["side"]:  # from the front: both texts backwards, rows counted from the front again
+    def sweeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            front, bits = [], []
+            for x, y, side in zip(*(batch.column(c).to_pylist() for c in (rows, columns, "side"))):
+                if side == 2:  # small enough
+                    found = {}
+                elif side:  # from the front: both texts backwards, rows counted from the front again
                     first = len(x) % every or every
-                    bits = {len(x) - i: v for i, v in _offset_sweep(x[::-1], y[::-1], first, every).items()}
-                    row["a"] = row["b"] = None
+                    found = {len(x) - i: v for i, v in _offset_sweep(x[::-1], y[::-1], first, every).items()}
                 else:
-                    bits = sweep(x, y, every)
-                row["swept"] = [{"i": i, "bits": v.tobytes()} for i, v in bits.items()]
-                yield pd.DataFrame({c: pd.Series([row[c]], dtype=None if c in ints else object) for c in swept.names})
+                    found = sweep(x, y, every)
+                front.append(side == 1)
+                bits.append([{"i": i, "bits": v.tobytes()} for i, v in found.items()])
+            once = pa.array([None if f else k for k, f in enumerate(front)], pa.int64())  # the texts go with one side only
+            out = [c.take(once) if n in ("a", "b") else c for n, c in zip(batch.schema.names, batch.columns)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(bits, _SWEPT)], names=swept.names)
 
-    ints = {f.name for f in swept.fields if isinstance(f.dataType, (T.LongType, T.IntegerType)) and f.name not in keys}
     side = F.explode(F.when(F.size(rows) > every, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))))
-    sides = boxes.withColumn("side", side).repartition(F.xxhash64(*box, "side")).mapInPandas(sweeps, swept)
+    sides = boxes.withColumn("side", side).repartition(F.xxhash64(*box, "side")).mapInArrow(sweeps, swept)
     whole = sides.groupBy(*box).agg(
         F.max("line_no").alias("line_no"), F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"),
         F.flatten(F.collect_list(F.transform("swept", lambda s: F.struct(F.col("side").alias("side"), s["i"].alias("i"), s["bits"].alias("bits"))))).alias("swept"))
 
-    def boxes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for values in pdf.itertuples(index=False, name=None):
-                row = dict(zip(pdf.columns, values))
-                x, y = list(row[rows]), list(row[columns])
-                behind, ahead = [{s["i"]: np.frombuffer(s["bits"], np.uint8) for s in row["swept"] if s["side"] == k} for k in (0, 1)]
+    def boxes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            at = {c: k for k, c in enumerate(schema.names)}
+            origin, out = [], {c: [] for c in ("a", "b", "at_a", "at_b", "line_no")}
+            read = (batch.column(c).to_pylist() for c in (rows, columns, f"at_{rows}", f"at_{columns}", "line_no", "swept"))
+            for k, (x, y, from_x, from_y, line_no, bits) in enumerate(zip(*read)):
+                behind, ahead = ({b["i"]: np.frombuffer(b["bits"], np.uint8) for b in bits if b["side"] == side} for side in (0, 1))
                 met = [*corners(x, y, ahead, behind, every, swapped), (len(x), len(y), 0)]
-                out = []
                 for (i, j, common), (i2, j2, _) in zip(met, met[1:]):
-                    part = {rows: x[i:i2], columns: y[j:j2], f"at_{rows}": row[f"at_{rows}"] + i,
-                            f"at_{columns}": row[f"at_{columns}"] + j, "line_no": row["line_no"] + i + j - common}
-                    out.append(tuple({**row, **part}[c] for c in schema.names))
-                yield pd.DataFrame(out, columns=schema.names)
+                    origin.append(k)
+                    for c, v in ((rows, x[i:i2]), (columns, y[j:j2]), (f"at_{rows}", from_x + i), (f"at_{columns}", from_y + j),
+                                 ("line_no", line_no + i + j - common)):
+                        out[c].append(v)
+            taken = pa.array(origin, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[c], batch.column(c).type) if c in out else batch.column(c).take(taken) for c in at], names=list(at))
 
-    return whole.mapInPandas(boxes_of, schema)
+    return whole.mapInArrow(boxes_of, schema)
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few pairs, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _PAIRS):
+            yield batch.slice(k, _PAIRS)
 
 
 def _offset_sweep(x: Sequence[str], y: Sequence[str], first: int, every: int) -> dict[int, np.ndarray]:
@@ -263,23 +276,29 @@ def line_diff(pairs: DataFrame, keys: list[str], box_lines: int = BOX_LINES) ->
     schema = T.StructType(fields + [
         T.StructField("line_no", T.LongType()), T.StructField("op", T.StringType()), T.StructField("line", T.StringType()),
     ])
-    return same.unionByName(boxes.select(*keys, "line_no", "a", "b").mapInPandas(_differ(keys), schema))
+    return same.unionByName(boxes.select(*keys, "line_no", "a", "b").mapInArrow(_differ(keys), schema))
 
 
 def _differ(keys: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*keys, "line_no", "op", "line"]
-        out: list[tuple] = []
-        for pdf in batches:
-            for row in pdf.itertuples(index=False, name=None):
-                key, first, a, b = row[:-3], row[-3], row[-2], row[-1]
-                for no, (op, line) in enumerate(diff_sequences(list(a), list(b)), first):
-                    out.append((*key, no, op, line))
-                    if len(out) >= _BATCH_LINES:
-                        yield pd.DataFrame(out, columns=names)
-                        out = []
-        if out:
-            yield pd.DataFrame(out, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _few(batches):
+            out = ([], [], [], [])  # pair, line number, op, line
+
+            def rows():
+                taken = pa.array(out[0], pa.int64())
+                found = [pa.array(c, t) for c, t in zip(out[1:], (pa.int64(), pa.string(), pa.string()))]
+                for c in out:
+                    c.clear()
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in keys), *found], names=[*keys, "line_no", "op", "line"])
+
+            for k, (first, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("line_no", "a", "b")))):
+                for no, (op, line) in enumerate(diff_sequences(a, b), first):
+                    for c, v in zip(out, (k, no, op, line)):
+                        c.append(v)
+                    if len(out[0]) >= _BATCH_LINES:
+                        yield rows()
+            if out[0]:
+                yield rows()
 
     return run
 

@@ -186,3 +186,17 @@ def test_compare(spark):
     s = compare.compare_pairs(both, pairs)[1].first()
     assert (s.added, s.removed) == (2, 2)
     assert compare.text_history(both)[1].count() == 2
+
+
+def test_differences_hold_few_pairs_at_a_time():
+    """A worker takes a few pairs of a batch at a time, however many the batch has."""
+    import pyarrow as pa
+
+    pairs = [([f"a{k}", "x", "y"], ["x", f"b{k}", "y"]) for k in range(3 * diff._PAIRS + 5)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(pairs)), pa.int64()), pa.array([0] * len(pairs), pa.int64()), *(pa.array(side) for side in zip(*pairs))],
+        names=["k", "line_no", "a", "b"])
+    got = list(diff._differ(["k"])(iter([batch])))
+    assert len(got) == 4
+    want = [(k, no, op, line) for k, (a, b) in enumerate(pairs) for no, (op, line) in enumerate(diff.diff_sequences(a, b))]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
