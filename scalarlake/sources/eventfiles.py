@@ -1,7 +1,7 @@
 """Event files as a Spark source.
 
 ``eventfiles`` is a Python data source, for batch and streaming reads, that *lists*
-event files: one input partition per run folder, walked on an executor.  Reading is
+event files: run folders are dealt to input partitions and walked on executors.  Reading is
 a DataFrame pipeline on top:
 
     listing -> stretches of whole records -> decoded rows
@@ -37,6 +37,7 @@ NAME_START = "events.out.tfevents."  # fixed value: event files are named like t
 HEAD_RECORDS = HEAD_GAP = 512  # fixed values of the head-only text scan
 
 SPLIT_BYTES = 32 * 1024 * 1024
+LIST_TASKS = 64  # at most so many tasks list run folders
 REC_SCALE = 1 << 32  # ``rec`` = record number * REC_SCALE + n-th value of a tag in the record
 _CHUNK = 8 * 1024 * 1024
 _HEADS_CHUNK = 1024 * 1024  # where only lengths are read
@@ -96,6 +97,10 @@ class RunFolder(InputPartition):
         super().__init__((run_id, folder, flat))
         self.run_id, self.folder, self.flat = run_id, folder, flat
 
+    @property
+    def folders(self) -> list[RunFolder]:
+        return [self]
+
 
 def _run_folders(root: str, wanted: set[str] | None) -> list[RunFolder]:
     """Sub-folders of the root; the root itself if none of them is a run but it holds event files.
@@ -122,6 +127,17 @@ def _list(part: RunFolder, root: str) -> Iterator[tuple]:
         yield part.run_id, rel, scheme + info.path, info.size, mtime
 
 
+class RunFolders(InputPartition):
+    def __init__(self, folders: list[RunFolder]):
+        super().__init__(tuple(f.run_id for f in folders))
+        self.folders = folders
+
+
+def _dealt(folders: list[RunFolder]) -> list[RunFolder] | list[RunFolders]:
+    """Partitions of folders for at most LIST_TASKS tasks."""
+    return folders if len(folders) <= LIST_TASKS else [RunFolders(folders[k::LIST_TASKS]) for k in range(LIST_TASKS)]
+
+
 class _Options:
     def __init__(self, options):
         self.root = options["path"]
@@ -131,11 +147,11 @@ class _Options:
 
 class _Lister(_Options, DataSourceReader):
     def partitions(self):
-        return _run_folders(self.root, self.runs) or [RunFolder("", "", True)]
+        return _dealt(_run_folders(self.root, self.runs)) or [RunFolders([])]
 
     def read(self, partition):
-        if partition.folder:
-            yield from _list(partition, self.root)
+        for folder in partition.folders:
+            yield from _list(folder, self.root)
 
 
 _POLL_THREADS = 16
@@ -170,10 +186,13 @@ class _Poller(_Options, DataSourceStreamReader):
     def partitions(self, start, end):
         known, now = start.get("runs") or {}, end.get("runs")
         folders = _run_folders(self.root, self.runs)
-        return folders if now is None else [f for f in folders if f.run_id in now and now[f.run_id] != known.get(f.run_id)]
+        if now is not None:
+            folders = [f for f in folders if f.run_id in now and now[f.run_id] != known.get(f.run_id)]
+        return _dealt(folders)
 
     def read(self, partition):
-        yield from _list(partition, self.root)
+        for folder in partition.folders:
+            yield from _list(folder, self.root)
 
     def commit(self, end):
         pass
@@ -253,7 +272,7 @@ def _sync(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             try:
                 with _open(r["path"]) as handle:
-                    window = _Window(handle, r["lo"], r["size"], _HEADS_CHUNK)
+                    window = _Window(handle, r["lo"], r["size"], min(_HEADS_CHUNK, r["hi"] - r["lo"]))
                     begin = r["lo"] if r["lo"] == r["start"] else framing.first_record(window, r["lo"], r["hi"], r["size"])
                     found.append((begin, *(framing.walk(window, begin, r["hi"], r["size"]) if begin is not None else (0, 0))))
             except OSError:  # left to decode(), which says so
@@ -270,7 +289,7 @@ def _number(table: pa.Table) -> pa.Table:
     def again(at: int, stop: int) -> tuple[int, int]:
         try:
             with _open(first["path"]) as handle:
-                return framing.walk(_Window(handle, at, first["size"], _HEADS_CHUNK), at, stop, first["size"])
+                return framing.walk(_Window(handle, at, first["size"], min(_HEADS_CHUNK, stop - at)), at, stop, first["size"])
         except OSError:
             return at, 0
 
@@ -281,6 +300,12 @@ def _number(table: pa.Table) -> pa.Table:
     return pa.Table.from_pydict({**same, "start": starts, "stop": stops, "first_rec": recs}, schema=_CUT)
 
 
+def _tasks(files: DataFrame) -> int:
+    """Tasks that share the reading of files.  The rows that name them are small, so that Spark would merge them into one task
+    if the number were left to it."""
+    return int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stretches(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Stretches of whole records for rows (listing columns, ``start``, ``first_rec``).
 
@@ -293,10 +318,10 @@ def stretches(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
         "run_id", "relkey", "prefix", "path", "start", F.col("size").alias("stop"), "first_rec")
     lo = F.explode(F.sequence(F.col("start"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
     parts = rows.filter(long).withColumn("lo", lo).withColumn("hi", F.least(F.col("lo") + split_bytes, F.col("size")))
-    even = parts.repartition(F.xxhash64("run_id", "relkey", "lo"))
+    even = parts.repartition(_tasks(files), F.xxhash64("run_id", "relkey", "lo"))
     seen = even.mapInArrow(_sync, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields) + ", begin bigint, after bigint, count bigint")
     cut = seen.groupBy("run_id", "relkey").applyInArrow(_number, _STRETCH)
-    return whole.unionByName(cut).repartition(F.xxhash64("run_id", "relkey", "start"))
+    return whole.unionByName(cut).repartition(_tasks(files), F.xxhash64("run_id", "relkey", "start"))
 
 
 class _Rows:
@@ -426,5 +451,5 @@ def read_head_texts(files: DataFrame, head: int = HEAD_RECORDS, gap: int = HEAD_
     without text, or ``gap`` records after the last text."""
     one = whole_files(files).select(
         "run_id", "relkey", "prefix", "path", "start", F.col("size").alias("stop"), "first_rec"
-    ).repartition(F.xxhash64("run_id", "relkey"))
+    ).repartition(_tasks(files), F.xxhash64("run_id", "relkey"))
     return decode(one, "text", "stop", head, gap).filter("kind = 'text'").drop("offset", "value")

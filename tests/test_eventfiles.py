@@ -220,3 +220,53 @@ def test_head_scan(spark, tmp_path):
     assert head == [("b", "early"), ("b", "early")]
     full = sorted((r.run_id, r.tag) for r in ef.read_events(files, "text").collect())
     assert full == [("a", "late"), ("b", "early"), ("b", "early"), ("b", "late")]
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    """The rows that name files are small; the files need not be."""
+    root = str(tmp_path / "runs")
+    for k in range(12):
+        w.write(f"{root}/run_{k}/events.out.tfevents.1", *(w.event(s, 1.0, w.simple("loss", s)) for s in range(5)))
+    parts = ef.stretches(ef.whole_files(ef.list_event_files(spark, root)), 100)
+    assert parts.selectExpr("spark_partition_id() p").distinct().count() > 1
+
+
+def test_many_folders_share_tasks():
+    folders = [ef.RunFolder(f"r{k}", f"/runs/r{k}", False) for k in range(1000)]
+    dealt = ef._dealt(folders)
+    assert len(dealt) == ef.LIST_TASKS and sorted(f.run_id for p in dealt for f in p.folders) == sorted(f.run_id for f in folders)
+
+
+def test_short_stretches_read_little(tmp_path, monkeypatch):
+    """Looking for the records of a stretch reads about the stretch, not a megabyte behind it."""
+    import pyarrow as pa
+
+    path = str(tmp_path / "events.out.tfevents.1")
+    w.write(path, *(w.event(s, 1.0, w.simple("loss", s)) for s in range(5000)))
+    size, seen = os.path.getsize(path), []
+    real = ef._Window.get
+
+    def get(self, at, n):
+        buf, off = real(self, at, n)
+        seen.append(len(buf))
+        return buf, off
+
+    monkeypatch.setattr(ef._Window, "get", get)
+    row = {"path": path, "lo": 0, "hi": 1000, "start": 0, "size": size, "first_rec": 0}
+    batch = pa.RecordBatch.from_pylist([row])
+    assert next(ef._sync(iter([batch]))).column("count").to_pylist()[0] > 5
+    assert max(seen) <= 1000
+
+
+def test_one_file_for_each_run_in_order(spark, tmp_path):
+    from workload.eventlog import write_event_files
+
+    table = spark.createDataFrame(
+        [(f"run_{k % 3}", "t", k, 1.0, float(k), None, 300 - k) for k in range(300)],
+        "run_id string, tag string, step long, wall_time double, value double, text string, rec long").repartition(5)
+    root = str(tmp_path / "runs")
+    write_event_files(table, root, "a")
+    assert sorted(os.listdir(root)) == ["run_0", "run_1", "run_2"]
+    assert all(os.listdir(f"{root}/{run}") == ["events.out.tfevents.a.0"] for run in os.listdir(root))
+    got = ef.read_events(ef.list_event_files(spark, root)).orderBy("run_id", "rec").collect()
+    assert [(r.run_id, r.step) for r in got] == [(f"run_{n}", k) for n in range(3) for k in range(299, -1, -1) if k % 3 == n]

@@ -16,6 +16,10 @@ from scalarlake.sources.files import qualified
 from scalarlake.sources.framing import framed
 
 
+#: Encoded records go to the writer of their run in pieces of about this size.
+_PIECE_BYTES = 4096
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -50,27 +54,43 @@ def encode(tag: str, step: int, wall: float, value: float | None, text: str | No
 def write_event_files(rows: DataFrame, folder: str, part: str, below: str = "") -> None:
     """Write rows (run_id, tag, step, wall_time, value, text, rec) below ``folder``, in a sub-folder ``below`` of each run.
 
-    Each task writes one file per run it sees, by ``rec``; a retried task writes the same file again.
+    One file per run, its records in the order of ``rec``.  Tasks encode ranges of (run_id, rec), whatever the size of a run;
+    the task that writes a run's file only copies their bytes.  A retried task writes the same file again.
     """
 
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place = TaskContext.get().partitionId() << 40
+        for pdf in batches:
+            out: list[tuple] = []
+            run, held, size = None, [], 0
+            for r in pdf.itertuples(index=False):
+                if held and (r.run_id != run or size >= _PIECE_BYTES):
+                    out.append((run, place + len(out), b"".join(held)))
+                    held, size = [], 0
+                run = r.run_id
+                held.append(encode(r.tag, r.step, r.wall_time, None if r.empty else r.value, r.text))
+                size += len(held[-1])
+            if held:
+                out.append((run, place + len(out), b"".join(held)))
+            place += len(out)
+            yield pd.DataFrame(out, columns=["run_id", "place", "data"])
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from scalarlake.sources.files import filesystem as of
 
         filesystem, base = of(folder)
-        name = f"events.out.tfevents.{part}.{TaskContext.get().partitionId()}"
         run, out = None, None
         n = 0
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                if r.run_id != run:
+                if out is None or r.run_id != run:
                     if out is not None:
                         out.close()
                     run = r.run_id
                     at = f"{base}/{run}/{below}".rstrip("/")
                     filesystem.create_dir(at, recursive=True)
-                    out = filesystem.open_output_stream(f"{at}/{name}")
-                value = None if r.empty else r.value
-                out.write(encode(r.tag, r.step, r.wall_time, value, r.text))
+                    out = filesystem.open_output_stream(f"{at}/events.out.tfevents.{part}.0")
+                out.write(r.data)
                 n += 1
         if out is not None:
             out.close()
@@ -79,7 +99,10 @@ def write_event_files(rows: DataFrame, folder: str, part: str, below: str = "")
     folder = qualified(rows.sparkSession, folder)
     cols = rows.selectExpr("run_id", "tag", "step", "wall_time", "cast(value as double) value", "text", "rec",
                            "value is null and text is null empty")
-    cols.sortWithinPartitions("run_id", "rec").mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
+    order = ["run_id", "rec"]
+    pieces = cols.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(encoded, "run_id string, place long, data binary")
+    whole = pieces.repartition("run_id").sortWithinPartitions("run_id", "place")
+    whole.mapInPandas(write, "n long").write.format("noop").mode("overwrite").save()
 
 
 def write_configs(lines: DataFrame, folder: str) -> None:

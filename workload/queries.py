@@ -510,7 +510,7 @@ def event_file_cut(spark, sf):
     """One file that holds everything, cut into stretches by many tasks: each record with its number."""
     folder = eventlog.fresh_folder(spark, "runs")
     ev = views.sc_events(spark, sf).withColumns({"text": F.lit(None).cast("string"), "tag": F.concat("run_id", F.lit("/"), "tag"), "run_id": F.lit("all")})
-    eventlog.write_event_files(ev.coalesce(1), folder, "a")
+    eventlog.write_event_files(ev, folder, "a")
     rows = eventfiles.read_events(eventfiles.list_event_files(spark, folder), split_bytes=1 << 14)
     return rows.select("tag", "step", r6("wall_time"), finite_or_null(F.round("value", 6)).alias("value"),
                        F.floor(F.col("rec") / eventfiles.REC_SCALE).alias("record"))
@@ -531,7 +531,7 @@ def _nested_files(spark, sf):
     folder = eventlog.fresh_folder(spark, "runs")
     ev = views.sc_events(spark, sf).withColumn("text", F.lit(None).cast("string"))
     for k, below in enumerate(("", "metrics/20260618_101116_148035/auto", "1700000000", "eval_10")):
-        eventlog.write_event_files(ev.filter(F.col("rec") % 4 == k).coalesce(1), folder, "a", below)
+        eventlog.write_event_files(ev.filter(F.col("rec") % 4 == k), folder, "a", below)
     return eventfiles.list_event_files(spark, folder)
 
 
@@ -553,12 +553,12 @@ def _counted(spark, sf):
     eventlog.write_configs(views.cfg_lines(spark, sf), folder)
     ev = views.sc_events(spark, sf).withColumn("text", F.lit(None).cast("string"))
     tx = views.tx_labels(spark, sf).withColumn("value", F.lit(None).cast("float"))
-    eventlog.write_event_files(ev.filter("rec % 3 > 0").coalesce(1), folder, "a")
+    eventlog.write_event_files(ev.filter("rec % 3 > 0"), folder, "a")
     job.write(eventfiles.list_event_files(spark, folder), 0)
-    eventlog.write_event_files(ev.filter("rec % 3 = 0").unionByName(tx, allowMissingColumns=True).coalesce(1), folder, "b")
+    eventlog.write_event_files(ev.filter("rec % 3 = 0").unionByName(tx, allowMissingColumns=True), folder, "b")
     three = ev.filter("rec between 1 and 3").withColumns({
         "run_id": F.lit("run_z"), "tag": F.lit("z"), "step": F.col("rec"), "value": F.when(F.col("rec") != 2, F.col("rec").cast("float"))})
-    eventlog.write_event_files(three.coalesce(1), folder, "z")
+    eventlog.write_event_files(three, folder, "z")
     job.write(eventfiles.list_event_files(spark, folder), 2)
     return job
 
@@ -593,7 +593,7 @@ def ingest_texts(spark, sf):
     job = Ingest(Store(spark, eventlog.fresh_folder(spark, "store")), folder)
     tx = views.tx_conv(spark, sf).withColumn("value", F.lit(None).cast("float"))
     for seg, even in ((0, 0), (2, 1)):
-        eventlog.write_event_files(tx.filter(F.col("rec") % 2 == even).coalesce(1), folder, "ab"[even])
+        eventlog.write_event_files(tx.filter(F.col("rec") % 2 == even), folder, "ab"[even])
         job.write(eventfiles.list_event_files(spark, folder), seg)
     return job.store.texts().select(*SERIES, "i", "step", "text")
 
@@ -620,7 +620,7 @@ def text_head_scan(spark, sf):
     folder = eventlog.fresh_folder(spark, "runs")
     ev = views.sc_events(spark, sf).withColumn("text", F.when(F.expr("rec % 1000 < 60 or rec % 1000 between 300 and 310"), F.concat(F.lit("note "), F.col("rec"))))
     ev = ev.withColumns({"value": F.when(F.col("text").isNull(), F.lit(1.0).cast("float")), "run_id": F.concat(F.lit("block_"), F.floor(F.col("rec") / 500))})
-    eventlog.write_event_files(ev.repartition(1), folder, "a")
+    eventlog.write_event_files(ev, folder, "a")
     rows = eventfiles.read_head_texts(eventfiles.list_event_files(spark, folder), head=20, gap=20)
     return rows.select(*SERIES, "step", "text")
 
