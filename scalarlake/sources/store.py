@@ -1,8 +1,8 @@
 """The store: Parquet tables, one directory per ingest pass (``seg``).
 
     <root>/generations/            one row per generation; the greatest one is read
-    <root>/gen=<g>/scalars/seg=<s>/run_id=<r>/*.parquet   sorted by tag, step
-    <root>/gen=<g>/texts/seg=<s>/run_id=<r>/*.parquet     entries with the digests of their bodies
+    <root>/gen=<g>/scalars/seg=<s>/*.parquet       sorted by run, tag, step
+    <root>/gen=<g>/texts/seg=<s>/*.parquet         sorted in the same way: entries with the digests of their bodies
     <root>/gen=<g>/bodies/seg=<s>/*.parquet               sorted by digest, each text once
     <root>/gen=<g>/{positions,tag_stats,configs,names,text_tags,passes,backfills,files}/seg=<s>/*.parquet
 
@@ -12,6 +12,9 @@ Segments are only ever replaced whole, by a replay of the pass that wrote them.
 Reads merge segments (latest write wins).  Compaction and re-tagging write a new
 generation and then append its number, so readers switch in one step.  They copy a fixed set of
 finished segments; segments that finish meanwhile are carried over as they are.
+
+The number of files follows the size of a table, not the number of runs.  Segments of older stores have a folder
+``run_id=<r>`` for each run and are read as they are.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ def write_segment(df: DataFrame, path: str, table: str) -> None:
     """Replace one segment.
 
     Big tables are range-partitioned so that each file holds a contiguous range of
-    tags (Parquet statistics then skip row groups).  ``step`` is part of the range:
+    runs and tags (Parquet statistics then skip files and row groups).  ``step`` is part of the range:
     a series of any length is spread over several files.
     """
     schema = TABLES[table]
@@ -54,7 +57,7 @@ def write_segment(df: DataFrame, path: str, table: str) -> None:
     if table in BY_RUN:
         order = ["run_id", "tag", "step"]
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        writer = df.write.partitionBy("run_id").option("parquet.block.size", ROW_GROUP_BYTES)
+        writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
     elif table == "bodies":  # one digest is found in few row groups
         writer = df.repartitionByRange("digest").sortWithinPartitions("digest").write.option("parquet.block.size", ROW_GROUP_BYTES)
     else:
@@ -98,11 +101,20 @@ class Store:
         base = f"{self.root}/gen={gen}/{table}"
         return base if seg is None else f"{base}/seg={seg}"
 
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
-        """Always with an explicit schema: run ids such as ``001`` must stay text."""
+    def _read(self, path: str, schema: T.StructType, by_run: bool = False) -> DataFrame:
+        """Always with an explicit schema: run ids such as ``001`` must stay text.
+
+        ``by_run``: segments may be of an older store, with a folder for each run.
+        """
         if not exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        read = self.spark.read.schema(schema)
+        if by_run and (old := {p.rsplit("/", 1)[0] for p in matching(self.spark, f"{path}/seg=*/run_id=*")}):
+            new = set(matching(self.spark, f"{path}/seg=*")) - old
+            read = read.option("basePath", path)
+            parts = [read.parquet(*sorted(p)).select(*schema.names) for p in (old, new) if p]
+            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return read.parquet(path)
 
     def table(self, name: str) -> DataFrame:
         """Rows of all segments; of text, those that no later backfill has replaced."""
@@ -114,7 +126,7 @@ class Store:
         return t.join(void, "run_id", "left").filter(current).select(*t.columns)
 
     def _stored(self, name: str) -> DataFrame:
-        t = self._read(self.path(name), S.stored(TABLES[name]))
+        t = self._read(self.path(name), S.stored(TABLES[name]), by_run=name in BY_RUN)
         return t if self._segments is None else t.filter(F.col("seg").isin(list(self._segments)))
 
     def _single_segment(self) -> bool:

@@ -403,3 +403,18 @@ def test_pass_during_compaction(spark, tmp_path, monkeypatch):
     assert points(job.store) == [("r", "loss", 0, 1.0), ("r", "loss", 1, 2.0)]
     assert not job.write(ef.list_event_files(spark, root), 4)
     assert [r["count"] for r in job.store.tag_stats().collect()] == [2]
+
+
+def test_files_do_not_grow_with_runs(spark, tmp_path):
+    """Segments have no folder for each run; those of older stores are read all the same."""
+    store = Store(spark, str(tmp_path / "store"))
+    new = spark.createDataFrame([(f"{k:03}", "loss", 1, 1.0, 2.0, "f", k) for k in range(40)],
+                                "run_id string, tag string, step long, wall_time double, value float, src string, rec long")
+    write_segment(new, store.path("scalars", 2), "scalars")
+    held = [f for f in os.listdir(store.path("scalars", 2)) if f.endswith(".parquet")]
+    assert held and len(held) < 40 and not any(f.startswith("run_id=") for f in os.listdir(store.path("scalars", 2)))
+    old = new.limit(3).selectExpr("concat('x', run_id) run_id", "tag", "step", "wall_time", "value", "src", "rec")
+    old.write.partitionBy("run_id").parquet(store.path("scalars", 0))
+    got = {(r.run_id, r.seg) for r in store.table("scalars").collect()}
+    assert {r for r in got if r[1] == 2} == {(f"{k:03}", 2) for k in range(40)} and sum(s == 0 for _, s in got) == 3
+    assert len(store.scalars(["007"]).collect()) == 1
