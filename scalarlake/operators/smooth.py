@@ -49,7 +49,7 @@ def ema(points: DataFrame, weight: float, value: str = "value", out: str = "smoo
         F.coalesce("s_in", F.lit(0.0)).alias("_s"), F.coalesce("m_in", F.lit(0)).alias("_m"),
     )
     return (
-        joined.repartition(*block)
+        joined.repartition(F.xxhash64(*block))  # not the join's partitioning, which Spark may read locally instead
         .sortWithinPartitions(*block, "step")
         .mapInArrow(_scanner(weight, value, out, names), schema)
     )

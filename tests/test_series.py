@@ -320,3 +320,18 @@ def test_ema_scan_over_batches():
             got = [x for b in out for x in b.column(3).to_pylist()]
             assert [x is None for x in got] == [x is None for x in want]
             assert np.allclose([x for x in got if x is not None], [x for x in want if x is not None], rtol=1e-11)
+
+
+def test_ema_of_a_series_from_many_tasks(spark):
+    """A series stays in one piece where Spark turns the join with its blocks into a broadcast as it runs."""
+    rows = [("r", t, k, float((k * 7) % 11)) for t in ("a", "b") for k in range(600)]
+    table = spark.createDataFrame(rows, "run_id string, tag string, step long, value double").repartition(6)
+    smoothed = smooth.ema(table, 0.6)
+    # A shuffle of its own: the join's may be read where it was written, in pieces.
+    assert "REPARTITION_BY_COL" in smoothed._jdf.queryExecution().executedPlan().toString()
+    got = {(r.tag, r.step): r.smooth for r in smoothed.collect()}
+    for tag in ("a", "b"):
+        state = 0.0
+        for k in range(600):
+            state = 0.6 * state + 0.4 * ((k * 7) % 11)
+            assert abs(got[tag, k] - state / (1 - 0.6 ** (k + 1))) < 1e-9
