@@ -166,7 +166,8 @@ def linked(members: DataFrame, link: Callable, chunk: int = CHUNK) -> DataFrame:
 
     def among(rows: DataFrame, *keys: str) -> DataFrame:
         cols = [*keys, "side", "node", "payload"]
-        dealt = rows.select(*cols).repartition(*keys).sortWithinPartitions(*keys)
+        # Not the partitioning of the join before it, which Spark may read locally, in pieces of a group.
+        dealt = rows.select(*cols).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
         return dealt.mapInArrow(_compare(link, len(keys)), schema)
 
     members = keep(members.select("cand", "node", "payload"), "members")
