@@ -22,6 +22,7 @@ import struct
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from ..functions.scalar import clean_path
 from . import framing
 from .files import filesystem as _filesystem
 from .files import prefix, qualified
-from .wire import Undecodable, parse_event
+from .wire import Undecodable, parse_alike, parse_event
 
 NAME_START = "events.out.tfevents."  # fixed value: event files are named like this
 HEAD_RECORDS = HEAD_GAP = 512  # fixed values of the head-only text scan
@@ -42,6 +43,7 @@ REC_SCALE = 1 << 32  # ``rec`` = record number * REC_SCALE + n-th value of a tag
 _CHUNK = 8 * 1024 * 1024
 _HEADS_CHUNK = 1024 * 1024  # where only lengths are read
 _ROWS = 50_000
+_BLOCK = 2 * 1024 * 1024  # records are decoded together in blocks of about this size
 _LEN = struct.Struct("<Q")
 
 LISTING = "run_id string, relkey string, path string, size bigint, mtime double"
@@ -325,23 +327,34 @@ def stretches(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
 
 class _Rows:
-    """Column lists of decoded rows, turned into Arrow batches."""
+    """Decoded rows, turned into Arrow batches: column lists of single ones, and columns of many."""
 
     def __init__(self):
         self.cols: list[list] = [[] for _ in _DECODED_ARROW]
+        self.many: list[pa.RecordBatch] = []
 
     def add(self, *row):
         for c, v in zip(self.cols, row):
             c.append(v)
 
+    def add_scalars(self, r: dict, tag: str, steps: np.ndarray, walls: np.ndarray, values: np.ndarray, recs: np.ndarray):
+        """Values of one tag, each the only one of its record."""
+        n = len(steps)
+        same = lambda v: pa.repeat(pa.scalar(v, pa.string()), n)
+        self.many.append(pa.RecordBatch.from_arrays(
+            [same(r["run_id"]), same("scalar"), same(r["prefix"] + "/" + tag if r["prefix"] else tag), pa.array(steps), pa.array(walls),
+             pa.array(values.astype(np.float64)), pa.nulls(n, pa.string()), same(r["relkey"]), pa.array(recs), pa.nulls(n, pa.int64())],
+            schema=_DECODED_ARROW))
+
     def __len__(self):
-        return len(self.cols[0])
+        return len(self.cols[0]) + sum(len(b) for b in self.many)
 
     def batch(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
+        single = pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(self.cols, _DECODED_ARROW)], schema=_DECODED_ARROW)
-        self.cols = [[] for _ in _DECODED_ARROW]
-        return out
+        out = pa.Table.from_batches([*self.many, single]).combine_chunks().to_batches()
+        self.cols, self.many = [[] for _ in _DECODED_ARROW], []
+        return out[0] if out else single
 
 
 def _decode(r: dict, scalars: bool, texts: bool, skip_bad: bool, head: int, gap: int, rows: _Rows) -> Iterator[None]:
@@ -384,14 +397,77 @@ def _decode(r: dict, scalars: bool, texts: bool, skip_bad: bool, head: int, gap:
         rows.add(r["run_id"], "end", None, None, None, None, None, r["relkey"], rec, at)
 
 
+def _places(buf: bytes, off: int) -> list[int]:
+    """Where whole records of a buffer begin, from ``off`` on, and the end of the last one."""
+    out, last = [off], len(buf) - 12
+    while off <= last:
+        off += 16 + _LEN.unpack_from(buf, off)[0]
+        if off > len(buf):
+            break
+        out.append(off)
+    return out
+
+
+def _decode_whole(r: dict, scalars: bool, texts: bool, skip_bad: bool, only_bad: bool, rows: _Rows) -> Iterator[None]:
+    """As _decode without ``head`` and ``gap``: events that differ only in their numbers are decoded together."""
+    with _open(r["path"]) as handle:
+        window = _Window(handle, r["start"], r["stop"], _BLOCK)
+        at, rec, going = r["start"], r["first_rec"], True
+        while going and at + 12 <= r["stop"]:
+            size = min(_BLOCK, r["stop"] - at)
+            while True:
+                buf, off = window.get(at, size)
+                if len(buf) - off < size:
+                    raise OSError(f"{r['path']} is shorter than {r['stop']} bytes")
+                places = _places(buf, off)
+                if len(places) > 1 or (size := 16 + _LEN.unpack_from(buf, off)[0]) > r["stop"] - at:
+                    break  # else a record longer than the block
+            count = len(places) - 1
+            if not count:
+                break
+            starts = np.array(places, np.int64) + 12
+            lengths = np.diff(starts) - 16
+            single, alike = np.ones(count, bool), []
+            for found in parse_alike(np.frombuffer(buf, np.uint8), starts[:-1], lengths):
+                single[found[0]] = False
+                if scalars and not only_bad:
+                    alike.append(found)
+            for k in np.flatnonzero(single).tolist():
+                nxt = at + places[k + 1] - off
+                try:
+                    wall, step, values = parse_event(buf, places[k] + 12, places[k + 1] - 4, scalars, texts)
+                except Undecodable:
+                    rows.add(r["run_id"], "bad", None, None, None, None, None, r["relkey"], rec + k, nxt)
+                    if skip_bad:
+                        continue
+                    count, going = k + 1, False
+                    break
+                seen: dict[str, int] = {}
+                for tag, value, text in () if only_bad else values:
+                    nth = seen[tag] = seen.get(tag, -1) + 1
+                    rows.add(r["run_id"], "scalar" if text is None else "text", r["prefix"] + "/" + tag if r["prefix"] else tag, step, wall,
+                             value, text, r["relkey"], (rec + k) * REC_SCALE + nth, None)
+                if len(rows) >= _ROWS:
+                    yield
+            for numbers, tag, walls, steps, values in alike:
+                some = numbers < count
+                rows.add_scalars(r, tag, steps[some], walls[some], values[some], (rec + numbers[some]) * REC_SCALE)
+            at, rec = at + places[count] - off, rec + count
+            if len(rows) >= _ROWS:
+                yield
+        if not only_bad:
+            rows.add(r["run_id"], "end", None, None, None, None, None, r["relkey"], rec, at)
+
+
 def decode(parts: DataFrame, kinds: str = "all", on_corrupt: str = "stop", head: int = 0, gap: int = 0,
-           on_error: str = "raise") -> DataFrame:
+           on_error: str = "raise", only_bad: bool = False) -> DataFrame:
     """Rows of record stretches.
 
     ``kind`` is ``scalar`` or ``text`` for data, ``bad`` for an undecodable record
     and ``end`` for how far a stretch was read: for these two, ``rec`` is a record
     number and ``offset`` the position after the record.  A file that cannot be read fails the
     query, or with ``on_error="report"`` gives a row of kind ``error`` with the message as text.
+    With ``only_bad`` everything is decoded, but only rows of undecodable records and errors are given.
     """
     if kinds not in ("all", "scalar", "text") or on_corrupt not in ("stop", "skip"):
         raise ValueError("kinds is all, scalar or text; on_corrupt is stop or skip")
@@ -402,7 +478,11 @@ def decode(parts: DataFrame, kinds: str = "all", on_corrupt: str = "stop", head:
         for batch in batches:
             for r in batch.to_pylist():
                 try:
-                    for _ in _decode(r, scalars, texts, skip_bad, head, gap, rows):
+                    some = _decode(r, scalars, texts, skip_bad, head, gap, rows) if head or gap else _decode_whole(
+                        r, scalars, texts, skip_bad, only_bad, rows)
+                    for _ in some:
+                        yield rows.batch()
+                    if len(rows) >= _ROWS:
                         yield rows.batch()
                 except OSError as ex:
                     if on_error == "raise":
@@ -414,10 +494,13 @@ def decode(parts: DataFrame, kinds: str = "all", on_corrupt: str = "stop", head:
     return parts.mapInArrow(run, DECODED)
 
 
-def drop_after_bad(decoded: DataFrame) -> DataFrame:
-    """Without what follows a file's first undecodable record in other stretches."""
+def drop_after_bad(decoded: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Without what follows a file's first undecodable record in other stretches.
+
+    ``found`` holds the rows of undecodable records, if they are cheaper to get than from ``decoded``.
+    """
     bad = (
-        decoded.filter("kind = 'bad'").groupBy("run_id", "src")
+        (decoded if found is None else found).filter("kind = 'bad'").groupBy("run_id", "src")
         .agg(F.min(F.struct("rec", "offset")).alias("_bad"))
     )
     record = F.when(F.col("kind").isin("bad", "end"), F.col("rec")).otherwise(F.floor(F.col("rec") / REC_SCALE))
@@ -440,9 +523,10 @@ def read_events(files: DataFrame, kinds: str = "all", on_corrupt: str = "stop",
 
     With ``on_error="report"`` also a row of kind ``error`` for each stretch that cannot be read.
     """
-    rows = decode(stretches(whole_files(files), split_bytes), kinds, on_corrupt, on_error=on_error)
+    parts = stretches(whole_files(files), split_bytes)
+    rows = decode(parts, kinds, on_corrupt, on_error=on_error)
     if on_corrupt == "stop":
-        rows = drop_after_bad(rows)
+        rows = drop_after_bad(rows, decode(parts, kinds, on_corrupt, on_error=on_error, only_bad=True))
     return rows.filter("kind in ('scalar', 'text', 'error')").drop("offset")
 
 

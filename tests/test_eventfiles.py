@@ -270,3 +270,76 @@ def test_one_file_for_each_run_in_order(spark, tmp_path):
     assert all(os.listdir(f"{root}/{run}") == ["events.out.tfevents.a.0"] for run in os.listdir(root))
     got = ef.read_events(ef.list_event_files(spark, root)).orderBy("run_id", "rec").collect()
     assert [(r.run_id, r.step) for r in got] == [(f"run_{n}", k) for n in range(3) for k in range(299, -1, -1) if k % 3 == n]
+
+
+def test_records_encoded_together():
+    """Many records at once give the bytes of one after the other, at the limits of every number too."""
+    import pandas as pd
+
+    from workload.eventlog import encode, encode_all
+
+    steps = [0, 1, 127, 128, 16383, 16384, 2**35, 2**62, -1, -(2**63)] + list(range(100, 300))
+    rows = [(("a", "metrics/längere")[k % 2], s, k / 3, float("nan") if k % 7 == 0 else k * 1.5, "note" * k if k % 11 == 0 else None, k % 13 == 5)
+            for k, s in enumerate(steps)]
+    pdf = pd.DataFrame(rows, columns=["tag", "step", "wall_time", "value", "text", "empty"])
+    pdf.loc[pdf["text"].notna(), "empty"] = False
+    single = [encode(r.tag, r.step, r.wall_time, None if r.empty else r.value, r.text) for r in pdf.itertuples(index=False)]
+    data, ends = encode_all(pdf)
+    assert data == b"".join(single)
+    assert ends.tolist() == [sum(map(len, single[:k + 1])) for k in range(len(single))]
+    assert encode_all(pdf[:0])[0] == b""
+
+
+def test_records_are_encoded_by_columns(monkeypatch):
+    """Plain records cost no call each."""
+    import pandas as pd
+
+    from workload import eventlog
+
+    calls = []
+    monkeypatch.setattr(eventlog, "encode", lambda *a: calls.append(a))
+    data, ends = eventlog.encode_all(pd.DataFrame({"tag": "t", "step": range(5000), "wall_time": 1.0, "value": 2.0, "text": None, "empty": False}))
+    assert not calls and len(ends) == 5000 and ends[-1] == len(data)
+
+
+def _decoded(path, **options):
+    """Rows of a file, decoded together or, with ``head`` set out of reach, one by one."""
+    out = ef._Rows()
+    row = {"run_id": "r", "relkey": "k", "prefix": options.pop("prefix", ""), "path": path, "start": 0, "stop": os.path.getsize(path), "first_rec": 7}
+    together = options.pop("together")
+    args = (row, options.get("scalars", True), options.get("texts", True), options.get("skip_bad", False))
+    found = []
+    for _ in ef._decode_whole(*args, options.get("only_bad", False), out) if together else ef._decode(*args, 0, 0, out):
+        found += out.batch().to_pylist()
+    found += out.batch().to_pylist()
+    return sorted(found, key=lambda r: (r["rec"] if r["kind"] in ("bad", "end") else r["rec"] / ef.REC_SCALE, str(r["tag"]), r["kind"], r["rec"]))
+
+
+@pytest.mark.parametrize("block", [64, 1000, ef._BLOCK])
+def test_records_decoded_together(tmp_path, monkeypatch, block):
+    """Many records at once give the rows of one after the other, whatever the records are."""
+    monkeypatch.setattr(ef, "_BLOCK", block)
+    rnd = random.Random(3)
+    step = lambda: rnd.choice([0, 5, 127, 128, 70000, -1, 2**40])
+    kinds = [lambda: w.event(step(), rnd.random(), w.simple("a", rnd.random())), lambda: w.event(step(), rnd.random(), w.simple("bb", 1.5)),
+             lambda: w.event(step(), 1.0, w.simple("a", 1.0), w.simple("a", 2.0)), lambda: w.event(step(), 1.0, w.strings("s", ["text" * 40])),
+             lambda: w.event(step(), 1.0), lambda: w.event(1, 2.0, w.floats("f", [1.25], ())), lambda: w._len(5, w.simple("a", 3.0)),
+             lambda: w._len(5, w.simple("a", 3.0)) + w._len(9, b"\x07" * 3), lambda: b""]
+    for case in range(4):
+        events = [rnd.choices(kinds, [40, 40, 2, 2, 2, 2, 10, 5, 1])[0]() for _ in range(600)]
+        if case > 1:
+            events[400] = b"\x07\x07\x07"
+        path = str(tmp_path / f"events.out.tfevents.{case}")
+        w.write(path, *events, raw=b"\x40\0\0\0" if case % 2 else b"")
+        for options in ({}, {"skip_bad": True}, {"scalars": False}, {"texts": False, "prefix": "p"}):
+            want = _decoded(path, together=False, **options)
+            assert _decoded(path, together=True, **options) == want
+            only = _decoded(path, together=True, only_bad=True, **options)
+            assert only == [r for r in want if r["kind"] == "bad"] and len(only) == (case > 1)
+
+
+def test_alike_records_are_parsed_once(tmp_path, monkeypatch):
+    path = str(tmp_path / "events.out.tfevents.1")
+    w.write(path, *(w.event(s, 1.0, w.simple("loss", s)) for s in range(5000)))
+    monkeypatch.setattr(ef, "parse_event", None)
+    assert [r["value"] for r in _decoded(path, together=True)][:-1] == [float(s) for s in range(5000)]

@@ -6,6 +6,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scalarlake.session import shared_dir
 from scalarlake.sources.files import qualified
-from scalarlake.sources.framing import framed
+from scalarlake.sources.framing import HEAD, checksum, checksums, framed
 
 
 #: Encoded records go to the writer of their run in pieces of about this size.
@@ -51,6 +52,59 @@ def encode(tag: str, step: int, wall: float, value: float | None, text: str | No
     return framed(event)
 
 
+def _plain(pdf: pd.DataFrame) -> np.ndarray:
+    """Rows with a value and no text, whose records differ only in a few numbers."""
+    if pdf["step"].dtype != np.int64 or pdf["tag"].isna().any():
+        return np.zeros(len(pdf), bool)
+    with np.errstate(over="ignore"):
+        wide = np.isinf(pdf["value"].to_numpy().astype(np.float32)) & ~np.isinf(pdf["value"].to_numpy())
+    return (pdf["text"].isna() & ~pdf["empty"]).to_numpy(bool) & ~wide
+
+
+def encode_all(pdf: pd.DataFrame) -> tuple[bytes, np.ndarray]:
+    """What encode() gives for each row (tag, step, wall_time, value, text, empty), one behind the other, and where each record ends.
+
+    Records of one tag whose steps take as many bytes are made together, as rows of a byte matrix.
+    """
+    plain = _plain(pdf)
+    step = pdf["step"].to_numpy().astype(np.int64).view(np.uint64) if plain.any() else np.zeros(len(pdf), np.uint64)
+    width = 1 + sum((step >= np.uint64(1) << np.uint64(7 * k)).astype(np.int64) for k in range(1, 10))
+    with np.errstate(over="ignore"):
+        wall, value = (pdf[c].to_numpy().astype(t) for c, t in (("wall_time", "<f8"), ("value", "<f4")))
+    codes, tags = pd.factorize(pdf["tag"])
+    made: list[tuple[np.ndarray, np.ndarray]] = []
+    for key in np.unique((codes * 16 + width)[plain]):
+        at = np.flatnonzero(plain & (codes * 16 + width == key))
+        n = int(key) % 16
+        tail = _bytes(5, _bytes(1, _bytes(1, tags[int(key) // 16].encode()) + _varint(2 << 3 | 5) + bytes(4)))
+        body = 10 + n + len(tail)
+        head = struct.pack("<Q", body)
+        out = np.empty((len(at), HEAD + body + 4), np.uint8)
+        out[:, :HEAD] = np.frombuffer(head + struct.pack("<I", checksum(head)), np.uint8)
+        event = out[:, HEAD:HEAD + body]
+        event[:, 0], event[:, 9] = 1 << 3 | 1, 2 << 3
+        event[:, 1:9] = wall[at].view(np.uint8).reshape(-1, 8)
+        for k in range(n):
+            event[:, 10 + k] = step[at] >> np.uint64(7 * k) & np.uint64(0x7F) | np.uint64(0x80 if k < n - 1 else 0)
+        event[:, 10 + n:] = np.frombuffer(tail, np.uint8)
+        event[:, -4:] = value[at].view(np.uint8).reshape(-1, 4)
+        out[:, -4:] = checksums(event).astype("<u4").view(np.uint8).reshape(-1, 4)
+        made.append((at, out))
+    others = np.flatnonzero(~plain)
+    single = [encode(r.tag, r.step, r.wall_time, None if r.empty else r.value, r.text) for r in pdf.iloc[others].itertuples(index=False)]
+    sizes = np.zeros(len(pdf), np.int64)
+    sizes[others] = [len(b) for b in single]
+    for at, out in made:
+        sizes[at] = out.shape[1]
+    ends = np.cumsum(sizes)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for at, out in made:
+        np.lib.stride_tricks.sliding_window_view(data, out.shape[1], writeable=True)[ends[at] - out.shape[1]] = out
+    for k, b in zip(others, single):
+        data[ends[k] - len(b):ends[k]] = np.frombuffer(b, np.uint8)
+    return data.tobytes(), ends
+
+
 def write_event_files(rows: DataFrame, folder: str, part: str, below: str = "") -> None:
     """Write rows (run_id, tag, step, wall_time, value, text, rec) below ``folder``, in a sub-folder ``below`` of each run.
 
@@ -62,16 +116,15 @@ def write_event_files(rows: DataFrame, folder: str, part: str, below: str = "")
         place = TaskContext.get().partitionId() << 40
         for pdf in batches:
             out: list[tuple] = []
-            run, held, size = None, [], 0
-            for r in pdf.itertuples(index=False):
-                if held and (r.run_id != run or size >= _PIECE_BYTES):
-                    out.append((run, place + len(out), b"".join(held)))
-                    held, size = [], 0
-                run = r.run_id
-                held.append(encode(r.tag, r.step, r.wall_time, None if r.empty else r.value, r.text))
-                size += len(held[-1])
-            if held:
-                out.append((run, place + len(out), b"".join(held)))
+            data, ends = encode_all(pdf)
+            run = pdf["run_id"].to_numpy()
+            first = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else []
+            for lo, hi in zip(first, [*first[1:], len(run)]):
+                begin = int(ends[lo - 1]) if lo else 0
+                while lo < hi:  # whole records, at least one
+                    lo = min(int(np.searchsorted(ends, begin + _PIECE_BYTES)) + 1, hi)
+                    out.append((run[lo - 1], place + len(out), data[begin:int(ends[lo - 1])]))
+                    begin = int(ends[lo - 1])
             place += len(out)
             yield pd.DataFrame(out, columns=["run_id", "place", "data"])
 
