@@ -323,7 +323,11 @@ def stretches(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     even = parts.repartition(_tasks(files), F.xxhash64("run_id", "relkey", "lo"))
     seen = even.mapInArrow(_sync, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields) + ", begin bigint, after bigint, count bigint")
     cut = seen.groupBy("run_id", "relkey").applyInArrow(_number, _STRETCH)
-    return whole.unionByName(cut).repartition(_tasks(files), F.xxhash64("run_id", "relkey", "start"))
+    return _spread(whole.unionByName(cut))
+
+
+def _spread(parts: DataFrame) -> DataFrame:
+    return parts.repartition(_tasks(parts), F.xxhash64("run_id", "relkey", "start"))
 
 
 class _Rows:
@@ -332,28 +336,34 @@ class _Rows:
     def __init__(self):
         self.cols: list[list] = [[] for _ in _DECODED_ARROW]
         self.many: list[pa.RecordBatch] = []
+        self.size = 0
 
     def add(self, *row):
         for c, v in zip(self.cols, row):
             c.append(v)
+        self.size += 1
 
-    def add_scalars(self, r: dict, tag: str, steps: np.ndarray, walls: np.ndarray, values: np.ndarray, recs: np.ndarray):
-        """Values of one tag, each the only one of its record."""
-        n = len(steps)
+    def add_scalars(self, r: dict, tags: np.ndarray, steps: np.ndarray, walls: np.ndarray, values: np.ndarray, recs: np.ndarray):
+        """Values that are the only ones of their records; ``tags`` are rows of bytes."""
+        n, width = tags.shape
         same = lambda v: pa.repeat(pa.scalar(v, pa.string()), n)
+        before = np.frombuffer((r["prefix"] + "/" if r["prefix"] else "").encode(), np.uint8)
+        tags = np.hstack([np.broadcast_to(before, (n, len(before))), tags]) if len(before) else tags
+        ends = np.arange(n + 1, dtype=np.int32) * (len(before) + width)
+        tag = pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(tags.tobytes()))
         self.many.append(pa.RecordBatch.from_arrays(
-            [same(r["run_id"]), same("scalar"), same(r["prefix"] + "/" + tag if r["prefix"] else tag), pa.array(steps), pa.array(walls),
-             pa.array(values.astype(np.float64)), pa.nulls(n, pa.string()), same(r["relkey"]), pa.array(recs), pa.nulls(n, pa.int64())],
-            schema=_DECODED_ARROW))
+            [same(r["run_id"]), same("scalar"), tag, pa.array(steps), pa.array(walls), pa.array(values.astype(np.float64)),
+             pa.nulls(n, pa.string()), same(r["relkey"]), pa.array(recs), pa.nulls(n, pa.int64())], schema=_DECODED_ARROW))
+        self.size += n
 
     def __len__(self):
-        return len(self.cols[0]) + sum(len(b) for b in self.many)
+        return self.size
 
     def batch(self) -> pa.RecordBatch:
         single = pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(self.cols, _DECODED_ARROW)], schema=_DECODED_ARROW)
         out = pa.Table.from_batches([*self.many, single]).combine_chunks().to_batches()
-        self.cols, self.many = [[] for _ in _DECODED_ARROW], []
+        self.cols, self.many, self.size = [[] for _ in _DECODED_ARROW], [], 0
         return out[0] if out else single
 
 
@@ -449,9 +459,9 @@ def _decode_whole(r: dict, scalars: bool, texts: bool, skip_bad: bool, only_bad:
                              value, text, r["relkey"], (rec + k) * REC_SCALE + nth, None)
                 if len(rows) >= _ROWS:
                     yield
-            for numbers, tag, walls, steps, values in alike:
+            for numbers, tags, walls, steps, values in alike:
                 some = numbers < count
-                rows.add_scalars(r, tag, steps[some], walls[some], values[some], (rec + numbers[some]) * REC_SCALE)
+                rows.add_scalars(r, tags[some], steps[some], walls[some], values[some], (rec + numbers[some]) * REC_SCALE)
             at, rec = at + places[count] - off, rec + count
             if len(rows) >= _ROWS:
                 yield
@@ -494,13 +504,10 @@ def decode(parts: DataFrame, kinds: str = "all", on_corrupt: str = "stop", head:
     return parts.mapInArrow(run, DECODED)
 
 
-def drop_after_bad(decoded: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """Without what follows a file's first undecodable record in other stretches.
-
-    ``found`` holds the rows of undecodable records, if they are cheaper to get than from ``decoded``.
-    """
+def drop_after_bad(decoded: DataFrame) -> DataFrame:
+    """Without what follows a file's first undecodable record in other stretches."""
     bad = (
-        (decoded if found is None else found).filter("kind = 'bad'").groupBy("run_id", "src")
+        decoded.filter("kind = 'bad'").groupBy("run_id", "src")
         .agg(F.min(F.struct("rec", "offset")).alias("_bad"))
     )
     record = F.when(F.col("kind").isin("bad", "end"), F.col("rec")).otherwise(F.floor(F.col("rec") / REC_SCALE))
@@ -524,9 +531,16 @@ def read_events(files: DataFrame, kinds: str = "all", on_corrupt: str = "stop",
     With ``on_error="report"`` also a row of kind ``error`` for each stretch that cannot be read.
     """
     parts = stretches(whole_files(files), split_bytes)
-    rows = decode(parts, kinds, on_corrupt, on_error=on_error)
-    if on_corrupt == "stop":
-        rows = drop_after_bad(rows, decode(parts, kinds, on_corrupt, on_error=on_error, only_bad=True))
+    if on_corrupt == "skip":
+        rows = decode(parts, kinds, on_corrupt, on_error=on_error)
+    else:  # what drop_after_bad() gives, but by stretches: rows need not meet in one place for each file
+        seen = decode(parts, kinds, on_corrupt, on_error=on_error, only_bad=True)
+        bad = seen.filter("kind = 'bad'").groupBy("run_id", F.col("src").alias("relkey")).agg(F.min("rec").alias("_bad"))
+        kept = parts.join(bad, ["run_id", "relkey"], "left").filter("_bad is null or first_rec <= _bad").drop("_bad")
+        rows = decode(_spread(kept.select(*parts.columns)), kinds, on_corrupt, on_error=on_error)
+        if on_error == "report":
+            late = seen.filter("kind = 'error'").join(bad.withColumnRenamed("relkey", "src"), ["run_id", "src"]).filter("rec > _bad")
+            rows = rows.unionByName(late.select(*rows.columns))
     return rows.filter("kind in ('scalar', 'text', 'error')").drop("offset")
 
 

@@ -321,13 +321,15 @@ def test_records_decoded_together(tmp_path, monkeypatch, block):
     monkeypatch.setattr(ef, "_BLOCK", block)
     rnd = random.Random(3)
     step = lambda: rnd.choice([0, 5, 127, 128, 70000, -1, 2**40])
-    kinds = [lambda: w.event(step(), rnd.random(), w.simple("a", rnd.random())), lambda: w.event(step(), rnd.random(), w.simple("bb", 1.5)),
+    kinds = [lambda: w.event(step(), rnd.random(), w.simple("a", rnd.random())), lambda: w.event(step(), rnd.random(), w.simple(rnd.choice(["bb", "cc", "é"]), 1.5)),
+             lambda: w.event(1, 1.0, w._len(1, w._len(1, rnd.choice([b"dd", b"\xff\xff"] if bad else [b"dd", b"ee"])) + b"\x15" + bytes(4))),
              lambda: w.event(step(), 1.0, w.simple("a", 1.0), w.simple("a", 2.0)), lambda: w.event(step(), 1.0, w.strings("s", ["text" * 40])),
              lambda: w.event(step(), 1.0), lambda: w.event(1, 2.0, w.floats("f", [1.25], ())), lambda: w._len(5, w.simple("a", 3.0)),
              lambda: w._len(5, w.simple("a", 3.0)) + w._len(9, b"\x07" * 3), lambda: b""]
-    for case in range(4):
-        events = [rnd.choices(kinds, [40, 40, 2, 2, 2, 2, 10, 5, 1])[0]() for _ in range(600)]
-        if case > 1:
+    for case in range(6):
+        bad = case > 3
+        events = [rnd.choices(kinds, [40, 40, 20, 2, 2, 2, 2, 10, 5, 1])[0]() for _ in range(600)]
+        if 1 < case < 4:
             events[400] = b"\x07\x07\x07"
         path = str(tmp_path / f"events.out.tfevents.{case}")
         w.write(path, *events, raw=b"\x40\0\0\0" if case % 2 else b"")
@@ -335,7 +337,7 @@ def test_records_decoded_together(tmp_path, monkeypatch, block):
             want = _decoded(path, together=False, **options)
             assert _decoded(path, together=True, **options) == want
             only = _decoded(path, together=True, only_bad=True, **options)
-            assert only == [r for r in want if r["kind"] == "bad"] and len(only) == (case > 1)
+            assert only == [r for r in want if r["kind"] == "bad"] and (len(only) > 0) == (case > 1)
 
 
 def test_alike_records_are_parsed_once(tmp_path, monkeypatch):
@@ -343,3 +345,23 @@ def test_alike_records_are_parsed_once(tmp_path, monkeypatch):
     w.write(path, *(w.event(s, 1.0, w.simple("loss", s)) for s in range(5000)))
     monkeypatch.setattr(ef, "parse_event", None)
     assert [r["value"] for r in _decoded(path, together=True)][:-1] == [float(s) for s in range(5000)]
+
+
+def test_rows_of_a_file_stay_where_they_are_decoded(spark, tmp_path):
+    """What follows an undecodable record is left out by stretches, without a shuffle of rows by file."""
+    root = str(tmp_path / "runs")
+    good = [w.event(s, 1.0, w.simple("loss", s)) for s in range(100)]
+    w.write(f"{root}/a/events.out.tfevents.1", *good)
+    w.write(f"{root}/b/events.out.tfevents.1", *good[:40], b"\x07\x07\x07", *good[40:], b"\x07\x07\x07", *good)
+    files = ef.list_event_files(spark, root)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")
+        read = ef.read_events(files, split_bytes=200)
+        assert sorted((r.run_id, r.step) for r in read.collect()) == [("a", s) for s in range(100)] + [("b", s) for s in range(40)]
+        assert read.filter("run_id = 'a'").selectExpr("spark_partition_id() p").distinct().count() > 1
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert ef.read_events(files, on_corrupt="skip", split_bytes=200).count() == 300
