@@ -15,17 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import Prefix, binary, cleaned, drop, keep, mix, pieces
+from scalarlake.llm.common import Prefix, binary, blocks, cleaned, drop, keep, mix, pieces
 from scalarlake.llm.linking import _groups
-from scalarlake.llm.windows import leftmost_minima
+from scalarlake.llm.windows import changes, leftmost_places
 
 #: Bytes of an anchor.
 ANCHOR = 64
 #: Strings of one shard, and the most strings of one anchor that are merged in a task.
 SHARD, MOST = 2048, 4096
+#: Texts are handled in blocks of about this many bytes, one call of NumPy for all texts of a block.
+BLOCK = 1 << 17
 
 
 def shard_transform(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,38 +94,52 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], group: np.ndar
     return found
 
 
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other: their bytes, and where each one starts and its size."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size
+
+
+def _lists(count, values, kind: pa.DataType) -> pa.Array:
+    """Lists of so many values each, one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(values, kind))
+
+
 def _spots(length: int):
     """Per document: version, size, digest, and its anchors: hash and place of the leftmost smallest per stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            version, size, digest, anchors, places = [], [], [], [], []
-            for text in binary(batch.column(1)):
-                text = text or b""
-                whole = hashlib.sha256(text)
-                version.append(int.from_bytes(whole.digest()[:8], "big", signed=True))
-                digest.append(whole.hexdigest())
-                size.append(len(text))
-                if len(text) >= length:
-                    h = Prefix(np.frombuffer(text, np.uint8)).hash_run(len(text) - ANCHOR + 1, ANCHOR)
-                    at = leftmost_minima(h, length - ANCHOR + 1)
-                    anchors.append(h[at].view(np.int64))
-                    places.append(at.astype(np.int32))
-                else:
-                    anchors.append([])
-                    places.append([])
+            texts = [t or b"" for t in binary(batch.column(1))]
+            whole = [hashlib.sha256(t) for t in texts]
+            count, anchors, places = [], [], []
+            for i, j in blocks(texts, BLOCK):
+                buf, first, size = _joined(texts[i:j])
+                h = Prefix(buf).hash_run(max(0, len(buf) - ANCHOR + 1), ANCHOR)
+                # Stretches that lie in one text.
+                many = np.maximum(0, size - length + 1)
+                within = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+                at = changes(leftmost_places(h, length - ANCHOR + 1)[within])
+                text = np.searchsorted(first, at, "right") - 1
+                count.append(np.bincount(text, minlength=j - i))
+                anchors.append(h[at].view(np.int64))
+                places.append(at - first[text])
+            count = np.concatenate(count)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(version, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.string()),
-                 pa.array(anchors, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array([int.from_bytes(w.digest()[:8], "big", signed=True) for w in whole], pa.int64()),
+                 pa.array([len(t) for t in texts], pa.int64()), pa.array([w.hexdigest() for w in whole], pa.string()),
+                 _lists(count, np.concatenate(anchors), pa.int64()), _lists(count, np.concatenate(places).astype(np.int32), pa.int32())],
                 names=["doc_id", "version", "n_bytes", "digest", "anchors", "places"])
 
     return run
 
 
-def _context(place, size: int, length: int):
-    """The text around an anchor that windows holding the anchor can reach: its start and end."""
-    reach = length - ANCHOR
-    return max(0, place - reach), min(size, place + length)
+def _around(texts: list[bytes], spots: pa.ListArray, length: int):
+    """Number of the text and place of each spot, and start and end of its context: what windows holding the anchor can reach."""
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(spots).to_numpy())
+    place = spots.flatten().field("place").to_numpy().astype(np.int64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return text, place, np.maximum(0, place - (length - ANCHOR)), np.minimum(size[text], place + length)
 
 
 def _contexts(length: int):
@@ -130,18 +147,16 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out = ([], [], [], [])
-            for version, text, spots in zip(batch.column(0).to_pylist(), binary(batch.column(1)), batch.column(2).to_pylist()):
-                sums = Prefix(np.frombuffer(text, np.uint8))
-                at = np.array([s["place"] for s in spots], np.int64)
-                a, b = np.maximum(0, at - (length - ANCHOR)), np.minimum(len(text), at + length)
-                h = sums.hash(a, b) ^ ((at - a) * 1_000_003 + (b - a)).astype(np.uint64)
-                out[0].extend(s["anchor"] for s in spots)
-                out[1].append(h.view(np.int64))
-                out[2].extend([version] * len(spots))
-                out[3].append(at.astype(np.int32))
+            texts, spots = binary(batch.column(1)), batch.column(2)
+            text, place, a, b = _around(texts, spots, length)
+            context = ((place - a) * 1_000_003 + (b - a)).astype(np.uint64)
+            for i, j in blocks(texts, BLOCK):
+                buf, first, _ = _joined(texts[i:j])
+                k = slice(*np.searchsorted(text, [i, j]))
+                shift = first[text[k] - i]
+                context[k] ^= Prefix(buf).hash(a[k] + shift, b[k] + shift)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.int64()), pa.array(np.concatenate(out[3]))],
+                [spots.flatten().field("anchor"), pa.array(context.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(place.astype(np.int32))],
                 names=["anchor", "context", "version", "place"])
 
     return run
@@ -151,64 +166,70 @@ def _strings(length: int):
     """(anchor, context, lead, bytes) of rows (text, wanted: (place, anchor, context)); lead is the anchor's place in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "context", "lead", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in pieces(batches):
-            rows = []
-            for text, wanted in zip(binary(batch.column(0)), batch.column(1).to_pylist()):
-                for w in wanted:
-                    a, b = _context(w["place"], len(text), length)
-                    rows.append((w["anchor"], w["context"], w["place"] - a, text[a:b]))
-            for k in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k:k + 10_000]), types)], names=names)
+            texts, wanted = binary(batch.column(0)), batch.column(1)
+            text, place, a, b = _around(texts, wanted, length)
+            spots = wanted.flatten()
+            for k in range(0, len(text), 10_000):
+                part = slice(k, k + 10_000)
+                data = [texts[i][x:y] for i, x, y in zip(text[part].tolist(), a[part].tolist(), b[part].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [spots.field("anchor")[part], spots.field("context")[part], pa.array((place - a)[part].astype(np.int32)), pa.array(data, pa.binary())],
+                    names=["anchor", "context", "lead", "bytes"])
 
     return run
 
 
 def _merge(length: int):
-    """(anchor, context, starts, open, known) of rows (anchor, part, split, context, lead, bytes), sorted by anchor and part.
+    """(anchor, context, spans, open, known) of rows (anchor, part, split, context, lead, bytes), sorted by anchor and part.
 
-    starts: where, counted from the anchor, strings of `length` bytes start that another context of the part has as well.
+    spans: where, counted from the anchor, strings of `length` bytes start that another context of the part has as well:
+    first and last start of a span, first and last of the next one, and so on.
     Only if the anchor is split into parts: open has the other strings of the context, known the hashes of strings found
     in the part, each with one context.
     """
     reach, width = length - ANCHOR, 2 * length - ANCHOR
-    schema = pa.schema([
-        ("anchor", pa.int64()), ("context", pa.int64()), ("starts", pa.list_(pa.int32())),
-        ("open", pa.list_(pa.struct([("start", pa.int32()), ("gram", pa.int64())]))), ("known", pa.list_(pa.int64()))])
 
     def solve(anchor: list, part: list, split: list, context: list, lead: list, data: list) -> pa.RecordBatch:
         n = len(data)
         # One row per string, text as symbols 1 .. 256, nothing as 0 or 257 by side, so that it never looks like text.
         rows = np.zeros((n, width), np.uint16)
-        low, high = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        for i, (x, text) in enumerate(zip(lead, data)):
-            low[i], high[i] = reach - x, reach - x + len(text)
-            rows[i, low[i]:high[i]] = np.frombuffer(text, np.uint8)
-            rows[i, low[i]:high[i]] += 1
-            rows[i, high[i]:] = 257
+        buf, first, size = _joined(data)
+        low = (reach - np.array(lead)).astype(np.int32)
+        high = (low + size).astype(np.int32)
+        rows[np.arange(width) >= high[:, None]] = 257
+        rows.reshape(-1)[np.arange(len(buf)) + np.repeat(np.arange(n) * width + low - first, size)] = buf.astype(np.uint16) + 1
         _, group = np.unique(np.array(anchor, np.int64), return_inverse=True)
         shards = [shard_transform(rows[k:k + SHARD]) for k in range(0, n, SHARD)]
         found = merged_intervals(shards, group, low, high, length)
-        out: list[dict] = []
+        edge = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
+        row, a = np.nonzero(edge == 1)
+        b = np.nonzero(edge == -1)[1] - 1
+        spans = np.stack([a, b], axis=1).ravel().astype(np.int32) - reach
+        n_spans, n_open, n_known = 2 * np.bincount(row, minlength=n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        start, gram, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         told: set[int] = set()
-        for i in range(n):
-            at = np.flatnonzero(found[i])
-            row = {"anchor": anchor[i], "context": context[i], "starts": (at - reach).tolist(), "open": [], "known": []}
-            if split[i]:
-                first, last = int(low[i]), int(high[i]) - length + 1
-                count = max(0, last - first)
-                grams = Prefix(np.frombuffer(data[i], np.uint8)).hash_run(count, length)
-                # With the place: equal strings hold their anchor at the same place, and one string of a text may
-                # be in the contexts of several anchors, at several.
-                grams = mix(grams + np.arange(first, first + count).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                known = set(grams[at - first].tolist()) - told
-                told |= known
-                row["known"] = list(known)
-                row["open"] = [{"start": int(c) - reach, "gram": int(grams[c - first])} for c in range(first, last) if not found[i, c]]
-            if len(at) or row["open"]:
-                out.append(row)
-        return pa.RecordBatch.from_pylist(out, schema=schema)
+        for i in np.flatnonzero(split).tolist():
+            c = np.arange(low[i], max(low[i], high[i] - length + 1))
+            grams = Prefix(buf[first[i]:first[i] + size[i]]).hash_run(len(c), length)
+            # With the place: equal strings hold their anchor at the same place, and one string of a text may
+            # be in the contexts of several anchors, at several.
+            grams = mix(grams + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            had = found[i, c]
+            new = set(grams[had].tolist()) - told
+            told |= new
+            known.extend(new)
+            start.append(c[~had] - reach)
+            gram.append(grams[~had])
+            n_open[i], n_known[i] = len(start[-1]), len(new)
+        some = np.flatnonzero(n_spans + n_open)  # a context with known strings has spans
+        start, gram = pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(gram))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(anchor, pa.int64()).take(pa.array(some)), pa.array(context, pa.int64()).take(pa.array(some)),
+             _lists(n_spans[some], spans, pa.int32()),
+             pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_open[some])).astype(np.int32)), pa.StructArray.from_arrays([start, gram], ["start", "gram"])),
+             _lists(n_known[some], known, pa.int64())],
+            names=["anchor", "context", "spans", "open", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], [], []]
@@ -217,7 +238,8 @@ def _merge(length: int):
                 yield solve(*held)
                 held = [[], [], [], [], [], []]
             if len(group[0]) > 1 or group[2][0]:
-                held = [a + b for a, b in zip(held, group)]
+                for column, more in zip(held, group):
+                    column.extend(more)
         if held[0]:
             yield solve(*held)
 
@@ -225,22 +247,38 @@ def _merge(length: int):
 
 
 def _cut(length: int):
+    """Rows (version, text, hits: (place, spans)): text without the bytes that strings starting in the spans, counted from the places, cover."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            removed, spans, digest, kept = [], [], [], []
-            for text, starts in zip(binary(batch.column(1)), batch.column(2)):
-                at = np.unique(np.asarray(starts.values.to_numpy(zero_copy_only=False), np.int64))
-                edge = np.zeros(len(text) + 1, np.int32)
-                edge[at] += 1
-                np.add.at(edge, at + length, -1)
+            texts, hits = binary(batch.column(1)), batch.column(2)
+            spans = hits.flatten().field("spans")
+            many = pc.list_value_length(spans).to_numpy() // 2
+            text = np.repeat(np.repeat(np.arange(len(texts)), pc.list_value_length(hits).to_numpy()), many)
+            place = np.repeat(hits.flatten().field("place").to_numpy(), many).astype(np.int64)
+            ends = spans.flatten().to_numpy().reshape(-1, 2) + place[:, None]
+            removed, runs, kept = [], [], []
+            for i, j in blocks(texts, BLOCK):
+                buf, first, size = _joined(texts[i:j])
+                k = slice(*np.searchsorted(text, [i, j]))
+                own = text[k] - i
+                a, b = np.maximum(0, ends[k, 0]), np.minimum(size[own] - length, ends[k, 1])
+                fit = a <= b
+                edge = np.zeros(len(buf) + 1, np.int32)
+                np.add.at(edge, (first[own] + a)[fit], 1)
+                np.add.at(edge, (first[own] + b)[fit] + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                removed.append(int(gone.sum()))
-                spans.append(int(np.count_nonzero(np.diff(np.append(0, gone.astype(np.int8))) == 1)))
-                digest.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                begin = gone.copy()
+                begin[1:] &= ~gone[:-1]
+                begin[first[size > 0]] = gone[first[size > 0]]  # runs do not cross texts
+                bounds = np.append(first, len(buf))
+                removed.append(np.diff(np.append(0, np.cumsum(gone))[bounds]))
+                runs.append(np.diff(np.append(0, np.cumsum(begin))[bounds]))
+                rest, at = buf[~gone].tobytes(), np.append(0, np.cumsum(size - removed[-1])).tolist()
+                kept.extend(rest[x:y] for x, y in zip(at, at[1:]))
+            digest = [hashlib.sha256(x).hexdigest() for x in kept]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array(np.concatenate(removed)), pa.array(np.concatenate(runs)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
                 names=["version", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
@@ -288,24 +326,22 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
         parts = F.ceil(F.col("m") / MOST)
         strings = strings.select("anchor", F.pmod(F.xxhash64("context"), parts).alias("part"), (parts > 1).alias("split"), "context", "lead", "bytes")
         solved = keep(strings.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(
-            _merge(length), "anchor long, context long, starts array<int>, open array<struct<start: int, gram: long>>, known array<long>"), "solved")
+            _merge(length), "anchor long, context long, spans array<int>, open array<struct<start: int, gram: long>>, known array<long>"), "solved")
         # Across the parts of an anchor: a string that its own part has once is repeated if any other part has it.
         far = solved.select("anchor", "context", F.explode("open").alias("o")).select("anchor", "context", "o.start", "o.gram")
         had = far.select("anchor", "gram", F.lit(1).alias("n")).union(solved.select("anchor", F.explode("known").alias("gram"), F.lit(2).alias("n")))
         twice = had.groupBy("anchor", "gram").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "gram")
-        across = far.join(twice, ["anchor", "gram"]).groupBy("anchor", "context").agg(F.collect_set("start").alias("starts"))
-        partly = solved.where("size(starts) > 0").select("anchor", "context", "starts").union(across)
-        partly = partly.groupBy("anchor", "context").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-        marks = keep(classes.join(partly, ["anchor", "context"], "left").where("n > 1 or starts is not null").select("anchor", "context", "n", "starts"), "marks")
+        across = far.join(twice, ["anchor", "gram"]).groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("spans"))
+        partly = solved.where("size(spans) > 0").select("anchor", "context", "spans").union(across)
+        partly = partly.groupBy("anchor", "context").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        marks = keep(classes.join(partly, ["anchor", "context"], "left").where("n > 1 or spans is not null").select("anchor", "context", "n", "spans"), "marks")
         drop(classes)
         drop(solved)
     reach = length - ANCHOR
     hits = found.join(marks, ["anchor", "context"]).select(
-        "version", "place", F.when(F.col("n") > 1, F.sequence(F.lit(-reach), F.lit(0))).otherwise(F.col("starts")).alias("starts"))
-    starts = hits.groupBy("version").agg(F.collect_list(F.struct("place", "starts")).alias("hits"))
-    flat = F.flatten(F.transform("hits", lambda h: F.transform(h["starts"], lambda x: x + h["place"])))
-    inside = F.filter(flat, lambda x: (x >= 0) & (x + length <= F.octet_length("text")))
-    rows = candidates.select("version", "text").join(starts, "version").dropDuplicates(["version"]).select("version", "text", inside.alias("starts"))
+        "version", "place", F.when(F.col("n") > 1, F.array(F.lit(-reach), F.lit(0))).otherwise(F.col("spans")).alias("spans"))
+    hits = hits.groupBy("version").agg(F.collect_list(F.struct("place", "spans")).alias("hits"))
+    rows = candidates.select("version", "text").join(hits, "version").dropDuplicates(["version"])
     cut = rows.mapInArrow(_cut(length), "version long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = seen.select("doc_id", "version", "n_bytes", "digest").join(copies.select("version", "copies"), "version", "left").join(cut, "version", "left")
     whole = F.coalesce(F.col("copies") > 1, F.lit(False))

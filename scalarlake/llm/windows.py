@@ -12,29 +12,38 @@ from pyspark.sql import functions as F
 
 from scalarlake.llm.common import Words, binary, blocks, drop, keep, mix, pieces
 
+#: Lower bits of a number that hold a place; longer arrays are handled in stretches.
+PLACE_BITS = 24
+
+
+def leftmost_places(h: np.ndarray, width: int) -> np.ndarray:
+    """For each stretch of `width` neighbouring hashes the place of its smallest by the upper 64 - PLACE_BITS bits, the leftmost if equal.
+
+    Hash and place are one number, so that minima are taken over 2, 4, 8, ... neighbours for all stretches at once.
+    """
+    low = np.uint64(PLACE_BITS)
+    found = [np.zeros(0, np.int64)]
+    for k in range(0, len(h) - width + 1, 1 << PLACE_BITS - 1):
+        least = h[k:k + (1 << PLACE_BITS - 1) + width - 1] >> low
+        least <<= low
+        least |= np.arange(len(least), dtype=np.uint64)
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        found.append((least & np.uint64((1 << PLACE_BITS) - 1)).view(np.int64) + k)
+    return np.concatenate(found)
+
+
+def changes(places: np.ndarray) -> np.ndarray:
+    """The places without those that repeat the one before."""
+    return places[np.append(True, places[1:] != places[:-1])] if len(places) else places
+
 
 def leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the leftmost minimum of some `width` neighbours; so each such stretch has one."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    rows = -(-len(h) // width)
-    padded = np.full(rows * width, np.iinfo(np.uint64).max)
-    padded[:len(h)] = h
-    table = padded.reshape(rows, width)
-    ahead = np.minimum.accumulate(table, axis=1).ravel()
-    behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
-    # The leftmost place of each minimum: the first equal value at or after the stretch's start.
-    new = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    found = []
-    for at, end in zip(new.tolist(), np.append(new[1:], n).tolist()):
-        same = at + np.flatnonzero(h[at:end - 1 + width] == least[at])
-        if len(same) == 1:
-            found.append(same)
-        else:
-            found.append(np.unique(same[np.searchsorted(same, np.arange(at, end))]))
-    return np.unique(np.concatenate(found))
+    """Positions that leftmost_places() has for some `width` neighbours; so each such stretch has one."""
+    return changes(leftmost_places(h, width))
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:

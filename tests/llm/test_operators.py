@@ -1,14 +1,17 @@
 """The operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scalarlake.llm import bwt, linking
+from scalarlake.llm import bwt, linking, windows
 from scalarlake.llm.bwt import repeated_bytes
 from scalarlake.llm.common import keep
 from scalarlake.llm.decontaminate import Automaton, match, remove_spans, report, split_words
@@ -464,3 +467,55 @@ def test_bytes(docs, texts, monkeypatch, most):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[i, len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest()] += 1
     assert Counter(tuple(r)[:5] for r in repeated_bytes(docs).collect()) == want
+
+
+def test_byte_spans():
+    """Repeated strings are passed on as spans, not start by start: two numbers for 135 starts."""
+    middle = bytes(range(1, 168)) * 2
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7, 7]), pa.array([0, 0]), pa.array([False, False]), pa.array([1, 2]), pa.array([136, 136], pa.int32()),
+         pa.array([b"a" + middle + b"b", b"c" + middle + b"d"])], names=["anchor", "part", "split", "context", "lead", "bytes"])
+    out = pa.Table.from_batches(bwt._merge(200)(iter([batch]))).to_pylist()
+    assert [(r["context"], r["spans"], r["open"], r["known"]) for r in out] == [(1, [-135, -1], [], []), (2, [-135, -1], [], [])]
+
+
+@pytest.mark.parametrize("block", [1 << 17, 300, 1])
+def test_byte_blocks(monkeypatch, block):
+    """Texts of one block do not touch: anchors, contexts and removed runs are those of texts on their own."""
+    monkeypatch.setattr(bwt, "BLOCK", block)
+    texts = [b"", b"x" * 250, bytes(97 + k * k % 26 for k in range(700)), b"", b"short", b"y" * 200, b"z" * 199, b""]
+    ids = pa.array(range(len(texts)))
+    spots = next(bwt._spots(200)(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts)], names=["doc_id", "text"])]))).to_pydict()
+    for t, size, anchors, places in zip(texts, spots["n_bytes"], spots["anchors"], spots["places"]):
+        grams = [t[p:p + 64] for p in places]
+        assert size == len(t) and len(set(zip(grams, anchors))) == len(set(grams)) == len(set(anchors))
+        assert all(any(s <= p <= s + 136 for p in places) for s in range(len(t) - 199)) and (len(t) >= 200) == bool(places)
+    wanted = pa.array([[{"place": p, "anchor": a} for p, a in zip(*x)] for x in zip(spots["places"], spots["anchors"])])
+    contexts = next(bwt._contexts(200)(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts), wanted], names=["version", "text", "spots"])]))).to_pylist()
+    around = {(c["context"], texts[c["version"]][max(0, c["place"] - 136):c["place"] + 200], min(136, c["place"])) for c in contexts}
+    assert len(contexts) == sum(map(len, spots["places"]))
+    assert len(around) == len({x[0] for x in around}) == len({x[1:] for x in around})  # equal contexts, equal hashes, and the reverse
+    hits = [[], [(0, [-136, 0])], [(300, [-20, -10, 5, 5]), (690, [-136, 0])], [], [(0, [-136, 0])], [(100, [-136, 0])], [(60, [-136, 0])], []]
+    column = pa.array([[{"place": p, "spans": s} for p, s in h] for h in hits], pa.list_(pa.struct([("place", pa.int32()), ("spans", pa.list_(pa.int32()))])))
+    cut = next(bwt._cut(200)(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts), column], names=["version", "text", "hits"])]))).to_pylist()
+    for t, h, row in zip(texts, hits, cut):
+        gone = bytearray(len(t))
+        for p, s in h:
+            for a, b in zip(s[::2], s[1::2]):
+                for k in range(max(0, p + a), min(len(t) - 200, p + b) + 1):
+                    gone[k:k + 200] = b"\1" * 200
+        kept = bytes(x for x, g in zip(t, gone) if not g)
+        assert (row["n_removed"], row["n_spans"], row["kept"]) == (sum(gone), len(re.findall(b"\1+", gone)), kept)
+        assert row["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
+def test_leftmost_places(monkeypatch):
+    rng = random.Random(2)
+    for bits in (24, 6):  # with 6 bits, arrays are handled in stretches
+        monkeypatch.setattr(windows, "PLACE_BITS", bits)
+        for n in (0, 1, 5, 20, 300):
+            for width in (1, 2, 3, 7, 20):
+                h = [rng.randrange(4) << 40 for _ in range(n)]
+                want = [min(range(s, s + width), key=lambda k: (h[k], k)) for s in range(n - width + 1)]
+                assert windows.leftmost_places(np.array(h, np.uint64), width).tolist() == want
+                assert windows.leftmost_minima(np.array(h, np.uint64), width).tolist() == sorted(set(want))
