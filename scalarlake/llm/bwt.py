@@ -27,6 +27,8 @@ from scalarlake.llm.windows import changes, leftmost_places
 ANCHOR = 64
 #: Strings of one shard, and the most strings of one anchor that are merged in a task.
 SHARD, MOST = 2048, 4096
+#: Neighbouring starts whose strings are looked up across the parts of an anchor by what they have in common first.
+CELL = 16
 #: Texts are handled in blocks of about this many bytes, one call of NumPy for all texts of a block.
 BLOCK = 1 << 17
 
@@ -100,9 +102,10 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size
 
 
-def _lists(count, values, kind: pa.DataType) -> pa.Array:
+def _lists(count, values, kind: pa.DataType | None = None) -> pa.Array:
     """Lists of so many values each, one after the other."""
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(values, kind))
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), values)
 
 
 def _spots(length: int):
@@ -181,12 +184,13 @@ def _strings(length: int):
 
 
 def _merge(length: int):
-    """(anchor, context, spans, open, known) of rows (anchor, part, split, context, lead, bytes), sorted by anchor and part.
+    """(anchor, context, spans, open, cells, known) of rows (anchor, part, split, context, lead, bytes), sorted by anchor and part.
 
     spans: where, counted from the anchor, strings of `length` bytes start that another context of the part has as well:
     first and last start of a span, first and last of the next one, and so on.
-    Only if the anchor is split into parts: open has the other strings of the context, known the hashes of strings found
-    in the part, each with one context.
+    Only if the anchor is split into parts: open has the other strings of the context by cells of CELL columns that they
+    start in; a cell's hash is that of the bytes that all strings starting in it would share.  cells has the hashes of
+    all cells of the part, known those of the strings found in it, each with one context.
     """
     reach, width = length - ANCHOR, 2 * length - ANCHOR
 
@@ -206,30 +210,40 @@ def _merge(length: int):
         row, a = np.nonzero(edge == 1)
         b = np.nonzero(edge == -1)[1] - 1
         spans = np.stack([a, b], axis=1).ravel().astype(np.int32) - reach
-        n_spans, n_open, n_known = 2 * np.bincount(row, minlength=n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        start, gram, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        n_spans = 2 * np.bincount(row, minlength=n)
+        n_open, n_cells, n_known = np.zeros((3, n), np.int64)
+        none = np.zeros(0, np.int64)
+        start, gram, open_cell, n_strings, cells, known = [none], [none], [none], [none], [], []
         told: set[int] = set()
         for i in np.flatnonzero(split).tolist():
             c = np.arange(low[i], max(low[i], high[i] - length + 1))
-            grams = Prefix(buf[first[i]:first[i] + size[i]]).hash_run(len(c), length)
+            sums = Prefix(buf[first[i]:first[i] + size[i]])
             # With the place: equal strings hold their anchor at the same place, and one string of a text may
-            # be in the contexts of several anchors, at several.
-            grams = mix(grams + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            # be in the contexts of several anchors, at several.  What a cell's strings share holds the anchor, too.
+            grams = mix(sums.hash_run(len(c), length) + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            cell, at = np.unique(c // CELL, return_inverse=True)
+            keys = sums.hash(np.minimum(cell * CELL + CELL - 1, reach) - low[i], cell * CELL + length - low[i])
+            keys = mix(keys + cell.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
             had = found[i, c]
-            new = set(grams[had].tolist()) - told
-            told |= new
-            known.extend(new)
+            for hashes, out, count in ((keys, cells, n_cells), (grams[had], known, n_known)):
+                new = set(hashes.tolist()) - told
+                told |= new
+                out.extend(new)
+                count[i] = len(new)
+            many = np.bincount(at[~had], minlength=len(cell))
             start.append(c[~had] - reach)
             gram.append(grams[~had])
-            n_open[i], n_known[i] = len(start[-1]), len(new)
-        some = np.flatnonzero(n_spans + n_open)  # a context with known strings has spans
-        start, gram = pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(gram))
+            open_cell.append(keys[many > 0])
+            n_strings.append(many[many > 0])
+            n_open[i] = len(n_strings[-1])
+        some = np.flatnonzero(n_spans + n_open)  # every start is in a span or open, so contexts with cells are among them
+        strings = pa.StructArray.from_arrays([pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(gram))], ["start", "gram"])
+        opened = pa.StructArray.from_arrays([pa.array(np.concatenate(open_cell)), _lists(np.concatenate(n_strings), strings)], ["cell", "strings"])
         return pa.RecordBatch.from_arrays(
             [pa.array(anchor, pa.int64()).take(pa.array(some)), pa.array(context, pa.int64()).take(pa.array(some)),
-             _lists(n_spans[some], spans, pa.int32()),
-             pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_open[some])).astype(np.int32)), pa.StructArray.from_arrays([start, gram], ["start", "gram"])),
-             _lists(n_known[some], known, pa.int64())],
-            names=["anchor", "context", "spans", "open", "known"])
+             _lists(n_spans[some], spans, pa.int32()), _lists(n_open[some], opened),
+             _lists(n_cells[some], cells, pa.int64()), _lists(n_known[some], known, pa.int64())],
+            names=["anchor", "context", "spans", "open", "cells", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], [], []]
@@ -298,7 +312,8 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
     3. The contexts of each remaining anchor are aligned; their transforms are built in shards and merged,
        and the merge yields the common prefixes, hence the repeated intervals.
     4. An anchor with more than MOST different contexts, which a task should not hold, is dealt into parts.  What a part
-       leaves open is looked up, by hash, among the strings of the anchor's other parts; so the work stays linear.
+       leaves open is looked up, by hash, among the strings of the anchor's other parts, first by cells of neighbouring starts,
+       then, where another part has the cell, string by string; so the work stays linear.
 
     Null and empty texts have no bytes.  Ids play no part: null and repeated ones pass through.  length must be more than ANCHOR.
     """
@@ -326,9 +341,13 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
         parts = F.ceil(F.col("m") / MOST)
         strings = strings.select("anchor", F.pmod(F.xxhash64("context"), parts).alias("part"), (parts > 1).alias("split"), "context", "lead", "bytes")
         solved = keep(strings.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(
-            _merge(length), "anchor long, context long, spans array<int>, open array<struct<start: int, gram: long>>, known array<long>"), "solved")
+            _merge(length), "anchor long, context long, spans array<int>, "
+            "open array<struct<cell: long, strings: array<struct<start: int, gram: long>>>>, cells array<long>, known array<long>"), "solved")
         # Across the parts of an anchor: a string that its own part has once is repeated if any other part has it.
-        far = solved.select("anchor", "context", F.explode("open").alias("o")).select("anchor", "context", "o.start", "o.gram")
+        # Only those are looked up whose cell is in another part as well; strings of other cells occur nowhere else.
+        shared = solved.select("anchor", F.explode("cells").alias("cell")).groupBy("anchor", "cell").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "cell")
+        far = solved.select("anchor", "context", F.explode("open").alias("o")).select("anchor", "context", "o.cell", "o.strings").join(shared, ["anchor", "cell"])
+        far = keep(far.select("anchor", "context", F.explode("strings").alias("s")).select("anchor", "context", "s.start", "s.gram"), "far")
         had = far.select("anchor", "gram", F.lit(1).alias("n")).union(solved.select("anchor", F.explode("known").alias("gram"), F.lit(2).alias("n")))
         twice = had.groupBy("anchor", "gram").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "gram")
         across = far.join(twice, ["anchor", "gram"]).groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("spans"))
@@ -337,6 +356,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
         marks = keep(classes.join(partly, ["anchor", "context"], "left").where("n > 1 or spans is not null").select("anchor", "context", "n", "spans"), "marks")
         drop(classes)
         drop(solved)
+        drop(far)
     reach = length - ANCHOR
     hits = found.join(marks, ["anchor", "context"]).select(
         "version", "place", F.when(F.col("n") > 1, F.array(F.lit(-reach), F.lit(0))).otherwise(F.col("spans")).alias("spans"))

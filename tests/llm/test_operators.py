@@ -479,6 +479,30 @@ def test_byte_spans():
     assert [(r["context"], r["spans"], r["open"], r["known"]) for r in out] == [(1, [-135, -1], [], []), (2, [-135, -1], [], [])]
 
 
+def test_byte_cells():
+    """Parts of an anchor leave strings open by cells: equal strings are in equal cells, and random ones share none."""
+    rng = random.Random(3)
+    lefts = [rng.randbytes(106) for _ in range(6)]
+    after = bytes(range(230))
+    names = ["anchor", "part", "split", "context", "lead", "bytes"]
+
+    def solved(lefts, part):
+        n = len(lefts)
+        columns = [pa.array([7] * n), pa.array([part] * n), pa.array([True] * n), pa.array(range(n)), pa.array([136] * n, pa.int32())]
+        batch = pa.RecordBatch.from_arrays([*columns, pa.array([x + after for x in lefts])], names=names)
+        return pa.Table.from_batches(bwt._merge(200)(iter([batch]))).to_pylist()
+
+    a, b = solved(lefts[:3], 0), solved([lefts[0], *lefts[3:]], 1)
+    # Strings that start at the 30 bytes all contexts share before the anchor, or at it, are found in the parts.
+    assert [r["spans"] for r in a + b] == [[-30, 0]] * 7
+    assert all(len(r["open"]) <= 137 // bwt.CELL + 1 and sum(len(o["strings"]) for o in r["open"]) == 106 for r in a + b)
+    cells = [{x for r in rows for x in r["cells"]} for rows in (a, b)]
+    far = [[(s["start"], s["gram"]) for o in r["open"] if o["cell"] in cells[1] for s in o["strings"]] for r in a]
+    # The copied context is looked up whole, others only in the cell where the shared bytes begin.
+    assert [len(x) for x in far] == [106] + [(137 - 31) % bwt.CELL] * 2
+    assert {s["gram"] for o in b[0]["open"] for s in o["strings"]} == {g for _, g in far[0]}
+
+
 @pytest.mark.parametrize("block", [1 << 17, 300, 1])
 def test_byte_blocks(monkeypatch, block):
     """Texts of one block do not touch: anchors, contexts and removed runs are those of texts on their own."""
