@@ -22,7 +22,8 @@ BLOCK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers of both for the longest text so far; shorter ones use the beginning.
+_powers: list[np.ndarray] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -101,10 +102,15 @@ def count_words(text):
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of so many rows, so that a worker holds few texts as Python objects."""
+    """The batches in slices of so many rows, so that a worker holds few texts as Python objects.
+
+    Workers outlive their tasks, so Arrow's free memory is given back at the end.
+    """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def binary(column) -> list[bytes | None]:
@@ -140,11 +146,9 @@ class Prefix:
     def __init__(self, buf: np.ndarray) -> None:
         n = len(buf)
         size = 1 << max(16, int(n).bit_length())
-        if size not in _powers:
-            if size > 4 * BLOCK_BYTES:
-                _powers.pop(max(_powers), None) if max(_powers, default=0) > 4 * BLOCK_BYTES else None
-            _powers[size] = tuple(np.cumprod(np.full(size, b, np.uint64)) for b in (_BASE, _INVERSE))
-        power, self.inverse = _powers[size]
+        if not _powers or len(_powers[0]) < size:
+            _powers[:] = [np.cumprod(np.full(size, b, np.uint64)) for b in (_BASE, _INVERSE)]
+        power, self.inverse = _powers
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.sums[1:])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scalarlake.llm.common import Words, binary, blocks, keep, numbered, pieces, scope
+from scalarlake.llm.common import Words, binary, blocks, drop, keep, numbered, pieces, scope
 from scalarlake.llm.linking import connected, linked
 
 #: Fingerprints may differ in so many of their 64 bits.
@@ -252,7 +252,10 @@ def line_groups(docs: DataFrame, bits: int = BITS, percent: int = 80, agree: int
     close = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_close(bits), "a long, b long")
     # Lines of one fingerprint are candidates of each other as well.
     same = prints.where("n > 1").select(F.col("print").alias("a"), F.col("print").alias("b"))
-    cands = connected(close.union(same))
+    # Written first: connected() begins in Python, and a task that runs both would hold two workers.
+    links = keep(close.union(same), "close")
+    cands = connected(links)
+    drop(links)
     wanted = lines.join(cands, F.col("print") == F.col("node")).select(
         F.col("held.doc_id").alias("i"), F.col("held.version").alias("v"),
         F.struct("held.place", "line", F.col("component").alias("cand"), "print").alias("w"))

@@ -150,14 +150,13 @@ def train(docs: DataFrame, positives: DataFrame, excluded=None, sample: int = SA
     return fit(chosen("positive"), chosen("l_id is null"))
 
 
-def _score(model):
+def _score(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for batch in pieces(batches):
-            texts = binary(batch.column(batch.num_columns - 1))
-            x = np.array([measures(t) for t in texts], float).reshape(-1, MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fitted.score(x), pa.float64())],
-                                             names=[*batch.schema.names[:-1], "score"])
+            x = np.array([measures(t) for t in binary(batch.column(at))], float).reshape(-1, MEASURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fitted.score(x), pa.float64())],
+                                             names=[*batch.schema.names, "score"])
 
     return run
 
@@ -165,9 +164,9 @@ def _score(model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score, from the text alone; null texts score as empty ones.  A column named score is replaced."""
     names = [n for n in docs.columns if n != "score"]
-    rows = docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").alias("score"))
-    schema = rows.drop("score").schema.add("score", "double")
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    rows = docs.select(*[F.col(f"`{n}`") for n in names])
+    schema = rows.withColumn("score", F.lit(None).cast("double")).schema
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), names.index("text")), schema)
 
 
 def positives(labels: DataFrame) -> DataFrame:
