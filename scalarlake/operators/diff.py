@@ -1,15 +1,19 @@
 """Line differences of text pairs.
 
 The pairs are rows and are spread over tasks; the longest common subsequence of one pair is a small helper on its
-lines.  A pair of very long texts is first cut into boxes, which are rows as well: two tasks sweep it, one from either end,
-and leave the lengths of common subsequences at every so many lines; where both together reach the greatest length, the
+lines.  A pair of long texts is first cut into boxes: it is swept from either end, which
+leaves the lengths of common subsequences at every so many lines; where both together reach the greatest length, the
 difference can pass, and the one way that diff_sequences() would take is followed from stretch to stretch.  Corners
 on that way make the boxes independent: inside a box the same choices are made as in the whole.
+
+A sweep costs the product of the lines.  Where that is small, the task that has the pair cuts it, and no text is
+written anywhere.  A pair of very long texts is dealt: two tasks sweep it, one from either end, and the boxes are rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from math import isqrt
 
 import numpy as np
@@ -23,6 +27,8 @@ _BATCH_LINES = 20_000
 _PAIRS = 64
 #: Texts of more lines are cut; boxes have at most so many lines on either side.
 BOX_LINES = 16_384
+#: Lines of one text times lines of the other up to which a pair is cut by the task that has it.
+HELD_CELLS = BOX_LINES * BOX_LINES
 #: Columns that a sweep works on at a time, so that its bit sets stay small.
 _STRIPE = 16_384
 _SWEPT = pa.list_(pa.struct([("i", pa.int64()), ("bits", pa.binary())]))
@@ -187,57 +193,105 @@ def corners(x: Sequence[str], y: Sequence[str], ahead: dict[int, np.ndarray], be
         yield i, j, common
 
 
-def _cut(boxes: DataFrame, keys: list[str], every: int, swapped: bool) -> DataFrame:
-    """Boxes of more than ``every`` lines of the first (``swapped``: second) text, cut into such of at most as many.
+def _ahead(x: Sequence[str], y: Sequence[str], every: int) -> dict[int, np.ndarray]:
+    """sweep() from the front: both texts backwards, rows counted from the front again."""
+    first = len(x) % every or every
+    return {len(x) - i: v for i, v in _offset_sweep(x[::-1], y[::-1], first, every).items()}
+
+
+def _stretches(x: Sequence[str], y: Sequence[str], ahead: dict[int, np.ndarray], behind: dict[int, np.ndarray],
+               every: int, swapped: bool) -> Iterator[tuple[slice, slice, int]]:
+    """(lines of x, lines of y, lines of the difference before) of each box."""
+    met = [*corners(x, y, ahead, behind, every, swapped), (len(x), len(y), 0)]
+    for (i, j, common), (i2, j2, _) in zip(met, met[1:]):
+        yield slice(i, i2), slice(j, j2), i + j - common
+
+
+def boxes_of(a: Sequence[str], b: Sequence[str], *sizes: int) -> Iterator[tuple[int, Sequence[str], Sequence[str]]]:
+    """(lines of the difference before, lines of a, lines of b) of the boxes of a pair, cut on both sides.
 
-    One chain of stages: a task for each side of a box sweeps it, then both sides meet at the box.  Other boxes pass.
+    A box has at most as many lines of either text as the first size says, is cut again by the next one, and so on.
     """
-    rows, columns = ("b", "a") if swapped else ("a", "b")
-    box, schema = [*keys, "at_a", "at_b"], boxes.schema
+    if not sizes:
+        yield 0, a, b
+        return
+    every, *less = sizes
+
+    def cut(x, y, swapped):
+        long = len(x) > every
+        return _stretches(x, y, _ahead(x, y, every) if long else {}, sweep(x, y, every) if long else {}, every, swapped)
+
+    for i, j, first in cut(a, b, False):
+        x, y = a[i], b[j]
+        for k, l, no in cut(y, x, True):
+            for before, u, v in boxes_of(x[l], y[k], *less):
+                yield first + no + before, u, v
+
+
+def _cut(pairs: DataFrame, keys: list[str], every: int) -> DataFrame:
+    """Boxes (keys, line_no, a, b) of at most ``every`` lines of the first text.
+
+    One chain of stages: a task for each side of a pair sweeps it, then both sides meet at the pair.  The texts go with
+    one side, the other has a number for each different line.
+    """
+    # A struct is never null, and pairs that have the same keys stay apart; ``times`` they have the same texts as well.
+    pair = F.struct(*keys, F.xxhash64("text_a", "text_b").alias("_texts")).alias("_pair")
+    todo = pairs.select(pair, *(F.split(f"text_{s}", "\n", -1).alias(s) for s in ("a", "b")))
+    texts = list(todo.schema.fields)
+    numbers = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("x", "y")]
+    dealt = T.StructType([*texts, T.StructField("side", T.IntegerType()), *numbers])
     found = T.ArrayType(T.StructType([T.StructField("i", T.LongType()), T.StructField("bits", T.BinaryType())]))
-    swept = T.StructType([*schema.fields, T.StructField("side", T.IntegerType()), T.StructField("swept", found)])
+    swept = T.StructType([*texts, T.StructField("side", T.IntegerType()), T.StructField("swept", found)])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _each(batches):
+            with_texts, with_numbers = pa.array([0, None]), pa.array([None, 0])
+            out = [batch.column("_pair").take(pa.array([0, 0])), *(batch.column(c).take(with_texts) for c in ("a", "b")), pa.array([0, 1], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*out, *(c.take(with_numbers) for c in _numbered(batch))], names=dealt.names)
 
     def sweeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
-            front, bits = [], []
-            for x, y, side in zip(*(batch.column(c).to_pylist() for c in (rows, columns, "side"))):
-                if side == 2:  # small enough
-                    found = {}
-                elif side:  # from the front: both texts backwards, rows counted from the front again
-                    first = len(x) % every or every
-                    found = {len(x) - i: v for i, v in _offset_sweep(x[::-1], y[::-1], first, every).items()}
-                else:
-                    found = sweep(x, y, every)
-                front.append(side == 1)
-                bits.append([{"i": i, "bits": v.tobytes()} for i, v in found.items()])
-            once = pa.array([None if f else k for k, f in enumerate(front)], pa.int64())  # the texts go with one side only
-            out = [c.take(once) if n in ("a", "b") else c for n, c in zip(batch.schema.names, batch.columns)]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(bits, _SWEPT)], names=swept.names)
-
-    side = F.explode(F.when(F.size(rows) > every, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(2))))
-    sides = boxes.withColumn("side", side).repartition(F.xxhash64(*box, "side")).mapInArrow(sweeps, swept)
-    whole = sides.groupBy(*box).agg(
-        F.max("line_no").alias("line_no"), F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"),
+        for batch in _each(batches):
+            front = batch.column("side")[0].as_py() == 1
+            x, y = (batch.column(c)[0].as_py() for c in ("xy" if front else "ab"))
+            bits = (_ahead if front else sweep)(x, y, every) if len(x) > every else {}
+            bits = pa.array([[{"i": i, "bits": v.tobytes()} for i, v in bits.items()]], _SWEPT)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_pair", "a", "b", "side")), bits], names=swept.names)
+
+    sides = todo.mapInArrow(deal, dealt).repartition(F.xxhash64("_pair", "side")).mapInArrow(sweeps, swept)
+    whole = sides.groupBy("_pair").agg(
+        F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"), F.count_if(F.col("side") == 0).alias("times"),
         F.flatten(F.collect_list(F.transform("swept", lambda s: F.struct(F.col("side").alias("side"), s["i"].alias("i"), s["bits"].alias("bits"))))).alias("swept"))
 
-    def boxes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
-            at = {c: k for k, c in enumerate(schema.names)}
-            origin, out = [], {c: [] for c in ("a", "b", "at_a", "at_b", "line_no")}
-            read = (batch.column(c).to_pylist() for c in (rows, columns, f"at_{rows}", f"at_{columns}", "line_no", "swept"))
-            for k, (x, y, from_x, from_y, line_no, bits) in enumerate(zip(*read)):
-                behind, ahead = ({b["i"]: np.frombuffer(b["bits"], np.uint8) for b in bits if b["side"] == side} for side in (0, 1))
-                met = [*corners(x, y, ahead, behind, every, swapped), (len(x), len(y), 0)]
-                for (i, j, common), (i2, j2, _) in zip(met, met[1:]):
-                    origin.append(k)
-                    for c, v in ((rows, x[i:i2]), (columns, y[j:j2]), (f"at_{rows}", from_x + i), (f"at_{columns}", from_y + j),
-                                 ("line_no", line_no + i + j - common)):
-                        out[c].append(v)
-            taken = pa.array(origin, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[c], batch.column(c).type) if c in out else batch.column(c).take(taken) for c in at], names=list(at))
-
-    return whole.mapInArrow(boxes_of, schema)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _each(batches):
+            x, y = (c[0].as_py() for c in _numbered(batch))
+            bits = batch.column("swept")[0].as_py()
+            behind, ahead = ({b["i"]: np.frombuffer(b["bits"], np.uint8) for b in bits if b["side"] == side} for side in (0, 1))
+            boxes = list(_stretches(x, y, ahead, behind, every, False))
+            out = [batch.column("_pair").take(pa.array([0] * len(boxes))), pa.array([no for *_, no in boxes], pa.int64())]
+            for c, k in (("a", 0), ("b", 1)):
+                ends = [0, *(box[k].stop for box in boxes)]
+                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), batch.column(c)[0].values))
+            for _ in range(batch.column("times")[0].as_py()):
+                yield pa.RecordBatch.from_arrays(out, names=["_pair", "line_no", "a", "b"])
+
+    box = T.StructType([texts[0], T.StructField("line_no", T.LongType()), *texts[1:]])
+    boxes = whole.mapInArrow(cut, box).repartition(F.xxhash64("_pair", "line_no"))
+    return boxes.select(*(F.col("_pair")[k].alias(k) for k in keys), "line_no", "a", "b")
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of one row."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1)
+
+
+def _numbered(batch: pa.RecordBatch) -> list[pa.ListArray]:
+    """``a`` and ``b`` of the one row, each different line a number."""
+    a, b = (batch.column(c)[0].values for c in ("a", "b"))
+    codes = pa.concat_arrays([a, b]).dictionary_encode().indices
+    return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (codes[:len(a)], codes[len(a):])]
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,27 +313,28 @@ def line_diff(pairs: DataFrame, keys: list[str], box_lines: int = BOX_LINES) ->
     """Rows (keys, line_no, op, line) for each pair's ``text_a`` and ``text_b``; ``keys`` name one pair.
 
     Equal texts never leave the JVM.  Texts of more than ``box_lines`` lines are cut first; the rows are the same.
+    Pairs are compared where they are, so that their texts are not shuffled; only those too long for one task are dealt.
     """
-    equal = F.col("text_a") == F.col("text_b")
-    same = pairs.filter(equal).select(*keys, F.posexplode(F.split("text_a", "\n", -1)).alias("line_no", "line"))
+    # The branches below ask for the same rows of a join and for nothing of one text alone, nor for equality (which would be
+    # a key of that join): so they have its shuffles of texts in common.
+    known = pairs.filter(F.col("text_a").isNotNull() & F.col("text_b").isNotNull())
+    equal = F.col("text_a").between(F.col("text_b"), F.col("text_b"))
+    split = lambda c: F.split(c, "\n", -1)
+    same = known.filter(equal).select(*keys, F.posexplode(split("text_a")).alias("line_no", "line"))
     same = same.select(*keys, F.col("line_no").cast("long").alias("line_no"), F.lit(" ").alias("op"), "line")
-    zero = F.lit(0).cast("long")
-    todo = lambda some: pairs.filter(~equal & some).select(
-        *keys, zero.alias("at_a"), zero.alias("at_b"), zero.alias("line_no"),
-        F.split("text_a", "\n", -1).alias("a"), F.split("text_b", "\n", -1).alias("b"))
-    lines = [F.regexp_count(c, F.lit("\n")) for c in ("text_a", "text_b")]
-    long = (lines[0] >= box_lines) | (lines[1] >= box_lines)
-    cut = _cut(_cut(todo(long), keys, box_lines, False), keys, box_lines, True)
-    # Spread the pairs: neighbours in the input are often long together.
-    boxes = todo(~long).unionByName(cut).repartition(F.xxhash64(*keys, "at_a", "at_b"))
+    side = max(box_lines, isqrt(HELD_CELLS))
+    bytes_, lines = ([f(F.col(c)).cast("long") + 1 for c in ("text_a", "text_b")] for f in (F.octet_length, lambda c: F.regexp_count(c, F.lit("\n"))))
+    long = (bytes_[0] * bytes_[1] > side * side) & (lines[0] * lines[1] > side * side)  # most are short enough by their bytes
     fields = sorted((f for f in pairs.schema.fields if f.name in keys), key=lambda f: keys.index(f.name))
     schema = T.StructType(fields + [
         T.StructField("line_no", T.LongType()), T.StructField("op", T.StringType()), T.StructField("line", T.StringType()),
     ])
-    return same.unionByName(boxes.select(*keys, "line_no", "a", "b").mapInArrow(_differ(keys), schema))
+    held = known.filter(~equal & ~long).select(*keys, F.lit(0).cast("long").alias("line_no"), split("text_a").alias("a"), split("text_b").alias("b"))
+    boxes = (held, _cut(known.filter(~equal & long), keys, side))
+    return reduce(DataFrame.unionByName, (b.mapInArrow(_differ(keys, side, box_lines), schema) for b in boxes), same)
 
 
-def _differ(keys: list[str]):
+def _differ(keys: list[str], *sizes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
             out = ([], [], [], [])  # pair, line number, op, line
@@ -292,11 +347,12 @@ def _differ(keys: list[str]):
                 return pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in keys), *found], names=[*keys, "line_no", "op", "line"])
 
             for k, (first, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("line_no", "a", "b")))):
-                for no, (op, line) in enumerate(diff_sequences(a, b), first):
-                    for c, v in zip(out, (k, no, op, line)):
-                        c.append(v)
-                    if len(out[0]) >= _BATCH_LINES:
-                        yield rows()
+                for before, x, y in boxes_of(a, b, *sizes):
+                    for no, (op, line) in enumerate(diff_sequences(x, y), first + before):
+                        for c, v in zip(out, (k, no, op, line)):
+                            c.append(v)
+                        if len(out[0]) >= _BATCH_LINES:
+                            yield rows()
             if out[0]:
                 yield rows()
 

@@ -64,8 +64,11 @@ def collapse(texts: DataFrame) -> DataFrame:
 
 
 def bodies(texts: DataFrame) -> DataFrame:
-    """(digest, text): each different text once."""
-    return texts.select("digest", "text").dropDuplicates(["digest"])
+    """(digest, text): each different text once.
+
+    Not dropDuplicates(): it is planned anew wherever it is read, and shuffles after it would be written once for each reader.
+    """
+    return texts.groupBy("digest").agg(F.first("text").alias("text"))
 
 
 def with_bodies(rows: DataFrame, bodies: DataFrame, digest: str = "digest", text: str = "text") -> DataFrame:

@@ -200,3 +200,68 @@ def test_differences_hold_few_pairs_at_a_time():
     assert len(got) == 4
     want = [(k, no, op, line) for k, (a, b) in enumerate(pairs) for no, (op, line) in enumerate(diff.diff_sequences(a, b))]
     assert [tuple(r.values()) for b in got for r in b.to_pylist()] == want
+
+
+def written(plan):
+    """Bytes of each shuffle of an executed plan, before compression; what is read again counts once."""
+    name, children = plan.nodeName(), plan.children()
+    if name == "AdaptiveSparkPlan":
+        below = [plan.executedPlan()]
+    elif name.endswith("QueryStage"):
+        below = [plan.plan()]
+    elif name == "ReusedExchange":
+        below = []
+    else:
+        below = [children.apply(k) for k in range(children.size())]
+    own = [plan.getRuntimeStatistics().sizeInBytes()] if name == "ShuffleQueryStage" and below[0].nodeName() != "ReusedExchange" else []
+    return own + [n for p in below for n in written(p)]
+
+
+def test_texts_are_shuffled_twice(spark, tmp_path):
+    """Once by their digest, once beside the text they are compared with, however many boxes a pair is cut into."""
+    rng = random.Random(8)
+    entries = [(k, "\n".join(f"{rng.getrandbits(200):x}" if rng.random() < 0.5 else f"line {rng.randrange(40)}" for _ in range(200))) for k in range(120)]
+    simple(spark, entries).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = texts.bodies_of_pairs(texts.successive(texts.collapse(stored.drop("text"))), texts.bodies(stored))
+        got = diff.line_diff(pairs, ["run_id", "tag", "i"], box_lines=8)
+        rows = sorted((r.i, r.line_no, r.op, r.line) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    size = sum(len(x) for _, x in entries)
+    assert sum(written(got._jdf.queryExecution().executedPlan())) < 2.5 * size
+    assert rows == [(k, no, *row) for k in range(len(entries) - 1) for no, row in enumerate(diff.diff_lines(entries[k][1], entries[k + 1][1]))]
+
+
+def test_boxes_of_boxes():
+    """Boxes that are cut again have the lines of the whole difference."""
+    rng = random.Random(9)
+    for _ in range(1000):
+        a, b = (rng.choices("abcde"[:rng.choice([1, 3, 5])], k=rng.randint(0, 30)) for _ in "ab")
+        sizes = rng.choice([(), (1,), (4,), (7, 3), (9, 4, 2)])
+        got = []
+        for before, x, y in diff.boxes_of(a, b, *sizes):
+            assert before == len(got) and (not sizes or max(len(x), len(y)) <= sizes[-1])
+            got += diff.diff_sequences(x, y)
+        assert got == list(diff.diff_sequences(a, b))
+
+
+@pytest.mark.parametrize("size", [3, 7, 20])
+def test_dealt_pairs(spark, monkeypatch, size):
+    """Pairs too long for one task have the same rows; keys may be null, and two pairs may have the same."""
+    monkeypatch.setattr(diff, "HELD_CELLS", 0)
+    rng = random.Random(size)
+
+    def text(letters):
+        return "\n".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 30, 60])))
+
+    rows = [(k, f"k{k % 3}", text("abc"), text("abcd")) for k in range(10)]
+    rows += [(None, "n", text("ab"), text("abé")), (None, None, text("ab"), text("ab ")), (3, "k0", text("abc"), text("bcd")), rows[5], rows[5]]
+    rows += [(20, "k", "a\nb\n" * 30, "a\nb\n" * 30), (21, "k", "", "a\n" * 40), (22, "k", "a\n" * 40, ""), (23, "k", None, "a\n" * 40), (24, "k", "a\n" * 40, None)]
+    pairs = spark.createDataFrame(rows, "i long, k string, text_a string, text_b string")
+    want = [(str(i), str(k), no, *row) for i, k, a, b in rows if a is not None and b is not None for no, row in enumerate(diff.diff_lines(a, b))]
+    got = diff.line_diff(pairs, ["i", "k"], box_lines=size).collect()
+    assert sorted((str(r.i), str(r.k), r.line_no, r.op, r.line) for r in got) == sorted(want)
